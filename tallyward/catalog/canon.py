@@ -260,3 +260,34 @@ def ap(name: str, source: str, score: str, truth: str, keys: str = "") -> str:
 {name} AS (
   SELECT {k}max(positives) AS support, max(everyone) AS accounts, sum(pos / nullif(positives, 0) * tp / seen) AS ap
   FROM {name}_r GROUP BY ALL)"""
+
+
+HALVES = f"""
+half_rank AS (
+  SELECT user_id, label, label_noisy, is_test,
+    row_number() OVER (PARTITION BY is_test ORDER BY {split_hash('user_id', 7)}, user_id) AS r,
+    count(*) OVER (PARTITION BY is_test) AS size FROM split),
+halves AS (
+  SELECT user_id, label, label_noisy, is_test, is_test AND r <= size // 2 AS is_fit,
+    is_test AND r > size // 2 AS is_eval FROM half_rank)"""
+
+RISK = f"""{ACCOUNTS}, {SPLIT}, {HALVES},
+risks AS (
+  SELECT a.*, is_test, is_fit, is_eval,
+    round((a.user_id * 7919 % 1000) / 1000.0 * 0.6 + CASE WHEN a.label = 'normal' THEN 0.0 ELSE 0.4 END, 6) AS risk
+  FROM accounts a JOIN halves USING (user_id))"""
+
+THRESHOLDS = f"""{RISK},
+curve AS (
+  SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen FROM (
+    SELECT risk AS s, count(*) FILTER (label_noisy <> 'normal') AS p, count(*) AS n FROM risks WHERE is_fit GROUP BY 1)),
+raw AS (
+  SELECT coalesce(min(s) FILTER (tp > 0 AND tp / seen >= 0.99), cast('inf' AS double)) AS t1,
+    coalesce(min(s) FILTER (tp > 0 AND tp / seen >= 0.90), cast('inf' AS double)) AS t2,
+    coalesce(min(s) FILTER (tp > 0 AND tp / seen >= 0.60), cast('inf' AS double)) AS t3 FROM curve),
+thr AS (SELECT t1 AS suspend, least(t1, t2) AS challenge, least(t1, t2, t3) AS rate_limit FROM raw)"""
+
+TIERS = f"""{THRESHOLDS},
+tiered AS (
+  SELECT risks.*, CASE WHEN risk >= suspend THEN 'suspend' WHEN risk >= challenge THEN 'challenge'
+    WHEN risk >= rate_limit THEN 'rate_limit' ELSE 'monitor' END AS tier FROM risks, thr)"""

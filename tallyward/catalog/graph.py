@@ -206,7 +206,7 @@ def _means(round_: int, source: str, etype: str, cols: list[str]) -> str:
 KINDS = ["ip", "device", "payment"]
 ONE = [f"{t}1_{c}" for t in KINDS for c in ("balance", "flag")]
 TWO = [f"{t}2_{c}" for t in KINDS for c in ONE]
-OWN = """own AS (SELECT c_custkey AS user_id, c_acctbal AS balance,
+OWN = """own AS (SELECT c_custkey AS user_id, ln(10000 + c_acctbal) AS balance,
   CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END AS flag FROM customer)"""
 
 
@@ -224,7 +224,7 @@ OWN = """own AS (SELECT c_custkey AS user_id, c_acctbal AS balance,
 def neighbor_means(spark, d):
     own = star.table(spark, d, "customer").select(
         F.col("c_custkey").alias("user_id"),
-        F.col("c_acctbal").alias("balance"),
+        F.log(F.col("c_acctbal") + 10000).alias("balance"),
         (F.col("c_acctbal") < 0).cast("double").alias("flag"),
     )
     return g.propagate(own, edges(spark, d), ["balance", "flag"], rounds=2)

@@ -10,7 +10,7 @@ salted for vertices with very many edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyward.operators.skew import MAX_GROUP_ROWS, join_unique
@@ -19,33 +19,44 @@ from tallyward.session import cut_lineage
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, keep_larger: bool, max_rows: int) -> DataFrame:
-    """One star step over (u, v); ``keep_larger`` picks which neighbours are handed over."""
-    if keep_larger:
+def _hot_vertices(smallest: DataFrame, n_edges: int, max_rows: int) -> DataFrame | None:
+    if 2 * n_edges <= max_rows:
+        return None
+    hot = smallest.filter(F.col("n") > max_rows).select("u", "n")
+    rows = hot.collect()  # at most 2 |edges| / max_rows vertices
+    return smallest.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def _star(edges: DataFrame, large: bool, n_edges: int, max_rows: int) -> DataFrame:
+    """One star step over edges (u, v) with u > v."""
+    if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
-        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        both = edges
     smallest = both.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("n"))
     smallest = smallest.select("u", F.least("_m", "u").alias("m"), "n")
-    hot = smallest.filter(F.col("n") > max_rows).select("u", "n").collect()  # at most |edges| / max_rows rows
-    hot = both.sparkSession.createDataFrame(hot, "u " + both.schema["u"].dataType.simpleString() + ", n long") if hot else None
+    hot = _hot_vertices(smallest, n_edges, max_rows)
     joined = join_unique(both, smallest.select("u", "m"), "u", "v", max_rows, hot=hot)
-    if keep_larger:
-        handed = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        handed = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            smallest.select("u", F.col("m").alias("v"))
-        )
-    return handed.filter(F.col("u") != F.col("v")).distinct()
+    handed = joined.filter(F.col("v") > F.col("u")) if large else joined
+    out = handed.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+    if not large:
+        out = out.unionByName(smallest.select("u", F.col("m").alias("v")))
+    return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
+def _write(edges: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    """Write a round and return it with its row count and two order-free hash sums, taken on the way."""
+    seen = Observation()
+    part = F.xxhash64("u", "v")
+    watched = edges.observe(
+        seen,
         F.count("*").alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("a"),
-        F.sum(F.xxhash64("v", "u", F.lit(7)).cast("decimal(38,0)")).alias("b"),
-    ).first()
-    return tuple(row)
+        F.sum(F.pmod(part, F.lit(2**31 - 1))).alias("a"),
+        F.sum(F.pmod(F.shiftright(part, 31), F.lit(2**31 - 1))).alias("b"),
+    )
+    table = cut_lineage(watched, name)
+    got = seen.get
+    return table, (got["n"], got["a"], got["b"])
 
 
 def connected_components(
@@ -53,21 +64,19 @@ def connected_components(
 ) -> DataFrame:
     """(id, component_id) for every vertex that has an edge to another vertex.
 
-    ``component_id`` is the smallest id of the component. Each round is written to the shared folder
-    and only three numbers come back to the driver.
+    ``component_id`` is the smallest id of the component. Each half round is written to the shared
+    folder and only three numbers come back to the driver.
     """
     canonical = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-    current = cut_lineage(canonical.filter(F.col("u") != F.col("v")).distinct(), "edges")
-    seen = _fingerprint(current)
-    for _ in range(MAX_ROUNDS):
-        if seen[0] == 0:
-            break
-        current = cut_lineage(_star(current, True, max_rows), "large-star")
-        current = cut_lineage(_star(current, False, max_rows), "small-star")
-        now = _fingerprint(current)
-        if now == seen:
+    current, mark = _write(canonical.filter(F.col("u") != F.col("v")).distinct(), "edges")
+    large, same = True, 0
+    for _ in range(2 * MAX_ROUNDS):
+        # stars around the minimum are the one shape that neither step changes
+        if mark[0] == 0 or same == 2:
             break
-        seen = now
+        current, now = _write(_star(current, large, mark[0], max_rows), "star")
+        same = same + 1 if now == mark else 0
+        mark, large = now, not large
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = current.select(F.col("v").alias("id")).distinct()

@@ -11,6 +11,7 @@ from tallyward.functions import expr
 from tallyward.operators.components import connected_components
 from tallyward.operators.evaluate import union_all
 from tallyward.operators.skew import MAX_GROUP_ROWS, join_unique
+from tallyward.session import cut_lineage
 from tallyward.sources.schema import ASN_TYPES
 
 # An IP shared by more accounts than this is a network gateway; a component of at
@@ -105,7 +106,11 @@ def link_counts(entities: DataFrame) -> DataFrame:
 def account_components(
     edges: DataFrame, caps: dict[str, int] = CAPS, max_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
-    """(id, component_id) of accounts linked by shared entities."""
+    """(id, component_id) of accounts linked by shared entities.
+
+    The edge table serves fan-out and links, so the event log is read once and the pairs are written.
+    """
+    edges = cut_lineage(edges.select("user_id", *ENTITY).withColumn("asn_type", F.lit(None).cast("string")), "pairs")
     entities = linking_entities(entity_fanout(edges), caps)
     links = star_links(edges, entities, max_rows)
     return connected_components(links, "src", "dst", max_rows)

@@ -166,3 +166,10 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             ((F.col("doc_id") * 17 % 101) / F.lit(100.0)).alias("evasion"),
         )
     )
+
+
+def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts with a risk from a fixed formula, for queries over decisions."""
+    noise = (F.col("user_id") * 7919 % 1000) / F.lit(1000.0)
+    lift = F.when(F.col("label") == "normal", 0.0).otherwise(0.4)
+    return accounts(spark, sf_dir).withColumn("risk", F.round(noise * 0.6 + lift, 6))
