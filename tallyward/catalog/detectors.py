@@ -1 +1,57 @@
+"""Learned detectors and fusion; results are checked by properties in the tests, not by SQL."""
 
+from __future__ import annotations
+
+from tallyward.catalog import campaign, features, graph, sequence
+from tallyward.catalog.registry import query
+from tallyward.operators import detect
+from tallyward.plans.risk import RiskAnalysis
+from tallyward.sources import star
+
+
+def analysis(spark, d) -> RiskAnalysis:
+    return RiskAnalysis(
+        activity=star.activity(spark, d),
+        accounts=star.accounts(spark, d),
+        sequence=star.sequence_events(spark, d),
+        edges=graph.edges(spark, d),
+        clustered=campaign.clustered(spark, d),
+        chat_endpoint=features.CHAT,
+        endpoints=tuple(sequence.KINDS),
+        hot=features.hot_accounts(spark, d),
+    )
+
+
+@query("tabular_scores")
+def tabular_scores(spark, d):
+    return analysis(spark, d).tabular
+
+
+@query("feature_importance")
+def feature_importance(spark, d):
+    return detect.feature_importance(analysis(spark, d).tabular_detector, spark)
+
+
+@query("sequence_scores")
+def sequence_scores(spark, d):
+    return analysis(spark, d).sequence_scores
+
+
+@query("graph_scores")
+def graph_scores(spark, d):
+    return analysis(spark, d).graph_scores
+
+
+@query("fused_risk")
+def fused_risk(spark, d):
+    return analysis(spark, d).decisions
+
+
+@query("fusion_weights")
+def fusion_weights(spark, d):
+    return detect.fusion_weights(analysis(spark, d).fusion_model, spark)
+
+
+@query("risk_metrics")
+def risk_metrics(spark, d):
+    return analysis(spark, d).metrics()

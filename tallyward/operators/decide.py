@@ -34,8 +34,8 @@ def precision_thresholds(
 
 
 def tier_assignment(scored: DataFrame, score: str, thresholds: DataFrame) -> DataFrame:
-    """Add ``tier``; thresholds enter as three scalars."""
-    limit = {name: thresholds.select(name).scalar() for name in TIERS[:3]}
+    """Add ``tier``; the one threshold row enters as a scalar subquery."""
+    limit = thresholds.select(F.struct(*TIERS[:3])).scalar()
     tier = F.lit(TIERS[3])
     for name in reversed(TIERS[:3]):
         tier = F.when(F.round(score, 6) >= limit[name], name).otherwise(tier)

@@ -82,7 +82,7 @@ def precision_at_k(scored: DataFrame, score: str, truth: Column, ks: Sequence[in
 
     Only the top max(k) rows are ever ordered together.
     """
-    base = scored.agg(F.count("*").alias("n"), F.sum(truth.cast("long")).alias("pos"))
+    base = scored.agg(F.struct(F.count("*").alias("n"), F.sum(truth.cast("long")).alias("pos"))).scalar()
     top = (
         scored.select("user_id", F.col(score).alias("_s"), truth.cast("double").alias("_t"))
         .orderBy(F.desc("_s"), "user_id")
@@ -90,12 +90,11 @@ def precision_at_k(scored: DataFrame, score: str, truth: Column, ks: Sequence[in
     )
     ranked = top.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("_s"), "user_id")))
     per_k = ranked.select(F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "_r", "_t").filter("_r <= k")
-    n, pos = base.select("n").scalar(), base.select("pos").scalar()
     return (
         per_k.groupBy("k")
         .agg(F.avg("_t").alias("precision"))
-        .filter(F.col("k") <= n)
-        .withColumn("achievable", F.least(F.lit(1.0), pos / F.col("k")))
+        .filter(F.col("k") <= base["n"])
+        .withColumn("achievable", F.least(F.lit(1.0), base["pos"] / F.col("k")))
         .orderBy("k")
     )
 

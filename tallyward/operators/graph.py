@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyward.functions import expr
 from tallyward.operators.components import connected_components
 from tallyward.operators.evaluate import union_all
-from tallyward.operators.skew import MAX_GROUP_ROWS, join_unique
+from tallyward.operators.skew import MAX_GROUP_ROWS, hot_groups, join_unique
 from tallyward.session import cut_lineage
 from tallyward.sources.schema import ASN_TYPES
 
@@ -155,15 +155,21 @@ def entity_features(fanout: DataFrame) -> DataFrame:
     return fanout.select(*ENTITY, F.log1p("fanout").alias("log_degree"), *[c.alias(n) for n, c in hot.items()])
 
 
-def _mean_by(edges: DataFrame, values: DataFrame, on: list[str], to: list[str], cols: Sequence[str], max_rows: int):
-    """Mean of ``cols`` of the ``on`` side over the neighbours of each ``to`` node."""
-    key = F.concat_ws("|", *on)
-    side = values.select(key.alias("_k"), *cols)
-    rows = edges.select(key.alias("_k"), F.concat_ws("|", "user_id", *ENTITY).alias("_spread"), *to)
-    joined = join_unique(rows, side, "_k", "_spread", max_rows)
+def _mean_by(edges: DataFrame, values: DataFrame, on: str, to: list[str], cols: Sequence[str], max_rows: int, hot):
+    """Mean of ``cols`` over the ``on`` neighbours of each ``to`` node."""
+    joined = join_unique(edges, values, on, "_spread", max_rows, hot=hot)
     return joined.groupBy(*to).agg(*[F.avg(c).alias(c) for c in cols])
 
 
+def _typed_pairs(edges: DataFrame) -> DataFrame:
+    """Distinct (user_id, etype, entity_id) with one string key per entity, written once."""
+    pairs = edges.select("user_id", *ENTITY).distinct()
+    entity = F.concat_ws("|", *ENTITY)
+    return cut_lineage(
+        pairs.select("*", entity.alias("_e"), F.concat_ws("|", "user_id", entity).alias("_spread")), "pairs"
+    )
+
+
 def propagate(
     features: DataFrame,
     edges: DataFrame,
@@ -176,22 +182,28 @@ def propagate(
 
     Each round appends, for each edge type, the mean over the accounts reached through that type
     (itself included), so the result holds the account's own columns and those of its neighbourhood
-    at one hop of each round. Both steps are an equi-join and a combinable average.
+    one hop further with each round. Both steps are an equi-join and a combinable average; the pairs
+    and each round's columns are written once because every edge type reads them.
     """
-    pairs = edges.select("user_id", *ENTITY).distinct()
+    pairs = _typed_pairs(edges)
+    large = pairs.count() > max_rows
     out = features.select("user_id", *cols)
     current = list(cols)
     for r in range(1, rounds + 1):
+        source = cut_lineage(out, f"round{r}")
         new: list[str] = []
-        grown = out
+        out = source
         for etype in etypes:
             part = pairs.filter(F.col("etype") == etype)
-            to_entity = _mean_by(part, out, ["user_id"], ENTITY, current, max_rows)
-            back = _mean_by(part, to_entity, ENTITY, ["user_id"], current, max_rows)
+            hot_users = hot_groups(part, ["user_id"], max_rows) if large else None
+            hot_entities = hot_groups(part, ["_e"], max_rows) if large else None
+            values = source.select("user_id", *current)
+            to_entity = _mean_by(part, values, "user_id", ["_e"], current, max_rows, hot_users)
+            back = _mean_by(part, to_entity, "_e", ["user_id"], current, max_rows, hot_entities)
             names = {c: f"{etype}{r}_{c}" for c in current}
-            grown = grown.join(back.withColumnsRenamed(names), "user_id", "left")
+            out = out.join(back.withColumnsRenamed(names), "user_id", "left")
             new += names.values()
-        out, current = grown, new
+        current = new
     return out
 
 
@@ -199,8 +211,10 @@ def neighbour_degrees(edges: DataFrame, fanout: DataFrame, max_rows: int = MAX_G
     """Per account and edge type: number of entities, and means of their node features."""
     nodes = entity_features(fanout)
     names = ["log_degree", *[f"asn_{a}" for a in ASN_TYPES]]
-    pairs = edges.select("user_id", *ENTITY).distinct()
-    means = _mean_by(pairs, nodes, ENTITY, ["user_id", "etype"], names, max_rows)
+    keyed = nodes.select(F.concat_ws("|", *ENTITY).alias("_e"), *names)
+    pairs = _typed_pairs(edges)
+    hot = hot_groups(pairs, ["_e"], max_rows)
+    means = _mean_by(pairs, keyed, "_e", ["user_id", "etype"], names, max_rows, hot)
     counts = pairs.groupBy("user_id", "etype").agg(F.count("*").alias("entities"))
     return counts.join(means, ["user_id", "etype"])
 

@@ -50,7 +50,5 @@ def test_halves(split: DataFrame, seed: int = 7, max_rows: int = MAX_GROUP_ROWS)
 def class_weights(split: DataFrame, label: str = "label_noisy") -> DataFrame:
     """n / (classes * frequency) of each label over the training accounts; one row per label."""
     freq = split.filter(~F.col("is_test")).groupBy(label).agg(F.count("*").alias("n"))
-    whole = freq.agg(F.sum("n").alias("n"), F.count("*").alias("k"))
-    total = whole.select("n").scalar()
-    classes = whole.select("k").scalar()
-    return freq.withColumn("weight", expr.ratio(total, classes * F.col("n")))
+    whole = freq.agg(F.struct(F.sum("n").alias("n"), F.count("*").alias("k"))).scalar()
+    return freq.withColumn("weight", expr.ratio(whole["n"], whole["k"] * F.col("n")))
