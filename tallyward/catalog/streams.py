@@ -1 +1,83 @@
+"""Streaming queries: the tables are replayed as a file stream and the sinks are read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyward.catalog import campaign, canon, sequence
+from tallyward.catalog.registry import BOOL, DBL, INT, query, sql
+from tallyward.operators import campaign as c
+from tallyward.session import new_folder
+from tallyward.sources import star
+from tallyward.streaming import campaigns, deltas, hourly, surprise
+from tallyward.streaming.sources import file_stream, latest_per_key, parquet_step, run_available
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def event_stream(spark, d):
+    raw = file_stream(spark, d, star.table(spark, d, "events").schema, "events.parquet")
+    return star.shape_events(raw).withColumn("time", F.timestamp_seconds("ts"))
+
+
+@query(
+    "stream_hourly",
+    sql(
+        canon.EVENTS, "SELECT user_id, ts // 3600 * 3600 AS hour, count(*) AS events FROM ev GROUP BY 1, 2",
+        user_id=INT, hour=INT, events=INT,
+    ),
+)
+def stream_hourly(spark, d):
+    sink = new_folder(spark, "hourly")
+    stream = hourly.hourly_activity(event_stream(spark, d))
+    run_available(stream, parquet_step(sink), "hourly", "update")
+    return latest_per_key(spark, sink, stream.schema, ["user_id", "hour"])
+
+
+@query(
+    "stream_deltas",
+    sql(
+        canon.SEQ, "SELECT event_id, user_id, ts, delta, ip_chg, dev_chg, cc_chg, false AS late FROM hist",
+        event_id=INT, user_id=INT, ts=INT, delta=INT, ip_chg=DBL, dev_chg=DBL, cc_chg=DBL, late=BOOL,
+    ),
+)
+def stream_deltas(spark, d):
+    state, sink = new_folder(spark, "last-seen"), new_folder(spark, "deltas")
+    columns = ["user_id", "event_id", "ts", "ip", "device_fp", "country", "time"]
+    deltas.run_deltas(event_stream(spark, d).select(*columns), state, sink)
+    return spark.read.parquet(sink).drop("batch")
+
+
+@query(
+    "stream_campaign",
+    sql(
+        canon.SPRAY,
+        "SELECT user_id, n AS spray_events, n >= 5 AS spray_flag FROM hits",
+        user_id=INT, spray_events=INT, spray_flag=BOOL,
+    ),
+)
+def stream_campaign(spark, d):
+    """Campaigns are known from history; the stream is matched against their prompts."""
+    known = c.campaign_clusters(campaign.stats(spark, d))
+    prompts = star.text_vectors(spark, d).join(known, "cluster", "left_semi").select("text_id")
+    n = star.table(spark, d, "embeddings").count()
+    text_id = ((F.col("user_id") * 3 + F.col("event_id") % 3) % n).alias("text_id")
+    stream = campaigns.campaign_hits(event_stream(spark, d).select("user_id", text_id), prompts)
+    sink = new_folder(spark, "campaign")
+    run_available(stream, parquet_step(sink), "campaign", "update")
+    return latest_per_key(spark, sink, stream.schema, ["user_id"])
+
+
+@query("stream_surprise")
+def stream_surprise(spark, d):
+    table = sequence.transition_model(spark, d)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    n = star.table(spark, d, "embeddings").count()
+    groups = star.table(spark, d, "embeddings").select(F.col("vec_id").alias("text_id"), F.col("label").alias("content"))
+    text_id = ((F.col("user_id") * 3 + F.col("event_id") % 3) % n).alias("text_id")
+    rows = event_stream(spark, d).select("user_id", "event_id", "ts", text_id).join(groups, "text_id").drop("text_id")
+    sink = new_folder(spark, "surprise")
+    run_available(surprise.online_surprise(rows, table), parquet_step(sink), "surprise")
+    return spark.read.schema(surprise.OUTPUT).parquet(sink)
+
 

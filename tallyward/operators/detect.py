@@ -121,9 +121,16 @@ def fit_fusion(fit: DataFrame, signals: Sequence[str] = SIGNALS) -> PipelineMode
     return Pipeline(stages=stages).fit(rows)
 
 
-def fused_risk(model: PipelineModel, signals: DataFrame) -> DataFrame:
-    out = model.transform(signals).withColumn("risk", vector_to_array("probability")[1])
-    return out.select(*signals.columns, "risk")
+def fused_risk(model: PipelineModel, signals: DataFrame, columns: Sequence[str] = SIGNALS) -> DataFrame:
+    """Risk of every account: the fitted logistic function as one generated expression."""
+    scaler, logistic = model.stages[1], model.stages[2]
+    mean, std = scaler.mean.toArray().tolist(), scaler.std.toArray().tolist()
+    coef = logistic.coefficients.toArray().tolist()
+    margin = F.lit(float(logistic.intercept))
+    for c, w, m, s in zip(columns, coef, mean, std):
+        if s > 0:  # a constant signal is scaled to zero
+            margin = margin + F.lit(w) * (F.col(c) - F.lit(m)) / F.lit(s)
+    return signals.withColumn("risk", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
 
 
 def fusion_weights(model: PipelineModel, spark, signals: Sequence[str] = SIGNALS) -> DataFrame:

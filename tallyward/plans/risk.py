@@ -117,7 +117,7 @@ class RiskAnalysis:
 
     @cached_property
     def risk(self) -> DataFrame:
-        return detect.fused_risk(self.fusion_model, self.signals)
+        return cut_lineage(detect.fused_risk(self.fusion_model, self.signals), "risk")
 
     @cached_property
     def thresholds(self) -> DataFrame:

@@ -28,10 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity rows without the prompt."""
+    return shape_events(table(spark, sf_dir, "events"))
+
+
+def shape_events(raw: DataFrame) -> DataFrame:
+    """Event columns of the activity log from the click-stream table, batch or streaming."""
     k = F.get_json_object("props", "$.k").cast("int")
     asn_type = F.element_at(F.array(*[F.lit(a) for a in ASN_TYPES]), k % 5 + 1)
     part = lambda n: F.floor(k / n).cast("long")
-    return table(spark, sf_dir, "events").select(
+    return raw.select(
         "event_id",
         "user_id",
         F.unix_timestamp("ts").alias("ts"),
