@@ -37,6 +37,11 @@ class RiskAnalysis:
     endpoints: tuple[str, ...] = tuple(ENDPOINTS)
     hot: DataFrame | None | str = "unknown"
 
+    @cached_property
+    def edge_table(self) -> DataFrame:
+        """Edges are read by the rings, the propagation and the degrees: the log is scanned once."""
+        return cut_lineage(self.edges, "edges")
+
     @cached_property
     def split(self) -> DataFrame:
         return cut_lineage(sp.test_halves(sp.split_assignment(self.accounts)), "split")
@@ -84,8 +89,8 @@ class RiskAnalysis:
     @cached_property
     def graph_scores(self) -> DataFrame:
         own = self.features.select("user_id", *self.feature_columns).fillna(detect.MISSING)
-        around = cut_lineage(graph.propagate(own, self.edges, self.feature_columns), "around")
-        degrees = graph.neighbour_degrees(self.edges, graph.entity_fanout(self.edges))
+        around = cut_lineage(graph.propagate(own, self.edge_table, self.feature_columns), "around")
+        degrees = graph.neighbour_degrees(self.edge_table, graph.entity_fanout(self.edge_table))
         wide = degrees.groupBy("user_id").pivot("etype", ["ip", "device", "payment"]).agg(
             F.max("entities").alias("entities"), F.max("log_degree").alias("log_degree")
         )
@@ -95,7 +100,7 @@ class RiskAnalysis:
 
     @cached_property
     def rings(self) -> DataFrame:
-        return graph.ring_flags(self.accounts, graph.account_components(self.edges))
+        return graph.ring_flags(self.accounts, graph.account_components(self.edge_table))
 
     @cached_property
     def spray(self) -> DataFrame:

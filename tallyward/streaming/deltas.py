@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.operators.sequence import CHANGES
-from tallyward.operators.skew import MAX_GROUP_ROWS, previous_row, slice_groups
+from tallyward.operators.skew import MAX_GROUP_ROWS, hot_groups, join_unique, previous_row, slice_groups
 from tallyward.streaming.sources import run_available
 
 ORDER = ["ts", "event_id"]
@@ -23,20 +23,26 @@ CARRIED = [*ORDER, *CHANGES.values()]
 COMPACT_EVERY = 20
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user_id").agg(F.max_by(F.struct(*CARRIED), F.struct(*ORDER)).alias("_s")).select("user_id", "_s.*")
+
+
 def _last_seen(spark: SparkSession, folder: str, number: int, schema: T.StructType) -> DataFrame:
-    """Last event of every account before batch ``number``: the newest snapshot and what followed."""
-    base = (number // COMPACT_EVERY) * COMPACT_EVERY
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "false")
+    """Last event of every account before batch ``number``: the newest snapshot and what followed.
+
+    Every ``COMPACT_EVERY`` batches the result itself is written as the next snapshot, so a lookup
+    reads one snapshot and at most that many batches.
+    """
+    if number == 0:
+        return spark.createDataFrame([], schema)
+    base = (number - 1) // COMPACT_EVERY * COMPACT_EVERY
     parts = [f"{folder}/snapshot={base}"] if base else []
     parts += [f"{folder}/batch={n}" for n in range(base, number)]
-    if not parts:
-        return spark.createDataFrame([], schema)
-    seen = rows.parquet(*parts)
-    return _newest(seen)
-
-
-def _newest(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("user_id").agg(F.max_by(F.struct(*CARRIED), F.struct(*ORDER)).alias("_s")).select("user_id", "_s.*")
+    seen = _newest(spark.read.schema(schema).parquet(*parts))
+    if number % COMPACT_EVERY == 0:
+        seen.write.mode("overwrite").parquet(f"{folder}/snapshot={number}")
+        seen = spark.read.schema(schema).parquet(f"{folder}/snapshot={number}")
+    return seen
 
 
 def delta_step(state: str, sink: str, max_rows: int = MAX_GROUP_ROWS):
@@ -44,36 +50,27 @@ def delta_step(state: str, sink: str, max_rows: int = MAX_GROUP_ROWS):
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("user_id", *CARRIED)
-        # an hourly file can be read more than once below; keep it for the length of this batch
-        rows = rows.persist()
+        # a batch runs its source once: the lookup, the ordering and the state all read this copy
+        rows = batch.select("user_id", *CARRIED).persist()
         try:
-            schema = rows.schema
-            seen = _last_seen(spark, state, number, schema)
-            if number and number % COMPACT_EVERY == 0:
-                before = _last_seen(spark, state, number - 1, schema).unionByName(
-                    spark.read.schema(schema).parquet(f"{state}/batch={number - 1}")
-                )
-                _newest(before).write.mode("overwrite").parquet(f"{state}/snapshot={number}")
-                seen = spark.read.schema(schema).parquet(f"{state}/snapshot={number}")
+            hot = hot_groups(rows, ["user_id"], max_rows)
+            seen = _last_seen(spark, state, number, rows.schema)
             active = rows.select("user_id").distinct()
             known = seen.join(active, "user_id", "left_semi").select("user_id", F.struct(*CARRIED).alias("_seen"))
             late = F.coalesce(F.struct(*ORDER) < F.struct("_seen.ts", "_seen.event_id"), F.lit(False))
-            marked = rows.join(known, "user_id", "left").withColumn("late", late)
+            marked = join_unique(rows, known, "user_id", "event_id", max_rows, "left", hot).withColumn("late", late)
             on_time = marked.filter(~F.col("late"))
-            cut = slice_groups(on_time, ["user_id"], ORDER, max_rows)
+            cut = slice_groups(on_time, ["user_id"], ORDER, max_rows, hot)
             inside = previous_row(cut, ORDER, CARRIED).withColumn("_prev", F.coalesce("_prev", "_seen"))
-            everything = inside.drop(*cut.columns).unionByName(
-                marked.filter("late").withColumn("_prev", F.lit(None).cast(inside.schema["_prev"].dataType))
-            )
+            none = F.lit(None).cast(inside.schema["_prev"].dataType)
+            everything = inside.drop(*cut.columns).unionByName(marked.filter("late").withColumn("_prev", none))
             flags = [
                 F.coalesce((F.col(c) != F.col(f"_prev.{c}")).cast("double"), F.lit(0.0)).alias(name)
                 for name, c in CHANGES.items()
             ]
             delta = F.coalesce(F.col("ts") - F.col("_prev.ts"), F.lit(0)).cast("long").alias("delta")
-            everything.select("event_id", "user_id", "ts", delta, *flags, "late").write.mode("overwrite").parquet(
-                f"{sink}/batch={number}"
-            )
+            out = everything.select("event_id", "user_id", "ts", delta, *flags, "late")
+            out.write.mode("overwrite").parquet(f"{sink}/batch={number}")
             _newest(on_time.select("user_id", *CARRIED)).write.mode("overwrite").parquet(f"{state}/batch={number}")
         finally:
             rows.unpersist()
