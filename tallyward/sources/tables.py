@@ -73,7 +73,7 @@ def write_metrics(metrics: DataFrame, folder: str) -> None:
 
 def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """All stages found under ``folder``; a stage that did not run simply has no rows."""
-    return spark.read.schema(METRIC_SCHEMA).json(folder)
+    return spark.read.schema(METRIC_SCHEMA).json(folder).select(*METRIC_SCHEMA.names)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
