@@ -8,6 +8,7 @@ from tallyward.catalog import canon
 from tallyward.catalog.registry import BOOL, DBL, INT, TXT, query, sql
 from tallyward.operators import campaign as c
 from tallyward.operators import evaluate
+from tallyward.session import cut_lineage
 from tallyward.sources import star
 
 
@@ -21,12 +22,13 @@ def vector_tightness(spark, d):
 
 def clustered(spark, d):
     """Every request with the cluster and tightness of its prompt; one row per distinct prompt on the right."""
-    return star.prompt_events(spark, d).join(vector_tightness(spark, d), "text_id", "left")
+    tight = cut_lineage(c.vector_tightness(star.text_vectors(spark, d)), "tightness")
+    return star.prompt_events(spark, d).join(tight, "text_id", "left")
 
 
-def stats(spark, d):
+def stats(spark, d, rows=None):
     active = star.table(spark, d, "events").agg(F.count_distinct("user_id")).scalar()
-    return c.cluster_stats(clustered(spark, d), active)
+    return c.cluster_stats(rows or clustered(spark, d), active)
 
 
 STATS = dict(cluster=INT, n_events=INT, n_accounts=INT, tight=DBL, coverage=DBL, intensity=DBL)
@@ -51,7 +53,8 @@ def top_campaigns(spark, d):
 
 
 def flags(spark, d):
-    return c.campaign_accounts(clustered(spark, d), c.campaign_clusters(stats(spark, d)), star.accounts(spark, d))
+    rows = clustered(spark, d)
+    return c.campaign_accounts(rows, c.campaign_clusters(stats(spark, d, rows)), star.accounts(spark, d))
 
 
 @query(
@@ -113,6 +116,6 @@ def text_clusters(spark, d):
     """Clusters learned from the whole distinct document texts."""
     docs = star.table(spark, d, "documents").select(F.col("text").alias("prompt_text"))
     vectors, _ = c.embed_texts(c.distinct_texts(docs))
-    learned = c.kmeans_clusters(vectors.persist())
+    learned = c.kmeans_clusters(cut_lineage(vectors, "vectors"))
     tight = c.vector_tightness(learned, "text_key")
     return tight.groupBy("cluster").agg(F.count("*").alias("texts"), F.avg("tight").alias("tight"))

@@ -8,7 +8,7 @@ from tallyward.catalog import canon
 from tallyward.catalog.registry import BOOL, DBL, INT, TXT, query, sql
 from tallyward.operators import decide, evaluate, review
 from tallyward.operators import split as sp
-from tallyward.session import new_folder
+from tallyward.session import cut_lineage, new_folder
 from tallyward.sources import star, tables
 
 BUSY_ACCOUNT = 7
@@ -55,8 +55,8 @@ def risks(spark, d):
     return star.risk_scores(spark, d).join(halves, "user_id")
 
 
-def thresholds(spark, d):
-    fit = risks(spark, d).filter("is_fit")
+def thresholds(spark, d, scored=None):
+    fit = (scored or risks(spark, d)).filter("is_fit")
     return decide.precision_thresholds(fit, "risk", F.col("label_noisy") != "normal")
 
 
@@ -69,7 +69,8 @@ def precision_thresholds(spark, d):
 
 
 def tiered(spark, d):
-    return decide.tier_assignment(risks(spark, d), "risk", thresholds(spark, d))
+    scored = cut_lineage(risks(spark, d), "risks")
+    return decide.tier_assignment(scored, "risk", thresholds(spark, d, scored))
 
 
 @query(

@@ -9,6 +9,7 @@ from tallyward.catalog.registry import DBL, INT, TXT, query, sql
 from tallyward.operators import evaluate, review
 from tallyward.operators import sequence as seq
 from tallyward.operators.split import split_assignment
+from tallyward.session import cut_lineage
 from tallyward.sources import star
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -79,11 +80,11 @@ def steps(spark, d):
     return seq.transitions(encoded(spark, d))
 
 
-def model(spark, d):
+def model(spark, d, rows=None):
     """Fitted on training accounts whose noisy label is normal."""
     split = split_assignment(star.accounts(spark, d))
     normals = split.filter(~F.col("is_test") & (F.col("label_noisy") == "normal"))
-    return seq.transition_model(steps(spark, d), normals)
+    return seq.transition_model(rows or steps(spark, d), normals)
 
 
 @query(
@@ -122,7 +123,8 @@ def transition_model(spark, d):
     ),
 )
 def event_surprise(spark, d):
-    return seq.event_surprise(steps(spark, d), model(spark, d))
+    rows = cut_lineage(steps(spark, d), "steps")  # fitted on and scored: the log is ordered once
+    return seq.event_surprise(rows, model(spark, d, rows))
 
 
 def spikes(spark, d):

@@ -53,7 +53,7 @@ def fit_detector(view: DataFrame, columns: Sequence[str], split: DataFrame, seed
     indexed = indexer.setInputCol("label_noisy").transform(train)
     forest = RandomForestClassifier(
         featuresCol="_x", labelCol="_y", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, subsamplingRate=0.8,
-        featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True,
+        featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
     )
     model = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_x"), forest]).fit(indexed)
     return Detector(model, list(columns), list(indexer.labels))

@@ -23,34 +23,42 @@ ENTITY = ["etype", "entity_id"]
 
 
 def entity_edges(events: DataFrame | None = None, accounts: DataFrame | None = None) -> DataFrame:
-    """(user_id, etype, entity_id, weight, asn_type): one row per account and entity.
+    """(user_id, etype, entity_id, weight, asn_type): exactly one row per account and entity.
 
-    IP edges carry the number of requests and the network type (smallest name when there are
-    several); accounts without a payment instrument have no payment edge.
+    The log is read once for all its entity types, and requests are merged before the shuffle. IP
+    edges carry the network type (smallest name when there are several); accounts without a payment
+    instrument have no payment edge.
     """
+    none = F.lit(None).cast("string")
     parts = []
-    if events is not None and "ip" in events.columns:
-        asn = F.min("asn_type") if "asn_type" in events.columns else F.lit(None).cast("string")
-        ip = events.filter(F.col("ip").isNotNull()).groupBy("user_id", F.col("ip").alias("entity_id"))
-        parts.append(ip.agg(F.count("*").alias("weight"), asn.alias("asn_type")).withColumn("etype", F.lit("ip")))
-    if events is not None and "device_fp" in events.columns:
-        dev = events.filter(F.col("device_fp").isNotNull()).groupBy("user_id", F.col("device_fp").alias("entity_id"))
-        parts.append(dev.agg(F.count("*").alias("weight")).withColumn("etype", F.lit("device")))
+    if events is not None:
+        kinds = {"ip": "ip", "device": "device_fp"}
+        asn = {"ip": F.col("asn_type") if "asn_type" in events.columns else none}
+        used = [
+            F.struct(F.lit(t).alias("etype"), F.col(c).alias("entity_id"), asn.get(t, none).alias("asn_type"))
+            for t, c in kinds.items()
+            if c in events.columns
+        ]
+        seen = events.select("user_id", F.inline(F.array(*used))).filter(F.col("entity_id").isNotNull())
+        parts.append(
+            seen.groupBy("user_id", *ENTITY).agg(F.count("*").alias("weight"), F.min("asn_type").alias("asn_type"))
+        )
     if accounts is not None:
-        pay = accounts.filter(F.col("payment_hash").isNotNull()).select(
-            "user_id", F.col("payment_hash").alias("entity_id"), F.lit(1).cast("long").alias("weight"),
-            F.lit("payment").alias("etype"),
-        ).distinct()
-        parts.append(pay)
-    none = F.lit(None).cast("string")
-    full = [p if "asn_type" in p.columns else p.withColumn("asn_type", none) for p in parts]
-    return union_all(full).select("user_id", *ENTITY, "weight", "asn_type")
+        pay = accounts.filter(F.col("payment_hash").isNotNull())
+        parts.append(
+            pay.select("user_id", F.lit("payment").alias("etype"), F.col("payment_hash").alias("entity_id"))
+            .groupBy("user_id", *ENTITY)
+            .agg(F.lit(1).cast("long").alias("weight"), none.alias("asn_type"))
+        )
+    return union_all(parts)
 
 
 def entity_fanout(edges: DataFrame) -> DataFrame:
-    """Accounts per entity, their smallest id, and the network type of an IP."""
-    pairs = edges.groupBy(*ENTITY, "user_id").agg(F.min("asn_type").alias("asn_type"))
-    return pairs.groupBy(*ENTITY).agg(
+    """Accounts per entity, their smallest id, and the network type of an IP.
+
+    ``edges`` has one row per account and entity, so rows are accounts.
+    """
+    return edges.groupBy(*ENTITY).agg(
         F.count("*").alias("fanout"), F.min("user_id").alias("hub"), F.min("asn_type").alias("asn_type")
     )
 
@@ -162,11 +170,11 @@ def _mean_by(edges: DataFrame, values: DataFrame, on: str, to: list[str], cols:
 
 
 def _typed_pairs(edges: DataFrame) -> DataFrame:
-    """Distinct (user_id, etype, entity_id) with one string key per entity, written once."""
-    pairs = edges.select("user_id", *ENTITY).distinct()
+    """(user_id, etype, _e) with one string key per entity; written once because every step reads it."""
     entity = F.concat_ws("|", *ENTITY)
     return cut_lineage(
-        pairs.select("*", entity.alias("_e"), F.concat_ws("|", "user_id", entity).alias("_spread")), "pairs"
+        edges.select("user_id", "etype", entity.alias("_e"), F.concat_ws("|", "user_id", entity).alias("_spread")),
+        "pairs",
     )
 
 
@@ -182,28 +190,25 @@ def propagate(
 
     Each round appends, for each edge type, the mean over the accounts reached through that type
     (itself included), so the result holds the account's own columns and those of its neighbourhood
-    one hop further with each round. Both steps are an equi-join and a combinable average; the pairs
-    and each round's columns are written once because every edge type reads them.
+    one hop further with each round. An entity has one type, so all types share one pass: two
+    equi-joins and two combinable averages per round, whatever the number of types.
     """
     pairs = _typed_pairs(edges)
     large = pairs.count() > max_rows
+    hot_users = hot_groups(pairs, ["user_id"], max_rows) if large else None
+    hot_entities = hot_groups(pairs, ["_e"], max_rows) if large else None
     out = features.select("user_id", *cols)
     current = list(cols)
     for r in range(1, rounds + 1):
         source = cut_lineage(out, f"round{r}")
-        new: list[str] = []
-        out = source
-        for etype in etypes:
-            part = pairs.filter(F.col("etype") == etype)
-            hot_users = hot_groups(part, ["user_id"], max_rows) if large else None
-            hot_entities = hot_groups(part, ["_e"], max_rows) if large else None
-            values = source.select("user_id", *current)
-            to_entity = _mean_by(part, values, "user_id", ["_e"], current, max_rows, hot_users)
-            back = _mean_by(part, to_entity, "_e", ["user_id"], current, max_rows, hot_entities)
-            names = {c: f"{etype}{r}_{c}" for c in current}
-            out = out.join(back.withColumnsRenamed(names), "user_id", "left")
-            new += names.values()
-        current = new
+        to_entity = _mean_by(pairs, source.select("user_id", *current), "user_id", ["_e"], current, max_rows, hot_users)
+        reached = join_unique(pairs, to_entity, "_e", "_spread", max_rows, hot=hot_entities)
+        names = {(t, c): f"{t}{r}_{c}" for t in etypes for c in current}
+        back = reached.groupBy("user_id").agg(
+            *[F.avg(F.when(F.col("etype") == t, F.col(c))).alias(n) for (t, c), n in names.items()]
+        )
+        out = source.join(back, "user_id", "left")
+        current = list(names.values())
     return out
 
 
@@ -213,9 +218,9 @@ def neighbour_degrees(edges: DataFrame, fanout: DataFrame, max_rows: int = MAX_G
     names = ["log_degree", *[f"asn_{a}" for a in ASN_TYPES]]
     keyed = nodes.select(F.concat_ws("|", *ENTITY).alias("_e"), *names)
     pairs = _typed_pairs(edges)
-    hot = hot_groups(pairs, ["_e"], max_rows)
-    means = _mean_by(pairs, keyed, "_e", ["user_id", "etype"], names, max_rows, hot)
-    counts = pairs.groupBy("user_id", "etype").agg(F.count("*").alias("entities"))
-    return counts.join(means, ["user_id", "etype"])
+    joined = join_unique(pairs, keyed, "_e", "_spread", max_rows)
+    return joined.groupBy("user_id", "etype").agg(
+        F.count("*").alias("entities"), *[F.avg(c).alias(c) for c in names]
+    )
 
 
