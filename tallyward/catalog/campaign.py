@@ -23,7 +23,7 @@ def vector_tightness(spark, d):
 def clustered(spark, d):
     """Every request with the cluster and tightness of its prompt; one row per distinct prompt on the right."""
     tight = cut_lineage(c.vector_tightness(star.text_vectors(spark, d)), "tightness")
-    return star.prompt_events(spark, d).join(tight, "text_id", "left")
+    return c.attach_clusters(star.prompt_events(spark, d), tight)
 
 
 def stats(spark, d, rows=None):

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions import expr
+from tallyward.operators.skew import MAX_GROUP_ROWS, join_unique
 
 # Cluster count and campaign rule.
 CLUSTERS = 96
@@ -56,22 +57,34 @@ def embed_with(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]
 
 def kmeans_clusters(vectors: DataFrame, k: int = CLUSTERS, seed: int = 0) -> DataFrame:
     """(text_key, embedding, cluster) by spherical k-means on unit vectors."""
-    model = KMeans(k=k, seed=seed, maxIter=20, featuresCol="vector", predictionCol="cluster").setDistanceMeasure("cosine").fit(vectors)
+    kmeans = KMeans(
+        k=k, seed=seed, maxIter=20, featuresCol="vector", predictionCol="cluster", distanceMeasure="cosine"
+    )
+    model = kmeans.fit(vectors)
     return model.transform(vectors).select("text_key", vector_to_array("vector").alias("embedding"), "cluster")
 
 
-def vector_tightness(clustered: DataFrame, key: str = "text_id") -> DataFrame:
+def vector_tightness(clustered: DataFrame, key: str = "text_id", max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Cosine of every vector to the mean direction of its cluster.
 
-    Centroids are averaged per (cluster, dimension), a combinable aggregate however large one
-    cluster is; the centroid table has one row per cluster.
+    The mean vector is a combinable aggregate; one row per cluster goes back to the vectors, salted
+    where a cluster holds very many of them.
     """
     units = clustered.select(key, "cluster", expr.unit(F.col("embedding")).alias("embedding"))
-    parts = units.select("cluster", F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy("cluster", "i").agg(F.avg("x").alias("m"))
-    packed = means.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("_c"))
-    centroids = packed.select("cluster", F.transform("_c", lambda s: s["m"]).alias("centroid"))
-    return units.join(centroids, "cluster").select(key, "cluster", expr.cosine(F.col("embedding"), F.col("centroid")).alias("tight"))
+    centroids = units.groupBy("cluster").agg(Summarizer.mean(array_to_vector("embedding")).alias("_m"))
+    centroids = centroids.select("cluster", vector_to_array("_m").alias("centroid"))
+    joined = join_unique(units, centroids, "cluster", key, max_rows)
+    return joined.select(key, "cluster", expr.cosine(F.col("embedding"), F.col("centroid")).alias("tight"))
+
+
+def attach_clusters(
+    events: DataFrame, texts: DataFrame, key: str = "text_id", how: str = "left", max_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Requests with what is known about their text (one row per text).
+
+    One text may be a third of all requests; its requests are spread over several tasks.
+    """
+    return join_unique(events, texts, key, "event_id", max_rows, how)
 
 
 def cluster_stats(events: DataFrame, active_accounts) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyward.operators.features import NON_FEATURES
 from tallyward.operators.split import class_weights
+from tallyward.session import cut_lineage
 from tallyward.sources.schema import NORMAL
 
 MISSING = -1.0
@@ -48,12 +49,13 @@ def fit_detector(view: DataFrame, columns: Sequence[str], split: DataFrame, seed
     filled = view.select("user_id", *columns).fillna(MISSING)
     weights = class_weights(split).select("label_noisy", "weight")
     train = filled.join(split.filter(~F.col("is_test")), "user_id").join(F.broadcast(weights), "label_noisy")
+    train = cut_lineage(train, "train")  # tree learning passes over its input several times
     # classes come from the clean label set in alphabetical order; training reads the noisy column
     indexer = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(split.select("label"))
     indexed = indexer.setInputCol("label_noisy").transform(train)
     forest = RandomForestClassifier(
         featuresCol="_x", labelCol="_y", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, subsamplingRate=0.8,
-        featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
+        featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, cacheNodeIds=True,
     )
     model = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_x"), forest]).fit(indexed)
     return Detector(model, list(columns), list(indexer.labels))

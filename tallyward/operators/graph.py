@@ -88,16 +88,10 @@ def star_links(
     """(etype, entity_id, src, dst): every account of an entity linked to the smallest one.
 
     One link per account and entity, never a pair list. The entity side has one row per entity; the
-    accounts of a very large entity are spread over several tasks.
+    accounts of a very widely shared entity, linking or over the cap, are spread over several tasks.
     """
     keyed = edges.select("user_id", *ENTITY, F.concat_ws("|", *ENTITY).alias("_e"))
     hubs = entities.select(F.concat_ws("|", *ENTITY).alias("_e"), "hub")
-    if isinstance(hot, str):
-        large = entities.filter(F.col("fanout") > max_rows).select(
-            F.concat_ws("|", *ENTITY).alias("_e"), F.col("fanout").alias("n")
-        )
-        rows = large.collect()  # at most edges / max_rows entities
-        hot = edges.sparkSession.createDataFrame(rows, large.schema) if rows else None
     joined = join_unique(keyed, hubs, "_e", "user_id", max_rows, hot=hot)
     return joined.filter(F.col("user_id") != F.col("hub")).select(
         *ENTITY, F.col("user_id").alias("src"), F.col("hub").alias("dst")
@@ -124,10 +118,16 @@ def account_components(
     return connected_components(links, "src", "dst", max_rows)
 
 
-def ring_flags(accounts: DataFrame, components: DataFrame, min_size: int = MIN_RING) -> DataFrame:
-    """Component id, size and ring flag of every account; an unlinked account is its own component."""
+def ring_flags(
+    accounts: DataFrame, components: DataFrame, min_size: int = MIN_RING, max_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Component id, size and ring flag of every account; an unlinked account is its own component.
+
+    One component may hold a large part of all accounts, so the size is joined back with salting.
+    """
     sizes = components.groupBy("component_id").agg(F.count("*").alias("_size"))
-    members = components.join(sizes, "component_id").select(F.col("id").alias("user_id"), "component_id", "_size")
+    sized = join_unique(components, sizes, "component_id", "id", max_rows)
+    members = sized.select(F.col("id").alias("user_id"), "component_id", "_size")
     size = F.coalesce("_size", F.lit(1)).cast("long")
     return accounts.join(members, "user_id", "left").select(
         "user_id",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions import expr
+from tallyward.operators.quantile import group_quantiles
 from tallyward.operators.skew import MAX_GROUP_ROWS, previous_row, slice_groups
 from tallyward.session import cut_lineage
 from tallyward.sources.schema import ASN_TYPES, ENDPOINTS
@@ -206,11 +207,16 @@ def pooled_sequence(encoded: DataFrame) -> DataFrame:
 
 
 def localisation_error(accounts: DataFrame, spikes: DataFrame, width: int = SMOOTH) -> DataFrame:
-    """Median distance in hours between the spike and the known takeover, over scored thieves."""
-    hours = F.abs(F.col("spike_ts") - F.col("takeover_ts")) / 3600.0
-    return (
+    """Median distance in hours between the spike and the known takeover, over scored thieves.
+
+    The distances are counted per second of distance before they are ordered.
+    """
+    scored = (
         accounts.filter(F.col("label") == "token_thief")
         .select(*KEY, "takeover_ts")
         .join(spikes.filter(F.col("transitions") >= 2 * width), KEY)
-        .agg(F.count("*").alias("accounts"), F.median(hours).alias("median_hours"))
+        .select(F.lit(1).alias("_all"), F.abs(F.col("spike_ts") - F.col("takeover_ts")).alias("_seconds"))
     )
+    scored = cut_lineage(scored, "distances")
+    middle = group_quantiles(scored, ["_all"], "_seconds", {}, "_median").select("_median").scalar()
+    return scored.agg(F.count("*").alias("accounts")).withColumn("median_hours", middle / 3600.0)

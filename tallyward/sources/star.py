@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyward.operators.campaign import attach_clusters
 from tallyward.sources.schema import ASN_TYPES
 
 # How the market segments stand for account labels.
@@ -153,7 +154,8 @@ def sequence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity rows with the content group of their prompt, as learned from its vector."""
     groups = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("text_id"), F.col("label").alias("content"))
     prompts = prompt_events(spark, sf_dir).select("event_id", "text_id")
-    return events(spark, sf_dir).join(prompts, "event_id").join(groups, "text_id").drop("text_id")
+    known = attach_clusters(prompts, groups, how="inner").select("event_id", "content")
+    return events(spark, sf_dir).join(known, "event_id")
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
