@@ -13,9 +13,9 @@ def analysis(spark, d) -> RiskAnalysis:
     return RiskAnalysis(
         activity=star.activity(spark, d),
         accounts=star.accounts(spark, d),
-        sequence=star.sequence_events(spark, d),
-        edges=graph.edges(spark, d),
-        clustered=campaign.clustered(spark, d),
+        sequence=lambda: star.sequence_events(spark, d),
+        edges=lambda: graph.edges(spark, d),
+        clustered=lambda: campaign.clustered(spark, d),
         chat_endpoint=features.CHAT,
         endpoints=tuple(sequence.KINDS),
         hot=features.hot_accounts(spark, d),

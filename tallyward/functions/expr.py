@@ -78,12 +78,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), l2_norm(a) * l2_norm(b))
 
 
-def unit(a: Column) -> Column:
-    """Vector scaled to length one; a zero vector stays as it is."""
-    norm = l2_norm(a)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
-
-
 def one_hot(col: Column, values: Sequence[str]) -> list[Column]:
     return [F.coalesce((col == v).cast("double"), F.lit(0.0)) for v in values]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -49,10 +50,11 @@ def embed_with(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"text_key": f["text_key"], "embedding": encode(f["text"].tolist())})
+            raw = np.asarray(encode(f["text"].tolist()), dtype="float64").reshape(len(f), -1)
+            norm = np.linalg.norm(raw, axis=1, keepdims=True)
+            yield pd.DataFrame({"text_key": f["text_key"], "embedding": list(raw / np.where(norm == 0, 1, norm))})
 
-    raw = texts.mapInPandas(batches, "text_key string, embedding array<double>")
-    return raw.withColumn("embedding", expr.unit(F.col("embedding")))
+    return texts.mapInPandas(batches, "text_key string, embedding array<double>")
 
 
 def kmeans_clusters(vectors: DataFrame, k: int = CLUSTERS, seed: int = 0) -> DataFrame:
@@ -70,11 +72,13 @@ def vector_tightness(clustered: DataFrame, key: str = "text_id", max_rows: int =
     The mean vector is a combinable aggregate; one row per cluster goes back to the vectors, salted
     where a cluster holds very many of them.
     """
-    units = clustered.select(key, "cluster", expr.unit(F.col("embedding")).alias("embedding"))
-    centroids = units.groupBy("cluster").agg(Summarizer.mean(array_to_vector("embedding")).alias("_m"))
-    centroids = centroids.select("cluster", vector_to_array("_m").alias("centroid"))
+    raw = clustered.select(key, "cluster", array_to_vector("embedding").alias("_v"))
+    units = Normalizer(inputCol="_v", outputCol="_u").transform(raw).select(key, "cluster", "_u")
+    means = units.groupBy("cluster").agg(Summarizer.mean(F.col("_u")).alias("_m"))
+    centroids = Normalizer(inputCol="_m", outputCol="_c").transform(means).select("cluster", "_c")
     joined = join_unique(units, centroids, "cluster", key, max_rows)
-    return joined.select(key, "cluster", expr.cosine(F.col("embedding"), F.col("centroid")).alias("tight"))
+    tight = expr.dot(vector_to_array("_u"), vector_to_array("_c"))
+    return joined.select(key, "cluster", tight.alias("tight"))
 
 
 def attach_clusters(

@@ -48,11 +48,12 @@ def _write(edges: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int, int]
     """Write a round and return it with its row count and two order-free hash sums, taken on the way."""
     seen = Observation()
     part = F.xxhash64("u", "v")
+    small = lambda c: F.pmod(c, F.lit(2**31 - 1)).cast("decimal(18,0)")  # noqa: E731  (sums cannot overflow)
     watched = edges.observe(
         seen,
         F.count("*").alias("n"),
-        F.sum(F.pmod(part, F.lit(2**31 - 1))).alias("a"),
-        F.sum(F.pmod(F.shiftright(part, 31), F.lit(2**31 - 1))).alias("b"),
+        F.sum(small(part)).alias("a"),
+        F.sum(small(F.shiftright(part, 31))).alias("b"),
     )
     table = cut_lineage(watched, name)
     got = seen.get

@@ -6,6 +6,7 @@ stays one lazy plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -25,14 +26,15 @@ class RiskAnalysis:
     """Inputs of one analysis; results are computed on first use.
 
     activity: requests with prompt; accounts: one row per account; sequence: requests with learned
-    ``content``; edges: account-entity edges; clustered: requests with cluster and tightness.
+    ``content``; edges: account-entity edges; clustered: requests with cluster and tightness. The
+    last three are given as functions, called only when a result needs them.
     """
 
     activity: DataFrame
     accounts: DataFrame
-    sequence: DataFrame
-    edges: DataFrame
-    clustered: DataFrame
+    sequence: Callable[[], DataFrame]
+    edges: Callable[[], DataFrame]
+    clustered: Callable[[], DataFrame]
     chat_endpoint: str = "/v1/chat"
     endpoints: tuple[str, ...] = tuple(ENDPOINTS)
     hot: DataFrame | None | str = "unknown"
@@ -40,7 +42,7 @@ class RiskAnalysis:
     @cached_property
     def edge_table(self) -> DataFrame:
         """Edges are read by the rings, the propagation and the degrees: the log is scanned once."""
-        return cut_lineage(self.edges, "edges")
+        return cut_lineage(self.edges(), "edges")
 
     @cached_property
     def split(self) -> DataFrame:
@@ -58,7 +60,7 @@ class RiskAnalysis:
 
     @cached_property
     def encoded(self) -> DataFrame:
-        return cut_lineage(seq.event_encoding(seq.event_tail(self.sequence), list(self.endpoints)), "encoded")
+        return cut_lineage(seq.event_encoding(seq.event_tail(self.sequence()), list(self.endpoints)), "encoded")
 
     @cached_property
     def spikes(self) -> DataFrame:
@@ -104,9 +106,10 @@ class RiskAnalysis:
 
     @cached_property
     def spray(self) -> DataFrame:
-        active = self.clustered.agg(F.count_distinct("user_id")).scalar()
-        stats = campaign.cluster_stats(self.clustered, active)
-        return campaign.campaign_accounts(self.clustered, campaign.campaign_clusters(stats), self.accounts)
+        rows = self.clustered()
+        active = rows.agg(F.count_distinct("user_id")).scalar()
+        stats = campaign.cluster_stats(rows, active)
+        return campaign.campaign_accounts(rows, campaign.campaign_clusters(stats), self.accounts)
 
     @cached_property
     def signals(self) -> DataFrame:
