@@ -10,7 +10,7 @@ salted for vertices with very many edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.operators.skew import MAX_GROUP_ROWS, join_unique
@@ -44,20 +44,13 @@ def _star(edges: DataFrame, large: bool, n_edges: int, max_rows: int) -> DataFra
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def _write(edges: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int, int]]:
-    """Write a round and return it with its row count and two order-free hash sums, taken on the way."""
-    seen = Observation()
+def _write(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """Write a round and return it with its row count and two order-free hash sums."""
+    table = cut_lineage(edges, name)
     part = F.xxhash64("u", "v")
     small = lambda c: F.pmod(c, F.lit(2**31 - 1)).cast("decimal(18,0)")  # noqa: E731  (sums cannot overflow)
-    watched = edges.observe(
-        seen,
-        F.count("*").alias("n"),
-        F.sum(small(part)).alias("a"),
-        F.sum(small(F.shiftright(part, 31))).alias("b"),
-    )
-    table = cut_lineage(watched, name)
-    got = seen.get
-    return table, (got["n"], got["a"], got["b"])
+    mark = table.agg(F.count("*"), F.sum(small(part)), F.sum(small(F.shiftright(part, 31)))).first()
+    return table, tuple(mark)
 
 
 def connected_components(
