@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyward.llm import pieces
+from tallyward.llm import licenses, pieces, quality, secrets
 from tallyward.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -18,3 +18,19 @@ def tokenizer(name: str) -> str:
 @query("op8_sentencepiece_encoding")
 def op8(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op7_quality_rules")
+def op7(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_license_scans")
+def op1(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op2_secret_scans")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan_secrets(docs, secrets.fit(docs))
