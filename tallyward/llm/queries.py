@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyward.llm import licenses, pieces, quality, secrets
+from tallyward.llm import licenses, pieces, quality, secrets, setsketch
 from tallyward.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -34,3 +34,9 @@ def op1(spark, sf_dir):
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return secrets.scan_secrets(docs, secrets.fit(docs))
+
+
+@query("op6_minhash_near_dedup")
+def op6(spark, sf_dir):
+    """Runs of three words and a similarity of 0.85, as the contract of this query says."""
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), settings=setsketch.Settings(3, 85, 100))
