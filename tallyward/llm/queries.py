@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyward.llm import licenses, pieces, quality, secrets, setsketch
+from tallyward.llm import licenses, mixing, pieces, quality, secrets, setsketch, urls
 from tallyward.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -40,3 +40,18 @@ def op2(spark, sf_dir):
 def op6(spark, sf_dir):
     """Runs of three words and a similarity of 0.85, as the contract of this query says."""
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), settings=setsketch.Settings(3, 85, 100))
+
+
+# Target weights of the sources of the test tables; sources without a name here share the weight 1.
+TARGETS = {"src0": 6} | {f"src{k}": 3 - k % 2 for k in range(1, 20)}
+
+
+@query("op9_mix_sources")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix_sources(docs, TARGETS)
+
+
+@query("op4_url_filters")
+def op4(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
