@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyward.llm import licenses, mixing, pieces, quality, secrets, setsketch, urls
+from tallyward.llm import cosine, licenses, mixing, pieces, quality, secrets, setsketch, urls
 from tallyward.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -55,3 +55,8 @@ def op9(spark, sf_dir):
 @query("op4_url_filters")
 def op4(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark, sf_dir):
+    return cosine.near_vectors(table(spark, sf_dir, "embeddings"))
