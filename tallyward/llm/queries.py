@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tallyward.llm import cosine, licenses, mixing, pieces, quality, secrets, setsketch, urls
+from pyspark.sql import functions as F
+
+from tallyward.llm import cosine, fixity, licenses, mixing, pieces, quality, secrets, setsketch, urls
+from tallyward.llm.lineage import written
 from tallyward.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -60,3 +63,53 @@ def op4(spark, sf_dir):
 @query("op10_embedding_near_dedup")
 def op10(spark, sf_dir):
     return cosine.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _faulty(record, fault):
+    """The record as a second replica holds it: a changed byte, a cut, or nothing, where a digest says so."""
+    cut = F.substring(record, 1, 40)
+    changed = F.concat(F.lit("w"), F.substr(record, F.lit(2)))
+    return F.when(fault == "00", changed).when(fault == "01", cut).when(fault != "02", record)
+
+
+OP3_SQL = """
+WITH raw AS (
+  SELECT page_id, url, coalesce(html, '') AS body, coalesce(cast(page_id AS varchar), '') AS pid, coalesce(url, '') AS u FROM pages
+), rec AS (
+  SELECT page_id, md5(pid || ' ' || u) AS k,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || pid || '>' ||
+    chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Length: ' || cast(octet_length(encode(body)) AS varchar) ||
+    chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS r FROM raw
+), sized AS (
+  SELECT page_id, k, substr(k, 9, 2) AS fault, sha256(r) AS digest, cast(octet_length(encode(r)) AS bigint) AS length FROM rec
+), dealt AS (
+  SELECT *, cast(cast('0x' || substr(k, 1, 8) AS ubigint) AS bigint) % (SELECT cast(greatest(1, ceil(sum(length) / 1048576.0)) AS bigint) FROM sized) AS archive FROM sized
+), placed AS (
+  SELECT *, cast(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY k, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS "offset" FROM dealt
+), l1 AS (
+  SELECT archive, "offset" >> 14 AS n, sha256(string_agg(cast("offset" AS varchar) || ':' || digest, ';' ORDER BY "offset", digest)) AS d FROM placed GROUP BY 1, 2
+), l2 AS (SELECT archive, n >> 3 AS n, sha256(string_agg(cast(l1.n AS varchar) || ':' || d, ';' ORDER BY l1.n)) AS d FROM l1 GROUP BY 1, 2),
+l3 AS (SELECT archive, n >> 3 AS n, sha256(string_agg(cast(l2.n AS varchar) || ':' || d, ';' ORDER BY l2.n)) AS d FROM l2 GROUP BY 1, 2),
+root AS (SELECT archive, sha256(string_agg(cast(n AS varchar) || ':' || d, ';' ORDER BY n)) AS root FROM l3 GROUP BY 1)
+SELECT page_id, p.archive, "offset", length, digest,
+  CASE fault WHEN '00' THEN 'altered' WHEN '01' THEN 'altered' WHEN '02' THEN 'missing' ELSE 'intact' END AS status, root
+FROM placed p JOIN root USING (archive)
+"""
+
+
+@query("op3_warc_fixity", OP3_SQL)
+def op3(spark, sf_dir):
+    """Every page as a record of an archive and of a replica with faults; status of each record after the audit."""
+    pages = table(spark, sf_dir, "pages")
+    empty = F.lit("")
+    key = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), empty), F.coalesce("url", empty))
+    record = fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    other = _faulty(record, F.substring(F.md5(key.cast("binary")), 9, 2))
+    rows = pages.select(
+        "page_id", key.alias("key"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
+        F.sha2(other, 256).alias("other"),
+    )
+    rows = written(fixity.place(written(rows, "records"), F.col("key")).drop("key"), "placed")
+    theirs = rows.filter(F.col("other").isNotNull()).select("archive", "offset", F.col("other").alias("digest"))
+    checked = fixity.audit_records(rows, fixity.merkle_tree(rows), fixity.merkle_tree(theirs))
+    return checked.select("page_id", "archive", "offset", "length", "digest", "status", "root")
