@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.llm import cosine, fixity, licenses, mixing, pieces, quality, secrets, setsketch, urls
+from tallyward.llm import cosine, fixity, licenses, lm_scores, mixing, pieces, quality, secrets, setsketch, urls
 from tallyward.llm.lineage import written
 from tallyward.llm.registry import ORACLES, QUERIES, query, table
 
@@ -113,3 +113,10 @@ def op3(spark, sf_dir):
     theirs = rows.filter(F.col("other").isNotNull()).select("archive", "offset", F.col("other").alias("digest"))
     checked = fixity.audit_records(rows, fixity.merkle_tree(rows), fixity.merkle_tree(theirs))
     return checked.select("page_id", "archive", "offset", "length", "digest", "status", "root")
+
+
+@query("op5_lm_scoring")
+def op5(spark, sf_dir):
+    import public_tokenizers
+
+    return lm_scores.score_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
