@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.llm.lineage import written
+
 # Fixed values: (verdict, host, path).
 RULES = [
     ("allow", "com", "/"),
@@ -67,26 +69,32 @@ def _grams(urls: DataFrame) -> DataFrame:
 
 
 def _smoothed(counts: DataFrame) -> DataFrame:
-    """(gram, delta): difference of log probabilities of the last character, from (gram, good, bad)."""
-    kinds = ("good", "bad")
-    order0 = counts.groupBy(F.substr("gram", F.lit(ORDER + 1), F.lit(1)).alias("g")).agg(*[F.sum(k).alias(k) for k in kinds])
-    total = order0.agg(*[F.sum(k).alias(k) for k in kinds], F.count(F.lit(1)).alias("v")).first()  # one row
-    sums = {k: (total[k] or 0) if total else 0 for k in kinds}
-    v = total["v"] if total else 0
-    model = order0.select("g", *[((F.col(k) + 0.5) / F.lit(sums[k] + 0.5 * max(v, 1))).alias(f"p_{k}") for k in kinds])
-    for k in range(1, ORDER + 1):
-        gram = counts.groupBy(F.substr("gram", F.lit(ORDER + 1 - k), F.lit(k + 1)).alias("g")).agg(*[F.sum(c).alias(c) for c in kinds])
-        gram = gram.withColumns({"c": F.substr("g", F.lit(1), F.lit(k)), "s": F.substr("g", F.lit(2), F.lit(k))})
-        context = gram.groupBy("c").agg(
-            *[F.sum(x).alias(f"n_{x}") for x in kinds], *[F.count_if(F.col(x) > 0).alias(f"t_{x}") for x in kinds]
-        )
-        shorter = model.select(F.col("g").alias("s"), *[F.col(f"p_{x}").alias(f"q_{x}") for x in kinds])
-        joined = gram.join(context, "c").join(shorter, "s")
-        p = lambda x: F.when(F.col(f"n_{x}") == 0, F.col(f"q_{x}")).otherwise(
-            (F.col(x) + F.col(f"t_{x}") * F.col(f"q_{x}")) / (F.col(f"n_{x}") + F.col(f"t_{x}"))
-        )
-        model = joined.select("g", *[p(x).alias(f"p_{x}") for x in kinds])
-    return model.select(F.col("g").alias("gram"), (F.ln("p_good") - F.ln("p_bad")).alias("delta"))
+    """(gram, delta): difference of log probabilities of the last character, from (gram, good, bad).
+
+    A gram of k + 1 characters is a context of k and the next character. Counts of all shorter grams come from one
+    aggregation over the ends of the longest ones, counts of contexts from one over those, and the orders of each
+    longest gram are folded from the shortest to the longest.
+    """
+    ends = F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda n: F.substr("gram", F.lit(ORDER + 2) - n, n))
+    shorter = counts.select(F.explode(ends).alias("g"), "good", "bad")
+    seen = shorter.groupBy("g").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    seen = seen.withColumn("c", F.substr("g", F.lit(1), F.length("g") - 1))
+    contexts = seen.groupBy("c").agg(
+        F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.count_if(F.col("good") > 0).alias("t_good"),
+        F.count_if(F.col("bad") > 0).alias("t_bad"), F.count(F.lit(1)).alias("v"),
+    )
+    stats = seen.join(contexts, "c").select("g", F.struct(F.length("g").alias("k"), "good", "bad", "n_good", "n_bad", "t_good", "t_bad", "v").alias("s"))
+    orders = counts.select("gram", F.explode(ends).alias("g")).join(stats, "g").groupBy("gram").agg(F.sort_array(F.collect_list("s")).alias("s"))
+
+    def folded(kind: str) -> Column:
+        def step(p: Column, s: Column) -> Column:
+            n, total, kinds = (s[x].cast("double") for x in (kind, f"n_{kind}", f"t_{kind}"))
+            first = (n + 0.5) / (total + 0.5 * s["v"])
+            return F.when(s["k"] == 1, first).when(total == 0, p).otherwise((n + kinds * p) / (total + kinds))
+
+        return F.aggregate("s", F.lit(0.0), step)
+
+    return orders.select("gram", (F.ln(folded("good")) - F.ln(folded("bad"))).alias("delta"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -117,10 +125,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     distinct = urls.select("host", "path", "ruled", "held").distinct()
     grams = _grams(distinct)
     count = lambda kind: F.count_if((F.col("ruled") == kind) & ~F.col("held"))
-    counts = grams.groupBy("gram").agg(count("allow").alias("good"), count("block").alias("bad"))
-    model = _smoothed(counts)
+    counts = written(grams.groupBy("gram").agg(count("allow").alias("good"), count("block").alias("bad")), "grams")
+    model = written(_smoothed(counts), "deltas")
     scores = grams.select("host", "path", "ruled", "held", "gram").join(model, "gram")
-    scores = scores.groupBy("host", "path", "ruled", "held").agg(F.avg("delta").alias("score"))
+    scores = written(scores.groupBy("host", "path", "ruled", "held").agg(F.avg("delta").alias("score")), "scores")
     at = threshold(scores.filter(F.col("held") & F.col("ruled").isNotNull()).withColumnRenamed("ruled", "verdict"))
     out = urls.join(scores.select("host", "path", "score"), ["host", "path"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     by_model = F.when(F.col("score") >= at, F.lit("allow")).otherwise(F.lit("block"))
