@@ -304,11 +304,8 @@ def _links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, s: Set
     return spread(rest, "_group", "rest", links, base)
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), block: int = BLOCK
-) -> DataFrame:
-    """One row per row of ``df``: (id, n_shingles, component_id, kept)."""
-    s = settings
+def _grouped(df: DataFrame, id_col: str, text_col: str, s: Settings, block: int) -> DataFrame:
+    """(doc, text_hash, n, cls, root, component_id) of every row; root is the smallest class of the component."""
     rows = written(sketch_documents(df, id_col, text_col, s), "sketches")
     found = rows.filter(F.col("n") > 0)
     # one text stands for a class: the one with the smallest id
@@ -318,13 +315,30 @@ def near_duplicates(
     )
     classes = written(classes, "classes")
     links = _links(df, classes, id_col, text_col, s, block)
-    labels = written(components(links, "a", "b").select(F.col("id").alias("cls"), "root"), "labels")
-    merged = labels.join(classes.select("cls", "rep"), "cls")
-    smallest = merged.groupBy("root").agg(F.min("rep").alias("_least"))
-    named = classes.select("cls", "rep").join(labels, "cls", "left").join(smallest, "root", "left")
-    named = named.select("cls", F.coalesce("_least", "rep").alias("component_id"))
-    out = rows.select("doc", "n", "cls").join(named, "cls", "left")
-    component = F.coalesce("component_id", "doc")
-    return out.select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept")
-    )
+    labels = components(links, "a", "b").select(F.col("id").alias("cls"), "root")
+    named = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    smallest = named.groupBy("root").agg(F.min("rep").alias("_least"))
+    named = named.join(smallest, "root").select("cls", "root", "_least")
+    out = rows.select("doc", "text_hash", "n", "cls").join(named, "cls", "left")
+    return out.select("doc", "text_hash", "n", "cls", "root", F.coalesce("_least", "doc").alias("component_id"))
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), block: int = BLOCK
+) -> DataFrame:
+    """One row per row of ``df``: (id, n_shingles, component_id, kept)."""
+    rows = _grouped(df, id_col, text_col, settings, block)
+    kept = F.col("doc").eqNullSafe(F.col("component_id"))
+    return rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), block: int = BLOCK) -> DataFrame:
+    """The rows of ``df``, with all columns, that stay when one row of each component is kept: a row with the smallest
+    id. Of rows with equal id and text one stays; rows without words are never near-duplicates of different rows."""
+    key = lambda doc, text_hash: F.xxhash64(doc, text_hash)
+    rows = _grouped(df, id_col, text_col, settings, block).filter(F.col("doc").eqNullSafe(F.col("component_id")))
+    rows = rows.withColumn("_key", key(F.col("doc"), F.col("text_hash")))
+    chosen = rows.groupBy(F.coalesce("root", F.col("_key").cast("string").cast("binary")).alias("_group")).agg(F.min("_key").alias("_near_key"))
+    keyed = df.withColumn("_near_key", key(F.col(id_col), F.xxhash64(text_col)))
+    kept = keyed.join(chosen.select("_near_key"), "_near_key", "left_semi")
+    return kept.dropDuplicates(["_near_key"]).drop("_near_key")
