@@ -23,6 +23,11 @@ NEAR = np.arange(WINDOW - STRIDE, WINDOW)
 MASK = np.where(np.arange(WINDOW)[None, :] <= NEAR[:, None], 0.0, -1e9).astype(np.float32)
 
 
+#: The same as factors, and the exponent above which values are shifted first.
+SEEN = (MASK == 0).astype(np.float32)
+LARGE = 60.0
+
+
 def classes_of(counts: np.ndarray, n_classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
     """Class of every subword and its log probability inside the class, from corpus counts."""
     smooth = counts.astype(np.float64) + 0.5
@@ -102,17 +107,44 @@ class Model:
         return x, near, q, k, v, a, mixed, joined, hidden, top, logits
 
     def log_probs(self, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target; 0 behind the end of a text."""
-        logits = self.forward(inputs, first)[-1]
+        """Natural log probability of each target; 0 behind the end of a text.
+
+        The same function as :meth:`forward`, with few passes over the wide arrays: masks are factors, weights of
+        attention are divided by their sum after they are applied, and exponentials are taken without a shift unless
+        some value is large.
+        """
+        w = self.weights
+        x = w["id"][inputs]
+        x += w["class"][self.cls[inputs]]
+        x += w["place"]
+        near = x[:, NEAR]
+        a = (near @ (w["q"] * np.float32(DIM**-0.5))) @ (x @ w["k"]).transpose(0, 2, 1)
+        if a.max() > LARGE:
+            a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        a *= SEEN
+        for row in np.flatnonzero(first):
+            a[row, :, : first[row]] = 0
+        mixed = a @ (x @ w["v"])
+        mixed /= a.sum(2, keepdims=True)
+        hidden = near @ w["up"][:DIM]
+        hidden += mixed @ (w["o"] @ w["up"][DIM:])
+        np.maximum(hidden, 0, out=hidden)
+        top = near + hidden @ w["down"]
+        logits = top.reshape(-1, DIM) @ w["out"]
+        logits += w["bias"]
         real = targets >= 0
         ids = np.where(real, targets, 0)
-        peak = logits.max(2)
-        logits -= peak[:, :, None]
-        chosen = np.take_along_axis(logits, self.cls[ids][:, :, None], 2)[:, :, 0]
+        chosen = logits[np.arange(len(logits)), self.cls[ids].ravel()].reshape(targets.shape)
+        peak = logits.max()
+        if peak > LARGE:
+            peak = logits.max(1, keepdims=True)
+            logits -= peak
+            chosen = chosen - peak.reshape(targets.shape)
         np.exp(logits, out=logits)
-        return np.where(real, chosen - np.log(logits.sum(2)) + self.inside[ids], 0)
+        return np.where(real, chosen - np.log(logits.sum(1)).reshape(targets.shape) + self.inside[ids], 0)
 
-    def score(self, texts: list[np.ndarray], batch: int = 256) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], batch: int = 32) -> np.ndarray:
         """Log10 probability of each text, given as subword ids."""
         parts = [windows(ids, self.edge) for ids in texts]
         owner = np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts])
