@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 32
 REST = ""
+ADDED = ("slot", "block", "position")
 
 
 def _ranked(df: DataFrame, id_col: str, source_col: str, named: list[str]) -> DataFrame:
@@ -113,7 +114,7 @@ def mix_sources(
     place in the mix) and ``position`` (the row's place; the last block of a source may leave places empty)."""
     if min([*weights.values(), rest_weight], default=1) < 1 or REST in weights:
         raise ValueError("weights are positive integers of named sources")
-    rows = _ranked(df.drop(*({"slot", "block", "position"} - {id_col, source_col})), id_col, source_col, sorted(weights))
+    rows = _ranked(df.drop(*(set(ADDED) - {id_col, source_col})), id_col, source_col, sorted(weights))
     sizes = df.groupBy(F.when(F.col(f"`{source_col}`").isin(sorted(weights)), F.col(f"`{source_col}`")).otherwise(F.lit(REST)).alias("source"))
     sizes = sizes.agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
     weight = F.lit(rest_weight)
@@ -133,6 +134,10 @@ def mix_sources(
     return found.drop(*[c for c in found.columns if c.startswith("_mix_")])
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
-    """The rows of a mix in their order over all partitions, without the columns that :func:`mix_sources` adds."""
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").drop("slot", "block", "position")
+def in_order(df: DataFrame, weights: dict[str, int], rest_weight: int = 1, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK) -> DataFrame:
+    """The rows and columns of ``df`` in the order of the mix over all partitions."""
+    # columns with the names that the mix adds are put aside
+    aside = {c: f"_aside_{c}" for c in ADDED if c in df.columns and c not in (id_col, source_col)}
+    mixed = mix_sources(df.withColumnsRenamed(aside), weights, rest_weight, id_col, source_col, block)
+    ordered = mixed.repartitionByRange("position").sortWithinPartitions("position").drop(*ADDED)
+    return ordered.withColumnsRenamed({v: k for k, v in aside.items()}).select(*[f"`{c}`" for c in df.columns])
