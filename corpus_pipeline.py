@@ -37,7 +37,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix."""
-    return mixing.in_order(mixing.mix_sources(docs, TARGETS)).select(*docs.columns)
+    return mixing.in_order(docs, TARGETS)
 
 
 def subwords(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
