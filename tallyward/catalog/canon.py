@@ -129,15 +129,17 @@ hist AS (
   FROM sev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 
 
-def tail(n: int) -> str:
+def tail(n: int | None = None) -> str:
+    """The last ``n`` events of each account, or all of them."""
+    where = f"WHERE back <= {n}" if n else ""
     return f"""
 tail AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
     least(greatest(floor(log10(greatest(cast(delta AS double), 1.0))), 0), 7) AS gap
-  FROM hist WHERE back <= {n})"""
+  FROM hist {where})"""
 
 
-STEPS = f"""{SEQ}, {tail(384)},
+STEPS = f"""{SEQ}, {tail()},
 steps AS (
   SELECT * FROM (SELECT user_id, pos, ts, gap, content, lead(gap) OVER w AS next_gap, lead(content) OVER w AS next_content
     FROM tail WINDOW w AS (PARTITION BY user_id ORDER BY pos)) WHERE next_gap IS NOT NULL)"""
@@ -170,11 +172,11 @@ surprise AS (
 
 SPIKES = f"""{SURPRISE},
 smooth AS (
-  SELECT user_id, round(avg(surprise) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING), 9) AS a,
+  SELECT user_id, avg(surprise) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS a,
     lead(ts, 9) OVER (PARTITION BY user_id ORDER BY pos) AS peak_at,
     row_number() OVER (PARTITION BY user_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY user_id) AS n
   FROM surprise),
-full_windows AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a DESC, i) AS best
+full_windows AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(a, 9) DESC, i) AS best
   FROM smooth WHERE n >= 32 AND i <= n - 15),
 peaks AS (SELECT user_id, max(a) - median(a) AS score, max(CASE WHEN best = 1 THEN peak_at END) AS peak_at FROM full_windows GROUP BY 1),
 spikes AS (
@@ -198,7 +200,7 @@ edges AS (
 LINE_EDGES = """
 edges AS (
   SELECT DISTINCT doc_id AS user_id, 'ip' AS etype, sha256(line) AS entity_id
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 40)"""
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 0)"""
 
 LINKS = """
 fanout AS (SELECT etype, entity_id, count(DISTINCT user_id) AS fanout, min(user_id) AS hub FROM edges GROUP BY 1, 2),
@@ -253,7 +255,7 @@ def ap(name: str, source: str, score: str, truth: str, keys: str = "") -> str:
     """Average precision in terms of distinct scores, per comma-separated ``keys``."""
     k, g = (f"{keys}, ", f"PARTITION BY {keys}") if keys else ("", "")
     return f"""
-{name}_c AS (SELECT {k}round({score}, 6) AS s, sum(cast({truth} AS bigint)) AS pos, count(*) AS n FROM {source} GROUP BY ALL),
+{name}_c AS (SELECT {k}{score} AS s, sum(cast({truth} AS bigint)) AS pos, count(*) AS n FROM {source} GROUP BY ALL),
 {name}_r AS (
   SELECT *, sum(pos) OVER ({g} ORDER BY s DESC) AS tp, sum(n) OVER ({g} ORDER BY s DESC) AS seen,
     sum(pos) OVER ({g}) AS positives, sum(n) OVER ({g}) AS everyone FROM {name}_c),

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tallyward.catalog import canon
 from tallyward.catalog.registry import DBL, INT, TXT, query, sql
+from tallyward.functions import expr
 from tallyward.operators import evaluate, review
 from tallyward.operators import sequence as seq
 from tallyward.operators.split import split_assignment
 from tallyward.session import cut_lineage
 from tallyward.sources import star
+from tallyward.sources.schema import ASN_TYPES
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 SHORT_TAIL = 48
@@ -54,13 +56,13 @@ def event_tail(spark, d):
 
 
 def encoded(spark, d):
-    return seq.event_encoding(seq.event_tail(star.sequence_events(spark, d)), KINDS)
+    return seq.event_encoding(seq.event_history(star.sequence_events(spark, d)), KINDS)
 
 
 @query(
     "event_encoding",
     sql(
-        f"{canon.SEQ}, {canon.tail(384)}",
+        f"{canon.SEQ}, {canon.tail()}",
         f"""SELECT user_id, event_id, ts, pos, delta, ln(1 + delta) / 14 AS delta_log,
               sin((ts % 86400) / 3600.0 * 2 * pi() / 24) AS hour_sin, cos((ts % 86400) / 3600.0 * 2 * pi() / 24) AS hour_cos,
               ln(1 + tokens_used) / 10 AS tokens_log, cast(success AS integer) AS success, ip_chg, dev_chg, cc_chg,
@@ -127,6 +129,12 @@ def event_surprise(spark, d):
     return seq.event_surprise(rows, model(spark, d, rows))
 
 
+def held_out(spark, d):
+    """Accounts of the test split; the model was fitted on the others."""
+    people = star.accounts(spark, d)
+    return people.join(split_assignment(people).filter("is_test").select("user_id"), "user_id", "left_semi")
+
+
 def spikes(spark, d):
     return seq.surprise_spike(event_surprise(spark, d))
 
@@ -160,12 +168,13 @@ def takeover_candidates(spark, d):
     sql(
         canon.SPIKES,
         """SELECT count(*) AS accounts, median(abs(spike_ts - takeover_ts) / 3600.0) AS median_hours
-           FROM accounts JOIN spikes USING (user_id) WHERE label = 'token_thief' AND transitions >= 32""",
+           FROM accounts JOIN spikes USING (user_id) JOIN (SELECT user_id, is_test FROM split) USING (user_id)
+           WHERE label = 'token_thief' AND transitions >= 32 AND is_test""",
         accounts=INT, median_hours=DBL,
     ),
 )
 def takeover_localisation(spark, d):
-    return seq.localisation_error(star.accounts(spark, d), spikes(spark, d))
+    return seq.localisation_error(held_out(spark, d), spikes(spark, d))
 
 
 @query(
@@ -173,33 +182,43 @@ def takeover_localisation(spark, d):
     sql(
         canon.SPIKES,
         """SELECT sum(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0 END) / count(*) AS auc
-           FROM (SELECT round(spike_score, 6) AS s FROM spikes JOIN accounts USING (user_id)
-                 WHERE label = 'token_thief' AND transitions >= 32) p,
-                (SELECT round(spike_score, 6) AS s FROM spikes JOIN accounts USING (user_id)
-                 WHERE label = 'normal' AND transitions >= 32) n""",
+           FROM (SELECT spike_score AS s FROM spikes JOIN split USING (user_id)
+                 WHERE is_test AND label = 'token_thief' AND transitions >= 32) p,
+                (SELECT spike_score AS s FROM spikes JOIN split USING (user_id)
+                 WHERE is_test AND label = 'normal' AND transitions >= 32) n""",
         auc=DBL,
     ),
 )
 def takeover_auc(spark, d):
-    scored = spikes(spark, d).filter("transitions >= 32").join(star.accounts(spark, d), "user_id")
+    scored = spikes(spark, d).filter("transitions >= 32").join(held_out(spark, d), "user_id")
     pair = scored.filter(F.col("label").isin("token_thief", "normal"))
     return evaluate.roc_auc(pair, "spike_score", F.col("label") == "token_thief").select("auc")
 
 
+SHARES = {f"share_asn_idx_{i}": f"list_position({canon.ASN}, asn_type) = {i + 1}" for i in range(len(ASN_TYPES))}
+SHARES |= {f"share_endpoint_idx_{i}": f"endpoint = '{kind}'" for i, kind in enumerate(KINDS)}
+SHARES |= {f"share_gap_{i}": f"gap = {i}" for i in range(expr.DELTA_BUCKETS)}
+SHARES |= {
+    f"move_{a}_{b}": f"gap = {a} AND after = {b}" for a in range(expr.DELTA_BUCKETS) for b in range(expr.DELTA_BUCKETS)
+}
+
+
 @query(
     "pooled_sequence",
     sql(
-        f"{canon.SEQ}, {canon.tail(384)}, enc AS (SELECT *, ln(1 + delta) / 14 AS delta_log, "
+        f"{canon.SEQ}, {canon.tail()}, enc AS (SELECT *, ln(1 + delta) / 14 AS delta_log, "
         "sin((ts % 86400) / 3600.0 * 2 * pi() / 24) AS hour_sin, cos((ts % 86400) / 3600.0 * 2 * pi() / 24) AS hour_cos, "
-        "ln(1 + tokens_used) / 10 AS tokens_log FROM tail)",
+        "ln(1 + tokens_used) / 10 AS tokens_log, lead(gap) OVER (PARTITION BY user_id ORDER BY pos) AS after FROM tail)",
         "SELECT user_id, count(*) AS length, "
         + ", ".join(f"avg(cast({c} AS double)) AS mean_{c}" for c in seq.NUMERIC)
         + ", "
         + ", ".join(f"max(CASE WHEN back = 1 THEN cast({c} AS double) END) AS last_{c}" for c in seq.NUMERIC)
+        + ", "
+        + ", ".join(f"avg(CASE WHEN {test} THEN 1.0 ELSE 0.0 END) AS {name}" for name, test in SHARES.items())
         + " FROM enc GROUP BY 1",
         user_id=INT, length=INT, **{f"mean_{c}": DBL for c in seq.NUMERIC}, **{f"last_{c}": DBL for c in seq.NUMERIC},
+        **dict.fromkeys(SHARES, DBL),
     ),
 )
 def pooled_sequence(spark, d):
-    pooled = seq.pooled_sequence(encoded(spark, d))
-    return pooled.select("user_id", "length", *[c for c in pooled.columns if c.startswith(("mean_", "last_"))])
+    return seq.pooled_sequence(encoded(spark, d), KINDS)

@@ -27,6 +27,10 @@ TARGETS = ["prompt_sprayer", "spam_bot"]
 SLOW_EVASION = 0.6
 
 
+# Words are runs of letters and digits of any script.
+WORD_BREAKS = r"[^\p{L}\p{N}]+"
+
+
 def distinct_texts(activity: DataFrame, text: str = "prompt_text") -> DataFrame:
     """(text_key, text): each text once. The shuffle groups by digest and carries one text per task."""
     key = F.sha2(text, 256).alias("text_key")
@@ -36,7 +40,7 @@ def distinct_texts(activity: DataFrame, text: str = "prompt_text") -> DataFrame:
 def embed_texts(texts: DataFrame, dims: int = 512) -> tuple[DataFrame, PipelineModel]:
     """Unit TF-IDF vectors of whole texts, hashed to ``dims`` dimensions."""
     stages = [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern="\\W+"),
+        RegexTokenizer(inputCol="text", outputCol="_words", pattern=WORD_BREAKS),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="vector", p=2.0),
@@ -58,12 +62,20 @@ def embed_with(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]
 
 
 def kmeans_clusters(vectors: DataFrame, k: int = CLUSTERS, seed: int = 0) -> DataFrame:
-    """(text_key, embedding, cluster) by spherical k-means on unit vectors."""
+    """(text_key, embedding, cluster) by spherical k-means on unit vectors.
+
+    Texts without a word have a zero vector and no direction; they are cluster ``k``.
+    """
+    embedding = vector_to_array("vector").alias("embedding")
+    zero = F.forall(vector_to_array("vector"), lambda x: x == 0)
+    empty = vectors.filter(zero).select("text_key", embedding, F.lit(k).alias("cluster"))
+    filled = vectors.filter(~zero)
+    if filled.isEmpty():
+        return empty
     kmeans = KMeans(
         k=k, seed=seed, maxIter=20, featuresCol="vector", predictionCol="cluster", distanceMeasure="cosine"
     )
-    model = kmeans.fit(vectors)
-    return model.transform(vectors).select("text_key", vector_to_array("vector").alias("embedding"), "cluster")
+    return kmeans.fit(filled).transform(filled).select("text_key", embedding, "cluster").unionByName(empty)
 
 
 def vector_tightness(clustered: DataFrame, key: str = "text_id", max_rows: int = MAX_GROUP_ROWS) -> DataFrame:

@@ -1,78 +1,99 @@
-"""Connected components by alternating star contraction, as DataFrame joins.
-
-Each round replaces the edges by a smaller or flatter set with the same components: every vertex
-hands its larger neighbours to its smallest one (large star), then its smaller neighbours to the
-smallest one (small star). When a round changes nothing the edges are stars around the component
-minimum. The number of rounds grows with the logarithm of the longest path, and no vertex ever has
-its neighbours gathered in one place: the minimum is an aggregate, and the join back to the edges is
-salted for vertices with very many edges.
+"""Connected components by local forests and alternating star contraction.
+
+Edges are read in chunks of bounded size; each chunk is replaced by stars around the smallest vertices
+of its own components, which is all there is to do for a graph of one chunk. With more chunks, rounds
+of star contraction join what the chunks have found: every vertex hands its larger neighbours to its
+smallest one (large star), then its smaller neighbours to the smallest one (small star). The minimum
+is an aggregate and the joins back to the edges are plain joins, so no vertex has its neighbours
+gathered in one place. A round that changes nothing ends the work; the rounds before are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tallyward.operators.skew import MAX_GROUP_ROWS, join_unique
-from tallyward.session import cut_lineage
-
-MAX_ROUNDS = 60
-
-
-def _hot_vertices(smallest: DataFrame, n_edges: int, max_rows: int) -> DataFrame | None:
-    if 2 * n_edges <= max_rows:
-        return None
-    hot = smallest.filter(F.col("n") > max_rows).select("u", "n")
-    rows = hot.collect()  # at most 2 |edges| / max_rows vertices
-    return smallest.sparkSession.createDataFrame(rows, hot.schema) if rows else None
-
-
-def _star(edges: DataFrame, large: bool, n_edges: int, max_rows: int) -> DataFrame:
-    """One star step over edges (u, v) with u > v."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges
-    smallest = both.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("n"))
-    smallest = smallest.select("u", F.least("_m", "u").alias("m"), "n")
-    hot = _hot_vertices(smallest, n_edges, max_rows)
-    joined = join_unique(both, smallest.select("u", "m"), "u", "v", max_rows, hot=hot)
-    handed = joined.filter(F.col("v") > F.col("u")) if large else joined
-    out = handed.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-    if not large:
-        out = out.unionByName(smallest.select("u", F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
-
-
-def _write(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-    """Write a round and return it with its row count and two order-free hash sums."""
-    table = cut_lineage(edges, name)
-    part = F.xxhash64("u", "v")
-    small = lambda c: F.pmod(c, F.lit(2**31 - 1)).cast("decimal(18,0)")  # noqa: E731  (sums cannot overflow)
-    mark = table.agg(F.count("*"), F.sum(small(part)), F.sum(small(F.shiftright(part, 31)))).first()
-    return table, tuple(mark)
-
-
-def connected_components(
-    edges: DataFrame, src: str = "src", dst: str = "dst", max_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+from tallyward.session import cut_lineage, drop_table
+
+CHUNK = 400_000
+
+
+def _forest(edges: DataFrame, chunk: int) -> DataFrame:
+    """Stars (u, v), v smallest, of the components of each chunk of edges of a partition."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def stars(parent: dict, arrow: pa.DataType) -> pa.RecordBatch:
+        pairs = [(x, _root(parent, x)) for x in parent]
+        pairs = [(x, r) for x, r in pairs if x != r]
+        columns = [pa.array([p[k] for p in pairs], arrow) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        rows = 0
+        for batch in batches:
+            if rows and rows + batch.num_rows > chunk:
+                yield stars(parent, batch.schema.field(0).type)
+                parent, rows = {}, 0
+            rows += batch.num_rows
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = _root(parent, a), _root(parent, b)
+                parent[max(a, b)] = min(a, b)
+        if rows:
+            yield stars(parent, batch.schema.field(0).type)
+
+    return edges.mapInArrow(contract, f"u {kind}, v {kind}")
+
+
+def _root(parent: dict, x):
+    while parent.setdefault(x, x) != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    larger = both.join(smallest, "u").filter(F.col("v") > F.col("u"))
+    return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
+    handed = edges.join(smallest, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return handed.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Write a round; its row count and an order-free hash sum are observed by the same job."""
+    seen = Observation()
+    mark = F.pmod(F.xxhash64("u", "v"), F.lit(2**31 - 1))
+    table = cut_lineage(edges.observe(seen, F.count("*").alias("n"), F.sum(mark).alias("mark")), "edges")
+    return table, (seen.get["n"], seen.get["mark"])
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", chunk: int = CHUNK) -> DataFrame:
     """(id, component_id) for every vertex that has an edge to another vertex.
 
-    ``component_id`` is the smallest id of the component. Each half round is written to the shared
-    folder and only three numbers come back to the driver.
+    ``component_id`` is the smallest id of the component.
     """
     canonical = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-    current, mark = _write(canonical.filter(F.col("u") != F.col("v")).distinct(), "edges")
-    large, same = True, 0
-    for _ in range(2 * MAX_ROUNDS):
-        # stars around the minimum are the one shape that neither step changes
-        if mark[0] == 0 or same == 2:
+    current, mark = _write(canonical.filter(F.col("u") != F.col("v")).distinct())
+    while mark[0]:
+        chunks = -(-mark[0] // chunk)
+        stars, start = _write(_forest(current.coalesce(chunks), chunk))
+        drop_table(current)
+        current = stars
+        if chunks == 1:
+            break
+        after, mark = _write(_small_star(_large_star(current)))
+        drop_table(current)
+        current = after
+        if mark == start:
             break
-        current, now = _write(_star(current, large, mark[0], max_rows), "star")
-        same = same + 1 if now == mark else 0
-        mark, large = now, not large
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = current.select(F.col("v").alias("id")).distinct()
     return current.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
         roots.select("id", F.col("id").alias("component_id"))

@@ -38,7 +38,7 @@ def tier_assignment(scored: DataFrame, score: str, thresholds: DataFrame) -> Dat
     limit = thresholds.select(F.struct(*TIERS[:3])).scalar()
     tier = F.lit(TIERS[3])
     for name in reversed(TIERS[:3]):
-        tier = F.when(F.round(score, 6) >= limit[name], name).otherwise(tier)
+        tier = F.when(F.col(score) >= limit[name], name).otherwise(tier)
     return scored.withColumn("tier", tier)
 
 

@@ -1,8 +1,8 @@
 """Evaluation of scores against truth.
 
-Every ranking metric starts from counts per distinct score. Scores are rounded first, which bounds
-the number of distinct scores to about a million however many accounts are scored; windows then run
-on that table, never on the accounts.
+Every ranking metric starts from counts per distinct, exact score. The counts are dealt to ranges of
+scores; sums run inside each range, and a table with one row per range carries what lies above it. So
+no window holds all scores, however many there are.
 """
 
 from __future__ import annotations
@@ -14,32 +14,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions import expr
+from tallyward.session import cut_lineage
 
-SCORE_DIGITS = 6
 # Half-open evasion levels.
 EVASION_BOUNDS = [(0.0, 0.33), (0.33, 0.66), (0.66, 1.01)]
 MIN_POSITIVES = 5
 KS = [100, 500, 1000]
 
 
-def score_counts(
-    scored: DataFrame, score: str, truth: Column, keys: Sequence[str] = (), digits: int = SCORE_DIGITS
-) -> DataFrame:
+def score_counts(scored: DataFrame, score: str, truth: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Positives and rows per distinct score."""
-    return scored.groupBy(*keys, F.round(score, digits).alias("score")).agg(
+    return scored.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(truth.cast("long")).alias("pos"), F.count("*").alias("n")
     )
 
 
 def precision_curve(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Running true positives and rows from the highest score down, one row per score."""
+    ranged = counts.repartitionByRange(*[F.col(k) for k in keys], F.desc("score"))
+    # written, so that every later step sees the same ranges
+    rows = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     part = Window.partitionBy(*keys)
-    down = part.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.withColumns(
-        {"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down), "positives": F.sum("pos").over(part),
-         "rows": F.sum("n").over(part)}
+    above = part.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_range").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
+    # one row per key and range
+    sums = sums.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_key_range"),
+        F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_seen"),
+        F.sum("_pos").over(part).alias("positives"), F.sum("_n").over(part).alias("rows"),
     )
-    return out.withColumn("precision", expr.ratio(F.col("tp"), F.col("seen")))
+    same = F.col("_range") == F.col("_key_range")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    down = Window.partitionBy(*keys, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
+    out = running.join(sums, same)
+    out = out.withColumns({"tp": F.col("tp") + F.col("_tp"), "seen": F.col("seen") + F.col("_seen")})
+    out = out.withColumn("precision", expr.ratio(F.col("tp"), F.col("seen")))
+    return out.select(*keys, "score", "pos", "n", "tp", "seen", "positives", "rows", "precision")
 
 
 def average_precision(scored: DataFrame, score: str, truth: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -53,17 +65,13 @@ def average_precision(scored: DataFrame, score: str, truth: Column, keys: Sequen
 
 def roc_auc(scored: DataFrame, score: str, truth: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney AUC; pairs with equal scores count one half."""
-    counts = score_counts(scored, score, truth, keys).withColumn("neg", F.col("n") - F.col("pos"))
-    part = Window.partitionBy(*keys)
-    below = part.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    rows = counts.withColumns(
-        {"_below": F.coalesce(F.sum("neg").over(below), F.lit(0)), "_p": F.sum("pos").over(part),
-         "_m": F.sum("neg").over(part)}
-    )
-    won = F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2.0))
-    pairs = F.max("_p").cast("double") * F.max("_m")
-    return rows.groupBy(*keys).agg(
-        F.max("_p").alias("positives"), F.max("_m").alias("negatives"), F.try_divide(won, pairs).alias("auc")
+    curve = precision_curve(score_counts(scored, score, truth, keys), keys)
+    negatives, neg = F.col("rows") - F.col("positives"), F.col("n") - F.col("pos")
+    below = negatives - (F.col("seen") - F.col("tp"))
+    won = F.sum(F.col("pos") * (below + neg / 2.0))
+    pairs = F.max("positives").cast("double") * F.max(negatives)
+    return curve.groupBy(*keys).agg(
+        F.max("positives").alias("positives"), F.max(negatives).alias("negatives"), F.try_divide(won, pairs).alias("auc")
     )
 
 

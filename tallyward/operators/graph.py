@@ -115,7 +115,7 @@ def account_components(
     edges = cut_lineage(edges.select("user_id", *ENTITY).withColumn("asn_type", F.lit(None).cast("string")), "pairs")
     entities = linking_entities(entity_fanout(edges), caps)
     links = star_links(edges, entities, max_rows)
-    return connected_components(links, "src", "dst", max_rows)
+    return connected_components(links, "src", "dst")
 
 
 def ring_flags(

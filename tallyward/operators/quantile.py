@@ -19,8 +19,10 @@ def group_quantiles(
     median: str | None = None,
     max_rows: int = MAX_GROUP_ROWS,
     hot: DataFrame | None | str = "unknown",
+    linear: dict[str, float] | None = None,
 ) -> DataFrame:
-    """One row per group with the nearest-rank value for each ``{column: percent}``.
+    """One row per group with the nearest-rank value for each ``{column: percent}``, and the linearly
+    interpolated one for each ``{column: fraction}`` of ``linear``.
 
     Equal values are merged before anything is ordered, so a value shared by most of a group is one
     row, and large groups are ordered slice by slice.
@@ -39,4 +41,8 @@ def group_quantiles(
         half = F.floor((F.col("_n") + 1) / 2)
         upper = F.floor(F.col("_n") / 2) + 1
         aggs.append(((at(half) + at(upper)) / 2.0).alias(median))
+    for name, fraction in (linear or {}).items():
+        place = (F.col("_n") - 1) * F.lit(fraction)
+        low, high = at(F.floor(place) + 1), at(F.ceil(place) + 1)
+        aggs.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
     return cum.groupBy(*keys).agg(*aggs)

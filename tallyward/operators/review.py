@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions import expr
+from tallyward.operators.quantile import group_quantiles
 
 QUEUE_ROWS = 300
 
@@ -68,16 +69,12 @@ def takeover_candidates(accounts: DataFrame, spikes: DataFrame, rows: int | None
 def risk_quartiles(decisions: DataFrame) -> DataFrame:
     """Quartiles and 1.5 IQR whiskers of risk per label on the evaluation half.
 
-    Whiskers end at the most extreme risk inside the fences, as in a box plot. Risk has at most a
-    million distinct values after rounding, so the exact percentile works on value counts.
+    Whiskers end at the most extreme risk inside the fences, as in a box plot.
     """
-    ev = decisions.filter("is_eval").select("label", F.round("risk", 6).alias("risk"))
+    ev = decisions.filter("is_eval").select("label", "risk")
     counts = ev.groupBy("label", "risk").agg(F.count("*").alias("n"))
-    q = F.percentile("risk", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    boxes = counts.groupBy("label").agg(F.sum("n").alias("accounts"), q.alias("q"))
-    boxes = boxes.select(
-        "label", "accounts", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
-    )
+    boxes = group_quantiles(ev, ["label"], "risk", {}, linear={"q1": 0.25, "median": 0.5, "q3": 0.75})
+    boxes = boxes.join(counts.groupBy("label").agg(F.sum("n").alias("accounts")), "label")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.when(F.col("risk").between(F.col("q1") - reach, F.col("q3") + reach), F.col("risk"))
     return (

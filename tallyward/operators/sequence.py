@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from tallyward.functions import expr
 from tallyward.operators.quantile import group_quantiles
-from tallyward.operators.skew import MAX_GROUP_ROWS, previous_row, slice_groups
+from tallyward.operators.skew import MAX_GROUP_ROWS, Slices, previous_row, running_sum, slice_groups
 from tallyward.session import cut_lineage
 from tallyward.sources.schema import ASN_TYPES, ENDPOINTS
 
 KEY = ["user_id"]
 ORDER = ["ts", "event_id"]
-TAIL = 384
+# Rows of an account that one window task orders; a history of any length is cut into such pieces.
+PIECE = 4096
 CONTENT_BUCKETS = 32
 SMOOTH = 16
 CHANGES = {"ip_chg": "ip", "dev_chg": "device_fp", "cc_chg": "country"}
@@ -40,7 +41,30 @@ def event_deltas(
     return out.withColumns(_history_columns()).drop("_prev", *cut.columns)
 
 
-def event_tail(activity: DataFrame, tail: int = TAIL) -> DataFrame:
+def event_history(
+    activity: DataFrame, max_rows: int = MAX_GROUP_ROWS, hot: DataFrame | None | str = "unknown"
+) -> DataFrame:
+    """Every event with its gap, change flags and position in the account's history (0 = oldest)."""
+    cut = slice_groups(activity, KEY, ORDER, max_rows, hot)
+    rows = previous_row(cut, ORDER, ["ts", *CHANGES.values()]).withColumns(_history_columns()).drop("_prev")
+    if cut.hot is None:
+        return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER)).cast("long") - 1)
+    counted = running_sum(Slices(rows, cut.keys, cut.columns, cut.hot), ORDER, F.lit(1), "_upto", "_all_rows")
+    return counted.withColumn("pos", F.col("_upto") - 1).drop("_upto", "_all_rows", *cut.columns)
+
+
+def _pieces(rows: DataFrame, ahead: int, piece: int) -> DataFrame:
+    """Add ``_piece``: rows are cut by position, and the first ``ahead`` rows of a piece are also in the one before.
+
+    A window over (account, piece) then sees ``ahead`` rows past each row of the piece, and no account is ordered
+    in one task. Rows with ``_own`` are the piece's own ones.
+    """
+    own = F.expr(f"pos div {piece}")
+    both = F.when((F.col("pos") % piece < ahead) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    return rows.withColumn("_piece", F.explode(both)).withColumn("_own", F.col("_piece") == own)
+
+
+def event_tail(activity: DataFrame, tail: int) -> DataFrame:
     """The most recent ``tail`` events of each account with gap, change flags and position (0 = oldest).
 
     One event more is kept while gaps are computed, so the first kept event has its true gap. The
@@ -89,13 +113,12 @@ def event_encoding(tail: DataFrame, endpoints: list[str] = ENDPOINTS) -> DataFra
     )
 
 
-def transitions(encoded: DataFrame) -> DataFrame:
+def transitions(encoded: DataFrame, piece: int = PIECE) -> DataFrame:
     """Each event with the gap bucket and content of the event after it; the last event has none."""
-    w = Window.partitionBy(*KEY).orderBy("pos")
-    return encoded.select(
-        *KEY, "pos", "ts", "gap", "content", F.lead("gap").over(w).alias("next_gap"),
-        F.lead("content").over(w).alias("next_content"),
-    ).filter(F.col("next_gap").isNotNull())
+    w = Window.partitionBy(*KEY, "_piece").orderBy("pos")
+    rows = _pieces(encoded.select(*KEY, "pos", "ts", "gap", "content"), 1, piece)
+    rows = rows.withColumns({"next_gap": F.lead("gap").over(w), "next_content": F.lead("content").over(w)})
+    return rows.filter(F.col("_own") & F.col("next_gap").isNotNull()).drop("_piece", "_own")
 
 
 STATE = ["gap", "content"]
@@ -157,45 +180,50 @@ def event_surprise(steps: DataFrame, model: TransitionModel) -> DataFrame:
     return joined.select(*KEY, "pos", "ts", surprise.alias("surprise"))
 
 
-def surprise_spike(surprise: DataFrame, width: int = SMOOTH) -> DataFrame:
+def surprise_spike(surprise: DataFrame, width: int = SMOOTH, piece: int = PIECE) -> DataFrame:
     """Peak minus median of the moving average, and the time of the peak, per account.
 
-    Accounts with fewer than two widths of scored transitions get 0 and no time. Averages are
-    compared at nine digits, so equal windows tie and the earliest wins.
+    Accounts with fewer than two widths of scored transitions get 0 and no time. The score is exact; only to name
+    the peak are averages compared at nine digits, so that windows that are equal but for rounding tie and the
+    earliest wins.
     """
-    w = Window.partitionBy(*KEY).orderBy("pos")
-    rows = surprise.withColumns(
+    w = Window.partitionBy(*KEY, "_piece").orderBy("pos")
+    window = w.rowsBetween(0, width - 1)
+    rows = _pieces(surprise, width, piece).withColumns(
         {
-            "_avg": F.round(F.avg("surprise").over(w.rowsBetween(0, width - 1)), 9),
+            "_avg": F.avg("surprise").over(window),
+            "_rows": F.count("*").over(window),
             "_at": F.lead("ts", width // 2 + 1).over(w),
-            "_n": F.count("*").over(Window.partitionBy(*KEY)),
-            "_i": F.row_number().over(w),
         }
     )
-    scored = (F.col("_n") >= 2 * width) & (F.col("_i") <= F.col("_n") - width + 1)
-    avg = F.when(scored, F.col("_avg"))
-    at = F.max_by(F.when(scored, F.col("_at")), F.when(scored, F.struct(F.col("_avg"), -F.col("_i"))))
-    return rows.groupBy(*KEY).agg(
-        F.count("*").alias("transitions"),
-        F.coalesce(F.max(avg) - F.median(avg), F.lit(0.0)).alias("spike_score"),
-        F.coalesce(at, F.lit(0)).cast("long").alias("spike_ts"),
+    rows = rows.filter("_own").select(*KEY, "pos", "_at", F.when(F.col("_rows") == width, F.col("_avg")).alias("_avg"))
+    rows = cut_lineage(rows, "windows")  # read for the peaks and for the medians
+    named = F.when(F.col("_avg").isNotNull(), F.struct(F.round("_avg", 9), -F.col("pos")))
+    peaks = rows.groupBy(*KEY).agg(F.count("*").alias("transitions"), F.max("_avg").alias("_peak"), F.max_by("_at", named).alias("_when"))
+    middles = group_quantiles(rows, KEY, "_avg", {}, "_middle")
+    enough = F.col("transitions") >= 2 * width
+    return peaks.join(middles, KEY, "left").select(
+        *KEY,
+        "transitions",
+        F.when(enough, F.col("_peak") - F.col("_middle")).otherwise(F.lit(0.0)).alias("spike_score"),
+        F.coalesce(F.when(enough, F.col("_when")), F.lit(0)).cast("long").alias("spike_ts"),
     )
 
 
-def pooled_sequence(encoded: DataFrame) -> DataFrame:
+def pooled_sequence(encoded: DataFrame, endpoints: list[str] = ENDPOINTS, piece: int = PIECE) -> DataFrame:
     """One row per account: mean and last value of each numeric column, category shares, and the
-    frequency of each gap bucket after each gap bucket."""
-    steps = F.lag("gap").over(Window.partitionBy(*KEY).orderBy("pos"))
-    rows = encoded.withColumn("_before", steps)
+    frequency of each gap bucket after each gap bucket. ``endpoints`` are those of the encoding."""
+    after = F.lead("gap").over(Window.partitionBy(*KEY, "_piece").orderBy("pos"))
+    rows = _pieces(encoded, 1, piece).withColumn("_after", after).filter("_own")
     means = [F.avg(c).alias(f"mean_{c}") for c in NUMERIC]
     last = F.max_by(F.struct(*NUMERIC), "pos").alias("_last")
     shares = [
         F.expr(f"avg(if({col} = {i}, 1D, 0D)) as share_{col}_{i}")
-        for col, n in (("asn_idx", len(ASN_TYPES)), ("endpoint_idx", len(ENDPOINTS)), ("gap", expr.DELTA_BUCKETS))
+        for col, n in (("asn_idx", len(ASN_TYPES)), ("endpoint_idx", len(endpoints)), ("gap", expr.DELTA_BUCKETS))
         for i in range(n)
     ]
     moves = [
-        F.expr(f"avg(if(_before = {a} and gap = {b}, 1D, 0D)) as move_{a}_{b}")
+        F.expr(f"avg(if(gap = {a} and _after = {b}, 1D, 0D)) as move_{a}_{b}")
         for a in range(expr.DELTA_BUCKETS)
         for b in range(expr.DELTA_BUCKETS)
     ]

@@ -60,7 +60,7 @@ class RiskAnalysis:
 
     @cached_property
     def encoded(self) -> DataFrame:
-        return cut_lineage(seq.event_encoding(seq.event_tail(self.sequence()), list(self.endpoints)), "encoded")
+        return cut_lineage(seq.event_encoding(seq.event_history(self.sequence()), list(self.endpoints)), "encoded")
 
     @cached_property
     def spikes(self) -> DataFrame:
@@ -78,7 +78,7 @@ class RiskAnalysis:
 
     @cached_property
     def sequence_scores(self) -> DataFrame:
-        pooled = cut_lineage(seq.pooled_sequence(self.encoded), "pooled")
+        pooled = cut_lineage(seq.pooled_sequence(self.encoded, list(self.endpoints)), "pooled")
         columns = [c for c in pooled.columns if c != "user_id"]
         model = detect.fit_detector(pooled, columns, self.split)
         scores = detect.score_detector(model, pooled, self.split, "seq")

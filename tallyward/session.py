@@ -54,3 +54,13 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table made by :func:`cut_lineage` that nothing needs any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        place = file.rsplit("/", 1)[0]
+        if "/tallyward/" in place:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,7 +20,6 @@ SEGMENT_LABEL = {
     "HOUSEHOLD": "prompt_sprayer",
     "MACHINERY": "token_thief",
 }
-MIN_LINE_CHARS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,11 +120,11 @@ def purchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document graph: (doc_id as user_id, digest of each long line as ip); some lines are very common."""
+    """Document graph: (doc_id as user_id, digest of each non-empty line as ip); some lines are very common."""
     return (
         table(spark, sf_dir, "documents")
         .select(F.col("doc_id").alias("user_id"), F.explode(F.split("text", "\n")).alias("line"))
-        .filter(F.length("line") >= MIN_LINE_CHARS)
+        .filter(F.length("line") > 0)
         .select("user_id", F.sha2("line", 256).alias("ip"))
     )
 

@@ -23,6 +23,25 @@ def test_average_precision_with_ties(spark):
     assert r.support == 3 and r.ap == pytest.approx((1 + 0.5 + 0.5) / 3)
 
 
+def test_scores_are_compared_exactly(spark):
+    """Scores that differ at the ninth digit are not ties, over many ranges of scores."""
+    rows = [(0.999999 + i * 1e-9, int(i % 3 == 0)) for i in range(300)]
+    df = scored(spark, rows).repartition(7)
+    curve = ev.precision_curve(ev.score_counts(df, "score", bad())).orderBy(F.desc("score")).collect()
+    tp = 0
+    for i, (r, (s, t)) in enumerate(zip(curve, rows[::-1])):
+        tp += t
+        assert (r.score, r.tp, r.seen, r.positives, r.rows) == (s, tp, i + 1, 100, 300)
+    won = sum(a > b for a, t in rows if t for b, u in rows if not u)
+    assert ev.roc_auc(df, "score", bad()).first().auc == pytest.approx(won / (100 * 200))
+
+
+def test_curve_with_a_null_key(spark):
+    df = scored(spark, [(3, 1), (2, 0), (1, 1)]).withColumn("k", F.when(F.col("user_id") < 2, "a"))
+    got = {r.k: (r.support, r.ap) for r in ev.average_precision(df, "score", bad(), ["k"]).collect()}
+    assert got == {"a": (1, 1.0), None: (1, 1.0)}
+
+
 def test_auc_counts_ties_as_half(spark):
     df = scored(spark, [(2, 1), (1, 1), (1, 0), (0, 0)])
     assert ev.roc_auc(df, "score", bad()).first().auc == pytest.approx((2 + 1.5) / 4)

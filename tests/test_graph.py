@@ -12,21 +12,20 @@ def labels(df):
     return {r.id: r.component_id for r in df.collect()}
 
 
-def union_find(edges):
-    parent = {}
-
-    def find(a):
-        parent.setdefault(a, a)
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
+def by_search(edges):
+    """Smallest vertex reachable from each vertex, breadth first."""
+    near = {}
     for a, b in edges:
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-    return {v: find(v) for v in parent}
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for start in sorted(near):
+        todo = [] if start in out else [start]
+        while todo:
+            out |= dict.fromkeys(todo, start)
+            todo = [y for x in todo for y in near[x] if y not in out]
+            todo = list(dict.fromkeys(todo))
+    return out
 
 
 def frame(spark, edges):
@@ -43,9 +42,9 @@ def test_random_graph_with_a_hub(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(150)] + [(7, 1000 + i) for i in range(150)]
     edges = [(a, b) for a, b in edges if a != b]
-    want = union_find(edges)
+    want = by_search(edges)
     assert labels(connected_components(frame(spark, edges))) == want
-    assert labels(connected_components(frame(spark, edges), max_rows=40)) == want  # hub joins are salted
+    assert labels(connected_components(frame(spark, edges).repartition(5), chunk=40)) == want  # many local forests
 
 
 def test_string_ids_and_no_edges(spark):
@@ -134,4 +133,4 @@ def test_components_ignore_row_order(spark):
     edges = [(rnd.randrange(80), 100 + rnd.randrange(80)) for _ in range(70)]
     a = labels(connected_components(frame(spark, edges)))
     b = labels(connected_components(frame(spark, edges[::-1]).repartition(7, F.col("dst"))))
-    assert a == b == union_find(edges)
+    assert a == b == by_search(edges)

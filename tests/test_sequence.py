@@ -31,7 +31,7 @@ def test_tail_is_limited_before_the_shuffle(spark):
 
 def test_encoding(spark):
     log = events(spark, event(1, 1, 6 * 3600, tokens_used=99), event(2, 1, 6 * 3600 + 999, success=False))
-    enc = seq.event_encoding(seq.event_tail(log.withColumn("content", F.lit(3)))).orderBy("pos").collect()
+    enc = seq.event_encoding(seq.event_history(log.withColumn("content", F.lit(3)))).orderBy("pos").collect()
     assert enc[0].hour_sin == pytest.approx(1.0) and enc[0].hour_cos == pytest.approx(0.0)
     assert enc[0].tokens_log == pytest.approx(math.log(100) / 10)
     assert (enc[0].gap, enc[1].gap, enc[1].delta, enc[1].success) == (0, 2, 999, 0.0)
@@ -86,7 +86,36 @@ def test_localisation(spark):
 
 def test_pooled_sequence(spark):
     log = events(spark, event(1, 1, 0), event(2, 1, 5, success=False), event(3, 1, 500))
-    r = seq.pooled_sequence(seq.event_encoding(seq.event_tail(log.withColumn("content", F.lit(0))))).first()
+    r = seq.pooled_sequence(seq.event_encoding(seq.event_history(log.withColumn("content", F.lit(0))))).first()
     assert r.length == 3 and r.mean_success == pytest.approx(2 / 3) and r.last_success == 1.0
     assert r.share_gap_0 == pytest.approx(2 / 3) and r.share_gap_2 == pytest.approx(1 / 3)
     assert r.move_0_0 == pytest.approx(1 / 3) and r.move_0_2 == pytest.approx(1 / 3)
+
+
+def test_whole_history_in_pieces(spark):
+    """2,000 events of one account: pieces of any size, and slices of a large account, give the same."""
+    log = events(spark, *[event(i, 1, i * (i % 13 + 1), tokens_used=i) for i in range(2000)], event(5000, 2, 5))
+    log = log.withColumn("content", F.pmod(F.hash("event_id"), F.lit(8)))
+    whole = seq.event_history(log)
+    assert whole.filter("user_id = 1").agg(F.count("*"), F.min("pos"), F.max("pos")).first() == (2000, 0, 1999)
+    sliced = seq.event_history(log, max_rows=300)
+    pick = ["event_id", "pos", "delta", *seq.CHANGES]
+    assert sorted(map(tuple, sliced.select(*pick).collect())) == sorted(map(tuple, whole.select(*pick).collect()))
+    enc = seq.event_encoding(whole).persist()
+    steps = [sorted(map(tuple, seq.transitions(enc, piece).collect())) for piece in (7, 4096)]
+    assert steps[0] == steps[1] and len(steps[0]) == 1999
+    surprise = enc.select("user_id", "pos", "ts", (F.abs(F.hash("event_id")) % 97 / 10.0).alias("surprise"))
+    spikes = [sorted(map(tuple, seq.surprise_spike(surprise, piece=piece).collect())) for piece in (20, 4096)]
+    assert [r[:2] + r[3:] for r in spikes[0]] == [r[:2] + r[3:] for r in spikes[1]]
+    assert [r[2] for r in spikes[0]] == pytest.approx([r[2] for r in spikes[1]])
+    pooled = [sorted(map(tuple, seq.pooled_sequence(enc, piece=piece).collect())) for piece in (9, 4096)]
+    assert all(a == pytest.approx(b) for a, b in zip(*pooled))
+
+
+def test_shares_of_an_account_sum_to_one(spark):
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    log = events(spark, *[event(i, 1, i, endpoint=kinds[i % 5]) for i in range(11)]).withColumn("content", F.lit(0))
+    r = seq.pooled_sequence(seq.event_encoding(seq.event_history(log), kinds), kinds).first().asDict()
+    for block in ("asn_idx", "endpoint_idx", "gap"):
+        assert sum(v for k, v in r.items() if k.startswith(f"share_{block}")) == pytest.approx(1)
+    assert r["share_endpoint_idx_4"] == pytest.approx(2 / 11)

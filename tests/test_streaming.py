@@ -95,7 +95,7 @@ def test_campaign_counts(spark, halves):
 def test_online_surprise_equals_batch(spark, halves):
     log, parts = halves
     content = (F.col("event_id") * 7 % 5).cast("int").alias("content")
-    encoded = seq.event_encoding(seq.event_tail(log.select("*", content)))
+    encoded = seq.event_encoding(seq.event_history(log.select("*", content)))
     steps = seq.transitions(encoded)
     model = seq.transition_model(steps, log.filter("user_id < 2").select("user_id").distinct())
     want = seq.event_surprise(steps, model).orderBy("user_id", "pos").collect()
