@@ -111,6 +111,40 @@ def campaign_quality(spark, d):
     return evaluate.flag_quality(flags(spark, d), "spray_flag", F.col("label").isin(c.TARGETS))
 
 
+def learned(spark, d):
+    """Requests with the learned cluster of their own text: (event_id, user_id, cluster, tight)."""
+    requests = star.activity(spark, d).select("event_id", "user_id", F.sha2("prompt_text", 256).alias("text_key"))
+    vectors, _ = c.embed_texts(c.distinct_texts(star.activity(spark, d)))
+    clusters = c.kmeans_clusters(cut_lineage(vectors, "vectors"))
+    tight = cut_lineage(c.vector_tightness(cut_lineage(clusters, "clusters"), "text_key"), "tightness")
+    return cut_lineage(c.attach_clusters(requests, tight, "text_key"), "learned")
+
+
+@query("learned_campaigns")
+def learned_campaigns(spark, d):
+    """Accounts flagged by campaigns that are learned from the texts of the requests."""
+    rows = learned(spark, d)
+    return c.campaign_accounts(rows, c.campaign_clusters(stats(spark, d, rows)), star.accounts(spark, d))
+
+
+@query(
+    "learned_campaign_check",
+    sql(
+        canon.ACTIVITY,
+        """SELECT user_id, count(*) AS requests, count(prompt_text) AS clustered, count(DISTINCT prompt_text) AS most_clusters
+           FROM activity GROUP BY 1""",
+        user_id=INT, requests=INT, clustered=INT, most_clusters=INT,
+    ),
+)
+def learned_campaign_check(spark, d):
+    """What learning cannot change: every request with a text has a cluster, and equal texts have one cluster."""
+    rows = learned(spark, d)
+    return rows.groupBy("user_id").agg(
+        F.count("*").alias("requests"), F.count("cluster").alias("clustered"),
+        F.when(F.count_distinct("cluster") <= F.count_distinct("text_key"), F.count_distinct("text_key")).alias("most_clusters"),
+    )
+
+
 @query("text_clusters")
 def text_clusters(spark, d):
     """Clusters learned from the whole distinct document texts."""

@@ -202,9 +202,10 @@ edges AS (
   SELECT DISTINCT doc_id AS user_id, 'ip' AS etype, sha256(line) AS entity_id
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 0)"""
 
-LINKS = """
+CAP = " AND (etype <> 'ip' OR fanout <= 10)"
+LINKS = f"""
 fanout AS (SELECT etype, entity_id, count(DISTINCT user_id) AS fanout, min(user_id) AS hub FROM edges GROUP BY 1, 2),
-linking AS (SELECT * FROM fanout WHERE fanout >= 2 AND (etype <> 'ip' OR fanout <= 10)),
+linking AS (SELECT * FROM fanout WHERE fanout >= 2{CAP}),
 links AS (SELECT DISTINCT etype, entity_id, user_id AS src, hub AS dst FROM edges JOIN linking USING (etype, entity_id) WHERE user_id <> hub)"""
 
 # reachability by a recursive union: fine for small components only

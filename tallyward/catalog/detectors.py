@@ -1,9 +1,11 @@
-"""Learned detectors and fusion; results are checked by properties in the tests, not by SQL."""
+"""Learned detectors and fusion. Scores depend on the learner; next to them stand queries for what does not."""
 
 from __future__ import annotations
 
-from tallyward.catalog import campaign, features, graph, sequence
-from tallyward.catalog.registry import query
+from pyspark.sql import functions as F
+
+from tallyward.catalog import campaign, canon, features, graph, sequence
+from tallyward.catalog.registry import BOOL, DBL, INT, query, sql
 from tallyward.operators import detect
 from tallyward.plans.risk import RiskAnalysis
 from tallyward.sources import star
@@ -27,6 +29,39 @@ def tabular_scores(spark, d):
     return analysis(spark, d).tabular
 
 
+def _probabilities(scores, prefix):
+    """user_id, is_test, and whether abuse is the sum of the probabilities of the abusive classes."""
+    parts = [F.col(c) for c in scores.columns if c.startswith(f"{prefix}_") and c != f"{prefix}_abuse" and "anomaly" not in c]
+    total = sum(parts[1:], parts[0])
+    inside = F.col(f"{prefix}_abuse").between(0, 1 + 1e-9) & (F.abs(total - F.col(f"{prefix}_abuse")) < 1e-9)
+    return scores.select("user_id", "is_test", inside.alias("consistent"))
+
+
+@query(
+    "tabular_score_check",
+    sql(
+        f"{canon.ACCOUNTS}, {canon.SPLIT}", "SELECT user_id, is_test, true AS consistent FROM split",
+        user_id=INT, is_test=BOOL, consistent=BOOL,
+    ),
+)
+def tabular_score_check(spark, d):
+    """One row per account, with its side of the split; class probabilities add up."""
+    return _probabilities(analysis(spark, d).tabular, "tab")
+
+
+@query(
+    "sequence_score_check",
+    sql(
+        f"{canon.ACCOUNTS}, {canon.SPLIT}",
+        "SELECT user_id, is_test, true AS consistent FROM split SEMI JOIN events USING (user_id)",
+        user_id=INT, is_test=BOOL, consistent=BOOL,
+    ),
+)
+def sequence_score_check(spark, d):
+    """One row per account with events."""
+    return _probabilities(analysis(spark, d).sequence_scores, "seq")
+
+
 @query("feature_importance")
 def feature_importance(spark, d):
     return detect.feature_importance(analysis(spark, d).tabular_detector, spark)

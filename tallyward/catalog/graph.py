@@ -90,6 +90,18 @@ def components(spark, d):
     return g.account_components(edges(spark, d))
 
 
+@query(
+    "components_uncapped",
+    sql(
+        f"{canon.EDGES}, {canon.LINKS.replace(canon.CAP, '')}, {canon.COMPONENTS}", "SELECT id, component_id FROM components",
+        id=INT, component_id=INT,
+    ),
+)
+def components_uncapped(spark, d):
+    """Links through entities of any fan-out; an entity adds one link per account, so no cap is needed for size."""
+    return g.account_components(edges(spark, d), caps={})
+
+
 @query(
     "line_components",
     sql(

@@ -10,8 +10,8 @@ from tallyward.functions import expr
 from tallyward.operators import evaluate, review
 from tallyward.operators import sequence as seq
 from tallyward.operators.split import split_assignment
-from tallyward.session import cut_lineage
-from tallyward.sources import star
+from tallyward.session import cut_lineage, new_folder
+from tallyward.sources import star, tables
 from tallyward.sources.schema import ASN_TYPES
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -222,3 +222,41 @@ SHARES |= {
 )
 def pooled_sequence(spark, d):
     return seq.pooled_sequence(encoded(spark, d), KINDS)
+
+
+@query(
+    "content_buckets",
+    """WITH RECURSIVE bits(n, i, c) AS (
+         SELECT n, 0, CAST(n AS bigint) FROM range(256) t(n)
+         UNION ALL SELECT n, i + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE i < 8),
+       entry AS (SELECT n, c FROM bits WHERE i = 8),
+       names AS (SELECT vec_id AS text_id, 'cluster-' || (vec_id // 25) AS name FROM embeddings),
+       walk(text_id, name, i, c) AS (
+         SELECT text_id, name, 1, 4294967295 FROM names
+         UNION ALL SELECT text_id, name, w.i + 1, xor(w.c // 256, e.c) FROM walk w
+           JOIN entry e ON e.n = xor(w.c % 256, ascii(substr(name, w.i, 1))) WHERE w.i <= length(name))
+       SELECT CAST(text_id AS bigint) AS text_id, CAST(xor(c, 4294967295) % 32 AS bigint) AS content
+       FROM walk WHERE i = length(name) + 1""",
+)
+def content_buckets(spark, d):
+    """Names of text clusters as one of 32 contents, by the checksum that the SQL computes bit by bit."""
+    name = F.concat(F.lit("cluster-"), F.floor(F.col("vec_id") / 25).cast("long"))
+    rows = star.table(spark, d, "embeddings")
+    return rows.select(F.col("vec_id").alias("text_id"), seq.content_bucket(name).alias("content"))
+
+
+@query(
+    "events_between",
+    sql(
+        canon.EVENTS,
+        "SELECT event_id, user_id, ts FROM ev WHERE ts >= (SELECT min(ts) FROM ev) + 86400 AND ts < (SELECT min(ts) FROM ev) + 5 * 86400 + 7",
+        event_id=INT, user_id=INT, ts=INT,
+    ),
+)
+def events_between(spark, d):
+    """The log written by day and read back for a range of time; other days are not opened."""
+    rows = star.events(spark, d)
+    folder = new_folder(spark, "by-day")
+    tables.write_events_by_day(rows, folder)
+    start = rows.agg(F.min("ts")).first()[0]
+    return tables.read_events_between(spark, folder, start + 86400, start + 5 * 86400 + 7).select("event_id", "user_id", "ts")

@@ -12,6 +12,7 @@ from tallyward.sources import star
 from tallyward.streaming import campaigns, deltas, hourly, surprise
 from tallyward.streaming.sources import file_stream, latest_per_key, parquet_step, run_available
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -43,7 +44,7 @@ def stream_hourly(spark, d):
 )
 def stream_deltas(spark, d):
     state, sink = new_folder(spark, "last-seen"), new_folder(spark, "deltas")
-    columns = ["user_id", "event_id", "ts", "ip", "device_fp", "country", "time"]
+    columns = ["user_id", "event_id", "ts", "ip", "device_fp", "country"]
     deltas.run_deltas(event_stream(spark, d).select(*columns), state, sink)
     return spark.read.parquet(sink).drop("batch")
 
@@ -68,16 +69,28 @@ def stream_campaign(spark, d):
     return latest_per_key(spark, sink, stream.schema, ["user_id"])
 
 
-@query("stream_surprise")
+@query(
+    "stream_surprise",
+    sql(
+        canon.SURPRISE,
+        """SELECT s.user_id, t.event_id, t.ts, s.surprise, false AS late,
+             CASE WHEN s.pos >= 15 THEN avg(s.surprise) OVER (PARTITION BY s.user_id ORDER BY s.pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) END AS rolling
+           FROM surprise s JOIN tail t ON t.user_id = s.user_id AND t.pos = s.pos + 1""",
+        user_id=INT, event_id=INT, ts=INT, surprise=DBL, rolling=DBL, late=BOOL,
+    ),
+)
 def stream_surprise(spark, d):
     table = sequence.transition_model(spark, d)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     n = star.table(spark, d, "embeddings").count()
     groups = star.table(spark, d, "embeddings").select(F.col("vec_id").alias("text_id"), F.col("label").alias("content"))
     text_id = ((F.col("user_id") * 3 + F.col("event_id") % 3) % n).alias("text_id")
     rows = event_stream(spark, d).select("user_id", "event_id", "ts", text_id).join(groups, "text_id").drop("text_id")
     sink = new_folder(spark, "surprise")
-    run_available(surprise.online_surprise(rows, table), parquet_step(sink), "surprise")
-    return spark.read.schema(surprise.OUTPUT).parquet(sink)
-
-
+    result = surprise.online_surprise(rows, table)
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)  # needed by processors with state; other streams keep the session's own
+    try:
+        run_available(result, parquet_step(sink), "surprise")
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    return spark.read.schema(result.schema).parquet(sink).drop("batch")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions import expr
-from tallyward.operators.skew import MAX_GROUP_ROWS, join_unique
+from tallyward.operators.skew import join_unique
 
 # Cluster count and campaign rule.
 CLUSTERS = 96
@@ -78,29 +78,26 @@ def kmeans_clusters(vectors: DataFrame, k: int = CLUSTERS, seed: int = 0) -> Dat
     return kmeans.fit(filled).transform(filled).select("text_key", embedding, "cluster").unionByName(empty)
 
 
-def vector_tightness(clustered: DataFrame, key: str = "text_id", max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def vector_tightness(clustered: DataFrame, key: str = "text_id") -> DataFrame:
     """Cosine of every vector to the mean direction of its cluster.
 
-    The mean vector is a combinable aggregate; one row per cluster goes back to the vectors, salted
-    where a cluster holds very many of them.
+    The mean vector is a combinable aggregate; one row per cluster goes back to the vectors.
     """
     raw = clustered.select(key, "cluster", array_to_vector("embedding").alias("_v"))
     units = Normalizer(inputCol="_v", outputCol="_u").transform(raw).select(key, "cluster", "_u")
     means = units.groupBy("cluster").agg(Summarizer.mean(F.col("_u")).alias("_m"))
     centroids = Normalizer(inputCol="_m", outputCol="_c").transform(means).select("cluster", "_c")
-    joined = join_unique(units, centroids, "cluster", key, max_rows)
+    joined = join_unique(units, centroids, "cluster")
     tight = expr.dot(vector_to_array("_u"), vector_to_array("_c"))
     return joined.select(key, "cluster", tight.alias("tight"))
 
 
-def attach_clusters(
-    events: DataFrame, texts: DataFrame, key: str = "text_id", how: str = "left", max_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def attach_clusters(events: DataFrame, texts: DataFrame, key: str = "text_id", how: str = "left") -> DataFrame:
     """Requests with what is known about their text (one row per text).
 
     One text may be a third of all requests; its requests are spread over several tasks.
     """
-    return join_unique(events, texts, key, "event_id", max_rows, how)
+    return join_unique(events, texts, key, how)
 
 
 def cluster_stats(events: DataFrame, active_accounts) -> DataFrame:

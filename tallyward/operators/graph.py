@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyward.functions import expr
 from tallyward.operators.components import connected_components
 from tallyward.operators.evaluate import union_all
-from tallyward.operators.skew import MAX_GROUP_ROWS, hot_groups, join_unique
+from tallyward.operators.skew import join_unique
 from tallyward.session import cut_lineage
 from tallyward.sources.schema import ASN_TYPES
 
@@ -82,9 +82,7 @@ def over_cap(fanout: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
     return union_all(rows)
 
 
-def star_links(
-    edges: DataFrame, entities: DataFrame, max_rows: int = MAX_GROUP_ROWS, hot: DataFrame | None | str = "unknown"
-) -> DataFrame:
+def star_links(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """(etype, entity_id, src, dst): every account of an entity linked to the smallest one.
 
     One link per account and entity, never a pair list. The entity side has one row per entity; the
@@ -92,7 +90,7 @@ def star_links(
     """
     keyed = edges.select("user_id", *ENTITY, F.concat_ws("|", *ENTITY).alias("_e"))
     hubs = entities.select(F.concat_ws("|", *ENTITY).alias("_e"), "hub")
-    joined = join_unique(keyed, hubs, "_e", "user_id", max_rows, hot=hot)
+    joined = join_unique(keyed, hubs, "_e")
     return joined.filter(F.col("user_id") != F.col("hub")).select(
         *ENTITY, F.col("user_id").alias("src"), F.col("hub").alias("dst")
     )
@@ -105,28 +103,24 @@ def link_counts(entities: DataFrame) -> DataFrame:
     ).orderBy("etype")
 
 
-def account_components(
-    edges: DataFrame, caps: dict[str, int] = CAPS, max_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def account_components(edges: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
     """(id, component_id) of accounts linked by shared entities.
 
     The edge table serves fan-out and links, so the event log is read once and the pairs are written.
     """
     edges = cut_lineage(edges.select("user_id", *ENTITY).withColumn("asn_type", F.lit(None).cast("string")), "pairs")
     entities = linking_entities(entity_fanout(edges), caps)
-    links = star_links(edges, entities, max_rows)
+    links = star_links(edges, entities)
     return connected_components(links, "src", "dst")
 
 
-def ring_flags(
-    accounts: DataFrame, components: DataFrame, min_size: int = MIN_RING, max_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def ring_flags(accounts: DataFrame, components: DataFrame, min_size: int = MIN_RING) -> DataFrame:
     """Component id, size and ring flag of every account; an unlinked account is its own component.
 
-    One component may hold a large part of all accounts, so the size is joined back with salting.
+    One component may hold a large part of all accounts, so its size is joined back where the engine can split it.
     """
     sizes = components.groupBy("component_id").agg(F.count("*").alias("_size"))
-    sized = join_unique(components, sizes, "component_id", "id", max_rows)
+    sized = join_unique(components, sizes, "component_id")
     members = sized.select(F.col("id").alias("user_id"), "component_id", "_size")
     size = F.coalesce("_size", F.lit(1)).cast("long")
     return accounts.join(members, "user_id", "left").select(
@@ -163,19 +157,15 @@ def entity_features(fanout: DataFrame) -> DataFrame:
     return fanout.select(*ENTITY, F.log1p("fanout").alias("log_degree"), *[c.alias(n) for n, c in hot.items()])
 
 
-def _mean_by(edges: DataFrame, values: DataFrame, on: str, to: list[str], cols: Sequence[str], max_rows: int, hot):
+def _mean_by(edges: DataFrame, values: DataFrame, on: str, to: list[str], cols: Sequence[str]):
     """Mean of ``cols`` over the ``on`` neighbours of each ``to`` node."""
-    joined = join_unique(edges, values, on, "_spread", max_rows, hot=hot)
+    joined = join_unique(edges, values, on)
     return joined.groupBy(*to).agg(*[F.avg(c).alias(c) for c in cols])
 
 
 def _typed_pairs(edges: DataFrame) -> DataFrame:
     """(user_id, etype, _e) with one string key per entity; written once because every step reads it."""
-    entity = F.concat_ws("|", *ENTITY)
-    return cut_lineage(
-        edges.select("user_id", "etype", entity.alias("_e"), F.concat_ws("|", "user_id", entity).alias("_spread")),
-        "pairs",
-    )
+    return cut_lineage(edges.select("user_id", "etype", F.concat_ws("|", *ENTITY).alias("_e")), "pairs")
 
 
 def propagate(
@@ -184,7 +174,6 @@ def propagate(
     cols: Sequence[str],
     etypes: Sequence[str] = ("ip", "device", "payment"),
     rounds: int = 1,
-    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Fixed propagation over the typed graph: account -> entity -> account means, per edge type.
 
@@ -194,15 +183,12 @@ def propagate(
     equi-joins and two combinable averages per round, whatever the number of types.
     """
     pairs = _typed_pairs(edges)
-    large = pairs.count() > max_rows
-    hot_users = hot_groups(pairs, ["user_id"], max_rows) if large else None
-    hot_entities = hot_groups(pairs, ["_e"], max_rows) if large else None
     out = features.select("user_id", *cols)
     current = list(cols)
     for r in range(1, rounds + 1):
         source = cut_lineage(out, f"round{r}")
-        to_entity = _mean_by(pairs, source.select("user_id", *current), "user_id", ["_e"], current, max_rows, hot_users)
-        reached = join_unique(pairs, to_entity, "_e", "_spread", max_rows, hot=hot_entities)
+        to_entity = _mean_by(pairs, source.select("user_id", *current), "user_id", ["_e"], current)
+        reached = join_unique(pairs, to_entity, "_e")
         names = {(t, c): f"{t}{r}_{c}" for t in etypes for c in current}
         back = reached.groupBy("user_id").agg(
             *[F.avg(F.when(F.col("etype") == t, F.col(c))).alias(n) for (t, c), n in names.items()]
@@ -212,13 +198,13 @@ def propagate(
     return out
 
 
-def neighbour_degrees(edges: DataFrame, fanout: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def neighbour_degrees(edges: DataFrame, fanout: DataFrame) -> DataFrame:
     """Per account and edge type: number of entities, and means of their node features."""
     nodes = entity_features(fanout)
     names = ["log_degree", *[f"asn_{a}" for a in ASN_TYPES]]
     keyed = nodes.select(F.concat_ws("|", *ENTITY).alias("_e"), *names)
     pairs = _typed_pairs(edges)
-    joined = join_unique(pairs, keyed, "_e", "_spread", max_rows)
+    joined = join_unique(pairs, keyed, "_e")
     return joined.groupBy("user_id", "etype").agg(
         F.count("*").alias("entities"), *[F.avg(c).alias(c) for c in names]
     )

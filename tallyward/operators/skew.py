@@ -113,9 +113,8 @@ def previous_row(sl: Slices, order: Sequence[str], columns: Sequence[str], name:
     carry = ends.select(
         *sl.group, F.lag("_end").over(Window.partitionBy(*sl.keys).orderBy(*sl.columns)).alias("_carry")
     ).filter(F.col("_carry").isNotNull())
-    # one row per slice of a hot group, a small multiple of total / max_rows
     return (
-        out.join(F.broadcast(carry), sl.group, "left")
+        out.join(carry, sl.group, "left")
         .withColumn(name, F.coalesce("_in", "_carry"))
         .drop("_in", "_carry")
     )
@@ -137,39 +136,22 @@ def running_sum(sl: Slices, order: Sequence[str | Column], weight: Column, name:
         F.sum("_n").over(by_key).alias("_all"),
     )
     return (
-        out.join(F.broadcast(offsets), sl.group, "left")
+        out.join(offsets, sl.group, "left")
         .withColumn(name, F.col(name) + F.coalesce("_off", F.lit(0)))
         .withColumn(total, F.coalesce("_all", F.col(total)))
         .drop("_off", "_all")
     )
 
 
-def join_unique(
-    rows: DataFrame,
-    dim: DataFrame,
-    on: str,
-    spread: str,
-    max_rows: int = MAX_GROUP_ROWS,
-    how: str = "inner",
-    hot: DataFrame | None | str = "unknown",
-) -> DataFrame:
-    """Join ``rows`` to ``dim`` (one row per ``on``), salting the keys that ``rows`` repeats very often.
+def join_unique(rows: DataFrame, dim: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to ``dim`` (one row per ``on``), whatever keys ``rows`` repeats.
 
-    Rows of a hot key are spread over several tasks by ``spread``; the one matching dimension row is
-    repeated that many times, and only for hot keys.
+    The engine splits the partitions of hot keys where it meets them (adaptive skew join), so nothing is
+    counted first. Rows without a key match nothing; they go round the join instead of into one partition.
     """
-    hot = hot_groups(rows, [on], max_rows) if isinstance(hot, str) else hot
-    if hot is None:
-        return rows.join(dim, on, how)
-    ways = hot.select(on, F.ceil(F.col("n") / max_rows).cast("int").alias("_ways"))
-    salted = (
-        rows.join(F.broadcast(ways), on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_ways", F.lit(1))).cast("int"))
-        .drop("_ways")
-    )
-    wide = (
-        dim.join(F.broadcast(ways), on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)))
-        .drop("_ways")
-    )
-    return salted.join(wide, [on, "_salt"], how).drop("_salt")
+    keyed = rows.filter(F.col(on).isNotNull()).join(dim, on, how)
+    if how == "inner":
+        return keyed
+    names = [c for c in dim.columns if c != on]
+    nothing = {c: F.lit(None).cast(dim.schema[c].dataType) for c in names}
+    return keyed.unionByName(rows.filter(F.col(on).isNull()).withColumns(nothing))

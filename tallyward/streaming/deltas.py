@@ -45,20 +45,37 @@ def _last_seen(spark: SparkSession, folder: str, number: int, schema: T.StructTy
     return seen
 
 
+def _first_deliveries(batch: DataFrame, sink: str, number: int) -> DataFrame:
+    """Rows of events that no earlier batch has written, each once.
+
+    A repeated delivery has the time of the first one, so only written rows in the time range of the batch are
+    looked at. No watermark is involved: an event is dropped for being a repetition, never for being late.
+    """
+    rows = batch.dropDuplicates(["event_id"])
+    if number == 0:
+        return rows
+    first, last = batch.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return rows
+    before = batch.sparkSession.read.parquet(*[f"{sink}/batch={n}" for n in range(number)])
+    written = before.filter(F.col("ts").between(first, last)).select("event_id")
+    return rows.join(written, "event_id", "left_anti").select(*batch.columns)
+
+
 def delta_step(state: str, sink: str, max_rows: int = MAX_GROUP_ROWS):
     """Batch function writing (event_id, user_id, ts, delta, change flags, late) to ``sink``."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         # a batch runs its source once: the lookup, the ordering and the state all read this copy
-        rows = batch.select("user_id", *CARRIED).persist()
+        rows = _first_deliveries(batch.select("user_id", *CARRIED), sink, number).persist()
         try:
             hot = hot_groups(rows, ["user_id"], max_rows)
             seen = _last_seen(spark, state, number, rows.schema)
             active = rows.select("user_id").distinct()
             known = seen.join(active, "user_id", "left_semi").select("user_id", F.struct(*CARRIED).alias("_seen"))
             late = F.coalesce(F.struct(*ORDER) < F.struct("_seen.ts", "_seen.event_id"), F.lit(False))
-            marked = join_unique(rows, known, "user_id", "event_id", max_rows, "left", hot).withColumn("late", late)
+            marked = join_unique(rows, known, "user_id", "left").withColumn("late", late)
             on_time = marked.filter(~F.col("late"))
             cut = slice_groups(on_time, ["user_id"], ORDER, max_rows, hot)
             inside = previous_row(cut, ORDER, CARRIED).withColumn("_prev", F.coalesce("_prev", "_seen"))
@@ -78,10 +95,6 @@ def delta_step(state: str, sink: str, max_rows: int = MAX_GROUP_ROWS):
     return step
 
 
-def run_deltas(events: DataFrame, state: str, sink: str, max_rows: int = MAX_GROUP_ROWS, lateness: str = "1 hour") -> None:
-    """``events`` has user_id, event_id, ts, ip, device_fp, country and a timestamp ``time``.
-
-    Repeated deliveries of one event are removed inside the watermark first.
-    """
-    unique = events.withWatermark("time", lateness).dropDuplicatesWithinWatermark(["event_id"])
-    run_available(unique.drop("time"), delta_step(state, sink, max_rows), "deltas")
+def run_deltas(events: DataFrame, state: str, sink: str, max_rows: int = MAX_GROUP_ROWS) -> None:
+    """``events`` has user_id, event_id, ts, ip, device_fp and country; further columns are left out."""
+    run_available(events.select("user_id", *CARRIED), delta_step(state, sink, max_rows), "deltas")

@@ -1,4 +1,8 @@
-"""Online surprise: the transition model applied event by event, with a rolling mean per account."""
+"""Online surprise: the transition model applied event by event, with a rolling mean per account.
+
+An event older than the last one of its account is late: it is emitted with ``late`` set and without a surprise,
+and leaves the account's state alone. A repeated delivery of the last event adds nothing.
+"""
 
 from __future__ import annotations
 
@@ -14,16 +18,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallyward.functions.expr import DELTA_BUCKETS
 from tallyward.operators.sequence import CONTENT_BUCKETS, SMOOTH
 
-OUTPUT = T.StructType(
-    [
-        T.StructField("user_id", T.LongType()),
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.LongType()),
-        T.StructField("surprise", T.DoubleType()),
-        T.StructField("rolling", T.DoubleType()),
-    ]
-)
-LAST = T.StructType([T.StructField(n, T.LongType()) for n in ("ts", "gap", "content")])
+def output(user_type: T.DataType) -> T.StructType:
+    """Result columns; ids of accounts keep their type."""
+    kinds = {"user_id": user_type, "event_id": T.LongType(), "ts": T.LongType(), "surprise": T.DoubleType(), "rolling": T.DoubleType()}
+    return T.StructType([T.StructField(n, t) for n, t in [*kinds.items(), ("late", T.BooleanType())]])
+
+
+LAST = T.StructType([T.StructField(n, T.LongType()) for n in ("ts", "gap", "content", "event_id")])
 RING = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
 
 
@@ -51,9 +52,20 @@ class Surprise(StatefulProcessor):
         self.ring = handle.getValueState("ring", RING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        ts, content = batch["ts"].to_numpy(np.int64), batch["content"].to_numpy(np.int64)
+        batch = pd.concat(list(rows)).drop_duplicates("event_id").sort_values(["ts", "event_id"], kind="stable")
         last = self.last.get() if self.last.exists() else None
+        columns = ["user_id", "event_id", "ts", "surprise", "rolling", "late"]
+        if last:
+            at = list(zip(batch["ts"], batch["event_id"]))
+            old = np.array([a < (last[0], last[3]) for a in at])
+            again = np.array([a == (last[0], last[3]) for a in at])
+            if old.any():
+                late = batch.loc[old, ["event_id", "ts"]].assign(user_id=key[0], surprise=np.nan, rolling=np.nan, late=True)
+                yield late[columns]
+            batch = batch[~old & ~again]
+            if batch.empty:
+                return
+        ts, content = batch["ts"].to_numpy(np.int64), batch["content"].to_numpy(np.int64)
         before = np.concatenate(([last[0] if last else ts[0]], ts[:-1]))
         gap = np.clip(np.floor(np.log10(np.maximum(ts - before, 1))), 0, DELTA_BUCKETS - 1).astype(np.int64)
         from_gap = np.concatenate(([last[1] if last else 0], gap[:-1]))
@@ -65,10 +77,10 @@ class Surprise(StatefulProcessor):
         sums = np.concatenate(([0.0], np.cumsum(series)))
         n, w = len(series), self.width
         rolling = [(sums[i + 1] - sums[i + 1 - w]) / w if i + 1 >= w else None for i in range(len(kept), n)]
-        self.last.update((int(ts[-1]), int(gap[-1]), int(content[-1])))
+        self.last.update((int(ts[-1]), int(gap[-1]), int(content[-1]), int(batch["event_id"].iloc[-1])))
         self.ring.update((series[-w:].tolist(),))
-        out = batch[["event_id", "ts"]].iloc[start:].assign(user_id=key[0], surprise=loss[start:], rolling=rolling)
-        yield out[["user_id", "event_id", "ts", "surprise", "rolling"]].astype({"rolling": "float64"})
+        out = batch[["event_id", "ts"]].iloc[start:].assign(user_id=key[0], surprise=loss[start:], rolling=rolling, late=False)
+        yield out[columns].astype({"rolling": "float64"})
 
     def close(self) -> None:
         pass
@@ -82,5 +94,5 @@ def online_surprise(events: DataFrame, model_table: DataFrame) -> DataFrame:
     """
     gap, content = loss_tables(model_table.collect())
     return events.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Surprise(gap, content), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=Surprise(gap, content), outputStructType=output(events.schema["user_id"].dataType), outputMode="Append", timeMode="None"
     )

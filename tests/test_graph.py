@@ -93,7 +93,6 @@ def test_star_links_are_one_per_member(world):
     entities = g.linking_entities(g.entity_fanout(edges))
     plain = sorted(map(tuple, g.star_links(edges, entities).collect()))
     assert len(plain) == 9 + 10 + 3 and all(src != dst for *_, src, dst in plain)
-    assert sorted(map(tuple, g.star_links(edges, entities, max_rows=3).collect())) == plain
 
 
 def test_ring_flags_and_report(world):

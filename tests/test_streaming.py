@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyward.operators import sequence as seq
 from tallyward.session import new_folder
@@ -79,6 +80,29 @@ def test_duplicate_deliveries_are_dropped(spark):
     assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [1, 2]
 
 
+def test_late_events_survive_the_stream(spark):
+    """Events days older than the newest one, one of them the first of its account, are all written."""
+    day = 86400
+    parts = [[event(1, 1, 9 * day)], [event(2, 1, 20 * day)], [event(3, 1, 5), event(4, 2, 7), event(2, 1, 20 * day)], [event(5, 1, 21 * day)]]
+    state, sink = new_folder(spark, "state"), new_folder(spark, "sink")
+    deltas.run_deltas(timed(feed(spark, *[events(spark, *p) for p in parts])), state, sink)
+    got = {r.event_id: (r.delta, r.late) for r in spark.read.parquet(sink).collect()}
+    assert got == {1: (0, False), 2: (11 * day, False), 3: (0, True), 4: (0, False), 5: (day, False)}
+
+
+def test_late_event_does_not_move_the_surprise_state_back(spark):
+    model = spark.createDataFrame([("gap", 0, 0, 0, 1, 1, 0.5)], "head string, gap int, content int, next int, n long, total long, p double")
+    columns = "user_id long, event_id long, ts long, content int"
+    parts = [[(1, 1, 100_000, 0), (1, 2, 100_200, 0)], [(1, 3, 50, 0), (1, 2, 100_200, 0)], [(1, 4, 100_300, 0)]]
+    def run(batches):
+        sink = new_folder(spark, "surprise")
+        stream = feed(spark, *[spark.createDataFrame(b, columns) for b in batches])
+        run_available(surprise.online_surprise(stream, model), parquet_step(sink), "surprise")
+        return {r.event_id: (r.surprise, r.late) for r in spark.read.parquet(sink).collect()}
+    got, clean = run(parts), run([parts[0], parts[2]])
+    assert got[4] == clean[4] and got[3] == (None, True) and got[2] == clean[2] and set(got) == {2, 3, 4}
+
+
 def test_campaign_counts(spark, halves):
     log, parts = halves
     text = (F.col("event_id") % 6).alias("text_id")
@@ -102,7 +126,7 @@ def test_online_surprise_equals_batch(spark, halves):
     stream = feed(spark, *parts).select("user_id", "event_id", "ts", content)
     sink = new_folder(spark, "surprise")
     run_available(surprise.online_surprise(stream, seq.transition_table(model)), parquet_step(sink), "surprise")
-    got = spark.read.schema(surprise.OUTPUT).parquet(sink).orderBy("user_id", "ts", "event_id").collect()
+    got = spark.read.schema(surprise.output(T.LongType())).parquet(sink).orderBy("user_id", "ts", "event_id").collect()
     assert len(got) == len(want)
     assert all(abs(g.surprise - w.surprise) < 1e-9 for g, w in zip(got, want))
     mine = [g for g in got if g.user_id == 1]
