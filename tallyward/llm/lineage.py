@@ -1,26 +1,21 @@
 """Tables in the folder shared by all executors.
 
-``spark.checkpoint.dir`` names the folder; a session without it (tests, a local run) must have set one on
-its context. Intermediate results are written there as Parquet, so a lost executor costs a re-read.
+``spark.checkpoint.dir`` names the folder; only a local session without it gets one of its own. Intermediate
+results are written there as Parquet, so a lost executor costs a re-read.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return f"{found.rstrip('/')}/tallyward-llm"
+from tallyward.session import shared_folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder, and read from there."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tallyward-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
