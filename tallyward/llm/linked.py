@@ -6,13 +6,13 @@ chunks, rounds of star contraction join what the chunks have found. In a round e
 one (large star), then its smaller neighbours to the smallest one (small star); a round that changes
 nothing leaves stars around the smallest id of each component. Minima are aggregates and the joins back
 to the edges can be split by the engine, so no vertex has its neighbours gathered in one place. Each
-round is one written table; its row count and hash sum are observed during the write.
+round is one written table.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm.lineage import drop, written
@@ -69,11 +69,11 @@ def _small(e: DataFrame) -> DataFrame:
     return handed.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _observed(e: DataFrame) -> tuple[DataFrame, tuple]:
-    seen = Observation()
+def _marked(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """A written round with its row count and an order-free hash sum."""
+    table = written(e, "star")
     mark = F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))
-    table = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(mark).alias("s")), "star")
-    return table, (seen.get["n"], seen.get["s"])
+    return table, tuple(table.agg(F.count(F.lit(1)), F.sum(mark)).first())
 
 
 def components(edges: DataFrame, src: str, dst: str, chunk: int = CHUNK) -> DataFrame:
@@ -83,15 +83,15 @@ def components(edges: DataFrame, src: str, dst: str, chunk: int = CHUNK) -> Data
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).isNotNull().alias("a"), F.col(dst).isNotNull().alias("b"))
     e = e.filter(F.col("a") & F.col("b") & (F.col("u") != F.col("v"))).select("u", "v").distinct()
-    now, (n, mark) = _observed(e)
+    now, (n, mark) = _marked(e)
     while n:
         chunks = -(-n // chunk)
-        stars, (n, mark) = _observed(_forest(now.coalesce(chunks), chunk))
+        stars, (n, mark) = _marked(_forest(now.coalesce(chunks), chunk))
         drop(now)
         now = stars
         if chunks == 1:
             break
-        after, new = _observed(_small(_large(now)))
+        after, new = _marked(_small(_large(now)))
         drop(now)
         now, settled = after, new == (n, mark)
         n, mark = new
