@@ -181,7 +181,47 @@ def train(model: Model, inputs: np.ndarray, targets: np.ndarray, first: np.ndarr
                 w[name] -= (now / (1 - 0.9**step) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
+class Steps:
+    """Adam steps on a copy of a model; rows of the table of subwords are moved only in steps that see them."""
+
+    def __init__(self, model: Model, rate: float):
+        self.model = Model(model.cls, model.inside, {name: a.copy() for name, a in model.weights.items()})
+        self.first = {name: np.zeros_like(a) for name, a in model.weights.items()}
+        self.second = {name: np.zeros_like(a) for name, a in model.weights.items()}
+        self.seen = np.zeros(len(model.cls), np.int64)  # positions that had each subword
+        self.rate, self.step, self.targets = rate, 0, 0
+
+    def take(self, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray) -> None:
+        g, dx = _backward(self.model, inputs, targets, first)
+        flat = inputs.ravel()
+        order = np.argsort(flat, kind="stable")
+        ids, starts, times = np.unique(flat[order], return_index=True, return_counts=True)
+        g["id"] = np.add.reduceat(dx.reshape(-1, DIM)[order], starts, axis=0)
+        g["class"] = np.zeros_like(self.model.weights["class"])
+        np.add.at(g["class"], self.model.cls[ids], g["id"])
+        self.seen[ids] += times
+        self.targets += int((targets >= 0).sum())
+        self.step += 1
+        now = self.rate * min(1.0, self.step / 30) / (1 - 0.9**self.step)
+        for name, change in g.items():
+            rows = ids if name == "id" else slice(None)
+            m = 0.9 * self.first[name][rows] + 0.1 * change
+            v = 0.99 * self.second[name][rows] + 0.01 * change * change
+            self.first[name][rows], self.second[name][rows] = m, v
+            self.model.weights[name][rows] -= (now * m / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+
+
 def gradients(model: Model, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    g, dx = _backward(model, inputs, targets, first)
+    w = model.weights
+    g["id"], g["class"] = np.zeros_like(w["id"]), np.zeros_like(w["class"])
+    np.add.at(g["id"], inputs.ravel(), dx.reshape(-1, DIM))
+    np.add.at(g["class"], model.cls[inputs].ravel(), dx.reshape(-1, DIM))
+    return g
+
+
+def _backward(model: Model, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of all weights but the tables of subwords and classes, and the gradient of their sum at each position."""
     w = model.weights
     x, near, q, k, v, a, mixed, joined, hidden, top, logits = model.forward(inputs, first)
     real = targets >= 0
@@ -209,7 +249,4 @@ def gradients(model: Model, inputs: np.ndarray, targets: np.ndarray, first: np.n
     dx = dk @ w["k"].T + dv @ w["v"].T
     dx[:, NEAR] += dnear + dq @ w["q"].T * scale
     g["place"] = dx.sum(0)
-    g["id"], g["class"] = np.zeros_like(w["id"]), np.zeros_like(w["class"])
-    np.add.at(g["id"], inputs.ravel(), dx.reshape(-1, DIM))
-    np.add.at(g["class"], model.cls[inputs].ravel(), dx.reshape(-1, DIM))
-    return g
+    return g, dx

@@ -8,8 +8,12 @@ is one range per block, so the size of a group does not grow with the corpus. Wo
 hashes.
 
 The subword counts of the training documents (one number for each id of a fixed vocabulary) are summed over
-the corpus and give the classes of the attention model. The network is trained on the driver on at most
-``TRAIN_WINDOWS`` windows of a sample of training documents, then scores all texts in a pass of its own.
+the corpus and give the classes of the attention model. The network is trained on all windows of all
+training documents: it starts from weights found on the driver on at most ``TRAIN_WINDOWS`` windows of a
+sample, and ``ROUNDS`` passes, each over its own part of the documents, move them. In a round every task
+takes Adam steps over all its windows, and what the tasks changed is averaged in a tree: by the number of
+targets, and for each row of the table of subwords by the places that had it, so a subword that few tasks
+see is learned from those. The network then scores all texts in a pass of its own.
 
 Defined results: a null or empty text has the end token alone; texts are read whole; rows with the same id
 and text are scored alike and returned each; a null id counts as the empty text for the fold; without
@@ -37,6 +41,12 @@ BLOCK_TOKENS = 3_000_000
 SAMPLE_DOCS = 900
 WINDOWS_A_DOC = 8
 TRAIN_WINDOWS = 6000
+ROUNDS = 3
+RATES = (0.002, 0.001, 0.0005)  # of the rounds
+STEP_WINDOWS = 64
+POOL_WINDOWS = 4096  # windows of neighbouring documents that are shuffled together
+SLICE_ROWS = 2048  # rows of the table of subwords that are averaged in one group
+BRANCH = 32  # tasks whose changes are added in one group of the first level
 END = b"\xff"  # no word of a text: UTF-8 has no such byte
 
 _ENCODINGS: dict = {}
@@ -224,8 +234,99 @@ def subword_counts(stored: DataFrame, n_ids: int) -> np.ndarray:
     return out
 
 
+def _other_weights(model: attention.Model) -> list[str]:
+    return sorted(set(model.weights) - {"id"})
+
+
+def _changes(start: attention.Model, steps: attention.Steps):
+    """(slice, weights of its rows, their changes times these weights); slice -1 has all but the table of subwords."""
+    new = steps.model.weights
+    rest = np.concatenate([(new[k] - start.weights[k]).ravel() for k in _other_weights(start)]).astype(np.float64)
+    yield -1, np.array([steps.targets], np.float64), rest * steps.targets
+    change = new["id"] - start.weights["id"]
+    for k in range(0, len(change), SLICE_ROWS):
+        times = steps.seen[k : k + SLICE_ROWS].astype(np.float64)
+        if times.any():
+            yield k // SLICE_ROWS, times, change[k : k + SLICE_ROWS] * times[:, None]
+
+
+def _added(data: pa.Table) -> pa.Table:
+    """One row for the rows of a slice, with the sums of weights and of changes."""
+    rows = data.sort_by("task")
+    total = lambda name: pack(sum(unpack(b, np.float64) for b in rows.column(name).to_pylist()))
+    least = rows.slice(0, 1)
+    return pa.table(
+        {"slice": least.column("slice"), "task": least.column("task"), "times": pa.array([total("times")], pa.binary()), "change": pa.array([total("change")], pa.binary())}
+    )
+
+
+def train_round(df: DataFrame, id_col: str, text_col: str, model: attention.Model, ranks, pattern: str, part: int, parts: int, rate: float) -> int:
+    """Move the model by all windows of the training documents whose text hash falls into the part; the number of targets."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    schema = "slice int, task long, times binary, change binary"
+
+    def learn(batches):
+        from pyspark import TaskContext
+
+        tool, start, task = encoding(ranks.value, pattern), shared.value, TaskContext.get().partitionId()
+        steps, rng = attention.Steps(start, rate), np.random.default_rng(task)
+        pool, held = [], 0
+
+        def use():
+            inputs, targets, first = (np.concatenate(p) for p in zip(*pool))
+            order = rng.permutation(len(inputs))
+            for k in range(0, len(order), STEP_WINDOWS):
+                pick = order[k : k + STEP_WINDOWS]
+                steps.take(inputs[pick], targets[pick], first[pick])
+
+        for batch in batches:
+            for doc, value in zip(*batch.columns):
+                if remainder(doc.as_py()) == 1:
+                    continue
+                inputs, targets, first = attention.windows(np.array(tool.encode_ordinary(value.as_py() or ""), np.int32), tool.n_vocab)
+                for k in range(0, len(inputs), POOL_WINDOWS):
+                    cut = slice(k, k + POOL_WINDOWS)
+                    pool.append((inputs[cut], targets[cut], first[cut]))
+                    held += len(first[cut])
+                    if held >= POOL_WINDOWS:
+                        use()
+                        pool, held = [], 0
+        if pool:
+            use()
+        if steps.step:
+            for number, times, change in _changes(start, steps):
+                yield pa.RecordBatch.from_pydict(
+                    {"slice": pa.array([number], pa.int32()), "task": [task], "times": [pack(times)], "change": [pack(change)]}
+                )
+
+    mine = F.pmod(F.xxhash64(F.col(text_col)), F.lit(parts)) == part
+    changes = df.filter(mine).select(id_col, text_col).mapInArrow(learn, schema)
+    branches = changes.groupBy("slice", F.expr(f"task div {BRANCH}")).applyInArrow(lambda _, data: _added(data), schema)
+    rows = branches.groupBy("slice").applyInArrow(_added, schema).collect()  # one row a slice of the model
+    shared.destroy()
+    targets = 0
+    for row in rows:
+        times, change = unpack(row["times"], np.float64), unpack(row["change"], np.float64)
+        if row["slice"] < 0:
+            targets, at = int(times[0]), 0
+            for name in _other_weights(model):
+                w = model.weights[name]
+                w += (change[at : at + w.size] / times[0]).reshape(w.shape).astype(np.float32)
+                at += w.size
+        else:
+            k = row["slice"] * SLICE_ROWS
+            mean = change.reshape(len(times), -1) / np.maximum(times, 1)[:, None]
+            model.weights["id"][k : k + len(times)] += mean.astype(np.float32)
+    return targets
+
+
+def train_on_all(df: DataFrame, id_col: str, text_col: str, model: attention.Model, ranks, pattern: str) -> int:
+    """Train the model on every window of every training document; the number of targets it was trained on."""
+    return sum(train_round(df, id_col, text_col, model, ranks, pattern, k, ROUNDS, RATES[k]) for k in range(ROUNDS))
+
+
 def train_windows(df: DataFrame, id_col: str, text_col: str, ranks, pattern: str, sample_docs: int, limit: int) -> tuple:
-    """At most ``limit`` windows (inputs, targets, first) of a sample of training documents."""
+    """At most ``limit`` windows (inputs, targets, first) of a sample of training documents, for the first weights."""
     n = df.count()
     sample = df.select(id_col, text_col).sample(min(1.0, sample_docs / max(n, 1)), seed=13)
 
@@ -285,6 +386,7 @@ def score_documents(
     drop(stored)
     drop(totals)
     attention.train(model, *train_windows(df, id_col, text_col, ranks, pattern, sample_docs, train_limit))
+    train_on_all(df, id_col, text_col, model, ranks, pattern)
     scored = model_scores(df, id_col, text_col, model, ranks, pattern)
     # rows with the same id and text have the same values, so one of them is enough on the joined side
     once = base.dropDuplicates(["doc", "key"]).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "held_out", "n_tokens", "n_known", "base_score")

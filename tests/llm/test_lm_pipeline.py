@@ -159,6 +159,34 @@ def test_awkward_documents(spark):
     assert score(empty(spark)) == []
 
 
+def test_model_learns_from_every_window(spark, monkeypatch):
+    import public_tokenizers
+
+    path, pattern = tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(path, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    tool = lm_scores.encoding(ranks.value, pattern)
+    # more windows than a document gave to the sample before, and a rare ending that only its last window has
+    rows = [(k, prose(k, 40)) for k in range(40)] + [(2000, prose(99, 4000) + " \u4f60\u597d\u4e16\u754c"), (None, None)]
+    ids = [tool.encode_ordinary(t or "") for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
+    assert max(map(len, ids)) > 50 * attention.STRIDE
+    counts = np.bincount(np.concatenate([*map(np.array, ids)]).astype(int), minlength=tool.n_vocab + 1)
+    model = attention.Model(*attention.classes_of(counts))
+    model.start()
+    before = {k: v.copy() for k, v in model.weights.items()}
+    df = documents(spark, *[doc(i, t) for i, t in rows]).repartition(5)
+    assert lm_scores.train_on_all(df, "doc_id", "text", model, ranks, pattern) == sum(len(x) + 1 for x in ids)
+    moved = np.abs(model.weights["id"] - before["id"]).max(1) > 0
+    assert (moved[: tool.n_vocab] == (counts[: tool.n_vocab] > 0)).mean() > 0.999 and moved[counts > 0].mean() > 0.95
+    assert all(np.abs(v - before[k]).max() > 0 and np.isfinite(v).all() for k, v in model.weights.items())
+    # the scoring job itself trains on as many
+    seen = []
+    whole = lm_scores.train_on_all
+    monkeypatch.setattr(lm_scores, "train_on_all", lambda *a: seen.append(whole(*a)))
+    score(df)
+    assert seen == [sum(len(x) + 1 for x in ids)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     whole = {r["doc_id"]: r for r in docs.collect()}
