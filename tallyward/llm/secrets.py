@@ -8,8 +8,12 @@ in overlapping windows and keep their highest score, so nothing is cut off.
 The network (numpy) embeds character classes, convolves, pools over the candidate and over its context,
 and ends in a logistic unit. It is trained on labelled findings: spans confirmed by a base pattern and
 well-known token formats are secrets; other candidates of the sample are not. The sample is bounded by
-``SAMPLE_FINDINGS`` of each kind. Scores are calibrated by Platt scaling on a third of the findings, and
-the threshold is the highest one that keeps ``RECALL`` of the calibration positives.
+``SAMPLE_FINDINGS`` of each kind. A fifth of the rows, by a hash of the text, is held out from the fit. The
+network scores all secrets of all held-out rows, and one row per bin of a fixed scale comes back; Platt
+scaling takes these bins and the made findings that were held out, each label with the same weight, and the
+threshold is the lower edge of the highest bin that keeps ``RECALL`` of the secrets of the held-out rows,
+however low that is. Candidates without a label are not in the calibration. Without secrets in held-out rows,
+scaling and threshold come from the findings that were held out of the sample.
 
 Defined results: a null or empty text has no spans and the digest of the empty string; texts are read
 whole; overlapping kinds are all reported; rows are independent, so repeated rows and null ids are
@@ -47,7 +51,9 @@ LEAST_CANDIDATE = 16
 SAMPLE_FINDINGS = 1500
 SAMPLE_ROWS = 4000
 RECALL = 0.99
-LEAST_THRESHOLD = 0.5
+LEAST_THRESHOLD = 0.5  # of a network that is not calibrated yet
+HELD_OUT = 5  # one row of so many is held out
+BINS, BINS_A_UNIT = 4096, 128  # bins of logits on either side of 0
 CONTEXT, BODY = 16, 48
 WIDTH = BODY + 2 * CONTEXT
 FILTERS, EMBED, KERNEL = 12, 8, 5
@@ -140,6 +146,7 @@ class Network:
     slope: float = 1.0
     offset: float = 0.0
     threshold: float = LEAST_THRESHOLD
+    recall: float = 1.0  # reached on the findings of the calibration
 
     def forward(self, codes: np.ndarray, inside: np.ndarray) -> tuple:
         x = self.embed[codes]  # rows, width, embed
@@ -157,8 +164,14 @@ class Network:
 
     def score(self, items: list[tuple[str, int]]) -> np.ndarray:
         """Calibrated probabilities."""
-        logits = [self.forward(*encode_windows(items[k : k + 512]))[-1] for k in range(0, len(items), 512)]
-        return 1 / (1 + np.exp(-(self.slope * np.concatenate(logits) + self.offset))) if logits else np.zeros(0)
+        return self.calibrated(self.logits(items))
+
+    def logits(self, items: list[tuple[str, int]]) -> np.ndarray:
+        parts = [self.forward(*encode_windows(items[k : k + 512]))[-1] for k in range(0, len(items), 512)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * logits + self.offset)))
 
 
 def train(items: list[tuple[str, int]], labels: np.ndarray, epochs: int = 12, seed: int = 5) -> Network:
@@ -207,23 +220,40 @@ def train(items: list[tuple[str, int]], labels: np.ndarray, epochs: int = 12, se
 
 
 def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray) -> None:
-    """Platt scaling by Newton steps with the usual smoothed targets, then the threshold for the recall."""
-    n_pos, n_neg = labels.sum(), len(labels) - labels.sum()
+    """Scaling and threshold from single findings."""
+    scale(net, logits, labels, np.ones(len(logits)))
+    scores = np.sort(net.calibrated(logits[labels == 1]))
+    if len(scores) and len(scores) < len(logits):
+        at = int((1 - RECALL) * len(scores))
+        net.threshold, net.recall = float(scores[at] - 1e-9), 1 - at / len(scores)
+
+
+def scale(net: Network, logits: np.ndarray, labels: np.ndarray, times: np.ndarray) -> None:
+    """Platt scaling by Newton steps with the usual smoothed targets, over logits that occur some number of times."""
+    n_pos, n_neg = (times * labels).sum(), (times * (1 - labels)).sum()
     if not n_pos or not n_neg:
         return
     target = np.where(labels == 1, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
     a, b = 1.0, 0.0
     for _ in range(30):
         p = 1 / (1 + np.exp(-(a * logits + b)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - target) * logits).sum(), (p - target).sum()])
+        w = times * np.maximum(p * (1 - p), 1e-6)
+        g = np.array([(times * (p - target) * logits).sum(), (times * (p - target)).sum()])
         hess = np.array([[(w * logits**2).sum(), (w * logits).sum()], [(w * logits).sum(), w.sum()]]) + 1e-3 * np.eye(2)
         a, b = np.array([a, b]) - np.linalg.solve(hess, g)
-    if a <= 0:
+    if not np.isfinite([a, b]).all() or a <= 0:
         a, b = 1.0, 0.0
     net.slope, net.offset = float(a), float(b)
-    scores = np.sort(1 / (1 + np.exp(-(a * logits[labels == 1] + b))))
-    net.threshold = float(max(LEAST_THRESHOLD, scores[int((1 - RECALL) * len(scores))] - 1e-9))
+
+
+def least_bin(bins: dict[int, int]) -> tuple[int, float]:
+    """The highest bin whose lower edge keeps ``RECALL`` of the counted scores, and the recall that it reaches."""
+    total, kept = sum(bins.values()), 0
+    for b in sorted(bins, reverse=True):
+        kept += bins[b]
+        if kept >= RECALL * total:
+            return b, kept / total
+    return -BINS, 1.0
 
 
 # Well-known token formats: prefix, alphabet, length.
@@ -271,24 +301,59 @@ def made_findings(n: int, seed: int = 11) -> list[tuple[str, int, int]]:
     return out
 
 
+def held_out(text_col: str):
+    return F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(HELD_OUT)) == 0
+
+
+def labelled(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, label) of the findings of a text: 1 for secrets by their form, 0 for other candidates."""
+    raw = encode(text)
+    base = base_spans(text, raw)
+    found = [(a, b, 0) for a, b in outside(candidates(text, raw), base)]
+    for a, b, kind in base:
+        # only the value of an assignment is the secret; its name is context
+        m = ASSIGN.match(text, a) if kind == "assign" else None
+        found.append((m.start(2) if m else a, b, 1))
+    return found
+
+
+def secret_bins(df: DataFrame, net: Network, text_col: str = "text") -> dict[int, int]:
+    """Number of secrets by bin of their logit (the highest one of their windows), over all rows."""
+    weights = df.sparkSession.sparkContext.broadcast(net)  # some kilobytes, of fixed size
+
+    def read(batches):
+        for batch in batches:
+            found: dict[int, int] = {}
+            for part, texts in _chunks(batch, 0):
+                items, owner, n = [], [], 0
+                for text in texts:
+                    for a, b, label in labelled(text):
+                        if label:
+                            more = windows(text, a, b)
+                            items += more
+                            owner += [n] * len(more)
+                            n += 1
+                best = np.full(n, -np.inf)
+                np.maximum.at(best, np.array(owner, np.int64), weights.value.logits(items))
+                for b, times in zip(*np.unique(np.clip(np.floor(best * BINS_A_UNIT), -BINS, BINS).astype(np.int64), return_counts=True)):
+                    found[int(b)] = found.get(int(b), 0) + int(times)
+            yield pa.RecordBatch.from_pydict({"bin": pa.array(found.keys(), pa.int64()), "n": pa.array(found.values(), pa.int64())})
+
+    bins = df.select(text_col).mapInArrow(read, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return {r["bin"]: r["n"] for r in bins.collect()}  # at most 2 BINS + 1 rows
+
+
 def findings(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Labelled windows (window, size, secret) from a sample of about ``sample_rows`` rows."""
     n = df.count()
-    sample = df.select(text_col).sample(min(1.0, sample_rows / max(n, 1)), seed=3)
+    sample = df.filter(~held_out(text_col)).select(text_col).sample(min(1.0, sample_rows / max(n, 1)), seed=3)
 
     def read(batches):
         for batch in batches:
             out: dict[str, list] = {"window": [], "size": [], "secret": []}
             for value in batch.column(0):
                 text = value.as_py() or ""
-                raw = encode(text)
-                base = base_spans(text, raw)
-                found = [(*s, 0) for s in outside(candidates(text, raw), base)]
-                for a, b, kind in base:
-                    # only the value of an assignment is the secret; its name is context
-                    m = ASSIGN.match(text, a) if kind == "assign" else None
-                    found.append((m.start(2) if m else a, b, 1))
-                for a, b, label in found:
+                for a, b, label in labelled(text):
                     for window, size in windows(text, a, b)[:1]:
                         out["window"].append(window)
                         out["size"].append(size)
@@ -309,7 +374,20 @@ def fit(df: DataFrame, text_col: str = "text", sample_findings: int = SAMPLE_FIN
         taken += [((r["window"], r["size"]), label) for r in rows]
     for text, a, b, label in made_findings(sample_findings):
         taken.append((windows(text, a, b)[0], label))
-    return train([item for item, _ in taken], np.array([label for _, label in taken]))
+    net = train([item for item, _ in taken], np.array([label for _, label in taken]))
+    bins = secret_bins(df.filter(held_out(text_col)), net, text_col)
+    if bins:
+        made = made_findings(sample_findings, seed=12)  # not those of the fit
+        logits, labels = net.logits([windows(t, a, b)[0] for t, a, b, _ in made]), np.array([x[3] for x in made])
+        places, times = np.array([*bins]), np.array([*bins.values()], float)
+        x = np.concatenate([logits, (places + 0.5) / BINS_A_UNIT])
+        y = np.concatenate([labels, np.ones(len(places))])
+        many = np.concatenate([np.ones(len(logits)), times])
+        n_neg = (labels == 0).sum()
+        scale(net, x, y, np.where(y == 1, many * n_neg / many[y == 1].sum(), many))
+        least, net.recall = least_bin(bins)
+        net.threshold = float(net.calibrated(np.array(least / BINS_A_UNIT)) - 1e-9) if least > -BINS else 0.0
+    return net
 
 
 def detect(texts: list[str], net: Network) -> list[list[tuple[int, int, str]]]:

@@ -1,6 +1,7 @@
 """Licenses, secrets, quality and pieces: brute force, edge cases, and the registered queries on whole tables."""
 
 import collections
+import dataclasses
 import hashlib
 import random
 import re
@@ -220,3 +221,23 @@ def test_null_and_empty_texts(spark, network):
 
 def test_training_without_candidates(spark):
     assert secrets.fit(empty(spark), sample_findings=100).threshold >= secrets.LEAST_THRESHOLD
+
+
+def test_threshold_keeps_the_recall_however_low(network):
+    logits = np.concatenate([np.full(90, 3.0), np.full(10, -4.0), np.full(100, -6.0)])
+    net = dataclasses.replace(network)
+    secrets.calibrate(net, logits, np.repeat([1, 0], 100))
+    assert (net.calibrated(logits[:100]) >= net.threshold).mean() >= secrets.RECALL and net.threshold < 0.5
+    assert secrets.least_bin({5: 90, -300: 10}) == (-300, 1.0)
+    assert secrets.least_bin({5: 990, -300: 10}) == (5, 0.99)
+
+
+def test_threshold_comes_from_all_held_out_rows(spark):
+    rows = [doc(k, f"x{k} password = {'ab cd ef'.split()[k % 3]}{k:06d}zz, then {prose(k, 5)}") for k in range(400)]
+    df = documents(spark, *rows)
+    net = secrets.fit(df, sample_findings=60, sample_rows=5)
+    bins = secrets.secret_bins(df.filter(secrets.held_out("text")), net)
+    held = [r["text"] for r in df.filter(secrets.held_out("text")).collect()]
+    assert sum(bins.values()) == len(held) > 40
+    scores = [net.score(secrets.windows(t, a, b)).max() for t in held for a, b, label in secrets.labelled(t) if label]
+    assert (np.array(scores) >= net.threshold).mean() >= secrets.RECALL
