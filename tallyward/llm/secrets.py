@@ -7,7 +7,8 @@ in overlapping windows and keep their highest score, so nothing is cut off.
 
 The network (numpy) embeds character classes, convolves, pools over the candidate and over its context,
 and ends in a logistic unit. It is trained on labelled findings: spans confirmed by a base pattern and
-well-known token formats are secrets; other candidates of the sample are not. The sample is bounded by
+well-known token formats are secrets (``KNOWN``, in the corpus as in made findings); other candidates of the sample are not. Each finding
+gives one of its windows, chosen by a hash. The sample is bounded by
 ``SAMPLE_FINDINGS`` of each kind. A fifth of the rows, by a hash of the text, is held out from the fit. The
 network scores all secrets of all held-out rows, and one row per bin of a fixed scale comes back; Platt
 scaling takes these bins and the made findings that were held out, each label with the same weight, and the
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,11 +99,11 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]
 
 
 def candidates(text: str, raw: bytes | None = None) -> list[tuple[int, int]]:
-    """Runs of token characters that are long enough; plain words of letters alone are not among them."""
+    """Runs of token characters that are long enough, of letters alone or not."""
     raw = encode(text) if raw is None else raw
     if b"h" * LEAST_CANDIDATE not in raw.translate(_RUNS):
         return []
-    return [m.span() for m in CANDIDATE.finditer(text) if not m[0].isalpha()]
+    return [m.span() for m in CANDIDATE.finditer(text)]
 
 
 def outside(spans: list[tuple[int, int]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -264,6 +266,12 @@ FORMATS = [
     ("rk_live_", _B64, 24), ("AIza", _B64 + "-_", 35), ("eyJhbGciOi", _B64 + "-_.", 80), ("SG.", _B64, 64), ("hf_", _B64, 34),
     ("npm_", _B64, 36), ("", _B64 + "+/", 40), ("", _B64, 24), ("sk-", _B64, 48), ("dop_v1_", _HEX, 64),
 ]
+# The formats that a prefix tells, as they are found in candidates of the corpus.
+KNOWN = re.compile(
+    "(?<![A-Za-z0-9])(?:gh[opsur]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40}|glpat-[A-Za-z0-9_-]{20}|xox[abeprs]-[A-Za-z0-9-]{20}"
+    "|[sr]k_live_[A-Za-z0-9]{24}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8}|eyJhbGciOi[A-Za-z0-9_.-]{40}"
+    "|SG[.][A-Za-z0-9_.-]{60}|hf_[A-Za-z0-9]{34}|npm_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{48}|dop_v1_[0-9a-f]{64}|ASIA[A-Z0-9]{16})"
+)
 LEADS = ['key = "', "Authorization: Bearer ", "secret: ", "export TOKEN=", " ", "auth=", "'", '"', "client_secret=", "pwd: "]
 
 
@@ -283,6 +291,7 @@ def _harmless(rng: random.Random) -> str:
             lambda: "." * rng.randint(16, 60),
             lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 30)}.{rng.randint(0, 9)}-{word()}.{word()}",
             lambda: f"{word().title()}{word().title()}{word().title()}.{word()}",
+            lambda: "".join(word() for _ in range(rng.randint(4, 6))),
         ]
     )()
 
@@ -309,7 +318,7 @@ def labelled(text: str) -> list[tuple[int, int, int]]:
     """(start, end, label) of the findings of a text: 1 for secrets by their form, 0 for other candidates."""
     raw = encode(text)
     base = base_spans(text, raw)
-    found = [(a, b, 0) for a, b in outside(candidates(text, raw), base)]
+    found = [(a, b, int(KNOWN.search(text, a, b) is not None)) for a, b in outside(candidates(text, raw), base)]
     for a, b, kind in base:
         # only the value of an assignment is the secret; its name is context
         m = ASSIGN.match(text, a) if kind == "assign" else None
@@ -354,10 +363,11 @@ def findings(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_RO
             for value in batch.column(0):
                 text = value.as_py() or ""
                 for a, b, label in labelled(text):
-                    for window, size in windows(text, a, b)[:1]:
-                        out["window"].append(window)
-                        out["size"].append(size)
-                        out["secret"].append(label)
+                    more = windows(text, a, b)
+                    window, size = more[zlib.crc32(encode(text[a:b])) % len(more)]
+                    out["window"].append(window)
+                    out["size"].append(size)
+                    out["secret"].append(label)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("window", pa.string()), ("size", pa.int64()), ("secret", pa.int64())]))
 
     return sample.mapInArrow(read, "window string, size long, secret long")

@@ -241,3 +241,29 @@ def test_threshold_comes_from_all_held_out_rows(spark):
     assert sum(bins.values()) == len(held) > 40
     scores = [net.score(secrets.windows(t, a, b)).max() for t in held for a, b, label in secrets.labelled(t) if label]
     assert (np.array(scores) >= net.threshold).mean() >= secrets.RECALL
+
+
+KNOWN_TOKENS = [
+    "ghp_" + "a1B2c3D4e5F6" * 3, "glpat-" + "Zz9Yy8Xx7W" * 2, "xoxb-123456789012-123456789012-AbCdEfGhIjKlMnOp",
+    "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N", "ghp_" + "abcdefGHIJKL" * 3,
+]
+
+
+def test_known_formats_of_the_corpus_are_labelled_secrets(spark):
+    for token in KNOWN_TOKENS:
+        for text in (f"see {token} here", f"url={token}"):
+            assert [x[2] for x in secrets.labelled(text)] == [1], text
+    assert [x[2] for x in secrets.labelled("see some-long-harmless_words-here.html")] == [0]
+    df = documents(spark, *[doc(k, f"see {token} here") for k, token in enumerate(KNOWN_TOKENS)])
+    found = secrets.findings(df).union(secrets.findings(df.filter("false"))).collect()
+    assert all(r["secret"] == 1 for r in found)
+    held = df.filter(secrets.held_out("text")).count()
+    assert len(found) == len(KNOWN_TOKENS) - held
+
+
+def test_runs_of_letters_reach_the_network(network):
+    token = "QzXwKvBjPqRtLmNsDfGhWxYz"
+    assert secrets.candidates(f"key {token} end") == [(4, 28)]
+    always = dataclasses.replace(network, threshold=0.0)
+    assert secrets.detect([f"key {token} end"], always)[0] == [(4, 28, "model")]
+    assert secrets.detect(['key = "' + token + '" end'], network)[0] == [(7, 31, "model")]
