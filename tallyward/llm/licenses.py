@@ -141,10 +141,10 @@ FORMS = {
 
 
 class Rule:
-    __slots__ = ("label", "keyword", "pattern", "priority", "score", "rank")
+    __slots__ = ("label", "keywords", "pattern", "priority", "score", "rank")
 
-    def __init__(self, label, keyword, pattern, priority, score, rank):
-        self.label, self.keyword, self.priority, self.score, self.rank = label, keyword, priority, score, rank
+    def __init__(self, label, keywords, pattern, priority, score, rank):
+        self.label, self.keywords, self.priority, self.score, self.rank = label, keywords, priority, score, rank
         self.pattern = re.compile(rf"(?<= )(?:{pattern})(?= )")
 
 
@@ -158,17 +158,18 @@ def _families():
         yield f"cc-{clause}", f"cc {clause.replace('-', ' ')}", "cc", rf"(?:cc|creative commons) {words}"
 
 
-# Keywords that open the gate for a family, where its own keyword is short or one of several.
+# Keywords that open the gate for a family, where its own keyword is short or one of several: every alternative of a
+# title has one. Identifiers are keywords of their own.
 GATES = {
     "g": ["gpl", "general public"],
     "lesser": ["lgpl", "lesser general", "library general"],
     "affero": ["agpl", "affero"],
-    "mozilla": ["mozilla", " mpl "],
-    "eclipse": ["eclipse public", " epl "],
-    "common": ["common ", " cddl "],
-    "european": ["european union public", " eupl "],
-    "mit": [" mit licen", " expat licen", " x11 licen", " mit no ", "identifier mit", "under mit ", "under the mit ", "licence mit", "license mit"],
-    "bsd": ["bsd"],
+    "mozilla": ["mozilla", " mpl"],
+    "eclipse": ["eclipse public", " epl"],
+    "common": ["common ", " cddl"],
+    "european": ["european union public", " eupl"],
+    "mit": [" mit licen", " expat licen", " x11 licen", " mit no "],
+    "bsd": ["bsd", "berkeley software"],
     "isc": [" isc "],
     "php": [" php "],
     "curl": [" curl "],
@@ -178,8 +179,9 @@ GATES = {
     "academic": ["academic free", " afl "],
     "wtf": ["wtfpl", "do what the f"],
     "rail": ["rail"],
-    "cc": [" cc by", "creative commons"],
-    "python": ["python"],
+    "libpng": ["libpng", "png reference"],
+    "cc": [" cc by", " cc attribution", "creative commons"],
+    "python": ["python", "psf licen"],
     "microsoft": ["microsoft", " ms pl", " ms rl"],
     "universal": ["universal permissive", " upl "],
     "server": ["server side", " sspl "],
@@ -199,10 +201,11 @@ def rules() -> list[Rule]:
         for form, (pattern, priority, score) in FORMS.items():
             if form == "either" and not label.startswith(("gpl", "lgpl", "agpl", "gfdl")):
                 continue
-            out.append(Rule(label, keyword, pattern.format(id=name, title=title), priority, score, len(out)))
+            keywords = GATES.get(keyword, [keyword]) + [f" {name} "] * ("{id}" in pattern)
+            out.append(Rule(label, keywords, pattern.format(id=name, title=title), priority, score, len(out)))
     for label, keyword, pattern in NOTICES:
         priority, score = (60, 0.5) if label in ("proprietary", "copyright") else (95, 1.0)
-        out.append(Rule(label, keyword, pattern, priority, score, len(out)))
+        out.append(Rule(label, GATES.get(keyword, [keyword]), pattern, priority, score, len(out)))
     return out
 
 
@@ -213,7 +216,7 @@ def gate():
 
     opened: dict[str, list[int]] = {}
     for rule in rules():
-        for keyword in GATES.get(rule.keyword, [rule.keyword]):
+        for keyword in rule.keywords:
             opened.setdefault(keyword, []).append(rule.rank)
     machine = ahocorasick.Automaton()
     for keyword, ranks in opened.items():

@@ -267,3 +267,56 @@ def test_runs_of_letters_reach_the_network(network):
     always = dataclasses.replace(network, threshold=0.0)
     assert secrets.detect([f"key {token} end"], always)[0] == [(4, 28, "model")]
     assert secrets.detect(['key = "' + token + '" end'], network)[0] == [(7, 31, "model")]
+
+
+def forms(tree, rng):
+    """A random text that a parsed pattern matches."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            out += {"RANGE": lambda v: chr(rng.randint(*v)), "LITERAL": chr, "CATEGORY": lambda v: "7"}[str(kind)](value)
+        elif op == "ANY":
+            out += "x"
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = arg
+            out += "".join(forms(inner, rng) for _ in range(rng.randint(least, min(most, least + 2))))
+        elif op == "SUBPATTERN":
+            out += forms(arg[-1], rng)
+        elif op == "BRANCH":
+            out += forms(rng.choice(arg[1]), rng)
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_gate_opens_every_rule_that_matches():
+    from re import _parser
+
+    rng, tried = random.Random(3), 0
+    for rule in licenses.rules():
+        tree = _parser.parse(rule.pattern.pattern)
+        for _ in range(40):
+            text = f" the {forms(tree, rng)} of "
+            opened = {r for _, ranks in licenses.gate().iter(text) for r in ranks}
+            closed = [r.label for r in licenses.rules() if r.rank not in opened and r.pattern.search(text)] if tried % 40 < 2 else []
+            assert not rule.pattern.search(text) or rule.rank in opened, (rule.label, text)
+            assert not closed, (closed, text)
+            tried += 1
+    assert tried > 15_000
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Berkeley Software Distribution License", "bsd"), ("PSF License", "psf-2.0"), ("SPDX-License-Identifier: PSF-2.0", "psf-2.0"),
+        ("PNG Reference Library License", "libpng"), ("SPDX-License-Identifier: GFDL-1.3", "gfdl-1.3"), ("license: CPL-1.0", "cpl-1.0"),
+        ("CC Attribution 4.0", "cc-by-4.0"), ("license is MIT", "mit"), ("released under the terms of MIT", "mit"), ("MPL2.0", "mpl-2.0"),
+        ("EPL2.0", "epl-2.0"), ("EUPL1.2", "eupl-1.2"), ("CDDL1.0", "cddl-1.0"),
+    ],
+)
+def test_every_alternative_has_a_keyword(text, label):
+    assert label in licenses.scan(f"this is {text} here")[5].split(",")
