@@ -6,6 +6,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 Defined results: rows with null texts fail the quality rules; a row whose near-duplicate group has a smaller id is
 dropped, and of rows that repeat an id in one group one stays; texts keep everything but the secrets in them; every
 row that reaches the mix is in it once. Further columns of the input pass through the first four stages.
+
+A stored table has no order, and the mix stage may not add columns; so the last stage gives each row its place in the
+mix, which follows from ids and sources alone: ``slot``, ``block`` and ``position``. Readers serve by ``position``; at any
+place of it, each source that has not run out is less than one block from its target share.
 """
 
 from __future__ import annotations
@@ -36,13 +40,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix."""
+    """All documents, written in the order of the mix."""
     return mixing.in_order(docs, TARGETS)
 
 
 def subwords(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the decoded text of each document."""
-    return pieces.encode_documents(docs, tokenizer("piece_bpe_32k.model"))
+    """Digests of the ids and of the decoded text of each document, and its place in the mix."""
+    return pieces.encode_documents(mixing.mix_sources(docs, TARGETS), tokenizer("piece_bpe_32k.model"), keep=mixing.ADDED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -216,12 +217,12 @@ def codec(model: bytes) -> Codec:
 
 
 def encode_documents(
-    df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", outputs: str = "digest"
+    df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", outputs: str = "digest", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Encode the texts of ``df``: one row per row, with the id column first.
 
     ``outputs="digest"`` gives n_tokens and the digests of ids and decoded text; ``outputs="ids"``
-    gives n_tokens, the ids and the decoded text.
+    gives n_tokens, the ids and the decoded text. Columns named in ``keep`` stay, behind the others.
     """
     with open(model_file, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under 1 MB
@@ -244,11 +245,12 @@ def encode_documents(
             tool.check()
             kind = pa.string() if digest else pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())],
-                names=[id_col, *names],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string()), *batch.columns[2:]],
+                names=[id_col, *names, *keep],
             )
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
     kinds = SCHEMA if digest else "n_tokens long, ids array<int>, decoded string"
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     key = df.select(id_col).schema.fields[0].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {key}, {kinds}")
+    return df.select(id_col, text_col, *keep).mapInArrow(encode, f"`{id_col}` {key}, {kinds}{kept}")

@@ -214,6 +214,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(tuple, mix)) == sorted(map(tuple, clean))
 
 
+def test_the_result_carries_the_mix(spark):
+    from tallyward.llm import mixing
+    from tallyward.llm.queries import TARGETS
+
+    weights = {"src0": 6, "src1": 2}
+    assert all(TARGETS[s] == w for s, w in weights.items())
+    # one hot source, ten times the other
+    docs = documents(spark, *[doc(k, prose(k, 6), "src1" if k % 11 == 0 else "src0") for k in range(1100)])
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    (_, mix), (_, last) = corpus_pipeline.STAGES[3:]
+    found = last(spark, mix(spark, docs, SF), SF).collect()
+    assert len(found) == len(source) and len({r["position"] for r in found}) == len(source)
+    order = [source[r["doc_id"]] for r in sorted(found, key=lambda r: r["position"])]
+    # while both last, shares follow the weights within a block, not the sizes
+    for n in range(32, 400):
+        assert abs(order[:n].count("src1") - n * 2 / 8) < mixing.BLOCK
+    want = {(r["doc_id"], r["slot"], r["block"], r["position"]) for r in mixing.mix_sources(docs, TARGETS).collect()}
+    assert {(r["doc_id"], r["slot"], r["block"], r["position"]) for r in found} == want
+
+
 def test_pipeline_on_awkward_and_empty_tables(spark):
     for df in (awkward(spark), empty(spark)):
         after = df.withColumn("slot", df["doc_id"])
