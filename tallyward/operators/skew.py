@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyward.session import cut_lineage
+
 MAX_GROUP_ROWS = 5_000_000
 PIECES = 64
 
@@ -155,3 +157,50 @@ def join_unique(rows: DataFrame, dim: DataFrame, on: str, how: str = "inner") ->
     names = [c for c in dim.columns if c != on]
     nothing = {c: F.lit(None).cast(dim.schema[c].dataType) for c in names}
     return keyed.unionByName(rows.filter(F.col(on).isNull()).withColumns(nothing))
+
+
+RANGE = "_range"
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Rows dealt to ranges of (keys, order); column ``RANGE`` ascends in that order."""
+
+    df: DataFrame
+    keys: list[str]
+    order: list[str]
+
+    @property
+    def group(self) -> list[str]:
+        return [*self.keys, RANGE]
+
+    def window(self):
+        return Window.partitionBy(*self.group).orderBy(*self.order)
+
+    def carried(self, rows: DataFrame, side: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Columns ``names`` of ``side``, which has one row per group and range, on every row."""
+        side = side.select(*[F.col(g).alias(f"_key_{g}") for g in self.group], *names)
+        same = F.col(RANGE) == F.col(f"_key_{RANGE}")
+        for k in self.keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        return rows.join(side, same, "left").drop(*[f"_key_{g}" for g in self.group])
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ranges") -> Ranges:
+    """Deal rows to ranges of (keys, order) and write them, so that every use sees the same ranges.
+
+    A group of any size is spread over ranges, and small groups share one. Only rows that are equal in all of
+    ``keys`` and ``order`` always meet.
+    """
+    dealt = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn(RANGE, F.spark_partition_id())
+    return Ranges(cut_lineage(dealt, name), list(keys), list(order))
+
+
+def positions(r: Ranges, name: str, size: str) -> DataFrame:
+    """Position of each row in its group (0 = first) and the size of the group."""
+    sizes = r.df.groupBy(*r.group).agg(F.count("*").alias("_n"))
+    by_key = Window.partitionBy(*r.keys)
+    before = by_key.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*r.group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(by_key).alias(size))
+    rows = r.carried(r.df.withColumn("_in_range", F.row_number().over(r.window())), offsets, ["_off", size])
+    return rows.withColumn(name, F.col("_in_range") - 1 + F.col("_off")).drop("_in_range", "_off", RANGE)
