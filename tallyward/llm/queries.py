@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.llm import cosine, fixity, licenses, lm_scores, mixing, pieces, quality, secrets, setsketch, urls
+from tallyward.llm import cosine, filter_audit, fixity, licenses, lm_scores, manifest, mixing, pieces, quality, secrets, setsketch, toxicity, urls
 from tallyward.llm.lineage import written
 from tallyward.llm.registry import ORACLES, QUERIES, query, table
+from tallyward.llm.sql import OP12_SQL, OP13_SQL
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -120,3 +121,27 @@ def op5(spark, sf_dir):
     import public_tokenizers
 
     return lm_scores.score_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op11_toxicity")
+def op11(spark, sf_dir):
+    """Fitted on labels whose fold is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = toxicity.fold(F.col("doc_id"))
+    model = toxicity.fit(docs, labels.filter(fold != 0))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted", "n_sentences", "n_blamed", "spans")
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark, sf_dir):
+    """The rows checked against the manifest lost the line feeds of their texts where the crc32 of the id is even."""
+    docs = table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    unbroken = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    return manifest.verify_documents(docs, "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], "text", even, unbroken)
+
+
+@query("op13_filter_audit", OP13_SQL)
+def op13(spark, sf_dir):
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
