@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 
 from tallyward.catalog import campaign, canon, sequence
 from tallyward.catalog.registry import BOOL, DBL, INT, query, sql
+from tallyward.functions.expr import DAY
 from tallyward.operators import campaign as c
 from tallyward.session import new_folder
 from tallyward.sources import star
 from tallyward.streaming import campaigns, deltas, hourly, surprise
-from tallyward.streaming.sources import file_stream, latest_per_key, parquet_step, run_available
+from tallyward.streaming.sources import latest_per_key, parquet_step, replay, run_available, state_store
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTS = 3
 
 
-def event_stream(spark, d):
-    raw = file_stream(spark, d, star.table(spark, d, "events").schema, "events.parquet")
-    return star.shape_events(raw).withColumn("time", F.timestamp_seconds("ts"))
+def event_stream(spark, d, order: str | None = None):
+    """The log in several micro-batches, out of order unless one is asked for."""
+    return replay(star.events(spark, d), PARTS, order).withColumn("time", F.timestamp_seconds("ts"))
 
 
 @query(
@@ -30,7 +30,7 @@ def event_stream(spark, d):
 )
 def stream_hourly(spark, d):
     sink = new_folder(spark, "hourly")
-    stream = hourly.hourly_activity(event_stream(spark, d))
+    stream = hourly.hourly_activity(event_stream(spark, d, "ts"))
     run_available(stream, parquet_step(sink), "hourly", "update")
     return latest_per_key(spark, sink, stream.schema, ["user_id", "hour"])
 
@@ -43,10 +43,9 @@ def stream_hourly(spark, d):
     ),
 )
 def stream_deltas(spark, d):
-    state, sink = new_folder(spark, "last-seen"), new_folder(spark, "deltas")
-    columns = ["user_id", "event_id", "ts", "ip", "device_fp", "country"]
-    deltas.run_deltas(event_stream(spark, d).select(*columns), state, sink)
-    return spark.read.parquet(sink).drop("batch")
+    """The parts are dealt by a hash, so most events come out of order; the horizon spans the log."""
+    sink = new_folder(spark, "deltas")
+    return deltas.run_deltas(event_stream(spark, d), sink, slot=7 * DAY, horizon=3660 * DAY)
 
 
 @query(
@@ -84,13 +83,9 @@ def stream_surprise(spark, d):
     n = star.table(spark, d, "embeddings").count()
     groups = star.table(spark, d, "embeddings").select(F.col("vec_id").alias("text_id"), F.col("label").alias("content"))
     text_id = ((F.col("user_id") * 3 + F.col("event_id") % 3) % n).alias("text_id")
-    rows = event_stream(spark, d).select("user_id", "event_id", "ts", text_id).join(groups, "text_id").drop("text_id")
+    rows = event_stream(spark, d, "ts").select("user_id", "event_id", "ts", text_id).join(groups, "text_id").drop("text_id")
     sink = new_folder(spark, "surprise")
     result = surprise.online_surprise(rows, table)
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)  # needed by processors with state; other streams keep the session's own
-    try:
+    with state_store(spark):  # needed by processors with state
         run_available(result, parquet_step(sink), "surprise")
-    finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-    return spark.read.schema(result.schema).parquet(sink).drop("batch")
+    return spark.read.schema(result.schema).parquet(sink).select(*result.columns)

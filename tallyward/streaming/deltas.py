@@ -1,100 +1,166 @@
-"""Gap and change flags of a stream of events, across micro-batches.
+"""Gap and change flags of a stream of events, kept on the engine's state store.
 
-Inside a micro-batch the rows are ordered with the same sliced windows as in batch, so a busy account
-does not end up in one task. Only the last event of each account crosses a batch border; those rows
-are appended per batch, and a batch looks up just the accounts it contains.
+An account's recent events are in its state, cut into slots of time, so an event that comes out of order finds the
+event before it and the event after it. Both are then written: the new row, and a revision of the row after it, whose
+gap has changed. Rows carry a revision; the highest one of an event is its result (:func:`latest_revision`), and
+that result does not depend on the order of arrival, as long as an event is not older than ``horizon`` seconds before the
+newest one of its account at the start of a batch. Older ones are written with ``late`` set and a gap of 0, and change nothing.
 
-An event older than the last one seen for its account is late: it is emitted with ``late`` set and a
-gap of 0, and does not move the account's last event back.
+State of an account: the first and last event of each slot in one value, and the events of each slot in a map, so a batch
+reads and writes only the slots it touches, and a busy account is never one state value. Rows of a batch come in pieces of
+bounded size and are taken piece by piece. Slots behind the horizon are removed, but for the last event before it. With
+``idle``, an account without events for so many seconds of processing time loses its state and begins anew; such a
+stream checks the clock in every trigger, so it runs on and has no end (a run to the end of a source needs ``idle=None``).
+
+A repeated delivery within the horizon adds nothing.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyward.operators.sequence import CHANGES
-from tallyward.operators.skew import MAX_GROUP_ROWS, hot_groups, join_unique, previous_row, slice_groups
-from tallyward.streaming.sources import run_available
+from tallyward.streaming.sources import parquet_step, run_available, state_store
 
 ORDER = ["ts", "event_id"]
 CARRIED = [*ORDER, *CHANGES.values()]
-COMPACT_EVERY = 20
-
-
-def _newest(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("user_id").agg(F.max_by(F.struct(*CARRIED), F.struct(*ORDER)).alias("_s")).select("user_id", "_s.*")
-
-
-def _last_seen(spark: SparkSession, folder: str, number: int, schema: T.StructType) -> DataFrame:
-    """Last event of every account before batch ``number``: the newest snapshot and what followed.
-
-    Every ``COMPACT_EVERY`` batches the result itself is written as the next snapshot, so a lookup
-    reads one snapshot and at most that many batches.
-    """
-    if number == 0:
-        return spark.createDataFrame([], schema)
-    base = (number - 1) // COMPACT_EVERY * COMPACT_EVERY
-    parts = [f"{folder}/snapshot={base}"] if base else []
-    parts += [f"{folder}/batch={n}" for n in range(base, number)]
-    seen = _newest(spark.read.schema(schema).parquet(*parts))
-    if number % COMPACT_EVERY == 0:
-        seen.write.mode("overwrite").parquet(f"{folder}/snapshot={number}")
-        seen = spark.read.schema(schema).parquet(f"{folder}/snapshot={number}")
-    return seen
-
-
-def _first_deliveries(batch: DataFrame, sink: str, number: int) -> DataFrame:
-    """Rows of events that no earlier batch has written, each once.
-
-    A repeated delivery has the time of the first one, so only written rows in the time range of the batch are
-    looked at. No watermark is involved: an event is dropped for being a repetition, never for being late.
-    """
-    rows = batch.dropDuplicates(["event_id"])
-    if number == 0:
-        return rows
-    first, last = batch.agg(F.min("ts"), F.max("ts")).first()
-    if first is None:
-        return rows
-    before = batch.sparkSession.read.parquet(*[f"{sink}/batch={n}" for n in range(number)])
-    written = before.filter(F.col("ts").between(first, last)).select("event_id")
-    return rows.join(written, "event_id", "left_anti").select(*batch.columns)
-
-
-def delta_step(state: str, sink: str, max_rows: int = MAX_GROUP_ROWS):
-    """Batch function writing (event_id, user_id, ts, delta, change flags, late) to ``sink``."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        # a batch runs its source once: the lookup, the ordering and the state all read this copy
-        rows = _first_deliveries(batch.select("user_id", *CARRIED), sink, number).persist()
-        try:
-            hot = hot_groups(rows, ["user_id"], max_rows)
-            seen = _last_seen(spark, state, number, rows.schema)
-            active = rows.select("user_id").distinct()
-            known = seen.join(active, "user_id", "left_semi").select("user_id", F.struct(*CARRIED).alias("_seen"))
-            late = F.coalesce(F.struct(*ORDER) < F.struct("_seen.ts", "_seen.event_id"), F.lit(False))
-            marked = join_unique(rows, known, "user_id", "left").withColumn("late", late)
-            on_time = marked.filter(~F.col("late"))
-            cut = slice_groups(on_time, ["user_id"], ORDER, max_rows, hot)
-            inside = previous_row(cut, ORDER, CARRIED).withColumn("_prev", F.coalesce("_prev", "_seen"))
-            none = F.lit(None).cast(inside.schema["_prev"].dataType)
-            everything = inside.drop(*cut.columns).unionByName(marked.filter("late").withColumn("_prev", none))
-            flags = [
-                F.coalesce((F.col(c) != F.col(f"_prev.{c}")).cast("double"), F.lit(0.0)).alias(name)
-                for name, c in CHANGES.items()
-            ]
-            delta = F.coalesce(F.col("ts") - F.col("_prev.ts"), F.lit(0)).cast("long").alias("delta")
-            out = everything.select("event_id", "user_id", "ts", delta, *flags, "late")
-            out.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-            _newest(on_time.select("user_id", *CARRIED)).write.mode("overwrite").parquet(f"{state}/batch={number}")
-        finally:
-            rows.unpersist()
-
-    return step
-
-
-def run_deltas(events: DataFrame, state: str, sink: str, max_rows: int = MAX_GROUP_ROWS) -> None:
-    """``events`` has user_id, event_id, ts, ip, device_fp and country; further columns are left out."""
-    run_available(events.select("user_id", *CARRIED), delta_step(state, sink, max_rows), "deltas")
+HOUR = 3600
+SLOT, HORIZON = HOUR, 24 * HOUR
+HELD_ROWS = 50_000  # events of an account that are held in memory before they go to the map
+
+EVENT = T.StructType([*[T.StructField(n, T.LongType()) for n in ORDER], *[T.StructField(n, T.StringType()) for n in CHANGES.values()]])
+EDGES = T.StructType(
+    [T.StructField("revision", T.LongType()), T.StructField("slot", T.ArrayType(T.LongType())), *[T.StructField(n, T.ArrayType(EVENT)) for n in ("first", "last")]]
+)
+EVENTS = T.StructType([T.StructField("events", T.ArrayType(EVENT))])
+
+
+def output(user_type: T.DataType) -> T.StructType:
+    kinds = {"user_id": user_type, "event_id": T.LongType(), "ts": T.LongType(), "delta": T.LongType(), **dict.fromkeys(CHANGES, T.DoubleType())}
+    return T.StructType([T.StructField(n, t) for n, t in [*kinds.items(), ("late", T.BooleanType()), ("revision", T.LongType())]])
+
+
+class Gaps(StatefulProcessor):
+    """Orders the events of an account as they come."""
+
+    def __init__(self, slot: int = SLOT, horizon: int = HORIZON, idle: int | None = None):
+        self.slot, self.horizon, self.idle = slot, horizon, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = None if self.idle is None else self.idle * 1000
+        self.edges = handle.getValueState("edges", EDGES, ttl)
+        self.events = handle.getMapState("events", T.StructType([T.StructField("slot", T.LongType())]), EVENTS, ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        saved = self.edges.get() if self.edges.exists() else (0, [], [], [])
+        self.revision = saved[0]
+        # first and last event by slot, and the slots in order
+        self.ends = {s: (tuple(a), tuple(b)) for s, a, b in zip(*saved[1:])}
+        self.order = sorted(self.ends)
+        self.held: dict[int, list[tuple]] = {}
+        self.n_held = 0
+        floor = self._floor()
+        for piece in rows:
+            out: list[tuple] = []
+            new = sorted(set(piece[CARRIED].astype(object).where(piece[CARRIED].notna(), None).itertuples(index=False, name=None)), key=lambda e: e[:2])
+            for slot, group in groupby(new, lambda e: e[0] // self.slot):
+                if floor is not None and slot < floor:
+                    out += [(key[0], e[1], e[0], 0, 0.0, 0.0, 0.0, True, 0) for e in group]
+                else:
+                    self._take(key[0], slot, list(group), out)
+            if out:
+                yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "delta", *CHANGES, "late", "revision"])
+            if self.n_held > HELD_ROWS:
+                self._store(None)
+        self._store(self._floor())
+
+    def _floor(self) -> int | None:
+        """The first slot within the horizon."""
+        return (self.ends[self.order[-1]][1][0] - self.horizon) // self.slot if self.order else None
+
+    def _take(self, user, slot: int, new: list[tuple], out: list[tuple]) -> None:
+        """Put new events (in order, of one slot) into the slot; rows of these and of the events after them."""
+        if slot not in self.held:
+            known = self.events.getValue((slot,)) if slot in self.ends else None
+            self.held[slot] = [tuple(e) for e in known[0]] if known else []
+        there = {e[:2] for e in self.held[slot]}
+        new = [e for e in new if e[:2] not in there]
+        if not new:
+            return
+        events = sorted([*self.held[slot], *new], key=lambda e: e[:2])
+        self.held[slot] = events
+        self.n_held += len(new)
+        self.revision += 1
+        if slot not in self.ends:
+            insort(self.order, slot)
+        at = bisect_left(self.order, slot)
+        before = self.ends[self.order[at - 1]][1] if at else None
+        fresh = {e[:2] for e in new}
+        changed = False
+        for e in events:
+            if e[:2] in fresh or changed:
+                out.append(self._row(user, e, before))
+            changed, before = e[:2] in fresh, e
+        if changed and at + 1 < len(self.order):
+            out.append(self._row(user, self.ends[self.order[at + 1]][0], before))
+        self.ends[slot] = (events[0], events[-1])
+
+    def _row(self, user, e: tuple, before: tuple | None) -> tuple:
+        delta = e[0] - before[0] if before else 0
+        flags = [float(before is not None and None not in (a, b) and a != b) for a, b in zip(e[2:], before[2:] if before else e[2:])]
+        return (user, e[1], e[0], delta, *flags, False, self.revision)
+
+    def _store(self, floor: int | None) -> None:
+        """Write the held slots; with a floor, forget what lies before it, but for the last event."""
+        for slot, events in self.held.items():
+            if floor is None or slot >= floor:
+                self.events.updateValue((slot,), (events,))
+        if floor is not None:
+            n = bisect_left(self.order, floor)
+            for slot in self.order[:n]:
+                self.events.removeKey((slot,))
+            for slot in self.order[: max(0, n - 1)]:
+                del self.ends[slot]
+            self.order = self.order[max(0, n - 1) :]
+            self.edges.update((self.revision, self.order, [self.ends[s][0] for s in self.order], [self.ends[s][1] for s in self.order]))
+        self.held, self.n_held = {}, 0
+
+    def close(self) -> None:
+        pass
+
+
+def stream_gaps(events: DataFrame, slot: int = SLOT, horizon: int = HORIZON, idle: int | None = None) -> DataFrame:
+    """A stream of (user_id, event_id, ts, delta, change flags, late, revision) from user_id, event_id, ts, ip, device_fp and country."""
+    rows = events.select("user_id", *[F.col(c).cast(EVENT[c].dataType) for c in CARRIED])
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Gaps(slot, horizon, idle), outputStructType=output(events.schema["user_id"].dataType), outputMode="Append",
+        timeMode="None" if idle is None else "ProcessingTime",
+    )
+
+
+def latest_revision(rows: DataFrame) -> DataFrame:
+    """One row per event: its highest revision; a late delivery counts only for an event that has no other row."""
+    names = [c for c in rows.columns if c not in ("event_id", "revision")]
+    return rows.groupBy("event_id").agg(F.max_by(F.struct(*names), "revision").alias("_r")).select("event_id", "_r.*")
+
+
+def late_events(rows: DataFrame) -> DataFrame:
+    """The side output: events behind the horizon of their account."""
+    return latest_revision(rows).filter("late")
+
+
+def run_deltas(events: DataFrame, sink: str, slot: int = SLOT, horizon: int = HORIZON) -> DataFrame:
+    """Run over everything that is there; rows and revisions go to ``sink``, the result is the latest of each event."""
+    spark: SparkSession = events.sparkSession
+    result = stream_gaps(events, slot, horizon)
+    with state_store(spark):
+        run_available(result, parquet_step(sink), "deltas")
+    return latest_revision(spark.read.schema(result.schema).parquet(sink).select(*result.columns))

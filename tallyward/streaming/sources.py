@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,19 @@ from pyspark.sql import types as T
 from tallyward.session import new_folder
 
 FILES_PER_TRIGGER = 64
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKS) -> Iterator[None]:
+    """The provider of keyed state for the streams started inside; others keep the session's own."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
 def file_stream(
@@ -53,3 +67,21 @@ def latest_per_key(spark: SparkSession, folder: str, schema: T.StructType, keys:
     values = [f.name for f in schema.fields if f.name not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
     return newest.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
+
+
+def replay(rows: DataFrame, parts: int, order: str | None = None) -> DataFrame:
+    """``rows`` as a stream of about ``parts`` micro-batches.
+
+    They are written to files first: dealt by a hash of all columns, so every batch holds rows of all times, or,
+    with ``order`` (a numeric column), one part after the other in that order.
+    """
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "replay")
+    if order is None:
+        rows.repartition(parts, F.xxhash64(*rows.columns)).write.parquet(folder)
+        return file_stream(spark, folder, rows.schema, "*.parquet", 1)
+    bounds = rows.stat.approxQuantile(order, [k / parts for k in range(1, parts)], 0.01)
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = rows if low is None else rows.filter(F.col(order) > low)
+        part = part if high is None else part.filter(F.col(order) <= high)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return file_stream(spark, folder, rows.schema, "*.parquet", 1)

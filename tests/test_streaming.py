@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -5,7 +6,7 @@ from pyspark.sql import types as T
 from tallyward.operators import sequence as seq
 from tallyward.session import new_folder
 from tallyward.streaming import campaigns, deltas, hourly, surprise
-from tallyward.streaming.sources import file_stream, latest_per_key, parquet_step, run_available
+from tallyward.streaming.sources import file_stream, latest_per_key, parquet_step, replay, run_available
 from tests.fixtures import event, events
 
 
@@ -41,53 +42,94 @@ def test_hourly_equals_batch(spark, halves):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("max_rows", [5_000_000, 7])
-def test_deltas_cross_batches(spark, halves, max_rows):
+def result(spark, stream, **settings):
+    return deltas.run_deltas(stream, new_folder(spark, "sink"), **settings)
+
+
+def test_deltas_cross_batches(spark, halves):
     log, parts = halves
-    state, sink = new_folder(spark, "state"), new_folder(spark, "sink")
-    deltas.run_deltas(timed(feed(spark, *parts)), state, sink, max_rows)
-    got = spark.read.parquet(sink).select("event_id", "delta", *seq.CHANGES, "late")
+    got = result(spark, timed(feed(spark, *parts))).select("event_id", "delta", *seq.CHANGES, "late")
     want = seq.event_deltas(log).select("event_id", "delta", *seq.CHANGES, F.lit(False))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_late_event_is_marked_and_leaves_state_alone(spark):
-    schema_rows = [event(1, 1, 100), event(2, 1, 160)], [event(3, 1, 130)], [event(4, 1, 200)]
-    state, sink = new_folder(spark, "state"), new_folder(spark, "sink")
-    step = deltas.delta_step(state, sink)
-    for n, rows in enumerate(schema_rows):
-        step(events(spark, *rows), n)
-    step(events(spark, *schema_rows[2]), 2)  # a repeated batch replaces itself
-    got = {r.event_id: (r.delta, r.late) for r in spark.read.parquet(sink).collect()}
-    assert got == {1: (0, False), 2: (60, False), 3: (0, True), 4: (40, False)}
+@pytest.mark.parametrize("slot", [500, 86400])
+def test_out_of_order_files_equal_batch(spark, slot):
+    """Every batch holds rows of all times, some of them twice; one account has most of the rows, some values are null."""
+    rows = [event(i, 0 if i % 3 else i % 5, i * 211 % 4000, ip=f"ip{i % 3}", device_fp=None if i % 7 == 0 else f"d{i % 5}", country=f"c{i % 2}") for i in range(240)]
+    log = events(spark, *rows)
+    parts = [log.filter(F.col("event_id") * 7 % 4 == k) for k in (2, 0, 3, 1)]
+    parts[1] = parts[1].union(parts[0].limit(5))
+    got = result(spark, feed(spark, *parts), slot=slot).select("event_id", "delta", *seq.CHANGES, "late")
+    want = seq.event_deltas(log).select("event_id", "delta", *seq.CHANGES, F.lit(False))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_state_snapshots(spark, monkeypatch):
-    monkeypatch.setattr(deltas, "COMPACT_EVERY", 2)
-    state, sink = new_folder(spark, "state"), new_folder(spark, "sink")
-    step = deltas.delta_step(state, sink)
-    log = events(spark, *[event(i, i % 3, 10 * i) for i in range(15)])
-    for n in range(5):
-        step(log.filter(F.col("event_id").between(3 * n, 3 * n + 2)), n)
-    got = {r.event_id: r.delta for r in spark.read.parquet(sink).collect()}
-    assert got == {i: 0 if i < 3 else 30 for i in range(15)}
+def test_events_behind_the_horizon_are_the_side_output(spark):
+    day = 86400
+    parts = [[event(1, 1, 9 * day)], [event(2, 1, 20 * day)], [event(3, 1, 5), event(4, 2, 7), event(2, 1, 20 * day)], [event(5, 1, 21 * day), event(1, 1, 9 * day)]]
+    sink = new_folder(spark, "sink")
+    got = deltas.run_deltas(feed(spark, *[events(spark, *p) for p in parts]), sink)
+    assert {r.event_id: (r.delta, r.late) for r in got.collect()} == {1: (0, False), 2: (11 * day, False), 3: (0, True), 4: (0, False), 5: (day, False)}
+    assert [r.event_id for r in deltas.late_events(spark.read.parquet(sink)).collect()] == [3]
 
 
-def test_duplicate_deliveries_are_dropped(spark):
-    log = events(spark, event(1, 1, 0), event(2, 1, 50))
-    state, sink = new_folder(spark, "state"), new_folder(spark, "sink")
-    deltas.run_deltas(timed(feed(spark, log, log.filter("event_id = 2"))), state, sink)
-    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [1, 2]
+def test_an_event_within_the_horizon_revises_the_one_after_it(spark):
+    got = result(spark, feed(spark, events(spark, event(1, 1, 100), event(2, 1, 160)), events(spark, event(3, 1, 130))))
+    assert {r.event_id: (r.delta, r.late) for r in got.collect()} == {1: (0, False), 3: (30, False), 2: (30, False)}
 
 
-def test_late_events_survive_the_stream(spark):
-    """Events days older than the newest one, one of them the first of its account, are all written."""
-    day = 86400
-    parts = [[event(1, 1, 9 * day)], [event(2, 1, 20 * day)], [event(3, 1, 5), event(4, 2, 7), event(2, 1, 20 * day)], [event(5, 1, 21 * day)]]
-    state, sink = new_folder(spark, "state"), new_folder(spark, "sink")
-    deltas.run_deltas(timed(feed(spark, *[events(spark, *p) for p in parts])), state, sink)
-    got = {r.event_id: (r.delta, r.late) for r in spark.read.parquet(sink).collect()}
-    assert got == {1: (0, False), 2: (11 * day, False), 3: (0, True), 4: (0, False), 5: (day, False)}
+def test_idle_accounts_lose_their_state_after_a_time():
+    asked = []
+
+    class Handle:
+        getValueState = lambda self, *a: asked.append(a[-1])
+        getMapState = lambda self, *a: asked.append(a[-1])
+
+    deltas.Gaps(idle=60).init(Handle())
+    deltas.Gaps().init(Handle())
+    assert asked == [60_000, 60_000, None, None]
+
+
+class Kept(dict):
+    """State of one account in memory, with the calls that the processor makes."""
+
+    exists = lambda self: "v" in self
+    get = lambda self: dict.get(self, "v")
+    update = lambda self, v: self.__setitem__("v", v)
+    getValue = lambda self, k: dict.get(self, k)
+    updateValue = dict.__setitem__
+    removeKey = lambda self, k: self.pop(k, None)
+
+
+def test_a_busy_account_is_taken_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(deltas, "HELD_ROWS", 20)
+    times = [k * 37 % 1009 for k in range(400)]
+    frame = pd.DataFrame({"ts": times, "event_id": range(400), "ip": "a", "device_fp": "b", "country": None})
+    p = deltas.Gaps(slot=50, horizon=300)
+    p.edges, p.events = Kept(), Kept()
+    found = pd.concat(p.handleInputRows((1,), iter([frame[k : k + 32] for k in range(0, 400, 32)]), None))
+    last = found.sort_values("revision").groupby("event_id").last()
+    order = sorted(zip(times, range(400)))
+    assert all(last.delta[b[1]] == b[0] - a[0] for a, b in zip(order, order[1:])) and not found.late.any()
+    assert len(p.events) <= 8 and len(p.edges.get()[1]) <= 9  # behind the horizon only the last event stays
+
+
+def test_accounts_with_text_ids_and_an_empty_batch(spark):
+    log = events(spark, event(1, 1, 0), event(2, 1, 50)).withColumn("user_id", F.lit("u"))
+    got = result(spark, feed(spark, log, log.limit(0)))
+    assert sorted((r.user_id, r.event_id, r.delta) for r in got.collect()) == [("u", 1, 0), ("u", 2, 50)]
+
+
+def test_replay_in_order_and_out_of_order(spark):
+    rows = spark.range(100).withColumn("ts", F.col("id") * 7 % 50)
+    for order in (None, "ts"):
+        sink = new_folder(spark, "copy")
+        run_available(replay(rows, 3, order), parquet_step(sink), "copy")
+        got = spark.read.parquet(sink)
+        assert got.count() == 100 and got.select("id").distinct().count() == 100
+        spans = [(r.lo, r.hi) for r in got.groupBy("batch").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("batch").collect()]
+        assert order is None or (len(spans) == 3 and all(a[1] < b[0] for a, b in zip(spans, spans[1:])))
 
 
 def test_late_event_does_not_move_the_surprise_state_back(spark):
