@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tallyward.catalog import campaign, canon, features, graph, sequence
 from tallyward.catalog.registry import BOOL, DBL, INT, query, sql
-from tallyward.operators import detect
+from tallyward.operators import boost, detect, evaluate
 from tallyward.plans.risk import RiskAnalysis
 from tallyward.sources import star
+from tallyward.sources.schema import NORMAL
 
 
 def analysis(spark, d) -> RiskAnalysis:
@@ -67,6 +68,25 @@ def feature_importance(spark, d):
     return detect.feature_importance(analysis(spark, d).tabular_detector, spark)
 
 
+@query("boosted_scores")
+def boosted_scores(spark, d):
+    return analysis(spark, d).boosted
+
+
+@query("boosted_importance")
+def boosted_importance(spark, d):
+    return boost.boosted_importance(analysis(spark, d).booster, spark)
+
+
+@query("tabular_comparison")
+def tabular_comparison(spark, d):
+    """Average precision of the forest and of the boosted trees on the test accounts."""
+    a = analysis(spark, d)
+    both = a.tabular.select("user_id", "is_test", F.col("tab_abuse").alias("forest")).join(a.boosted.select("user_id", F.col("tab_abuse").alias("boosted")), "user_id")
+    test = both.filter("is_test").join(a.accounts.select("user_id", "label"), "user_id")
+    return evaluate.detector_comparison(test, ["forest", "boosted"], F.col("label") != NORMAL)
+
+
 @query("sequence_scores")
 def sequence_scores(spark, d):
     return analysis(spark, d).sequence_scores

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.operators import campaign, decide, detect, evaluate, features, graph
+from tallyward.operators import boost, campaign, decide, detect, evaluate, features, graph
 from tallyward.operators import sequence as seq
 from tallyward.operators import split as sp
 from tallyward.session import cut_lineage
@@ -76,6 +76,15 @@ class RiskAnalysis:
     def tabular(self) -> DataFrame:
         return detect.score_detector(self.tabular_detector, self.features, self.split, "tab")
 
+    @cached_property
+    def booster(self) -> boost.Booster:
+        return boost.fit_boosted(self.features, self.feature_columns, self.split)
+
+    @cached_property
+    def boosted(self) -> DataFrame:
+        """The tabular view scored by the boosted detector."""
+        return boost.score_boosted(self.booster, self.features, self.split, "tab")
+
     @cached_property
     def sequence_scores(self) -> DataFrame:
         pooled = cut_lineage(seq.pooled_sequence(self.encoded, list(self.endpoints)), "pooled")
