@@ -240,3 +240,41 @@ def neighbor_means(spark, d):
         (F.col("c_acctbal") < 0).cast("double").alias("flag"),
     )
     return g.propagate(own, edges(spark, d), ["balance", "flag"], rounds=2)
+
+
+def _pooled(round_: int, source: str, name: str, before: str) -> str:
+    cols = ("balance", "flag")
+    return f"""
+e{round_} AS (SELECT etype, entity_id, {", ".join(f"avg({before}{c}) AS {c}" for c in cols)} FROM shares JOIN {source} USING (user_id) GROUP BY 1, 2),
+{name} AS (SELECT user_id, {", ".join(f"sum(share * {c}) AS near{round_}_{c}" for c in cols)} FROM shares JOIN e{round_} USING (etype, entity_id) GROUP BY 1)"""
+
+
+POOLED = [f"near{r}_{c}" for r in (1, 2) for c in ("balance", "flag")]
+SHAPES = ["ip_entities", "device_entities", "payment_entities", "ip_log_degree", "device_log_degree", "payment_log_degree", "asn_datacenter"]
+
+
+@query(
+    "pooled_neighbors",
+    sql(
+        f"""{canon.EDGES}, {canon.LINKS}, {OWN}, kinds AS (SELECT etype, entity_id, min(asn_type) AS asn_type FROM edges GROUP BY 1, 2),
+        sized AS (SELECT user_id, etype, entity_id, count(*) OVER (PARTITION BY user_id, etype) AS n FROM edges),
+        shares AS (SELECT s.*, 1.0 / (n * k) AS share FROM sized s JOIN (SELECT user_id, count(DISTINCT etype) AS k FROM edges GROUP BY 1) USING (user_id)),
+        shape AS (SELECT user_id, {", ".join(f"count(*) FILTER (etype = '{t}') AS {t}_entities, avg(ln(1 + fanout)) FILTER (etype = '{t}') AS {t}_log_degree" for t in KINDS)},
+          avg(CASE WHEN k.asn_type = 'datacenter' THEN 1.0 ELSE 0.0 END) FILTER (etype = 'ip') AS asn_datacenter
+          FROM edges JOIN fanout USING (etype, entity_id) JOIN kinds k USING (etype, entity_id) GROUP BY 1), """
+        + _pooled(1, "own", "near1", "")
+        + ","
+        + _pooled(2, "near1", "near2", "near1_"),
+        "SELECT * FROM own LEFT JOIN near1 USING (user_id) LEFT JOIN near2 USING (user_id) LEFT JOIN shape USING (user_id)",
+        user_id=INT, balance=DBL, flag=DBL, **{c: DBL for c in POOLED}, **{c: INT if c.endswith("entities") else DBL for c in SHAPES},
+    ),
+)
+def pooled_neighbors(spark, d):
+    """Two rounds over all edge types, and the shape of each account's neighbourhood."""
+    own = star.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.log(F.col("c_acctbal") + 10000).alias("balance"), (F.col("c_acctbal") < 0).cast("double").alias("flag")
+    )
+    incident = g.incident_nodes(edges(spark, d))
+    profile = g.node_profile(incident)
+    around = g.propagate_pooled(own, incident, profile, ["balance", "flag"], rounds=2)
+    return around.join(profile.select("user_id", *SHAPES), "user_id", "left")

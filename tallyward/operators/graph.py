@@ -210,3 +210,59 @@ def neighbour_degrees(edges: DataFrame, fanout: DataFrame) -> DataFrame:
     )
 
 
+ETYPES = ("ip", "device", "payment")
+
+
+def incident_nodes(edges: DataFrame) -> DataFrame:
+    """(user_id, etype, node, fanout, kind): every edge with a number for its entity, its fan-out and its network type.
+
+    The one join on text keys; it is written, and all that follows works on numbers.
+    """
+    key = F.concat_ws("|", *ENTITY).alias("_e")
+    nodes = entity_fanout(edges).select(key, "fanout", F.col("asn_type").alias("kind")).withColumn("node", F.monotonically_increasing_id())
+    nodes = cut_lineage(nodes, "nodes")
+    joined = join_unique(edges.select("user_id", "etype", key), nodes, "_e")
+    return cut_lineage(joined.select("user_id", "etype", "node", "fanout", "kind"), "incident")
+
+
+def node_profile(incident: DataFrame, etypes: Sequence[str] = ETYPES) -> DataFrame:
+    """One row per account, from one combinable pass: per type its entities and their mean log degree, the shares of the
+    network types, and the weights of the propagation.
+
+    ``share_t`` is the weight of one entity of type t: types that an account has count alike, and so do the entities of
+    one type. ``alone`` is the weight of the entities that no other account has.
+    """
+    is_t = {t: F.col("etype") == t for t in etypes}
+    counts = [F.sum(is_t[t].cast("long")).alias(f"{t}_entities") for t in etypes]
+    single = [F.sum((is_t[t] & (F.col("fanout") == 1)).cast("long")).alias(f"_{t}_alone") for t in etypes]
+    degrees = [F.avg(F.when(is_t[t], F.log1p("fanout"))).alias(f"{t}_log_degree") for t in etypes]
+    kinds = [F.avg(F.when(F.col("etype") == "ip", F.coalesce((F.col("kind") == a).cast("double"), F.lit(0.0)))).alias(f"asn_{a}") for a in ASN_TYPES]
+    rows = incident.groupBy("user_id").agg(*counts, *single, *degrees, *kinds)
+    present = sum((F.col(f"{t}_entities") > 0).cast("int") for t in etypes)
+    rows = rows.withColumns({f"share_{t}": expr.ratio(F.lit(1.0), present * F.col(f"{t}_entities")) for t in etypes})
+    alone = sum(F.coalesce(F.col(f"share_{t}") * F.col(f"_{t}_alone"), F.lit(0.0)) for t in etypes)
+    return cut_lineage(rows.withColumn("alone", alone).drop(*[f"_{t}_alone" for t in etypes]), "profile")
+
+
+def propagate_pooled(
+    features: DataFrame, incident: DataFrame, profile: DataFrame, cols: Sequence[str], rounds: int = 2, etypes: Sequence[str] = ETYPES
+) -> DataFrame:
+    """Rounds of account -> entity -> account means, all edge types in one vector.
+
+    Each round appends ``near{r}_{c}`` for every column, so the width grows by the same number of columns a round. An
+    entity of one account hands back what that account has, so only shared entities are joined. ``cols`` have no nulls.
+    """
+    share = F.coalesce(*[F.when(F.col("etype") == t, F.col(f"share_{t}")) for t in etypes])
+    shared = join_unique(incident.filter("fanout > 1").select("user_id", "etype", "node"), profile, "user_id")
+    pairs = cut_lineage(shared.select("user_id", "node", share.alias("_share")), "pairs")
+    own = profile.select("user_id", "alone")
+    current = cut_lineage(features.select("user_id", *cols), "round0")
+    out = current
+    for r in range(1, rounds + 1):
+        means = join_unique(pairs, current, "user_id").groupBy("node").agg(*[F.avg(c).alias(c) for c in cols])
+        sums = join_unique(pairs, means, "node").groupBy("user_id").agg(*[F.sum(F.col("_share") * F.col(c)).alias(f"_{c}") for c in cols])
+        both = own.join(current, "user_id").join(sums, "user_id", "left")
+        pooled = both.select("user_id", *[(F.col("alone") * F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0.0))).alias(c) for c in cols])
+        current = cut_lineage(pooled, f"round{r}")
+        out = out.join(current.withColumnsRenamed({c: f"near{r}_{c}" for c in cols}), "user_id", "left")
+    return out

@@ -100,12 +100,11 @@ class RiskAnalysis:
     @cached_property
     def graph_scores(self) -> DataFrame:
         own = self.features.select("user_id", *self.feature_columns).fillna(detect.MISSING)
-        around = cut_lineage(graph.propagate(own, self.edge_table, self.feature_columns), "around")
-        degrees = graph.neighbour_degrees(self.edge_table, graph.entity_fanout(self.edge_table))
-        wide = degrees.groupBy("user_id").pivot("etype", ["ip", "device", "payment"]).agg(
-            F.max("entities").alias("entities"), F.max("log_degree").alias("log_degree")
-        )
-        view = around.join(wide, "user_id", "left")
+        incident = graph.incident_nodes(self.edge_table)
+        profile = graph.node_profile(incident)
+        around = graph.propagate_pooled(own, incident, profile, self.feature_columns, rounds=2)
+        degrees = profile.drop("alone", *[c for c in profile.columns if c.startswith("share_")])
+        view = cut_lineage(around.join(degrees, "user_id", "left"), "around")
         columns = [c for c in view.columns if c != "user_id"]
         return detect.score_detector(detect.fit_detector(view, columns, self.split), view, self.split, "graph")
 

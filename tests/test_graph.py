@@ -121,6 +121,35 @@ def test_propagation_by_hand(spark):
     assert two[3] == 2.0  # reached over account 2
 
 
+def test_pooled_propagation_equals_brute_force(spark):
+    """Two rounds over three types; entities of one account, a shared one of most accounts, and an account without edges."""
+    rnd = random.Random(5)
+    links = {(u, t, f"{t}{rnd.randrange(n)}") for u in range(40) for t, n in (("ip", 200), ("device", 25), ("payment", 4)) for _ in range(rnd.randrange(3))}
+    x = {u: float(rnd.randrange(9)) for u in range(41)}
+    edges = spark.createDataFrame(sorted(links), "user_id long, etype string, entity_id string").withColumn("asn_type", F.lit("mobile"))
+    incident = g.incident_nodes(edges)
+    profile = g.node_profile(incident)
+    got = g.propagate_pooled(spark.createDataFrame(sorted(x.items()), "user_id long, x double"), incident, profile, ["x"], rounds=2)
+    assert got.columns == ["user_id", "x", "near1_x", "near2_x"]  # the width grows by the same number a round
+    values, rounds = dict(x), []
+    for _ in range(2):
+        by_node = {n: [values[u] for u, *e in links if tuple(e) == n] for n in {e[1:] for e in links}}
+        mean = {n: sum(v) / len(v) for n, v in by_node.items()}
+        new = {}
+        for u in {e[0] for e in links}:
+            types = [[mean[e[1:]] for e in links if e[0] == u and e[1] == t] for t in g.ETYPES]
+            found = [sum(v) / len(v) for v in types if v]
+            new[u] = sum(found) / len(found)
+        rounds.append(new)
+        values = new
+    for r in got.collect():
+        for k in (0, 1):
+            assert r[2 + k] == (pytest.approx(rounds[k][r.user_id]) if r.user_id in rounds[k] else None)
+    shape = {r.user_id: (r.ip_entities, r.asn_mobile, r.asn_datacenter) for r in profile.collect()}
+    for u, (n, mobile, other) in shape.items():
+        assert n == sum(e[0] == u and e[1] == "ip" for e in links) and (mobile, other) == ((1.0, 0.0) if n else (None, None))
+
+
 def test_entity_features(spark):
     log = events(spark, event(1, 1, 0, asn_type="mobile"), event(2, 2, 0, asn_type="mobile"))
     r = g.entity_features(g.entity_fanout(g.entity_edges(log))).filter("etype = 'ip'").first()
