@@ -21,7 +21,6 @@ def analysis(spark, d) -> RiskAnalysis:
         clustered=lambda: campaign.clustered(spark, d),
         chat_endpoint=features.CHAT,
         endpoints=tuple(sequence.KINDS),
-        hot=features.hot_accounts(spark, d),
     )
 
 

@@ -9,7 +9,6 @@ from tallyward.catalog.registry import DBL, INT, TXT, query, sql
 from tallyward.operators import entropy as ent
 from tallyward.operators import features as ft
 from tallyward.operators import quantile, review
-from tallyward.operators.skew import hot_groups
 from tallyward.sources import star
 
 CHAT = "view"
@@ -25,13 +24,9 @@ FEATURE_TYPES = dict(
 )
 
 
-def hot_accounts(spark, d):
-    return hot_groups(star.events(spark, d), ["user_id"])
-
-
 @query("account_features", sql(canon.FEATURES, "SELECT * FROM features", **FEATURE_TYPES))
 def account_features(spark, d):
-    return ft.account_features(star.activity(spark, d), star.accounts(spark, d), CHAT, hot=hot_accounts(spark, d))
+    return ft.account_features(star.activity(spark, d), star.accounts(spark, d), CHAT)
 
 
 @query(
@@ -80,7 +75,7 @@ def timing_entropy(spark, d):
 )
 def token_quantiles(spark, d):
     ev = star.events(spark, d)
-    return quantile.group_quantiles(ev, ["user_id"], "tokens_used", {"tokens_p95": 95}, hot=hot_accounts(spark, d))
+    return quantile.group_quantiles(ev, ["user_id"], "tokens_used", {"tokens_p95": 95})
 
 
 @query("peak_hour", sql(f"{canon.EVENTS}, {canon.PEAK}", "SELECT * FROM peak", user_id=INT, max_events_1h=INT))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tallyward.functions import expr
 from tallyward.operators.entropy import group_entropy
 from tallyward.operators.quantile import group_quantiles
-from tallyward.operators.skew import MAX_GROUP_ROWS, hot_groups, previous_row, slice_groups
+from tallyward.operators.skew import RANGE, in_ranges, previous_row
 from tallyward.sources.tables import with_prompt_key
 
 KEY = ["user_id"]
@@ -38,10 +38,9 @@ DISTINCT = {
 }
 
 
-def _deltas(rows: DataFrame, hot: DataFrame | None, max_rows: int) -> DataFrame:
-    cut = slice_groups(rows, KEY, ORDER, max_rows, hot)
-    out = previous_row(cut, ORDER, ["ts"])
-    return out.withColumn("delta", F.col("ts") - F.col("_prev.ts")).drop(*cut.columns)
+def _deltas(rows: DataFrame) -> DataFrame:
+    out = previous_row(in_ranges(rows, KEY, ORDER, "log"), ["ts"])
+    return out.withColumn("delta", F.col("ts") - F.col("_prev.ts")).drop(RANGE)
 
 
 def _row_aggregates(chat: str) -> list[Column]:
@@ -94,50 +93,25 @@ def _with_entropies(agg: DataFrame) -> DataFrame:
     return out.drop(*hours, *gaps)
 
 
-def _one_pass(rows: DataFrame, chat: str) -> DataFrame:
-    """All ordered features of ordinary accounts behind a single exchange on user_id.
+def _ordered(rows: DataFrame, chat: str) -> DataFrame:
+    """All features that need the order of the log; accounts of any size.
 
-    The first window is sorted by (hour, ts, event_id), which is the same order as (ts, event_id), so
-    the peak-hour counter reuses its sort.
+    The log is dealt once. Gaps and counts come from its windows, peaks from hourly counts, and the quantiles of both
+    amounts and gaps from one table of counts per value.
     """
-    rows = rows.withColumn("_hour", expr.hour_bucket(F.col("ts")))
-    by_user = Window.partitionBy(*KEY)
-    in_order = by_user.orderBy("_hour", *ORDER)
-    rows = rows.withColumns(
-        {
-            "_prev": F.lag(F.struct("ts")).over(in_order),
-            "_in_hour": F.row_number().over(Window.partitionBy(*KEY, "_hour").orderBy(*ORDER)),
-        }
-    )
-    rows = _row_columns(rows)
-    rows = rows.withColumns({"_n": F.count("*").over(by_user), "_nt": F.count("tokens_used").over(by_user)})
-    rows = rows.withColumn("_rt", F.row_number().over(by_user.orderBy(F.col("tokens_used").asc_nulls_last())))
-    rows = rows.withColumn("_rd", F.row_number().over(by_user.orderBy(F.col("delta").asc_nulls_last())))
-    gaps = F.col("_n") - 1
-
-    def at(rank: Column, position: str, value: str) -> Column:
-        return F.max(F.when(F.col(position) == rank, F.col(value)))
-
-    middle = at(F.floor((gaps + 1) / 2), "_rd", "delta") + at(F.floor(gaps / 2) + 1, "_rd", "delta")
-    agg = rows.groupBy(*KEY).agg(
-        *_row_aggregates(chat),
-        F.max("_in_hour").cast("long").alias("max_events_1h"),
-        at(expr.nearest_rank(F.col("_nt"), 95), "_rt", "tokens_used").alias("tokens_p95"),
-        (middle / 2.0).alias("delta_median"),
-        at(expr.nearest_rank(gaps, 10), "_rd", "delta").alias("delta_p10"),
-        at(expr.nearest_rank(gaps, 90), "_rd", "delta").alias("delta_p90"),
-    )
-    return _with_entropies(agg)
-
-
-def _sliced(rows: DataFrame, chat: str, hot: DataFrame, max_rows: int) -> DataFrame:
-    """The same columns for very large accounts: sliced windows and value histograms."""
-    ev = _row_columns(_deltas(rows, hot, max_rows))
+    log = in_ranges(rows, KEY, ORDER, "log")
+    ev = _row_columns(previous_row(log, ["ts"]))
     base = _with_entropies(ev.groupBy(*KEY).agg(*_row_aggregates(chat)))
-    peak = hourly_peak(rows)
-    tokens = group_quantiles(rows, KEY, "tokens_used", {"tokens_p95": 95}, None, max_rows)
-    gaps = group_quantiles(ev, KEY, "delta", {"delta_p10": 10, "delta_p90": 90}, "delta_median", max_rows)
-    return base.join(peak, KEY, "left").join(tokens, KEY, "left").join(gaps, KEY, "left")
+    kinds = {"tokens": "tokens_used", "gaps": "delta"}
+    pairs = [F.struct(F.lit(k).alias("_kind"), F.col(c).cast("double").alias("_value")) for k, c in kinds.items()]
+    long = ev.select(*KEY, F.inline(F.array(*pairs)))
+    found = group_quantiles(long, [*KEY, "_kind"], "_value", {"p10": 10, "p90": 90, "p95": 95}, "median")
+    of = lambda kind, col: F.max(F.when(F.col("_kind") == kind, F.col(col)))
+    quantiles = found.groupBy(*KEY).agg(
+        of("tokens", "p95").cast(rows.schema["tokens_used"].dataType).alias("tokens_p95"), of("gaps", "median").alias("delta_median"),
+        of("gaps", "p10").cast("long").alias("delta_p10"), of("gaps", "p90").cast("long").alias("delta_p90"),
+    )
+    return base.join(hourly_peak(log.df), KEY, "left").join(quantiles, KEY, "left")
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
@@ -172,24 +146,11 @@ def distinct_counts_approx(events: DataFrame, rsd: float = 0.02) -> DataFrame:
     return ev.groupBy(*KEY).agg(*[F.approx_count_distinct(c, rsd).alias(name) for name, c in cols.items()])
 
 
-def behaviour(
-    activity: DataFrame,
-    chat_endpoint: str = "/v1/chat",
-    max_rows: int = MAX_GROUP_ROWS,
-    hot: DataFrame | None | str = "unknown",
-) -> DataFrame:
+def behaviour(activity: DataFrame, chat_endpoint: str = "/v1/chat") -> DataFrame:
     """Per-account behaviour of every account with events."""
-    if isinstance(hot, str):
-        hot = hot_groups(activity, KEY, max_rows)
     ev = with_prompt_key(activity)
     rows = ev.select(*KEY, *ORDER, "asn_type", "endpoint", "success", "tokens_used", "prompt_len")
-    if hot is None:
-        ordered = _one_pass(rows, chat_endpoint)
-    else:
-        names = F.broadcast(hot.select(*KEY))
-        cold = _one_pass(rows.join(names, KEY, "left_anti"), chat_endpoint)
-        large = _sliced(rows.join(names, KEY, "left_semi"), chat_endpoint, hot, max_rows)
-        ordered = cold.unionByName(large)
+    ordered = _ordered(rows, chat_endpoint)
     std, mean = F.col("delta_std"), F.col("delta_mean")
     return ordered.join(distinct_counts(ev), KEY, "left").withColumns(
         {
@@ -200,17 +161,11 @@ def behaviour(
     )
 
 
-def account_features(
-    activity: DataFrame,
-    accounts: DataFrame,
-    chat_endpoint: str = "/v1/chat",
-    max_rows: int = MAX_GROUP_ROWS,
-    hot: DataFrame | None | str = "unknown",
-) -> DataFrame:
+def account_features(activity: DataFrame, accounts: DataFrame, chat_endpoint: str = "/v1/chat") -> DataFrame:
     """Every account, with or without events, joined to its behaviour."""
     newest = activity.agg(F.max("ts")).scalar()
     day = F.lit(float(expr.DAY))
-    out = accounts.join(behaviour(activity, chat_endpoint, max_rows, hot), KEY, "left")
+    out = accounts.join(behaviour(activity, chat_endpoint), KEY, "left")
     return out.withColumns(
         {
             "account_age_days": (newest - F.col("created_at")) / day,
@@ -219,33 +174,24 @@ def account_features(
     ).fillna(0, subset=ZERO_FILLED)
 
 
-def timing_profile(
-    activity: DataFrame, max_rows: int = MAX_GROUP_ROWS, hot: DataFrame | None | str = "unknown"
-) -> DataFrame:
+def timing_profile(activity: DataFrame) -> DataFrame:
     """Inter-event statistics of every account."""
-    if isinstance(hot, str):
-        hot = hot_groups(activity, KEY, max_rows)
-    ev = _deltas(activity.select(*KEY, *ORDER), hot, max_rows)
+    ev = _deltas(activity.select(*KEY, *ORDER))
     delta = F.col("delta")
     base = ev.groupBy(*KEY).agg(
         F.avg(delta).alias("delta_mean"),
         F.stddev_samp(delta).alias("delta_std"),
         expr.rate(delta < FAST_SECONDS).alias("frac_fast"),
     )
-    inner = "unknown" if hot is not None else None
-    gaps = group_quantiles(ev, KEY, "delta", {"delta_p10": 10, "delta_p90": 90}, "delta_median", max_rows, inner)
+    gaps = group_quantiles(ev, KEY, "delta", {"delta_p10": 10, "delta_p90": 90}, "delta_median")
     std, mean = F.col("delta_std"), F.col("delta_mean")
     return base.join(gaps, KEY, "left").withColumns(
         {"delta_cv": expr.ratio(std, mean), "burstiness": expr.ratio(std - mean, std + mean)}
     )
 
 
-def timing_entropy(
-    activity: DataFrame, max_rows: int = MAX_GROUP_ROWS, hot: DataFrame | None | str = "unknown"
-) -> DataFrame:
-    if isinstance(hot, str):
-        hot = hot_groups(activity, KEY, max_rows)
-    ev = _deltas(activity.select(*KEY, *ORDER), hot, max_rows)
+def timing_entropy(activity: DataFrame) -> DataFrame:
+    ev = _deltas(activity.select(*KEY, *ORDER))
     return group_entropy(ev.withColumn("bucket", expr.delta_bucket(F.col("delta"))), KEY, "bucket", "timing_entropy")
 
 

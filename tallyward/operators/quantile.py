@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions import expr
-from tallyward.operators.skew import MAX_GROUP_ROWS, running_sum, slice_groups
+from tallyward.operators.skew import in_ranges, running_sum
 
 
 def group_quantiles(
@@ -17,19 +17,16 @@ def group_quantiles(
     value: str,
     percents: dict[str, int],
     median: str | None = None,
-    max_rows: int = MAX_GROUP_ROWS,
-    hot: DataFrame | None | str = "unknown",
     linear: dict[str, float] | None = None,
 ) -> DataFrame:
     """One row per group with the nearest-rank value for each ``{column: percent}``, and the linearly
     interpolated one for each ``{column: fraction}`` of ``linear``.
 
     Equal values are merged before anything is ordered, so a value shared by most of a group is one
-    row, and large groups are ordered slice by slice.
+    row, and groups of any size are ordered in ranges.
     """
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_w"))
-    cut = slice_groups(hist, keys, [value], max_rows, hot)
-    cum = running_sum(cut, [value], F.col("_w"), "_upto", "_n")
+    cum = running_sum(in_ranges(hist, keys, [value], "values"), F.col("_w"), "_upto", "_n")
     below = F.col("_upto") - F.col("_w")
 
     def at(rank):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyward.functions import expr
 from tallyward.operators.quantile import group_quantiles
-from tallyward.operators.skew import MAX_GROUP_ROWS, Slices, previous_row, running_sum, slice_groups
+from tallyward.operators.skew import RANGE, in_ranges, positions, previous_row
 from tallyward.session import cut_lineage
 from tallyward.sources.schema import ASN_TYPES, ENDPOINTS
 
@@ -32,25 +32,17 @@ def _history_columns(prev: str = "_prev") -> dict[str, Column]:
     return {"delta": F.coalesce(F.col("ts") - F.col(f"{prev}.ts"), F.lit(0)).cast("long"), **changed}
 
 
-def event_deltas(
-    activity: DataFrame, max_rows: int = MAX_GROUP_ROWS, hot: DataFrame | None | str = "unknown"
-) -> DataFrame:
+def event_deltas(activity: DataFrame) -> DataFrame:
     """Every event with its gap and change flags; accounts of any size."""
-    cut = slice_groups(activity, KEY, ORDER, max_rows, hot)
-    out = previous_row(cut, ORDER, ["ts", *CHANGES.values()])
-    return out.withColumns(_history_columns()).drop("_prev", *cut.columns)
+    out = previous_row(in_ranges(activity, KEY, ORDER, "log"), ["ts", *CHANGES.values()])
+    return out.withColumns(_history_columns()).drop("_prev", RANGE)
 
 
-def event_history(
-    activity: DataFrame, max_rows: int = MAX_GROUP_ROWS, hot: DataFrame | None | str = "unknown"
-) -> DataFrame:
+def event_history(activity: DataFrame) -> DataFrame:
     """Every event with its gap, change flags and position in the account's history (0 = oldest)."""
-    cut = slice_groups(activity, KEY, ORDER, max_rows, hot)
-    rows = previous_row(cut, ORDER, ["ts", *CHANGES.values()]).withColumns(_history_columns()).drop("_prev")
-    if cut.hot is None:
-        return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER)).cast("long") - 1)
-    counted = running_sum(Slices(rows, cut.keys, cut.columns, cut.hot), ORDER, F.lit(1), "_upto", "_all_rows")
-    return counted.withColumn("pos", F.col("_upto") - 1).drop("_upto", "_all_rows", *cut.columns)
+    log = in_ranges(activity, KEY, ORDER, "log")
+    rows = previous_row(log, ["ts", *CHANGES.values()]).withColumns(_history_columns()).drop("_prev")
+    return positions(log, "pos", "_all_rows", rows).drop("_all_rows")
 
 
 def _pieces(rows: DataFrame, ahead: int, piece: int) -> DataFrame:

@@ -1,164 +1,23 @@
-"""Ordered work on groups of any size.
+"""Ordered work on groups of any size, and joins with hot keys.
 
-A window puts each group into one task. That holds for almost every account, but one account may
-own a third of the log. Groups above ``max_rows`` are therefore cut into *slices*: runs of rows that
-are contiguous in the wanted order. Windows then run per (group, slice), and what has to cross a
-slice border (the previous row, the rank offset) travels in a table with one row per slice.
+A window puts each group into one task, but one account may own a third of the log. So rows are dealt to *ranges* of
+(group, order): a large group is spread over many ranges, small groups share one. Windows run per (group, range), and
+what has to cross a border (the previous row, sums so far) travels in a table that has rows only for the groups that
+lie in several ranges, at most two a range. The plan is the same for all sizes; nothing is counted or collected first.
 
-Results never depend on where the cuts fall; cuts only balance the work. When no group is large the
-helpers add nothing to the plan but the ordinary window.
+Results never depend on where the borders fall; they only balance the work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.session import cut_lineage
 
-MAX_GROUP_ROWS = 5_000_000
-PIECES = 64
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame | None:
-    """Groups with more than ``max_rows`` rows as (keys, n), or None.
-
-    At most total / max_rows groups can qualify, so the result is small by construction and is
-    pinned on the driver: each later use sees the same groups.
-    """
-    counts = df.select(*keys)
-    if counts.count() <= max_rows:
-        return None
-    hot = counts.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > max_rows)
-    rows = hot.collect()
-    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
-
-
-@dataclass(frozen=True)
-class Slices:
-    """A frame plus the slice columns added to it; ``hot`` is None when nothing was cut."""
-
-    df: DataFrame
-    keys: list[str]
-    columns: list[str] = field(default_factory=list)
-    hot: DataFrame | None = None
-
-    @property
-    def group(self) -> list[str]:
-        return [*self.keys, *self.columns]
-
-    def hot_rows(self) -> DataFrame:
-        return self.df.join(F.broadcast(self.hot.select(*self.keys)), self.keys, "left_semi")
-
-
-def _cut(df: DataFrame, group: Sequence[str], order: str, hot: DataFrame, name: str) -> DataFrame:
-    """Add slice column ``name``: 2i between two cut points, 2i+1 on a cut point, 0 for small groups."""
-    percents = [i / PIECES for i in range(1, PIECES)]
-    wanted = df.select(*group, order).join(F.broadcast(hot.select(*group)), list(group), "left_semi")
-    cuts = wanted.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx(order, percents, 20 * PIECES)).alias("_cuts")
-    )
-    # one short array per hot group; collected so that every use of the slices sees the same cuts
-    pinned = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    upto = F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
-    return (
-        df.join(F.broadcast(pinned), list(group), "left")
-        .withColumn(name, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below + upto))
-        .drop("_cuts")
-    )
-
-
-def slice_groups(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    max_rows: int = MAX_GROUP_ROWS,
-    hot: DataFrame | None | str = "unknown",
-) -> Slices:
-    """Cut every group above ``max_rows`` into slices contiguous in ``order``.
-
-    ``order`` columns must be non-null and numeric. A slice that is still too large is cut again on
-    the same column; a slice holding a single value is cut on the next one.
-    """
-    first = hot_groups(df, keys, max_rows) if isinstance(hot, str) else hot
-    if first is None:
-        return Slices(df, list(keys))
-    cols: list[str] = []
-    out, large = df, first
-    for col in order:
-        single_valued = False
-        while not single_valued:
-            name = f"_slice{len(cols)}"
-            out = _cut(out, [*keys, *cols], col, large, name)
-            cols.append(name)
-            sliced = Slices(out, list(keys), list(cols), first)
-            large = hot_groups(sliced.hot_rows(), sliced.group, max_rows)
-            if large is None:
-                return sliced
-            # an odd slice holds one value of ``col``: only the next order column can split it
-            single_valued = large.filter(F.col(name) % 2 == 0).isEmpty()
-    return sliced
-
-
-def previous_row(sl: Slices, order: Sequence[str], columns: Sequence[str], name: str = "_prev") -> DataFrame:
-    """Add struct ``name`` with ``columns`` of the row before; NULL on the first row of a group."""
-    packed = F.struct(*columns)
-    w = Window.partitionBy(*sl.group).orderBy(*order)
-    if sl.hot is None:
-        return sl.df.withColumn(name, F.lag(packed).over(w))
-    out = sl.df.withColumn("_in", F.lag(packed).over(w))
-    ends = sl.hot_rows().groupBy(*sl.group).agg(F.max_by(packed, F.struct(*order)).alias("_end"))
-    carry = ends.select(
-        *sl.group, F.lag("_end").over(Window.partitionBy(*sl.keys).orderBy(*sl.columns)).alias("_carry")
-    ).filter(F.col("_carry").isNotNull())
-    return (
-        out.join(carry, sl.group, "left")
-        .withColumn(name, F.coalesce("_in", "_carry"))
-        .drop("_in", "_carry")
-    )
-
-
-def running_sum(sl: Slices, order: Sequence[str | Column], weight: Column, name: str, total: str) -> DataFrame:
-    """Add the running sum of ``weight`` in order, and its sum over the whole group."""
-    w = Window.partitionBy(*sl.group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*sl.group)
-    out = sl.df.withColumns({name: F.sum(weight).over(w), total: F.sum(weight).over(whole)})
-    if sl.hot is None:
-        return out
-    sizes = sl.hot_rows().groupBy(*sl.group).agg(F.sum(weight).alias("_n"))
-    by_key = Window.partitionBy(*sl.keys)
-    before = by_key.orderBy(*sl.columns).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *sl.group,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(by_key).alias("_all"),
-    )
-    return (
-        out.join(offsets, sl.group, "left")
-        .withColumn(name, F.col(name) + F.coalesce("_off", F.lit(0)))
-        .withColumn(total, F.coalesce("_all", F.col(total)))
-        .drop("_off", "_all")
-    )
-
-
-def join_unique(rows: DataFrame, dim: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join ``rows`` to ``dim`` (one row per ``on``), whatever keys ``rows`` repeats.
-
-    The engine splits the partitions of hot keys where it meets them (adaptive skew join), so nothing is
-    counted first. Rows without a key match nothing; they go round the join instead of into one partition.
-    """
-    keyed = rows.filter(F.col(on).isNotNull()).join(dim, on, how)
-    if how == "inner":
-        return keyed
-    names = [c for c in dim.columns if c != on]
-    nothing = {c: F.lit(None).cast(dim.schema[c].dataType) for c in names}
-    return keyed.unionByName(rows.filter(F.col(on).isNull()).withColumns(nothing))
-
-
 RANGE = "_range"
 
 
@@ -177,9 +36,10 @@ class Ranges:
     def window(self):
         return Window.partitionBy(*self.group).orderBy(*self.order)
 
-    def carried(self, rows: DataFrame, side: DataFrame, names: Sequence[str]) -> DataFrame:
-        """Columns ``names`` of ``side``, which has one row per group and range, on every row."""
-        side = side.select(*[F.col(g).alias(f"_key_{g}") for g in self.group], *names)
+    def over_borders(self, rows: DataFrame, parts: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Columns ``names`` of ``parts`` (one row per group and range) on every row of a group in several ranges."""
+        n = F.count("*").over(Window.partitionBy(*self.keys))
+        side = parts.withColumn("_range_count", n).filter("_range_count > 1").select(*[F.col(g).alias(f"_key_{g}") for g in self.group], *names)
         same = F.col(RANGE) == F.col(f"_key_{RANGE}")
         for k in self.keys:
             same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
@@ -189,18 +49,51 @@ class Ranges:
 def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ranges") -> Ranges:
     """Deal rows to ranges of (keys, order) and write them, so that every use sees the same ranges.
 
-    A group of any size is spread over ranges, and small groups share one. Only rows that are equal in all of
-    ``keys`` and ``order`` always meet.
+    Only rows that are equal in all of ``keys`` and ``order`` always meet.
     """
     dealt = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn(RANGE, F.spark_partition_id())
     return Ranges(cut_lineage(dealt, name), list(keys), list(order))
 
 
-def positions(r: Ranges, name: str, size: str) -> DataFrame:
-    """Position of each row in its group (0 = first) and the size of the group."""
-    sizes = r.df.groupBy(*r.group).agg(F.count("*").alias("_n"))
+def previous_row(r: Ranges, columns: Sequence[str], name: str = "_prev") -> DataFrame:
+    """Add struct ``name`` with ``columns`` of the row before; NULL on the first row of a group."""
+    packed = F.struct(*columns)
+    ends = r.df.groupBy(*r.group).agg(F.max_by(packed, F.struct(*r.order)).alias("_range_end"))
+    carry = ends.withColumn("_range_carry", F.lag("_range_end").over(Window.partitionBy(*r.keys).orderBy(RANGE)))
+    out = r.over_borders(r.df.withColumn("_range_in", F.lag(packed).over(r.window())), carry, ["_range_carry"])
+    return out.withColumn(name, F.coalesce("_range_in", "_range_carry")).drop("_range_in", "_range_carry")
+
+
+def running_sum(r: Ranges, weight: Column, name: str, total: str, rows: DataFrame | None = None) -> DataFrame:
+    """Add the running sum of ``weight`` in order, and its sum over the whole group.
+
+    ``rows`` are those of ``r`` with columns added since.
+    """
+    upto = r.window().rowsBetween(Window.unboundedPreceding, 0)
+    out = (r.df if rows is None else rows).withColumns({name: F.sum(weight).over(upto), total: F.sum(weight).over(Window.partitionBy(*r.group))})
     by_key = Window.partitionBy(*r.keys)
     before = by_key.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*r.group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(by_key).alias(size))
-    rows = r.carried(r.df.withColumn("_in_range", F.row_number().over(r.window())), offsets, ["_off", size])
-    return rows.withColumn(name, F.col("_in_range") - 1 + F.col("_off")).drop("_in_range", "_off", RANGE)
+    sums = r.df.groupBy(*r.group).agg(F.sum(weight).alias("_range_n"))
+    sums = sums.withColumns({"_range_off": F.coalesce(F.sum("_range_n").over(before), F.lit(0)), "_range_all": F.sum("_range_n").over(by_key)})
+    out = r.over_borders(out, sums, ["_range_off", "_range_all"])
+    return out.withColumns({name: F.col(name) + F.coalesce("_range_off", F.lit(0)), total: F.coalesce("_range_all", F.col(total))}).drop("_range_off", "_range_all")
+
+
+def positions(r: Ranges, name: str, size: str, rows: DataFrame | None = None) -> DataFrame:
+    """Position of each row in its group (0 = first) and the size of the group."""
+    out = running_sum(r, F.lit(1).cast("long"), name, size, rows)
+    return out.withColumn(name, F.col(name) - 1).drop(RANGE)
+
+
+def join_unique(rows: DataFrame, dim: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to ``dim`` (one row per ``on``), whatever keys ``rows`` repeats.
+
+    The engine splits the partitions of hot keys where it meets them (adaptive skew join), so nothing is
+    counted first. Rows without a key match nothing; they go round the join instead of into one partition.
+    """
+    keyed = rows.filter(F.col(on).isNotNull()).join(dim, on, how)
+    if how == "inner":
+        return keyed
+    names = [c for c in dim.columns if c != on]
+    nothing = {c: F.lit(None).cast(dim.schema[c].dataType) for c in names}
+    return keyed.unionByName(rows.filter(F.col(on).isNull()).withColumns(nothing))

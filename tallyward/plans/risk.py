@@ -37,7 +37,6 @@ class RiskAnalysis:
     clustered: Callable[[], DataFrame]
     chat_endpoint: str = "/v1/chat"
     endpoints: tuple[str, ...] = tuple(ENDPOINTS)
-    hot: DataFrame | None | str = "unknown"
 
     @cached_property
     def edge_table(self) -> DataFrame:
@@ -51,7 +50,7 @@ class RiskAnalysis:
     @cached_property
     def features(self) -> DataFrame:
         return cut_lineage(
-            features.account_features(self.activity, self.accounts, self.chat_endpoint, hot=self.hot), "features"
+            features.account_features(self.activity, self.accounts, self.chat_endpoint), "features"
         )
 
     @cached_property

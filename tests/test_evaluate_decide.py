@@ -109,7 +109,7 @@ def test_split_is_exact_and_free_of_row_order(spark):
     assert sizes == {("normal", True): 45, ("normal", False): 105, ("spam_bot", True): 15, ("spam_bot", False): 35}
     want = sorted(map(tuple, a.collect()))
     assert sorted(map(tuple, sp.split_assignment(df.orderBy(F.desc("user_id")).repartition(5)).collect())) == want
-    assert sorted(map(tuple, sp.split_assignment(df, max_rows=20).collect())) == want  # large stratum in slices
+    assert sorted(map(tuple, sp.split_assignment(df).collect())) == want
     strings = df.withColumn("user_id", F.format_string("u%06d", "user_id"))
     assert sp.split_assignment(strings).filter("is_test").count() == 60
 

@@ -93,14 +93,11 @@ def test_pooled_sequence(spark):
 
 
 def test_whole_history_in_pieces(spark):
-    """2,000 events of one account: pieces of any size, and slices of a large account, give the same."""
+    """2,000 events of one account: pieces of any size give the same."""
     log = events(spark, *[event(i, 1, i * (i % 13 + 1), tokens_used=i) for i in range(2000)], event(5000, 2, 5))
     log = log.withColumn("content", F.pmod(F.hash("event_id"), F.lit(8)))
     whole = seq.event_history(log)
     assert whole.filter("user_id = 1").agg(F.count("*"), F.min("pos"), F.max("pos")).first() == (2000, 0, 1999)
-    sliced = seq.event_history(log, max_rows=300)
-    pick = ["event_id", "pos", "delta", *seq.CHANGES]
-    assert sorted(map(tuple, sliced.select(*pick).collect())) == sorted(map(tuple, whole.select(*pick).collect()))
     enc = seq.event_encoding(whole).persist()
     steps = [sorted(map(tuple, seq.transitions(enc, piece).collect())) for piece in (7, 4096)]
     assert steps[0] == steps[1] and len(steps[0]) == 1999
