@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tallyward.catalog import canon
-from tallyward.catalog.registry import DBL, INT, TXT, query, sql
+from tallyward.catalog.registry import BOOL, DBL, INT, TXT, query, sql
 from tallyward.operators import entropy as ent
 from tallyward.operators import features as ft
 from tallyward.operators import quantile, review
+from tallyward.session import cut_lineage
 from tallyward.sources import star
 
 CHAT = "view"
@@ -150,3 +153,22 @@ def population(spark, d):
     return review.population(star.accounts(spark, d))
 
 
+@query(
+    "distinct_sketches",
+    sql(
+        f"{canon.EVENTS}, days AS (SELECT user_id, ts // 86400 AS day, count(*) AS n FROM ev GROUP BY 1, 2)",
+        "SELECT user_id, count(*) AS days, true AS within_bound FROM days GROUP BY 1",
+        user_id=INT, days=INT, within_bound=BOOL,
+    ),
+)
+def distinct_sketches(spark, d):
+    """Sketches by account and day are written, read and merged; are all merged counts within five standard errors of the exact ones?"""
+    activity = star.activity(spark, d)
+    kept = cut_lineage(ft.distinct_sketches(activity), "sketches")
+    names = list(ft.DISTINCT)
+    merged = ft.distinct_from_sketches(kept).withColumnsRenamed({c: f"approx_{c}" for c in names})
+    both = ft.distinct_counts(activity).select("user_id", *names).join(merged, "user_id")
+    bound = 5 * 0.83 / 2 ** (ft.SKETCH_BITS / 2)
+    near = [F.abs(F.col(f"approx_{c}") - F.col(c)) <= F.greatest(F.lit(0.5), F.col(c) * bound) for c in names]
+    days = kept.groupBy("user_id").agg(F.count("*").alias("days"))
+    return both.join(days, "user_id").select("user_id", "days", reduce(lambda a, b: a & b, near).alias("within_bound"))

@@ -139,11 +139,27 @@ def distinct_counts(events: DataFrame) -> DataFrame:
     return infra.join(dup, KEY)
 
 
-def distinct_counts_approx(events: DataFrame, rsd: float = 0.02) -> DataFrame:
-    """Opt-in sketch version: one mergeable sketch per column, no row expansion."""
-    ev = with_prompt_key(events)
+SKETCH_BITS = 12
+
+
+def distinct_sketches(events: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """(user_id, day, one sketch per counted column): a table to keep; sketches of any days and tables merge."""
+    ev = with_prompt_key(events).withColumn("day", expr.day_number(F.col("ts")))
     cols = {**DISTINCT, "n_prompts": "prompt_key"}
-    return ev.groupBy(*KEY).agg(*[F.approx_count_distinct(c, rsd).alias(name) for name, c in cols.items()])
+    kind = {c: ev.schema[c].dataType for c in cols.values()}
+    value = lambda c: F.col(c) if isinstance(kind[c], (T.StringType, T.BinaryType)) else F.col(c).cast("long")
+    return ev.groupBy(*KEY, "day").agg(*[F.hll_sketch_agg(value(c), F.lit(bits)).alias(name) for name, c in cols.items()])
+
+
+def distinct_from_sketches(sketches: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
+    """Approximate distinct counts by ``keys`` over all days of ``sketches``; filter days before for a range of them."""
+    names = [*DISTINCT, "n_prompts"]
+    return sketches.groupBy(*keys).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in names])
+
+
+def distinct_counts_approx(events: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """Opt-in sketch version of the distinct counts; the relative error is about 0.83 / sqrt(2 ** bits)."""
+    return distinct_from_sketches(distinct_sketches(events, bits))
 
 
 def behaviour(activity: DataFrame, chat_endpoint: str = "/v1/chat") -> DataFrame:

@@ -19,6 +19,7 @@ ORDER = ["ts", "event_id"]
 # Rows of an account that one window task orders; a history of any length is cut into such pieces.
 PIECE = 4096
 CONTENT_BUCKETS = 32
+BRANCHES = 16  # parts of an account whose newest rows are found apart
 SMOOTH = 16
 CHANGES = {"ip_chg": "ip", "dev_chg": "device_fp", "cc_chg": "country"}
 NUMERIC = ["delta_log", "hour_sin", "hour_cos", "tokens_log", "success", *CHANGES]
@@ -56,16 +57,21 @@ def _pieces(rows: DataFrame, ahead: int, piece: int) -> DataFrame:
     return rows.withColumn("_piece", F.explode(both)).withColumn("_own", F.col("_piece") == own)
 
 
-def event_tail(activity: DataFrame, tail: int) -> DataFrame:
+def event_tail(activity: DataFrame, tail: int, branches: int = BRANCHES) -> DataFrame:
     """The most recent ``tail`` events of each account with gap, change flags and position (0 = oldest).
 
-    One event more is kept while gaps are computed, so the first kept event has its true gap. The
-    row-number limit is applied before the shuffle as well, so an account of any size sends at most
-    tail + 1 rows per task.
+    One event more is kept while gaps are computed, so the first kept event has its true gap. The newest rows are a
+    bounded state that merges in levels: those of a map task, then those of a branch of an account (by a hash of the
+    event), then those of the account; so at most ``branches`` times tail + 1 rows of one account meet, however many
+    tasks had some.
     """
-    latest = Window.partitionBy(*KEY).orderBy(*[F.desc(c) for c in ORDER])
+    newest = [F.desc(c) for c in ORDER]
+    first = Window.partitionBy(*KEY, "_branch").orderBy(*newest)
+    latest = Window.partitionBy(*KEY).orderBy(*newest)
     in_order = Window.partitionBy(*KEY).orderBy(*ORDER)
-    recent = activity.withColumn("_back", F.row_number().over(latest)).filter(F.col("_back") <= tail + 1)
+    dealt = activity.withColumn("_branch", F.pmod(F.xxhash64("event_id"), F.lit(branches)))
+    some = dealt.withColumn("_back", F.row_number().over(first)).filter(F.col("_back") <= tail + 1).drop("_branch")
+    recent = some.withColumn("_back", F.row_number().over(latest)).filter(F.col("_back") <= tail + 1)
     with_prev = recent.withColumn("_prev", F.lag(F.struct("ts", *CHANGES.values())).over(in_order))
     kept = with_prev.withColumns(_history_columns()).filter(F.col("_back") <= tail)
     return kept.withColumn("pos", F.row_number().over(in_order) - 1).drop("_back", "_prev")

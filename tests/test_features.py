@@ -150,6 +150,17 @@ def test_approximate_distinct_counts_are_close(spark):
     assert all(abs(exact[u] - close[u]) <= 1 for u in exact)
 
 
+def test_sketches_of_days_merge_over_any_range(spark):
+    log = skewed_log(spark).withColumn("ts", F.col("ts") + F.col("event_id") % 4 * 86400)
+    kept = ft.distinct_sketches(log).persist()
+    assert kept.count() == log.select("user_id", F.floor(F.col("ts") / 86400)).distinct().count()
+    some = kept.filter(F.col("day") % 2 == 0)
+    part = log.filter(F.floor(F.col("ts") / 86400) % 2 == 0)
+    exact = {r.user_id: (r.n_ips, r.n_devices, r.p) for r in part.groupBy("user_id").agg(*[F.count_distinct(c).alias(n) for c, n in (("ip", "n_ips"), ("device_fp", "n_devices"), ("prompt_text", "p"))]).collect()}
+    for r in ft.distinct_from_sketches(some).collect():
+        assert all(abs(a - b) <= 1 for a, b in zip((r.n_ips, r.n_devices, r.n_prompts), exact[r.user_id]))
+
+
 def test_activity_summary_counts_idle_accounts(spark):
     log = events(spark, event(1, 1, 0), event(2, 1, 5), event(3, 2, 5))
     people = accounts(spark, account(1), account(2, "spam_bot"), account(3, "spam_bot"))

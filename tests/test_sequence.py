@@ -24,9 +24,18 @@ def test_tail_keeps_the_gap_from_before_the_cut(spark):
     assert got == [(1, 0, 7, 13), (1, 1, 8, 15), (1, 2, 9, 17), (2, 0, 100, 0)]
 
 
+@pytest.mark.parametrize("branches", [1, 3, 16])
+def test_tail_of_a_busy_account_equals_the_end_of_its_history(spark, branches):
+    log = events(spark, *[event(i, 1, i * 7919 % 400) for i in range(600)], *[event(1000 + i, 2, i) for i in range(3)])
+    got = seq.event_tail(log.repartition(8), 50, branches).select("user_id", "event_id", "delta", *seq.CHANGES)
+    pos = seq.event_history(log)
+    want = pos.filter("user_id = 2 or pos >= 550").select("user_id", "event_id", "delta", *seq.CHANGES)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_tail_is_limited_before_the_shuffle(spark):
     plan = seq.event_tail(events(spark, event(1, 1, 0)), 3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
+    assert plan.count("WindowGroupLimit") == 4 and plan.count("Exchange") == 2  # map task, branch, account
 
 
 def test_encoding(spark):
