@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.llm.lineage import written
 from tallyward.llm.words import encode
 from tallyward.operators.skew import join_unique
 
@@ -124,6 +125,7 @@ def with_repeats(rows: DataFrame) -> DataFrame:
         F.sum("_n").alias("_all"), F.coalesce(F.sum(F.when(~named, F.col("_n"))), F.lit(0)).alias("_unnamed"),
         F.min(F.when(named, F.struct("doc", "_n"))).alias("_least"),
     )
+    merged = written(merged, "texts")
     first = merged.groupBy("text").agg(F.min("_least.doc").alias("_first")).filter(F.col("_first").isNotNull())
     joined = join_unique(merged, first, "text", "left")
     fresh = F.when(F.col("_least.doc") == F.col("_first"), F.col("_least._n")).otherwise(0)
@@ -201,7 +203,8 @@ def audit_documents(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", good_col: str = "quality", toxic_col: str = "toxic",
 ) -> DataFrame:
     """The filters A to E on whole texts, by part, in all orders."""
-    found = masks(df, id_col, F.col(f"`{part_col}`"), text_col)
+    # some bytes a row, written so that the texts are read once
+    found = written(masks(df, id_col, F.col(f"`{part_col}`"), text_col), "masks")
     known = labels.groupBy(F.col(f"`{id_col}`").alias("doc")).agg(
         F.max(F.coalesce(F.col(f"`{good_col}`") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col(f"`{toxic_col}`") == 1, F.lit(False))).alias("toxic")
     )
