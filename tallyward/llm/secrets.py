@@ -11,10 +11,14 @@ well-known token formats are secrets (``KNOWN``, in the corpus as in made findin
 gives one of its windows, chosen by a hash. The sample is bounded by
 ``SAMPLE_FINDINGS`` of each kind. A fifth of the rows, by a hash of the text, is held out from the fit. The
 network scores all secrets of all held-out rows, and one row per bin of a fixed scale comes back; Platt
-scaling takes these bins and the made findings that were held out, each label with the same weight, and the
-threshold is the lower edge of the highest bin that keeps ``RECALL`` of the secrets of the held-out rows,
-however low that is. Candidates without a label are not in the calibration. Without secrets in held-out rows,
-scaling and threshold come from the findings that were held out of the sample.
+scaling takes these bins and made findings that were held out, each label with the same weight. The threshold is set on
+what the network alone must find, since spans of a base pattern are returned anyway: secrets of well-known formats
+outside base spans in all held-out rows, and fresh made findings of every format. It is the highest one that keeps
+``RECALL`` of the former and ``FORMAT_RECALL`` of each format of the latter, however low that is. Candidates without a label
+are not in the calibration. The network keeps the recall of each format and the share of harmless made runs that pass.
+
+A candidate is asked unless a base span covers it but for a few characters, so a secret that a base pattern finds in part is
+reported whole.
 
 Defined results: a null or empty text has no spans and the digest of the empty string; texts are read
 whole; overlapping kinds are all reported; rows are independent, so repeated rows and null ids are
@@ -53,6 +57,9 @@ LEAST_CANDIDATE = 16
 SAMPLE_FINDINGS = 1500
 SAMPLE_ROWS = 4000
 RECALL = 0.99
+FORMAT_RECALL = 0.95  # of every well-known format
+MADE_A_FORMAT = 80  # made findings of each format in the calibration
+UNCOVERED = 8  # characters outside base spans from which a candidate is asked
 LEAST_THRESHOLD = 0.5  # of a network that is not calibrated yet
 HELD_OUT = 5  # one row of so many is held out
 BINS, BINS_A_UNIT = 4096, 128  # bins of logits on either side of 0
@@ -118,6 +125,22 @@ def outside(spans: list[tuple[int, int]], taken: list[tuple[int, int, str]]) ->
     return out
 
 
+def uncovered(spans: list[tuple[int, int]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Spans with at least ``UNCOVERED`` characters, or all of theirs, outside the taken ones; both ordered by start."""
+    out, k = [], 0
+    for a, b in spans:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        at, free = a, 0
+        for s, e, _ in taken[k:]:
+            if s >= b:
+                break
+            free, at = free + max(0, s - at), max(at, e)
+        if free + max(0, b - at) >= min(UNCOVERED, b - a):
+            out.append((a, b))
+    return out
+
+
 def windows(text: str, start: int, end: int) -> list[tuple[str, int]]:
     """Windows over a candidate with its context, as (characters, length of the candidate's part)."""
     out = []
@@ -136,6 +159,10 @@ def encode_windows(items: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray
     return _CLASSES[np.minimum(codes, 255)], inside
 
 
+def sigmoid(z):
+    return np.exp(-np.logaddexp(0, -z))
+
+
 @dataclass
 class Network:
     """Weights of the network, its calibration (slope, offset) and its threshold."""
@@ -149,6 +176,8 @@ class Network:
     offset: float = 0.0
     threshold: float = LEAST_THRESHOLD
     recall: float = 1.0  # reached on the findings of the calibration
+    format_recall: dict | None = None  # by well-known format
+    false_alarms: float = 0.0  # share of made harmless runs
 
     def forward(self, codes: np.ndarray, inside: np.ndarray) -> tuple:
         x = self.embed[codes]  # rows, width, embed
@@ -173,7 +202,7 @@ class Network:
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def calibrated(self, logits: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * logits + self.offset)))
+        return sigmoid(self.slope * logits + self.offset)
 
 
 def train(items: list[tuple[str, int]], labels: np.ndarray, epochs: int = 12, seed: int = 5) -> Network:
@@ -194,7 +223,7 @@ def train(items: list[tuple[str, int]], labels: np.ndarray, epochs: int = 12, se
             pick = fit[k : k + 64]
             step += 1
             columns, act, mid, n_in, h, logit = net.forward(codes[pick], inside[pick])
-            err = (1 / (1 + np.exp(-logit)) - labels[pick]) / len(pick)
+            err = (sigmoid(logit) - labels[pick]) / len(pick)
             dh = err[:, None] * net.out
             shown = np.where(mid[:, :, None], act, 0)
             top = (shown == shown.max(1, keepdims=True)) & mid[:, :, None]
@@ -238,7 +267,7 @@ def scale(net: Network, logits: np.ndarray, labels: np.ndarray, times: np.ndarra
     target = np.where(labels == 1, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
     a, b = 1.0, 0.0
     for _ in range(30):
-        p = 1 / (1 + np.exp(-(a * logits + b)))
+        p = sigmoid(a * logits + b)
         w = times * np.maximum(p * (1 - p), 1e-6)
         g = np.array([(times * (p - target) * logits).sum(), (times * (p - target)).sum()])
         hess = np.array([[(w * logits**2).sum(), (w * logits).sum()], [(w * logits).sum(), w.sum()]]) + 1e-3 * np.eye(2)
@@ -296,8 +325,9 @@ def _harmless(rng: random.Random) -> str:
     )()
 
 
-def made_findings(n: int, seed: int = 11) -> list[tuple[str, int, int]]:
-    """Labelled findings of well-known formats and of harmless runs, as (text, start, end, label)."""
+def made_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
+    """Labelled findings of well-known formats and of harmless runs in turn, as (text, start, end, label); the k-th secret
+    has the k-th format, round and round."""
     rng, out = random.Random(seed), []
     for k in range(n):
         if k % 2:
@@ -326,8 +356,15 @@ def labelled(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def known_outside(text: str) -> list[tuple[int, int]]:
+    """Candidates of a well-known format outside the base spans."""
+    raw = encode(text)
+    found = candidates(text, raw)
+    return [(a, b) for a, b in outside(found, base_spans(text, raw)) if KNOWN.search(text, a, b)] if found else []
+
+
 def secret_bins(df: DataFrame, net: Network, text_col: str = "text") -> dict[int, int]:
-    """Number of secrets by bin of their logit (the highest one of their windows), over all rows."""
+    """Number of secrets that only the network finds, by bin of their logit (the highest one of their windows), over all rows."""
     weights = df.sparkSession.sparkContext.broadcast(net)  # some kilobytes, of fixed size
 
     def read(batches):
@@ -336,12 +373,11 @@ def secret_bins(df: DataFrame, net: Network, text_col: str = "text") -> dict[int
             for part, texts in _chunks(batch, 0):
                 items, owner, n = [], [], 0
                 for text in texts:
-                    for a, b, label in labelled(text):
-                        if label:
-                            more = windows(text, a, b)
-                            items += more
-                            owner += [n] * len(more)
-                            n += 1
+                    for a, b in known_outside(text):
+                        more = windows(text, a, b)
+                        items += more
+                        owner += [n] * len(more)
+                        n += 1
                 best = np.full(n, -np.inf)
                 np.maximum.at(best, np.array(owner, np.int64), weights.value.logits(items))
                 for b, times in zip(*np.unique(np.clip(np.floor(best * BINS_A_UNIT), -BINS, BINS).astype(np.int64), return_counts=True)):
@@ -385,21 +421,30 @@ def fit(df: DataFrame, text_col: str = "text", sample_findings: int = SAMPLE_FIN
     for text, a, b, label in made_findings(sample_findings):
         taken.append((windows(text, a, b)[0], label))
     net = train([item for item, _ in taken], np.array([label for _, label in taken]))
-    bins = secret_bins(df.filter(held_out(text_col)), net, text_col)
-    if bins:
-        made = made_findings(sample_findings, seed=12)  # not those of the fit
-        logits, labels = net.logits([windows(t, a, b)[0] for t, a, b, _ in made]), np.array([x[3] for x in made])
-        places, times = np.array([*bins]), np.array([*bins.values()], float)
-        x = np.concatenate([logits, (places + 0.5) / BINS_A_UNIT])
-        y = np.concatenate([labels, np.ones(len(places))])
-        many = np.concatenate([np.ones(len(logits)), times])
-        n_neg = (labels == 0).sum()
-        scale(net, x, y, np.where(y == 1, many * n_neg / many[y == 1].sum(), many))
-        least, net.recall = least_bin(bins)
-        net.threshold = float(net.calibrated(np.array(least / BINS_A_UNIT)) - 1e-9) if least > -BINS else 0.0
+    set_threshold(net, secret_bins(df.filter(held_out(text_col)), net, text_col))
     return net
 
 
+def set_threshold(net: Network, bins: dict[int, int]) -> None:
+    """Scaling and threshold from the counted secrets of the held-out rows and fresh made findings."""
+    made = made_findings(2 * MADE_A_FORMAT * len(FORMATS), seed=12)  # not those of the fit
+    logits, labels = net.logits([windows(t, a, b)[0] for t, a, b, _ in made]), np.array([x[3] for x in made])
+    places, times = np.array([*bins], np.int64), np.array([*bins.values()], float)
+    x = np.concatenate([logits, (places + 0.5) / BINS_A_UNIT])
+    y = np.concatenate([labels, np.ones(len(places))])
+    many = np.concatenate([np.ones(len(logits)), times])
+    n_neg = (labels == 0).sum()
+    scale(net, x, y, np.where(y == 1, many * n_neg / many[y == 1].sum(), many))
+    by_format = {k: np.sort(logits[labels == 1][k :: len(FORMATS)]) for k in range(len(FORMATS))}
+    line = min(v[int((1 - FORMAT_RECALL) * len(v))] for v in by_format.values())
+    if bins:
+        line = min(line, least_bin(bins)[0] / BINS_A_UNIT)
+    net.recall = float(times[places / BINS_A_UNIT >= line].sum() / times.sum()) if bins else 1.0
+    net.format_recall = {FORMATS[k]: float((v >= line).mean()) for k, v in by_format.items()}
+    net.false_alarms = float((logits[labels == 0] >= line).mean())
+    net.threshold = max(0.0, float(net.calibrated(np.array(line)) - 1e-9))
+
+
 def detect(texts: list[str], net: Network) -> list[list[tuple[int, int, str]]]:
     """All spans of each text: the base ones, and candidates that the network takes for secrets."""
     spans, asked, owner = [], [], []
@@ -407,7 +452,7 @@ def detect(texts: list[str], net: Network) -> list[list[tuple[int, int, str]]]:
         raw = encode(text)
         base = base_spans(text, raw)
         spans.append(base)
-        for a, b in outside(candidates(text, raw), base):
+        for a, b in uncovered(candidates(text, raw), base):
             for window in windows(text, a, b):
                 asked.append(window)
                 owner.append((k, a, b))
