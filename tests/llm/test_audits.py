@@ -243,7 +243,7 @@ def test_toxicity_of_awkward_rows(spark):
 def test_toxicity_on_held_out_rows_of_a_whole_table(spark):
     sf = "/root/testdata/sf0.1"
     rows = QUERIES["op11_toxicity"](spark, sf).toPandas()
-    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{sf}/documents.parquet'").fetchone()[0]
+    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{sf}/documents.parquet'").fetchall()[0][0]
     assert all(rows.held_out == [zlib.crc32(str(d).encode()) % 5 == 0 for d in rows.doc_id])
     assert all(rows.predicted == (rows.score >= 0.5)) and rows.score.between(0, 1).all()
     truth = duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet' WHERE toxic IS NOT NULL").df()
