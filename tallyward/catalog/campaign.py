@@ -145,6 +145,27 @@ def learned_campaign_check(spark, d):
     )
 
 
+@query(
+    "content_centroids",
+    sql(
+        canon.CENTROIDS,
+        f"SELECT cluster, unnest(m) AS value, generate_subscripts(m, 1) AS place FROM cent_{canon.CONTENT_ROUNDS}",
+        cluster=INT, place=INT, value=DBL,
+    ),
+)
+def content_centroids(spark, d):
+    """The centroid table learned from the prompt vectors, one row per component, as read back from the store."""
+    model = star.content_model(spark, d)
+    rows = [(i, j + 1, float(x)) for i, row in enumerate(model.matrix) for j, x in enumerate(row)]
+    return spark.createDataFrame(rows, "cluster int, place int, value double")
+
+
+@query("content_groups", sql(canon.GROUPS, "SELECT * FROM content_groups", text_id=INT, cluster=INT, content=INT))
+def content_groups(spark, d):
+    """Nearest learned centroid of every prompt vector, and the content state that sequences use."""
+    return star.content_groups(spark, d)
+
+
 @query("text_clusters")
 def text_clusters(spark, d):
     """Clusters learned from the whole distinct document texts."""

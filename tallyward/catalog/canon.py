@@ -117,9 +117,51 @@ pe AS (
   SELECT event_id, user_id, (user_id * 3 + event_id % 3) % (SELECT count(*) FROM embeddings) AS text_id,
     event_type AS prompt_cluster FROM events)"""
 
-SEQ = f"""{EVENTS}, {PROMPTS},
+# checksum of short names, bit by bit
+CRC = """
+bits(n, i, c) AS (
+  SELECT n, 0, CAST(n AS bigint) FROM range(256) t(n)
+  UNION ALL SELECT n, i + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE i < 8),
+entry AS (SELECT n, c FROM bits WHERE i = 8),
+group_names AS (SELECT g AS cluster, CAST(g AS varchar) AS name FROM range(97) t(g)),
+walk(cluster, name, i, c) AS (
+  SELECT cluster, name, 1, 4294967295 FROM group_names
+  UNION ALL SELECT cluster, name, w.i + 1, xor(w.c // 256, e.c) FROM walk w
+    JOIN entry e ON e.n = xor(w.c % 256, ascii(substr(name, w.i, 1))) WHERE w.i <= length(name)),
+group_content AS (SELECT cluster, xor(c, 4294967295) % 32 AS content FROM walk WHERE i = length(name) + 1)"""
+
+
+def _round(i: int) -> str:
+    """Each vector's nearest centroid, then the mean directions."""
+    return f"""
+near_{i} AS MATERIALIZED (
+  SELECT text_id, cluster FROM (
+    SELECT text_id, cluster, row_number() OVER (PARTITION BY text_id ORDER BY list_dot_product(u, m) DESC, cluster) AS r
+    FROM unit_vec, cent_{i}) WHERE r = 1),
+mean_{i} AS (
+  SELECT cluster, list(x ORDER BY place) AS v FROM (
+    SELECT cluster, place, sum(x) AS x FROM (
+      SELECT cluster, unnest(u) AS x, generate_subscripts(u, 1) AS place FROM near_{i} JOIN unit_vec USING (text_id)) GROUP BY 1, 2) GROUP BY 1),
+cent_{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))), m) AS m
+  FROM cent_{i} c LEFT JOIN mean_{i} USING (cluster))"""
+
+
+CONTENT_ROUNDS = 4
+CENTROIDS = f"""
+wide_vec AS (SELECT vec_id AS text_id, CAST(embedding AS double[]) AS v FROM embeddings),
+unit_vec AS MATERIALIZED (SELECT text_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM wide_vec),
+cent_0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256(CAST(text_id AS varchar)), text_id) - 1 AS cluster, u AS m
+  FROM unit_vec QUALIFY cluster < 96),{",".join(_round(i) for i in range(CONTENT_ROUNDS))}"""
+
+GROUPS = f"""{CENTROIDS},{_round(CONTENT_ROUNDS).split("mean_")[0].rstrip().rstrip(",")}, {CRC},
+content_groups AS (
+  SELECT text_id, cluster, content FROM near_{CONTENT_ROUNDS} JOIN group_content USING (cluster))"""
+
+SEQ = f"""{EVENTS}, {PROMPTS}, {GROUPS},
 sev AS (
-  SELECT ev.*, e.label AS content FROM ev JOIN pe USING (event_id) JOIN embeddings e ON e.vec_id = pe.text_id),
+  SELECT ev.*, content FROM ev JOIN pe USING (event_id) JOIN content_groups USING (text_id)),
 hist AS (
   SELECT *, coalesce(ts - lag(ts) OVER w, 0) AS delta,
     coalesce(cast(ip <> lag(ip) OVER w AS integer), 0) AS ip_chg,

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from tallyward.catalog import campaign, canon, features, graph, sequence
 from tallyward.catalog.registry import BOOL, DBL, INT, query, sql
 from tallyward.operators import boost, detect, evaluate
-from tallyward.plans.risk import RiskAnalysis
+from tallyward.plans.risk import RiskAnalysis, side_by_side
 from tallyward.sources import star
 from tallyward.sources.schema import NORMAL
+from tallyward.sources.stages import StageStore
+
+
+INPUTS = ["events", "documents", "embeddings", "customer", "orders", "lineitem"]
 
 
 def analysis(spark, d) -> RiskAnalysis:
+    """The analysis of one set of tables; queries of one session or of later ones share its stages."""
     return RiskAnalysis(
         activity=star.activity(spark, d),
         accounts=star.accounts(spark, d),
@@ -21,6 +26,7 @@ def analysis(spark, d) -> RiskAnalysis:
         clustered=lambda: campaign.clustered(spark, d),
         chat_endpoint=features.CHAT,
         endpoints=tuple(sequence.KINDS),
+        store=StageStore(spark, [f"{d}/{t}.parquet" for t in INPUTS], endpoints=sequence.KINDS),
     )
 
 
@@ -109,3 +115,9 @@ def fusion_weights(spark, d):
 @query("risk_metrics")
 def risk_metrics(spark, d):
     return analysis(spark, d).metrics()
+
+
+@query("metric_comparison")
+def metric_comparison(spark, d):
+    """The metrics that several stages have, side by side."""
+    return side_by_side(analysis(spark, d).metrics())

@@ -81,7 +81,7 @@ def stream_campaign(spark, d):
 def stream_surprise(spark, d):
     table = sequence.transition_model(spark, d)
     n = star.table(spark, d, "embeddings").count()
-    groups = star.table(spark, d, "embeddings").select(F.col("vec_id").alias("text_id"), F.col("label").alias("content"))
+    groups = star.content_groups(spark, d).select("text_id", "content")
     text_id = ((F.col("user_id") * 3 + F.col("event_id") % 3) % n).alias("text_id")
     rows = event_stream(spark, d, "ts").select("user_id", "event_id", "ts", text_id).join(groups, "text_id").drop("text_id")
     sink = new_folder(spark, "surprise")
@@ -89,3 +89,23 @@ def stream_surprise(spark, d):
     with state_store(spark):  # needed by processors with state
         run_available(result, parquet_step(sink), "surprise")
     return spark.read.schema(result.schema).parquet(sink).select(*result.columns)
+
+
+@query(
+    "stream_content",
+    sql(
+        f"{canon.PROMPTS}, {canon.GROUPS}",
+        "SELECT user_id, content, count(*) AS requests FROM pe JOIN content_groups USING (text_id) GROUP BY 1, 2",
+        user_id=INT, content=INT, requests=INT,
+    ),
+)
+def stream_content(spark, d):
+    """Requests by account and content state; vectors get their nearest stored centroid as they arrive."""
+    n = star.table(spark, d, "embeddings").count()
+    vectors = star.text_vectors(spark, d).select("text_id", "embedding")
+    text_id = ((F.col("user_id") * 3 + F.col("event_id") % 3) % n).alias("text_id")
+    arriving = event_stream(spark, d).select("user_id", text_id).join(vectors, "text_id")
+    stream = campaigns.content_counts(arriving, star.content_model(spark, d))
+    sink = new_folder(spark, "content")
+    run_available(stream, parquet_step(sink), "content", "update")
+    return latest_per_key(spark, sink, stream.schema, ["user_id", "content"])

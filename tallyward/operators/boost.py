@@ -12,8 +12,9 @@ written next to the blocks, so a pass never applies more than ``KEEP`` rounds.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -251,3 +252,18 @@ def boosted_importance(booster: Booster, spark: SparkSession, rows: int = 15) ->
     share = booster.gain / max(booster.gain.sum(), 1e-12)
     ranked = sorted(zip(booster.columns, share.tolist()), key=lambda t: (-t[1], t[0]))[:rows]
     return spark.createDataFrame([(i + 1, c, v) for i, (c, v) in enumerate(ranked)], "rank int, feature string, importance double")
+
+
+def save_booster(booster: Booster, path: str) -> None:
+    """One row of text; the model has a fixed number of trees of fixed depth."""
+    state = asdict(booster)
+    plain = json.dumps(state, default=lambda a: a.tolist())
+    SparkSession.active().createDataFrame([(plain,)], "booster string").coalesce(1).write.parquet(path)
+
+
+def load_booster(path: str) -> Booster:
+    state = json.loads(SparkSession.active().read.parquet(path).first().booster)
+    rounds = [[Tree(np.array(t["column"], np.int64), np.array(t["upto"], np.int64), np.array(t["value"])) for t in trees] for trees in state.pop("rounds")]
+    edges = [np.array(e, float) for e in state.pop("edges")]
+    sums = {n: None if state[n] is None else np.array(state[n]) for n in ("start", "gain")}
+    return Booster(**{**state, **sums}, edges=edges, rounds=rounds)

@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.operators.features import NON_FEATURES
@@ -80,6 +80,18 @@ def feature_importance(detector: Detector, spark, rows: int = 15) -> DataFrame:
     )
 
 
+def save_detector(detector: Detector, path: str) -> None:
+    detector.model.write().save(f"{path}/model")
+    spark = SparkSession.active()
+    names = spark.createDataFrame([(detector.columns, detector.classes)], "columns array<string>, classes array<string>")
+    names.coalesce(1).write.parquet(f"{path}/names")
+
+
+def load_detector(path: str) -> Detector:
+    names = SparkSession.active().read.parquet(f"{path}/names").first()
+    return Detector(PipelineModel.load(f"{path}/model"), list(names.columns), list(names.classes))
+
+
 def fusion_signals(
     accounts: DataFrame, tabular: DataFrame, sequence: DataFrame, graph: DataFrame, rings: DataFrame, spray: DataFrame
 ) -> DataFrame:

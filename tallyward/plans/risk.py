@@ -1,12 +1,13 @@
 """The whole risk analysis, from activity to decisions, as one sequence of DataFrame stages.
 
 A stage is written to the shared folder where more than one later stage reads it; everything else
-stays one lazy plan.
+stays one lazy plan. With a store, those tables and the fitted models are found again by any later
+analysis of the same inputs, so its results share one fit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,7 +19,10 @@ from tallyward.operators import sequence as seq
 from tallyward.operators import split as sp
 from tallyward.session import cut_lineage
 from tallyward.sources.schema import ENDPOINTS, NORMAL
-from tallyward.sources.tables import metric_rows
+from tallyward.sources.stages import StageStore
+from tallyward.sources.tables import load_model, metric_rows, save_model
+
+TAKEN_OVER = "token_thief"
 
 
 @dataclass
@@ -37,21 +41,31 @@ class RiskAnalysis:
     clustered: Callable[[], DataFrame]
     chat_endpoint: str = "/v1/chat"
     endpoints: tuple[str, ...] = tuple(ENDPOINTS)
+    store: StageStore | None = None
+
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return self.store.table(name, make) if self.store else cut_lineage(make(), name)
+
+    def _model(self, name: str, fit: Callable, save: Callable, load: Callable):
+        return self.store.model(name, fit, save, load) if self.store else fit()
+
+    def _detector(self, name: str, view: DataFrame, columns: list[str]) -> detect.Detector:
+        fit = lambda: detect.fit_detector(view, columns, self.split)
+        return self._model(name, fit, detect.save_detector, detect.load_detector)
 
     @cached_property
     def edge_table(self) -> DataFrame:
         """Edges are read by the rings, the propagation and the degrees: the log is scanned once."""
-        return cut_lineage(self.edges(), "edges")
+        return self._table("edges", self.edges)
 
     @cached_property
     def split(self) -> DataFrame:
-        return cut_lineage(sp.test_halves(sp.split_assignment(self.accounts)), "split")
+        return self._table("split", lambda: sp.test_halves(sp.split_assignment(self.accounts)))
 
     @cached_property
     def features(self) -> DataFrame:
-        return cut_lineage(
-            features.account_features(self.activity, self.accounts, self.chat_endpoint), "features"
-        )
+        made = lambda: features.account_features(self.activity, self.accounts, self.chat_endpoint)
+        return self._table("features", made)
 
     @cached_property
     def feature_columns(self) -> list[str]:
@@ -59,17 +73,20 @@ class RiskAnalysis:
 
     @cached_property
     def encoded(self) -> DataFrame:
-        return cut_lineage(seq.event_encoding(seq.event_history(self.sequence()), list(self.endpoints)), "encoded")
+        return self._table("encoded", lambda: seq.event_encoding(seq.event_history(self.sequence()), list(self.endpoints)))
 
     @cached_property
     def spikes(self) -> DataFrame:
+        return self._table("spikes", self._spikes)
+
+    def _spikes(self) -> DataFrame:
         steps = seq.transitions(self.encoded)
         normals = self.split.filter(~F.col("is_test") & (F.col("label_noisy") == NORMAL))
         return seq.surprise_spike(seq.event_surprise(steps, seq.transition_model(steps, normals)))
 
     @cached_property
     def tabular_detector(self) -> detect.Detector:
-        return detect.fit_detector(self.features, self.feature_columns, self.split)
+        return self._detector("tabular_model", self.features, self.feature_columns)
 
     @cached_property
     def tabular(self) -> DataFrame:
@@ -77,7 +94,8 @@ class RiskAnalysis:
 
     @cached_property
     def booster(self) -> boost.Booster:
-        return boost.fit_boosted(self.features, self.feature_columns, self.split)
+        fit = lambda: boost.fit_boosted(self.features, self.feature_columns, self.split)
+        return self._model("boosted_model", fit, boost.save_booster, boost.load_booster)
 
     @cached_property
     def boosted(self) -> DataFrame:
@@ -86,9 +104,9 @@ class RiskAnalysis:
 
     @cached_property
     def sequence_scores(self) -> DataFrame:
-        pooled = cut_lineage(seq.pooled_sequence(self.encoded, list(self.endpoints)), "pooled")
+        pooled = self._table("pooled", lambda: seq.pooled_sequence(self.encoded, list(self.endpoints)))
         columns = [c for c in pooled.columns if c != "user_id"]
-        model = detect.fit_detector(pooled, columns, self.split)
+        model = self._detector("sequence_model", pooled, columns)
         scores = detect.score_detector(model, pooled, self.split, "seq")
         spikes = self.spikes.select(
             "user_id", F.col("spike_score").alias("seq_anomaly"), F.col("spike_ts").alias("seq_anomaly_ts")
@@ -98,21 +116,28 @@ class RiskAnalysis:
 
     @cached_property
     def graph_scores(self) -> DataFrame:
+        view = self._table("around", self._around)
+        columns = [c for c in view.columns if c != "user_id"]
+        return detect.score_detector(self._detector("graph_model", view, columns), view, self.split, "graph")
+
+    def _around(self) -> DataFrame:
+        """Own features, two rounds of pooled neighbourhoods and degrees."""
         own = self.features.select("user_id", *self.feature_columns).fillna(detect.MISSING)
         incident = graph.incident_nodes(self.edge_table)
         profile = graph.node_profile(incident)
         around = graph.propagate_pooled(own, incident, profile, self.feature_columns, rounds=2)
         degrees = profile.drop("alone", *[c for c in profile.columns if c.startswith("share_")])
-        view = cut_lineage(around.join(degrees, "user_id", "left"), "around")
-        columns = [c for c in view.columns if c != "user_id"]
-        return detect.score_detector(detect.fit_detector(view, columns, self.split), view, self.split, "graph")
+        return around.join(degrees, "user_id", "left")
 
     @cached_property
     def rings(self) -> DataFrame:
-        return graph.ring_flags(self.accounts, graph.account_components(self.edge_table))
+        return self._table("rings", lambda: graph.ring_flags(self.accounts, graph.account_components(self.edge_table)))
 
     @cached_property
     def spray(self) -> DataFrame:
+        return self._table("spray", self._spray)
+
+    def _spray(self) -> DataFrame:
         rows = self.clustered()
         active = rows.agg(F.count_distinct("user_id")).scalar()
         stats = campaign.cluster_stats(rows, active)
@@ -120,19 +145,23 @@ class RiskAnalysis:
 
     @cached_property
     def signals(self) -> DataFrame:
+        return self._table("signals", self._signals)
+
+    def _signals(self) -> DataFrame:
         joined = detect.fusion_signals(
             self.accounts, self.tabular, self.sequence_scores, self.graph_scores, self.rings, self.spray
         )
         halves = self.split.select("user_id", "is_fit", "is_eval")
-        return cut_lineage(joined.join(halves, "user_id"), "signals")
+        return joined.join(halves, "user_id")
 
     @cached_property
     def fusion_model(self):
-        return detect.fit_fusion(self.signals.filter("is_fit"))
+        fit = lambda: detect.fit_fusion(self.signals.filter("is_fit"))
+        return self._model("fusion_model", fit, save_model, load_model)
 
     @cached_property
     def risk(self) -> DataFrame:
-        return cut_lineage(detect.fused_risk(self.fusion_model, self.signals), "risk")
+        return self._table("risk", lambda: detect.fused_risk(self.fusion_model, self.signals))
 
     @cached_property
     def thresholds(self) -> DataFrame:
@@ -143,19 +172,78 @@ class RiskAnalysis:
     def decisions(self) -> DataFrame:
         return decide.decision_table(decide.tier_assignment(self.risk, "risk", self.thresholds))
 
-    def metrics(self) -> DataFrame:
-        """Long metric table of the evaluation half."""
+    def detector_metrics(self, stage: str, scores: DataFrame, prefix: str) -> list[DataFrame]:
+        """Rows of one detector on the test accounts it has scored."""
+        test = scores.filter("is_test").join(self.accounts.select("user_id", "label", "evasion"), "user_id")
+        bad, abuse = F.col("label") != NORMAL, f"{prefix}_abuse"
+        skipped = {abuse, f"{prefix}_anomaly", f"{prefix}_anomaly_ts"}
+        classes = {c.removeprefix(f"{prefix}_"): c for c in scores.columns if c.startswith(f"{prefix}_") and c not in skipped}
+        rates = evaluate.base_rate(test, bad)
+        return [
+            metric_rows(evaluate.average_precision(test, abuse, bad), stage, "abuse_pr_auc", None, "ap"),
+            metric_rows(evaluate.per_class_ap(test, classes), stage, "class_pr_auc", "class", "ap"),
+            metric_rows(evaluate.ap_by_slice(test, abuse, bad), stage, "pr_auc_by_evasion", "slice", "ap"),
+            metric_rows(evaluate.precision_at_k(test, abuse, bad), stage, "precision_at_k", "k", "precision"),
+            *[metric_rows(rates, stage, c, None, c) for c in rates.columns],
+        ]
+
+    def takeover_metrics(self) -> list[DataFrame]:
+        """How well spikes of surprise tell taken-over accounts of the test side, and when."""
+        held_out = self.accounts.join(self.split.filter("is_test").select("user_id"), "user_id", "left_semi")
+        scored = self.spikes.filter(F.col("transitions") >= 2 * seq.SMOOTH).join(held_out.select("user_id", "label"), "user_id")
+        pair = scored.filter(F.col("label").isin(TAKEN_OVER, NORMAL))
+        auc = evaluate.roc_auc(pair, "spike_score", F.col("label") == TAKEN_OVER)
+        error = seq.localisation_error(held_out, self.spikes)
+        return [
+            metric_rows(auc, "sequence", "takeover_roc_auc", None, "auc"),
+            metric_rows(error, "sequence", "takeover_median_hours", None, "median_hours"),
+        ]
+
+    def group_metrics(self) -> list[DataFrame]:
+        """Rings and campaigns as flags over all accounts."""
+        rings = evaluate.flag_quality(self.rings, "ring_flag", F.col("label").isin(graph.COORDINATED))
+        sizes = self.rings.groupBy("component_id").agg(F.max("component_size").alias("size"))
+        largest = sizes.agg(F.count_if(F.col("size") >= graph.MIN_RING).alias("rings"), F.max("size").alias("largest"))
+        spray = evaluate.flag_quality(self.spray, "spray_flag", F.col("label").isin(campaign.TARGETS))
+        recall = campaign.campaign_recall(self.spray)
+        return [
+            *[metric_rows(rings, "rings", c, None, c) for c in rings.columns],
+            *[metric_rows(largest, "rings", c, None, c) for c in largest.columns],
+            *[metric_rows(spray, "campaigns", c, None, c) for c in spray.columns],
+            metric_rows(recall, "campaigns", "recall_by_label", "label", "recall"),
+        ]
+
+    def fusion_metrics(self) -> list[DataFrame]:
+        """Fused risk, tiers and cost on the evaluation half."""
         ev = self.risk.filter("is_eval")
         bad = F.col("label") != NORMAL
         detectors = evaluate.detector_comparison(ev, ["risk", "tab_abuse", "seq_abuse", "graph_abuse"], bad)
         by_level = evaluate.ap_by_slice(ev, "risk", bad)
         tiers = decide.tier_table(self.decisions.filter("is_eval"))
         cost = decide.expected_cost(self.decisions.filter("is_eval"))
-        rows = [
+        return [
             metric_rows(detectors, "fusion", "abuse_pr_auc", "detector", "ap"),
             metric_rows(by_level, "fusion", "fused_by_evasion", "slice", "ap"),
             metric_rows(tiers, "fusion", "tier_accounts", "tier", "n"),
             metric_rows(tiers, "fusion", "tier_precision", "tier", "precision"),
             *[metric_rows(cost, "fusion", c, None, c) for c in cost.columns],
         ]
+
+    def metrics(self) -> DataFrame:
+        """Long metric table of all stages."""
+        rows = [
+            *self.detector_metrics("tabular", self.tabular, "tab"),
+            *self.detector_metrics("sequence", self.sequence_scores, "seq"),
+            *self.takeover_metrics(),
+            *self.detector_metrics("graph", self.graph_scores, "graph"),
+            *self.group_metrics(),
+            *self.fusion_metrics(),
+        ]
         return evaluate.union_all(rows)
+
+
+def side_by_side(metrics: DataFrame, stages: Sequence[str] = ("tabular", "sequence", "graph", "fusion")) -> DataFrame:
+    """One row per metric and key, one column per stage; null where a stage has no such number."""
+    return metrics.groupBy("metric", "key").pivot("stage", list(stages)).agg(F.first("value")).filter(
+        F.coalesce(*stages).isNotNull()
+    )

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.operators.campaign import attach_clusters
+from tallyward.operators.campaign import CLUSTERS, attach_clusters
+from tallyward.operators.content import ROUNDS, ContentModel, content, fit_content, nearest, read_content
 from tallyward.sources.schema import ASN_TYPES
+from tallyward.sources.stages import StageStore
 
 # How the market segments stand for account labels.
 SEGMENT_LABEL = {
@@ -149,9 +151,23 @@ def prompt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def content_model(spark: SparkSession, sf_dir: str) -> ContentModel:
+    """Centroids learned from the vectors of the distinct prompts; fitted once and stored."""
+    vectors = lambda: text_vectors(spark, sf_dir)
+    store = StageStore(spark, [f"{sf_dir}/embeddings.parquet"])
+    return read_content(store.table("centroids", lambda: fit_content(vectors()), k=CLUSTERS, rounds=ROUNDS))
+
+
+def content_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text_id, cluster, content): learned group and content state of every prompt."""
+    group = nearest(content_model(spark, sf_dir), F.col("embedding")).alias("cluster")
+    rows = text_vectors(spark, sf_dir).select("text_id", group)
+    return rows.withColumn("content", content(F.col("cluster")))
+
+
 def sequence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Activity rows with the content group of their prompt, as learned from its vector."""
-    groups = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("text_id"), F.col("label").alias("content"))
+    """Activity rows with the content state of their prompt, as learned from its vector."""
+    groups = content_groups(spark, sf_dir).select("text_id", "content")
     prompts = prompt_events(spark, sf_dir).select("event_id", "text_id")
     known = attach_clusters(prompts, groups, how="inner").select("event_id", "content")
     return events(spark, sf_dir).join(known, "event_id")
