@@ -18,7 +18,8 @@ inside one range, so no source is ever gathered in one task.
 
 Defined results: sources that are not named, and null, are pooled and share one weight; every row gets one
 position, nothing is dropped or repeated; equal rows get different positions; rows are ordered by the
-digest of their id, a null id counts as empty; an empty table gives an empty result. Columns of the input
+digest of all their columns, so rows of one id, or of none, are spread like others and their order follows
+from their content (only rows equal in every column share a range); an empty table gives an empty result. Columns of the input
 stay, except that names beginning with ``_mix_`` are taken; ``slot``, ``block`` and ``position`` are added
 by :func:`mix_sources` and replace input columns of these names.
 """
@@ -35,7 +36,10 @@ ADDED = ("slot", "block", "position")
 
 def _ranked(df: DataFrame, id_col: str, source_col: str, named: list[str]) -> DataFrame:
     """Add ``_mix_source``, its index-free name, and ``_mix_row``, the position in the source from 0."""
-    digest = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary"))
+    # rows of one id, or of none, are dealt to ranges by their whole content; nulls and empty texts stay apart, and
+    # the JSON of a row keeps the names, so no two different rows read alike
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    digest = F.md5(whole.cast("binary"))
     source = F.col(f"`{source_col}`")
     rows = df.withColumn("_mix_source", F.when(source.isin(named), source).otherwise(F.lit(REST)))
     rows = rows.withColumn("_mix_key", digest)
@@ -49,7 +53,7 @@ def _ranked(df: DataFrame, id_col: str, source_col: str, named: list[str]) -> Da
     coarse = coarse.select("_mix_source", "_mix_high", F.coalesce(F.sum("_mix_c").over(across), F.lit(0)).alias("_mix_b"))
     offsets = fine.join(coarse, ["_mix_source", "_mix_high"])
     keys = ["_mix_source", "_mix_high", "_mix_low"]
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("_mix_key", f"`{id_col}`")) - 1
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("_mix_key")) - 1
     ranked = rows.withColumn("_mix_inside", inside).join(offsets, keys)
     return ranked.withColumn("_mix_row", F.col("_mix_a") + F.col("_mix_b") + F.col("_mix_inside")).drop(
         *keys[1:], "_mix_key", "_mix_a", "_mix_b", "_mix_inside"
