@@ -87,7 +87,8 @@ def audit(ours: Tree, theirs: Tree) -> DataFrame:
             wanted = found.select("archive", F.col("node").alias("_up"))
             a, b = (x.withColumn("_up", up).join(wanted, ["archive", "_up"], "left_semi").drop("_up") for x in (a, b))
         both = a.withColumnRenamed("digest", "da").join(b.withColumnRenamed("digest", "db"), ["archive", "node"], "full")
-        found = both.filter(~F.col("da").eqNullSafe(F.col("db")))
+        # read twice one level below, so each level is written: the nodes that differ, and no join of joins
+        found = written(both.filter(~F.col("da").eqNullSafe(F.col("db"))), "differing")
     status = F.when(F.col("db").isNull(), F.lit("missing")).when(F.col("da").isNull(), F.lit("extra")).otherwise(F.lit("altered"))
     return found.select("archive", F.col("node").alias("offset"), status.alias("status"))
 
