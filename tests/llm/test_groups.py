@@ -16,6 +16,13 @@ from tests.llm.helpers import SF, Union, awkward, clashing, doc, documents, empt
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
+def test_mix_of_equal_ids_does_not_follow_the_partitions(spark):
+    rows = [(7 if i % 2 else None, "ab"[i % 5 > 2], f"text {i}", "" if i % 7 == 0 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, note string")
+    place = lambda n: {r["text"]: r["position"] for r in mixing.mix_sources(df.repartition(n), {"a": 2}).collect()}
+    assert place(1) == place(7) == place(16) and len(set(place(3).values())) == 600
+
+
 def test_query_equals_sql(spark, name):
     assert not differences(spark, SF, QUERIES[name], ORACLES[name])
 
