@@ -8,7 +8,7 @@ dropped, and of rows that repeat an id in one group one stays; texts keep everyt
 row that reaches the mix is in it once. Further columns of the input pass through the first four stages.
 
 A stored table has no order, and the mix stage may not add columns; so the last stage gives each row its place in the
-mix, which follows from ids and sources alone: ``slot``, ``block`` and ``position``. Readers serve by ``position``; at any
+mix, which follows from the rows alone: ``slot``, ``block`` and ``position``. Readers serve by ``position``; at any
 place of it, each source that has not run out is less than one block from its target share.
 """
 
