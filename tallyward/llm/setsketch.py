@@ -7,20 +7,23 @@ registers, and two sets share a register with a probability just above their sim
 
 1. Classes that agree on all registers of a band are joined to the smallest class of that band value;
    connected components of these joins hold every pair that can be found.
-2. Components are cut into blocks of bounded size. Inside a block, the similarity of pairs is estimated by
-   maximum likelihood from the registers of both; pairs that may reach the threshold and are not yet
-   connected are verified on their full sets.
+2. Components are cut into blocks, bounded in classes and in bytes of their sets. Inside a block, pairs whose sizes
+   allow a link and that are not yet connected are compared by their equal registers; for those with enough, the
+   similarity is estimated by maximum likelihood from the registers of both, and pairs that may reach the threshold
+   are verified on their full sets.
 3. A component of several blocks is compared block by block with its first block. Every pair that is
    still unconnected has an end outside the largest cluster found so far; these rest classes are the
    queries of a last comparison against all blocks.
 
 Only connections count, so pairs inside one cluster are skipped and copies are never expanded into pairs.
-With the default 32 bands of 6, a pair of similarity 0.85 misses all bands with probability 3e-7.
+Bands follow from the threshold: as many registers a band as keep a pair at the threshold from missing all bands with
+probability 1e-6. For 0.85 these are 32 bands of 6 (3e-7), for 0.8 they are 38 of 5 (3e-7). A pair at the threshold
+has too few equal registers with probability 4e-9.
 
 Defined results: documents without words or text have an empty set, link with nothing and are their own
 component; a text shorter than a run is one run; repeated rows and repeated ids belong to the class of
 their text, each row is returned; a null id takes the smallest id of its component and is kept only where
-no id is known; ties are resolved by the smallest id; an empty table gives an empty result.
+no id is known; ties are resolved by the smallest id; an empty table gives an empty result. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -39,19 +42,33 @@ from tallyward.llm.words import WordHashes, encode, mix, shingles
 
 BASE = 1.001
 TOP = 65_535
+REGISTERS = 192
+MISS = 1e-6
 BLOCK = 512
+BLOCK_BYTES = 32 << 20  # of the sets of a block
+SALTS = 16
 SEED = 20_240_601
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of a run, threshold as a fraction numerator / denominator, and the bands."""
+    """Words of a run and the threshold as a fraction numerator / denominator; the bands follow from it."""
 
     size: int = 5
     numerator: int = 80
     denominator: int = 100
-    bands: int = 32
-    rows: int = 6
+
+    def miss(self, rows: int) -> float:
+        """Probability that a pair at the threshold shares no band of so many registers."""
+        return (1 - (self.numerator / self.denominator) ** rows) ** (REGISTERS // rows)
+
+    @property
+    def rows(self) -> int:
+        return max([r for r in range(1, 17) if self.miss(r) <= MISS], default=1)
+
+    @property
+    def bands(self) -> int:
+        return REGISTERS // self.rows
 
     @property
     def registers(self) -> int:
@@ -60,11 +77,25 @@ class Settings:
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.denominator * common >= self.numerator * (a + b - common)
 
+    def below(self, deviations: int) -> float:
+        """So many standard deviations of a share of equal registers under the threshold."""
+        j = self.numerator / self.denominator
+        return max(0.0, j - deviations * (j * (1 - j) / self.registers) ** 0.5)
+
     @property
     def floor(self) -> float:
-        """Estimates below this are dropped: six standard deviations under the threshold."""
-        j = self.numerator / self.denominator
-        return max(0.0, j - 6 * (j * (1 - j) / self.registers) ** 0.5)
+        """Estimates below this are dropped."""
+        return self.below(6)
+
+    @property
+    def fewest(self) -> float:
+        """Pairs with fewer equal registers are not estimated; sets at the threshold share at least its part of them."""
+        return self.below(7) * self.registers
+
+
+def named(column: str):
+    """A column of the input, whatever signs its name has."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -129,8 +160,9 @@ def sketch_documents(df: DataFrame, id_col: str, text_col: str, s: Settings) ->
                 names=["doc", "text_hash", "cls", "n", "regs"],
             )
 
-    key = df.select(id_col).schema.fields[0].dataType.simpleString()
-    source = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    doc, text = named(id_col), named(text_col)
+    key = df.select(doc).schema.fields[0].dataType.simpleString()
+    source = df.select(doc.alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return source.mapInArrow(read, f"doc {key}, text_hash long, cls binary, n long, regs binary")
 
 
@@ -149,46 +181,28 @@ def band_rows(classes: DataFrame, s: Settings) -> DataFrame:
     return classes.select("cls", "regs").mapInArrow(spread, "band long, cls binary")
 
 
-class Forest:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.up[self.root(j)] = self.root(i)
-
-
 def compare(names, sizes, regs, sets, clusters, queries: range, against: range, s: Settings) -> list[tuple]:
     """Verified links that connect clusters: each query is compared with the later positions of ``against``."""
-    forest, first = Forest(len(names)), {}
-    for i, c in enumerate(clusters):
-        if c is not None:
-            forest.join(first.setdefault(c, i), i)
+    first: dict = {}
+    cluster = np.array([i if c is None else first.setdefault(c, i) for i, c in enumerate(clusters)], np.int64)
     out = []
     for i in queries:
         start = max(against.start, i + 1)
         if start >= against.stop:
             continue
-        fits = s.denominator * np.minimum(sizes[i], sizes[start : against.stop]) >= s.numerator * np.maximum(sizes[i], sizes[start : against.stop])
-        near = np.flatnonzero(fits) + start
-        mine = forest.root(i)
-        near = np.array([j for j in near if forest.root(j) != mine], np.int64)
+        others = sizes[start : against.stop]
+        fits = s.denominator * np.minimum(sizes[i], others) >= s.numerator * np.maximum(sizes[i], others)
+        near = np.flatnonzero(fits & (cluster[start : against.stop] != cluster[i])) + start
+        near = near[np.count_nonzero(regs[near] == regs[i], axis=1) >= s.fewest]
         if not len(near):
             continue
         guess = estimate(regs[i], regs[near], sizes[i], sizes[near])
         for j in near[np.argsort(-guess, kind="stable")][: int((guess >= s.floor).sum())]:
-            if forest.root(j) == forest.root(i):
+            if cluster[j] == cluster[i]:
                 continue
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if s.linked(common, int(sizes[i]), int(sizes[j])):
-                forest.join(i, j)
+                cluster[cluster == cluster[j]] = cluster[i]
                 out.append((names[i], names[j]))
     return out
 
@@ -230,7 +244,8 @@ def candidate_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
     ``wanted`` names for each class the id and the text hash of that text.
     """
-    texts = df.select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    doc, text = named(id_col), named(text_col)
+    texts = df.select(doc.alias("_doc"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
     at = (F.col("_hash") == F.col("text_hash")) & F.col("_doc").eqNullSafe(F.col("rep"))
     rows = texts.join(wanted, at).select("cls", "comp", "n_blocks", "block", "regs", "_text")
 
@@ -258,13 +273,19 @@ def _links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, s: Set
     bands = band_rows(classes, s)
     shared = bands.groupBy("band").agg(F.min("cls").alias("root"), F.max("cls").alias("_last")).filter(F.col("root") != F.col("_last"))
     stars = bands.join(shared.select("band", "root"), "band").filter(F.col("cls") != F.col("root")).select("cls", "root").distinct()
-    comps = written(components(stars, "cls", "root").select(F.col("id").alias("cls"), F.col("root").alias("comp")), "candidates")
-    sizes = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"))
-    placed = comps.join(sizes, "comp").withColumn("block", F.pmod(F.hash("cls"), F.col("n_blocks")))
+    found = components(stars, "cls", "root").select(F.col("id").alias("cls"), F.col("root").alias("comp"))
+    comps = written(found.join(classes.select("cls", "n"), "cls"), "candidates")
+    needed = F.ceil(F.greatest(F.count(F.lit(1)) / block, 8 * F.sum("n") / BLOCK_BYTES)).cast("int")
+    # few components have several blocks; their number reaches the classes by salted keys, as one may hold most classes
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    sizes = comps.groupBy("comp").agg(needed.alias("_blocks")).filter(F.col("_blocks") > 1).select("comp", "_blocks", salts)
+    salted = comps.drop("n").withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    placed = salted.join(sizes, ["comp", "_salt"], "left").withColumn("n_blocks", F.coalesce("_blocks", F.lit(1)))
+    placed = placed.select("cls", "comp", "n_blocks", F.pmod(F.hash("cls"), F.col("n_blocks")).alias("block"))
     wanted = placed.join(classes.select("cls", "rep", "text_hash", "regs"), "cls")
     sets = written(candidate_sets(df, wanted, id_col, text_col, s), "sets")
 
-    packs = F.greatest(F.lit(1), F.ceil(F.lit(comps.count()) / block)).cast("int")
+    packs = F.lit(max(1, comps.agg(needed.alias("packs")).first()["packs"] or 1))
     one = F.col("n_blocks") == 1
     # small components share tasks; a block of a large one has a task to itself
     own = sets.select(
@@ -290,7 +311,7 @@ def _links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, s: Set
         key = F.concat_ws("/", F.hex("comp"), "_g", "_b").alias("task")
         ask = asking.withColumn("_g", F.col(group)).join(blocks, "comp").select(key, key.alias("part"), F.lit(True).alias("asks"), *columns)
         rest = base.withColumn("_b", F.col("block")).join(groups, "comp").select(key, key.alias("part"), F.lit(False).alias("asks"), *columns)
-        more = written(links_in_tasks(ask.unionByName(rest), s), name)
+        more = links_in_tasks(ask.unionByName(rest), s)
         return written(links.unionByName(more), f"{name}-all")
 
     base = written(clustered(large, links), "clustered")
@@ -299,7 +320,7 @@ def _links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, s: Set
     counts = base.groupBy("comp", "cluster").agg(F.count(F.lit(1)).alias("_n"))
     largest = counts.groupBy("comp").agg(F.max_by("cluster", F.struct("_n", "cluster")).alias("_top"))
     rest = base.join(largest, "comp").filter(F.col("cluster") != F.col("_top")).drop("_top")
-    left = rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_groups"))
+    left = rest.groupBy("comp").agg(needed.alias("_groups"))
     rest = rest.join(left, "comp").withColumn("_group", F.pmod(F.xxhash64("cls"), F.col("_groups")).cast("int")).drop("_groups")
     return spread(rest, "_group", "rest", links, base)
 
@@ -316,10 +337,11 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, s: Settings, block: int)
     classes = written(classes, "classes")
     links = _links(df, classes, id_col, text_col, s, block)
     labels = components(links, "a", "b").select(F.col("id").alias("cls"), "root")
-    named = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("_least"))
-    named = named.join(smallest, "root").select("cls", "root", "_least")
-    out = rows.select("doc", "text_hash", "n", "cls").join(named, "cls", "left")
+    drop(links)
+    rooted = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("_least"))
+    rooted = rooted.join(smallest, "root").select("cls", "root", "_least")
+    out = rows.select("doc", "text_hash", "n", "cls").join(rooted, "cls", "left")
     return out.select("doc", "text_hash", "n", "cls", "root", F.coalesce("_least", "doc").alias("component_id"))
 
 
@@ -335,10 +357,13 @@ def near_duplicates(
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), block: int = BLOCK) -> DataFrame:
     """The rows of ``df``, with all columns, that stay when one row of each component is kept: a row with the smallest
     id. Of rows with equal id and text one stays; rows without words are never near-duplicates of different rows."""
-    key = lambda doc, text_hash: F.xxhash64(doc, text_hash)
     rows = _grouped(df, id_col, text_col, settings, block).filter(F.col("doc").eqNullSafe(F.col("component_id")))
-    rows = rows.withColumn("_key", key(F.col("doc"), F.col("text_hash")))
-    chosen = rows.groupBy(F.coalesce("root", F.col("_key").cast("string").cast("binary")).alias("_group")).agg(F.min("_key").alias("_near_key"))
-    keyed = df.withColumn("_near_key", key(F.col(id_col), F.xxhash64(text_col)))
-    kept = keyed.join(chosen.select("_near_key"), "_near_key", "left_semi")
-    return kept.dropDuplicates(["_near_key"]).drop("_near_key")
+    alone = F.col("root").isNull()  # such a row is compared with none, so its group is its id and text
+    chosen = rows.groupBy("root", F.when(alone, F.col("doc")).alias("_doc"), F.when(alone, F.col("text_hash")).alias("_hash"))
+    chosen = chosen.agg(F.min(F.struct("doc", "text_hash")).alias("_least"))
+    own = {c.lower() for c in df.columns}
+    doc, text_hash = (next(n for k in range(len(own) + 1) if (n := f"_{name}{k}") not in own) for name in ("near_doc", "near_hash"))
+    chosen = chosen.select(F.col("_least.doc").alias("_a"), F.col("_least.text_hash").alias("_b"))
+    keyed = df.withColumns({doc: named(id_col), text_hash: F.xxhash64(named(text_col))})
+    kept = keyed.join(chosen, keyed[doc].eqNullSafe(chosen["_a"]) & (keyed[text_hash] == chosen["_b"]), "left_semi")
+    return kept.dropDuplicates([doc, text_hash]).drop(doc, text_hash)

@@ -61,6 +61,46 @@ def test_blocks_of_a_large_group_lose_no_link(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    found = list(enumerate([*copies(3, 60, 90, 6), *(prose(s, 40) for s in range(80, 90))]))
+    want, _ = brute_components(found, 3, 85, 100)
+    monkeypatch.setattr(setsketch, "BLOCK_BYTES", 8 * 90 * 10)  # some ten sets
+    df = documents(spark, *[doc(i, t) for i, t in found])
+    got = setsketch.near_duplicates(df, settings=setsketch.Settings(3, 85, 100)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_pairs_that_share_most_of_a_page_are_not_estimated(monkeypatch):
+    """Texts of 140 shared and 60 own words are alike to 0.54: in one component of candidates, but hardly one is estimated."""
+    s, rng = setsketch.Settings(5, 80, 100), np.random.default_rng(0)
+    shared = rng.integers(1 << 62, size=136, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(1 << 62, size=64, dtype=np.uint64)])) for _ in range(300)]
+    sets.append(np.unique(np.concatenate([sets[0][:-2], shared[:1]])))  # a near copy
+    factors, asked, plain = setsketch.multipliers(s.registers), [], setsketch.estimate
+    monkeypatch.setattr(setsketch, "estimate", lambda one, many, n, m: asked.append(len(many)) or plain(one, many, n, m))
+    regs = np.stack([setsketch.registers(x, factors) for x in sets])
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    found = setsketch.compare(list(range(n)), sizes, regs, sets, [None] * n, range(n), range(n), s)
+    assert found == [(0, n - 1)]
+    assert sum(asked) < 0.1 * n * (n - 1) / 2
+
+
+@pytest.mark.parametrize("top", [30, 50, 70, 80, 85, 90, 95])
+def test_bands_follow_from_the_threshold(top):
+    s = setsketch.Settings(5, top, 100)
+    assert s.miss(s.rows) <= setsketch.MISS and s.registers <= setsketch.REGISTERS
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    text = prose(1, 60)
+    rows = [(1, text, "a"), (2, text + " end", "b"), (3, prose(2, 60), "c"), (3, prose(2, 60), "d"), (4, None, "e"), (5, "", "f"), (None, prose(3, 60), "g")]
+    df = spark.createDataFrame(rows, "`doc.id` long, `te``xt` string, _near_doc0 string")
+    got = setsketch.one_of_each(df, "doc.id", "te`xt")
+    assert got.columns == df.columns
+    assert sorted(str(r[0]) for r in got.collect()) == ["1", "3", "4", "5", "None"]
+
+
 def test_estimate_is_near_the_similarity():
     s = setsketch.Settings()
     factors = setsketch.multipliers(s.registers)
