@@ -4,14 +4,14 @@ Word counts cannot be broadcast, and one row per document and word would be shuf
 task reads its documents once and writes, for blocks of bounded size, the distinct word hashes of the block
 with their training counts, and each document as positions in that list. The lists are cut into ranges of
 the hash space, summed over all blocks range by range, and the sums go back to the blocks that asked; there
-is one range per block, so the size of a group does not grow with the corpus. Words are told apart by 64-bit
-hashes.
+is one range per block, so the size of a group does not grow with the corpus, and a block writes only the ranges
+that it has words in, so their number is bounded by its words. Words are told apart by 64-bit hashes.
 
 The subword counts of the training documents (one number for each id of a fixed vocabulary) are summed over
 the corpus and give the classes of the attention model. The network is trained on all windows of all
 training documents: it starts from weights found on the driver on at most ``TRAIN_WINDOWS`` windows of a
 sample, and ``ROUNDS`` passes, each over its own part of the documents, move them. In a round every task
-takes Adam steps over all its windows, and what the tasks changed is averaged in a tree: by the number of
+takes Adam steps over all its windows, and what the tasks changed is averaged in a tree of as many levels as it needs: by the number of
 targets, and for each row of the table of subwords by the places that had it, so a subword that few tasks
 see is learned from those. The network then scores all texts in a pass of its own.
 
@@ -46,7 +46,8 @@ RATES = (0.002, 0.001, 0.0005)  # of the rounds
 STEP_WINDOWS = 64
 POOL_WINDOWS = 4096  # windows of neighbouring documents that are shuffled together
 SLICE_ROWS = 2048  # rows of the table of subwords that are averaged in one group
-BRANCH = 32  # tasks whose changes are added in one group of the first level
+BRANCH = 32  # tasks, or groups of the level below, whose changes are added in one group
+PIECES = 10_000  # ranges of a block that are handed on in one batch
 END = b"\xff"  # no word of a text: UTF-8 has no such byte
 
 _ENCODINGS: dict = {}
@@ -149,6 +150,11 @@ def blocks(df: DataFrame, id_col: str, text_col: str, ranks, pattern: str) -> Da
     )
 
 
+def ranges_of(words: np.ndarray, parts: int) -> np.ndarray:
+    """Number of the range of the hash space, of ``parts`` equal ones, that each word hash falls into."""
+    return np.minimum(words // np.uint64(max(1, (1 << 64) // parts) if parts > 1 else (1 << 64) - 1), np.uint64(parts - 1)).astype(np.int64)
+
+
 def word_totals(stored: DataFrame, parts: int) -> DataFrame:
     """(block, part, totals, n, v, first): corpus counts for the words of a block, range by range of the hash space.
 
@@ -156,18 +162,21 @@ def word_totals(stored: DataFrame, parts: int) -> DataFrame:
     """
 
     def cut(batches):
-        edges = (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)) if parts > 1 else np.zeros(0, np.uint64)
         for batch in batches:
             for block, words, counts in zip(*batch.columns):
                 w, c = unpack(words.as_py(), np.uint64), unpack(counts.as_py(), np.int64)
-                at = np.searchsorted(w, edges)
-                pieces = list(zip(np.split(w, at), np.split(c, at)))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array(range(parts), pa.int32()), "block": [block.as_py()] * parts,
-                        "words": [p.tobytes() for p, _ in pieces], "counts": [q.astype(np.uint32).tobytes() for _, q in pieces],
-                    }
-                )
+                # words are sorted, so ranges with words are runs of them
+                part = ranges_of(w, parts)
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                pieces = list(zip(np.split(w, first[1:]), np.split(c, first[1:])))
+                for k in range(0, len(first), PIECES):
+                    some = pieces[k : k + PIECES]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "part": pa.array(part[first[k : k + PIECES]], pa.int32()), "block": [block.as_py()] * len(some),
+                            "words": [p.tobytes() for p, _ in some], "counts": [q.astype(np.uint32).tobytes() for _, q in some],
+                        }
+                    )
 
     def total(data: pa.Table) -> pa.Table:
         words = [np.frombuffer(w, np.uint64) for w in data.column("words").to_pylist()]
@@ -260,6 +269,19 @@ def _added(data: pa.Table) -> pa.Table:
     )
 
 
+def averaged(changes: DataFrame) -> DataFrame:
+    """The rows of each slice added up, ``BRANCH`` at a time; each level is written."""
+    width = BRANCH
+    level = written(changes.groupBy("slice", F.expr(f"task div {width}")).applyInArrow(lambda _, data: _added(data), changes.schema), "changes")
+    tasks = level.agg(F.max("task").alias("last")).first()["last"] or 0
+    while tasks // width >= BRANCH:
+        width *= BRANCH
+        above = level.groupBy("slice", F.expr(f"task div {width}")).applyInArrow(lambda _, data: _added(data), changes.schema)
+        below, level = level, written(above, "changes")
+        drop(below)
+    return level.groupBy("slice").applyInArrow(_added, changes.schema)
+
+
 def train_round(df: DataFrame, id_col: str, text_col: str, model: attention.Model, ranks, pattern: str, part: int, parts: int, rate: float) -> int:
     """Move the model by all windows of the training documents whose text hash falls into the part; the number of targets."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
@@ -301,8 +323,7 @@ def train_round(df: DataFrame, id_col: str, text_col: str, model: attention.Mode
 
     mine = F.pmod(F.xxhash64(F.col(text_col)), F.lit(parts)) == part
     changes = df.filter(mine).select(id_col, text_col).mapInArrow(learn, schema)
-    branches = changes.groupBy("slice", F.expr(f"task div {BRANCH}")).applyInArrow(lambda _, data: _added(data), schema)
-    rows = branches.groupBy("slice").applyInArrow(_added, schema).collect()  # one row a slice of the model
+    rows = averaged(changes).collect()  # one row a slice of the model
     shared.destroy()
     targets = 0
     for row in rows:

@@ -151,6 +151,29 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     same(score(documents(spark, *[doc(i, t) for i, t in rows])), brute_base(rows))
 
 
+def test_pieces_of_words_are_bounded_by_words(spark):
+    words = np.unique(np.random.default_rng(0).integers(0, 1 << 64, size=500, dtype=np.uint64))
+    rows = [(b, lm_scores.pack(words), lm_scores.pack(np.full(len(words), b + 1, np.int64))) for b in range(3)]
+    stored = spark.createDataFrame(rows, "block long, words binary, counts binary")
+    for parts in (1, 2, 7, 100_000):
+        got = lm_scores.word_totals(stored, parts).toPandas()
+        assert len(got) <= 3 * min(parts, len(words))
+        assert (got["n"].sum(), got["v"].sum()) == (6 * len(words), len(words))
+        for _, own in got.sort_values("part").groupby("block"):
+            assert np.concatenate([lm_scores.unpack(b, np.int64) for b in own["totals"]]).tolist() == [6] * len(words)
+
+
+def test_changes_are_averaged_on_any_number_of_levels(spark, monkeypatch):
+    monkeypatch.setattr(lm_scores, "BRANCH", 3)
+    one = lambda task: (task % 2, task, lm_scores.pack(np.array([1.0])), lm_scores.pack(np.array([float(task), 2.0])))
+    changes = spark.createDataFrame([one(t) for t in range(100)], "slice int, task long, times binary, change binary")
+    got = {r["slice"]: r for r in lm_scores.averaged(changes).collect()}
+    assert sorted(got) == [0, 1]
+    for k, r in got.items():
+        assert lm_scores.unpack(r["times"], np.float64).tolist() == [50.0]
+        assert lm_scores.unpack(r["change"], np.float64).tolist() == [sum(range(k, 100, 2)), 100.0]
+
+
 def test_awkward_documents(spark):
     for df in (awkward(spark), clashing(awkward(spark))):
         found = score(df)
