@@ -268,6 +268,13 @@ def candidate_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return rows.mapInArrow(read, "cls binary, comp binary, n_blocks int, block int, n long, regs binary, items binary")
 
 
+def told(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """Each class with the facts of its component; one component may hold most classes, so the key is salted."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    return salted.join(facts.select("*", salts), ["comp", "_salt"], how).drop("_salt")
+
+
 def _links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, s: Settings, block: int) -> DataFrame:
     """Written verified links between classes, enough to connect all that are connected."""
     bands = band_rows(classes, s)
@@ -276,11 +283,8 @@ def _links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, s: Set
     found = components(stars, "cls", "root").select(F.col("id").alias("cls"), F.col("root").alias("comp"))
     comps = written(found.join(classes.select("cls", "n"), "cls"), "candidates")
     needed = F.ceil(F.greatest(F.count(F.lit(1)) / block, 8 * F.sum("n") / BLOCK_BYTES)).cast("int")
-    # few components have several blocks; their number reaches the classes by salted keys, as one may hold most classes
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    sizes = comps.groupBy("comp").agg(needed.alias("_blocks")).filter(F.col("_blocks") > 1).select("comp", "_blocks", salts)
-    salted = comps.drop("n").withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
-    placed = salted.join(sizes, ["comp", "_salt"], "left").withColumn("n_blocks", F.coalesce("_blocks", F.lit(1)))
+    sizes = comps.groupBy("comp").agg(needed.alias("_blocks")).filter(F.col("_blocks") > 1)  # few components have several
+    placed = told(comps.drop("n"), sizes, "left").withColumn("n_blocks", F.coalesce("_blocks", F.lit(1)))
     placed = placed.select("cls", "comp", "n_blocks", F.pmod(F.hash("cls"), F.col("n_blocks")).alias("block"))
     wanted = placed.join(classes.select("cls", "rep", "text_hash", "regs"), "cls")
     sets = written(candidate_sets(df, wanted, id_col, text_col, s), "sets")
@@ -303,26 +307,31 @@ def _links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, s: Set
         labels = components(links, "a", "b").select(F.col("id").alias("cls"), F.col("root").alias("cluster"))
         return rows.join(labels, "cls", "left").withColumn("cluster", F.coalesce("cluster", "cls"))
 
-    def spread(asking: DataFrame, group: str, name: str, links: DataFrame, base: DataFrame) -> DataFrame:
-        """Compare the asking rows, in groups, with every block of their component."""
-        groups = asking.select("comp", F.col(group).alias("_g")).distinct()
-        blocks = base.select("comp", F.col("block").alias("_b")).distinct()
+    def spread(asking: DataFrame, base: DataFrame, name: str, links: DataFrame) -> DataFrame:
+        """Compare the asking rows, in the groups ``_g``, with every block of their component; base has ``_groups``, their number."""
         columns = ["cls", "cluster", "n", "regs", "items"]
         key = F.concat_ws("/", F.hex("comp"), "_g", "_b").alias("task")
-        ask = asking.withColumn("_g", F.col(group)).join(blocks, "comp").select(key, key.alias("part"), F.lit(True).alias("asks"), *columns)
-        rest = base.withColumn("_b", F.col("block")).join(groups, "comp").select(key, key.alias("part"), F.lit(False).alias("asks"), *columns)
+        ask = asking.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        rest = base.withColumn("_g", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).withColumn("_b", F.col("block"))
+        ask = ask.select(key, key.alias("part"), F.lit(True).alias("asks"), *columns)
+        rest = rest.select(key, key.alias("part"), F.lit(False).alias("asks"), *columns)
         more = links_in_tasks(ask.unionByName(rest), s)
         return written(links.unionByName(more), f"{name}-all")
 
     base = written(clustered(large, links), "clustered")
-    links = spread(base.filter(F.col("block") == 0), "block", "first", links, base)
-    base = written(clustered(large, links), "clustered")
+    found = spread(base.filter(F.col("block") == 0).withColumn("_g", F.lit(0)), base.withColumn("_groups", F.lit(1)), "first", links)
+    drop(base)
+    drop(links)
+    base = written(clustered(large, found), "clustered")
     counts = base.groupBy("comp", "cluster").agg(F.count(F.lit(1)).alias("_n"))
     largest = counts.groupBy("comp").agg(F.max_by("cluster", F.struct("_n", "cluster")).alias("_top"))
-    rest = base.join(largest, "comp").filter(F.col("cluster") != F.col("_top")).drop("_top")
+    rest = told(base, largest).filter(F.col("cluster") != F.col("_top")).drop("_top")
     left = rest.groupBy("comp").agg(needed.alias("_groups"))
-    rest = rest.join(left, "comp").withColumn("_group", F.pmod(F.xxhash64("cls"), F.col("_groups")).cast("int")).drop("_groups")
-    return spread(rest, "_group", "rest", links, base)
+    rest = told(rest, left).withColumn("_g", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("_groups")).cast("int"))
+    links = spread(rest, told(base, left), "rest", found)
+    for table in (base, found, sets, comps):
+        drop(table)
+    return links
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, s: Settings, block: int) -> DataFrame:
