@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 # Vocabularies of the data model.
 ASN_TYPES = ["residential", "mobile", "datacenter", "university", "corporate"]
 ENDPOINTS = ["/v1/chat", "/v1/completions", "/v1/embeddings"]
-LABELS = ["account_farmer", "normal", "prompt_sprayer", "spam_bot", "token_thief"]
 NORMAL = "normal"
 
 
@@ -52,6 +51,27 @@ def account_schema(id_type: T.DataType = T.StringType()) -> T.StructType:
     )
 
 
+LONG, INT, DOUBLE, TEXT, TIME = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.TimestampNTZType()
+
+# Columns of the given tables that the canonical views are made from.
+GIVEN = {
+    "customer": _struct(("c_custkey", LONG), ("c_name", TEXT), ("c_nationkey", INT), ("c_acctbal", DOUBLE), ("c_mktsegment", TEXT)),
+    "documents": _struct(("doc_id", LONG), ("text", TEXT), ("lang", TEXT), ("source", TEXT), ("n_chars", LONG)),
+    "embeddings": _struct(("vec_id", LONG), ("embedding", T.ArrayType(T.FloatType())), ("label", INT)),
+    "events": _struct(("event_id", LONG), ("ts", TIME), ("user_id", LONG), ("event_type", TEXT), ("value", DOUBLE), ("props", TEXT)),
+    "labels": _struct(("doc_id", LONG), ("quality", INT), ("toxic", INT)),
+    "lineitem": _struct(
+        ("l_orderkey", LONG), ("l_partkey", LONG), ("l_suppkey", LONG), ("l_linenumber", INT), ("l_quantity", DOUBLE),
+        ("l_extendedprice", DOUBLE), ("l_discount", DOUBLE), ("l_tax", DOUBLE), ("l_returnflag", TEXT), ("l_linestatus", TEXT),
+        ("l_shipdate", TIME),
+    ),
+    "orders": _struct(
+        ("o_orderkey", LONG), ("o_custkey", LONG), ("o_orderstatus", TEXT), ("o_totalprice", DOUBLE), ("o_orderdate", TIME),
+        ("o_orderpriority", TEXT),
+    ),
+}
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of ``schema`` in order; raises when one is absent or has another type."""
     have = {f.name: f.dataType for f in df.schema.fields}

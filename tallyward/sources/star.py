@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyward.operators.campaign import CLUSTERS, attach_clusters
 from tallyward.operators.content import ROUNDS, ContentModel, content, fit_content, nearest, read_content
-from tallyward.sources.schema import ASN_TYPES
+from tallyward.sources.schema import ASN_TYPES, GIVEN
 from tallyward.sources.stages import StageStore
+from tallyward.sources.tables import read_table
 
 # How the market segments stand for account labels.
 SEGMENT_LABEL = {
@@ -25,7 +26,8 @@ SEGMENT_LABEL = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, lazily; raises before any work starts when a column is absent or has another type."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet", GIVEN[name])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

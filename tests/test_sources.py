@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.session import cut_lineage, shared_folder
-from tallyward.sources import tables
+from tallyward.sources import star, tables
 from tallyward.sources.schema import account_schema, conform, event_schema
 from tests.fixtures import account, accounts, event, events
 
@@ -21,6 +21,15 @@ def test_schema_mismatch_fails_early(spark):
     assert conform(people, account_schema(T.LongType())).count() == 1
 
 
+def test_given_tables_are_checked_on_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, 0, "x")], "doc_id long, quality int, toxic int, more string")
+    rows.write.parquet(str(tmp_path / "labels.parquet"))
+    assert star.table(spark, str(tmp_path), "labels").columns == ["doc_id", "quality", "toxic"]
+    rows.withColumn("toxic", F.col("toxic").cast("string")).write.parquet(str(tmp_path / "other" / "labels.parquet"))
+    with pytest.raises(ValueError, match="toxic: want int, have string"):
+        star.table(spark, str(tmp_path / "other"), "labels")
+
+
 def test_table_round_trip(spark, tmp_path):
     log = events(spark, event(1, 1, 0), event(2, 2, 9))
     tables.write_table(log, str(tmp_path / "t"))
