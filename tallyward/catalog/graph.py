@@ -8,6 +8,7 @@ from tallyward.catalog import canon
 from tallyward.catalog.registry import BOOL, DBL, INT, TXT, query, sql
 from tallyward.operators import evaluate
 from tallyward.operators import graph as g
+from tallyward.session import cut_lineage
 from tallyward.sources import star
 
 
@@ -15,6 +16,11 @@ def edges(spark, d):
     return g.entity_edges(star.purchase_edges(spark, d), star.accounts(spark, d))
 
 
+def edge_table(spark, d, *columns):
+    """Columns of the edges, written: for queries that read them several times."""
+    return cut_lineage(edges(spark, d).select(*columns), "edges")
+
+
 def line_edges(spark, d):
     return g.entity_edges(star.shared_lines(spark, d))
 
@@ -202,8 +208,8 @@ def component_sizes(spark, d):
     ),
 )
 def entity_node_features(spark, d):
-    e = edges(spark, d)
-    return g.neighbour_degrees(e, g.entity_fanout(e))
+    e = edge_table(spark, d, "user_id", *g.ENTITY, "asn_type")
+    return g.neighbour_degrees(e)
 
 
 def _means(round_: int, source: str, etype: str, cols: list[str]) -> str:
@@ -274,7 +280,7 @@ def pooled_neighbors(spark, d):
     own = star.table(spark, d, "customer").select(
         F.col("c_custkey").alias("user_id"), F.log(F.col("c_acctbal") + 10000).alias("balance"), (F.col("c_acctbal") < 0).cast("double").alias("flag")
     )
-    incident = g.incident_nodes(edges(spark, d))
+    incident = g.incident_nodes(edge_table(spark, d, "user_id", *g.ENTITY, "asn_type"))
     profile = g.node_profile(incident)
     around = g.propagate_pooled(own, incident, profile, ["balance", "flag"], rounds=2)
     return around.join(profile.select("user_id", *SHAPES), "user_id", "left")

@@ -11,7 +11,7 @@ from tallyward.functions import expr
 from tallyward.operators.components import connected_components
 from tallyward.operators.evaluate import union_all
 from tallyward.operators.skew import join_unique
-from tallyward.session import cut_lineage
+from tallyward.session import cut_lineage, drop_table
 from tallyward.sources.schema import ASN_TYPES
 
 # An IP shared by more accounts than this is a network gateway; a component of at
@@ -151,21 +151,23 @@ def ring_report(flags: DataFrame, rows: int = 10, min_size: int = MIN_RING) -> D
     )
 
 
-def entity_features(fanout: DataFrame) -> DataFrame:
+def entity_features(fanout: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Node features of entities: log degree and, for IPs, the network type."""
     hot = dict(zip([f"asn_{a}" for a in ASN_TYPES], expr.one_hot(F.col("asn_type"), ASN_TYPES)))
-    return fanout.select(*ENTITY, F.log1p("fanout").alias("log_degree"), *[c.alias(n) for n, c in hot.items()])
+    return fanout.select(*keep, *ENTITY, F.log1p("fanout").alias("log_degree"), *[c.alias(n) for n, c in hot.items()])
 
 
-def _mean_by(edges: DataFrame, values: DataFrame, on: str, to: list[str], cols: Sequence[str]):
-    """Mean of ``cols`` over the ``on`` neighbours of each ``to`` node."""
-    joined = join_unique(edges, values, on)
-    return joined.groupBy(*to).agg(*[F.avg(c).alias(c) for c in cols])
+def _numbered_pairs(edges: DataFrame) -> DataFrame:
+    """(user_id, etype, node) with a number for each entity that several rows share; without one for the others.
 
-
-def _typed_pairs(edges: DataFrame) -> DataFrame:
-    """(user_id, etype, _e) with one string key per entity; written once because every step reads it."""
-    return cut_lineage(edges.select("user_id", "etype", F.concat_ws("|", *ENTITY).alias("_e")), "pairs")
+    Edges and numbers are written once, so the sources are read once and every later step works on numbers.
+    """
+    pairs = cut_lineage(edges.select("user_id", "etype", F.concat_ws("|", *ENTITY).alias("_e")), "pairs")
+    several = pairs.groupBy("_e").agg(F.count("*").alias("_n")).filter("_n > 1")
+    nodes = cut_lineage(several.select("_e", F.monotonically_increasing_id().alias("node")), "nodes")
+    numbered = cut_lineage(join_unique(pairs, nodes, "_e", "left").select("user_id", "etype", "node"), "numbered")
+    drop_table(pairs)
+    return numbered
 
 
 def propagate(
@@ -180,49 +182,76 @@ def propagate(
     Each round appends, for each edge type, the mean over the accounts reached through that type
     (itself included), so the result holds the account's own columns and those of its neighbourhood
     one hop further with each round. An entity has one type, so all types share one pass: two
-    equi-joins and two combinable averages per round, whatever the number of types.
+    equi-joins and two combinable averages per round, whatever the number of types. An entity of one
+    account hands back what that account has, so those are counted once and only shared ones joined.
     """
-    pairs = _typed_pairs(edges)
+    numbered = _numbered_pairs(edges)
+    single = [F.count_if(F.col("node").isNull() & (F.col("etype") == t)).alias(f"_{t}_alone") for t in etypes]
+    alone = cut_lineage(numbered.filter("node is null").groupBy("user_id").agg(*single), "alone")
+    pairs = cut_lineage(numbered.filter("node is not null"), "shared")
+    drop_table(numbered)
     out = features.select("user_id", *cols)
     current = list(cols)
     for r in range(1, rounds + 1):
         source = cut_lineage(out, f"round{r}")
-        to_entity = _mean_by(pairs, source.select("user_id", *current), "user_id", ["_e"], current)
-        reached = join_unique(pairs, to_entity, "_e")
+        to_entity = join_unique(pairs, source.select("user_id", *current), "user_id").groupBy("node").agg(*[F.avg(c).alias(c) for c in current])
+        reached = join_unique(pairs, to_entity, "node")
         names = {(t, c): f"{t}{r}_{c}" for t in etypes for c in current}
-        back = reached.groupBy("user_id").agg(
-            *[F.avg(F.when(F.col("etype") == t, F.col(c))).alias(n) for (t, c), n in names.items()]
-        )
-        out = source.join(back, "user_id", "left")
+        of = {n: F.when(F.col("etype") == t, F.col(c)) for (t, c), n in names.items()}
+        sums = [a for n, v in of.items() for a in (F.sum(v).alias(f"_s_{n}"), F.count(v).alias(f"_n_{n}"))]
+        both = source.join(alone, "user_id", "left").join(reached.groupBy("user_id").agg(*sums), "user_id", "left")
+        means = {}
+        for (t, c), n in names.items():
+            own = F.when(F.col(c).isNotNull(), F.coalesce(F.col(f"_{t}_alone"), F.lit(0))).otherwise(0)
+            total = F.coalesce(F.col(f"_s_{n}"), F.lit(0.0)) + F.when(own > 0, own * F.col(c)).otherwise(0.0)
+            means[n] = expr.ratio(total, own + F.coalesce(F.col(f"_n_{n}"), F.lit(0)))
+        out = both.select(*source.columns, *[m.alias(n) for n, m in means.items()])
         current = list(names.values())
     return out
 
 
-def neighbour_degrees(edges: DataFrame, fanout: DataFrame) -> DataFrame:
-    """Per account and edge type: number of entities, and means of their node features."""
-    nodes = entity_features(fanout)
+def neighbour_degrees(edges: DataFrame, fanout: DataFrame | None = None) -> DataFrame:
+    """Per account and edge type: number of entities, and means of their node features.
+
+    Without a given ``fanout`` it is that of the edges, which are read twice and should be a table; what is known of an
+    entity of one account is then on its edge, and only shared entities are joined.
+    """
     names = ["log_degree", *[f"asn_{a}" for a in ASN_TYPES]]
-    keyed = nodes.select(F.concat_ws("|", *ENTITY).alias("_e"), *names)
-    pairs = _typed_pairs(edges)
-    joined = join_unique(pairs, keyed, "_e")
-    return joined.groupBy("user_id", "etype").agg(
+    if fanout is None:
+        nodes = _with_fanout(edges.select("user_id", *ENTITY, "asn_type"), entity_fanout(edges))
+    else:
+        key = F.concat_ws("|", *ENTITY).alias("_e")
+        sizes = fanout.select(key, "fanout", "asn_type")
+        nodes = join_unique(edges.select("user_id", *ENTITY, key), sizes, "_e")
+    return entity_features(nodes, ["user_id"]).groupBy("user_id", "etype").agg(
         F.count("*").alias("entities"), *[F.avg(c).alias(c) for c in names]
     )
 
 
+def _with_fanout(edges: DataFrame, fanout: DataFrame, *columns: str) -> DataFrame:
+    """Every edge with the fan-out and the network type of its entity, and ``columns`` of ``fanout`` where it is shared.
+
+    ``fanout`` is that of ``edges``. An entity of one account has one edge, with its network type on it, so only shared
+    entities go to the join.
+    """
+    key = F.concat_ws("|", *ENTITY).alias("_e")
+    shared = fanout.filter("fanout > 1").select(key, F.col("fanout").alias("_fanout"), F.col("asn_type").alias("_kind"), *columns)
+    joined = join_unique(edges.select("user_id", *ENTITY, "asn_type", key), shared, "_e", "left")
+    kind = F.when(F.col("_fanout").isNull(), F.col("asn_type")).otherwise(F.col("_kind"))
+    return joined.select("user_id", *ENTITY, F.coalesce("_fanout", F.lit(1)).alias("fanout"), kind.alias("asn_type"), *columns)
+
+
 ETYPES = ("ip", "device", "payment")
 
 
 def incident_nodes(edges: DataFrame) -> DataFrame:
-    """(user_id, etype, node, fanout, kind): every edge with a number for its entity, its fan-out and its network type.
+    """(user_id, etype, node, fanout, kind): every edge with its entity's fan-out, network type and, if it is shared, number.
 
-    The one join on text keys; it is written, and all that follows works on numbers.
+    The one join on text keys; it is written, and all that follows works on numbers. Only shared entities go to it.
     """
-    key = F.concat_ws("|", *ENTITY).alias("_e")
-    nodes = entity_fanout(edges).select(key, "fanout", F.col("asn_type").alias("kind")).withColumn("node", F.monotonically_increasing_id())
-    nodes = cut_lineage(nodes, "nodes")
-    joined = join_unique(edges.select("user_id", "etype", key), nodes, "_e")
-    return cut_lineage(joined.select("user_id", "etype", "node", "fanout", "kind"), "incident")
+    nodes = entity_fanout(edges).filter("fanout > 1").select(*ENTITY, "fanout", "asn_type", F.monotonically_increasing_id().alias("node"))
+    joined = _with_fanout(edges, cut_lineage(nodes, "nodes"), "node")
+    return cut_lineage(joined.select("user_id", "etype", "node", "fanout", F.col("asn_type").alias("kind")), "incident")
 
 
 def node_profile(incident: DataFrame, etypes: Sequence[str] = ETYPES) -> DataFrame:

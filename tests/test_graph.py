@@ -162,3 +162,46 @@ def test_components_ignore_row_order(spark):
     a = labels(connected_components(frame(spark, edges)))
     b = labels(connected_components(frame(spark, edges[::-1]).repartition(7, F.col("dst"))))
     assert a == b == by_search(edges)
+
+
+@pytest.fixture(scope="module")
+def mixed_links(spark):
+    """Edges of three types: many entities of one account, some of several, one without a network type."""
+    rnd = random.Random(11)
+    links = sorted({(u, t, f"{t}{rnd.randrange(n)}") for u in range(30) for t, n in (("ip", 60), ("device", 25), ("payment", 90)) for _ in range(rnd.randrange(4))})
+    rows = [(u, t, e, None if e == "ip3" else ["mobile", "corporate"][u % 2]) for u, t, e in links]
+    return links, spark.createDataFrame(rows, "user_id long, etype string, entity_id string, asn_type string")
+
+
+def test_only_shared_entities_are_joined(mixed_links):
+    """Entities of one account get no number and no place in a join; what is known of them is on their edge."""
+    links, edges = mixed_links
+    users = {}
+    for u, *e in links:
+        users.setdefault(tuple(e), set()).add(u)
+    got = [(r.user_id, r.etype, r.node, r.fanout) for r in g.incident_nodes(edges).collect()]
+    assert sum(node is None for *_, node, _ in got) == sum(len(v) == 1 for v in users.values())
+    assert all((node is None) == (fanout == 1) for *_, node, fanout in got)
+    plain = sorted(g.neighbour_degrees(edges, g.entity_fanout(edges)).collect())
+    alone = sorted(g.neighbour_degrees(edges).collect())
+    assert [tuple(r) for r in alone] == [pytest.approx(tuple(r)) for r in plain] and len(plain) > 40
+
+
+def test_propagation_with_single_entities_equals_brute_force(spark, mixed_links):
+    """Missing values, and an account that has edges but no row."""
+    links, edges = mixed_links
+    x = {u: None if u % 7 == 0 else float(u % 9) for u in range(29)}
+    got = {r.user_id: r for r in g.propagate(spark.createDataFrame(sorted(x.items()), "user_id long, x double"), edges, ["x"], rounds=2).collect()}
+    values = {u: {"x": v} for u, v in x.items()}
+    mean = lambda v: sum(v) / len(v) if (v := [a for a in v if a is not None]) else None
+    for r in (1, 2):
+        new = {u: {} for u in x}
+        for c in values[0]:
+            entity = {e: mean([values[u][c] for u, *f in links if tuple(f) == e and u in x]) for e in {tuple(f) for _, *f in links}}
+            for u in x:
+                for t in g.ETYPES:
+                    new[u][f"{t}{r}_{c}"] = mean([entity[tuple(f)] for v, *f in links if v == u and f[0] == t])
+        values = new
+        for u in x:
+            for name, want in new[u].items():
+                assert got[u][name] == (None if want is None else pytest.approx(want)), (u, name)
