@@ -52,35 +52,43 @@ class Surprise(StatefulProcessor):
         self.ring = handle.getValueState("ring", RING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).drop_duplicates("event_id").sort_values(["ts", "event_id"], kind="stable")
-        last = self.last.get() if self.last.exists() else None
-        columns = ["user_id", "event_id", "ts", "surprise", "rolling", "late"]
+        # arrays: an account has few rows in a batch, and every call on a frame costs as much as hundreds of them
+        pieces = list(rows)
+        ts, content = (np.concatenate([p[c].to_numpy(np.int64) for p in pieces]) for c in ("ts", "content"))
+        ids = np.concatenate([p["event_id"].to_numpy() for p in pieces])
+        at = np.unique(ids, return_index=True)[1]
+        at = at[np.lexsort((ids[at], ts[at]))]
+        ts, ids, content = ts[at], ids[at], content[at]
+        last = self.last.get()
         if last:
-            at = list(zip(batch["ts"], batch["event_id"]))
-            old = np.array([a < (last[0], last[3]) for a in at])
-            again = np.array([a == (last[0], last[3]) for a in at])
+            old = (ts < last[0]) | ((ts == last[0]) & (ids < last[3]))
             if old.any():
-                late = batch.loc[old, ["event_id", "ts"]].assign(user_id=key[0], surprise=np.nan, rolling=np.nan, late=True)
-                yield late[columns]
-            batch = batch[~old & ~again]
-            if batch.empty:
+                yield self._rows(key[0], ids[old], ts[old], np.nan, np.nan, True)
+            new = ~old & ~((ts == last[0]) & (ids == last[3]))
+            ts, ids, content = ts[new], ids[new], content[new]
+            if not len(ts):
                 return
-        ts, content = batch["ts"].to_numpy(np.int64), batch["content"].to_numpy(np.int64)
         before = np.concatenate(([last[0] if last else ts[0]], ts[:-1]))
         gap = np.clip(np.floor(np.log10(np.maximum(ts - before, 1))), 0, DELTA_BUCKETS - 1).astype(np.int64)
         from_gap = np.concatenate(([last[1] if last else 0], gap[:-1]))
         from_content = np.concatenate(([last[2] if last else 0], content[:-1]))
         loss = self.gap_loss[from_gap, from_content, gap] + self.content_loss[from_gap, from_content, content]
         start = 0 if last else 1  # the first event of an account has nothing to be predicted from
-        kept = list(self.ring.get()[0]) if self.ring.exists() else []
+        ring = self.ring.get()
+        kept = list(ring[0]) if ring else []
         series = np.array(kept + loss[start:].tolist())
         sums = np.concatenate(([0.0], np.cumsum(series)))
         n, w = len(series), self.width
-        rolling = [(sums[i + 1] - sums[i + 1 - w]) / w if i + 1 >= w else None for i in range(len(kept), n)]
-        self.last.update((int(ts[-1]), int(gap[-1]), int(content[-1]), int(batch["event_id"].iloc[-1])))
+        rolling = [(sums[i + 1] - sums[i + 1 - w]) / w if i + 1 >= w else np.nan for i in range(len(kept), n)]
+        self.last.update((int(ts[-1]), int(gap[-1]), int(content[-1]), int(ids[-1])))
         self.ring.update((series[-w:].tolist(),))
-        out = batch[["event_id", "ts"]].iloc[start:].assign(user_id=key[0], surprise=loss[start:], rolling=rolling, late=False)
-        yield out[columns].astype({"rolling": "float64"})
+        yield self._rows(key[0], ids[start:], ts[start:], loss[start:], rolling, False)
+
+    @staticmethod
+    def _rows(user, ids, ts, surprise, rolling, late: bool) -> pd.DataFrame:
+        return pd.DataFrame(
+            {"user_id": user, "event_id": ids, "ts": ts, "surprise": surprise, "rolling": np.asarray(rolling, np.float64), "late": late}, index=range(len(ids))
+        )
 
     def close(self) -> None:
         pass
