@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyward.operators.detect import MISSING, check_columns
 from tallyward.operators.split import class_weights
-from tallyward.session import cut_lineage, drop_table
+from tallyward.session import cut_lineage, drop_table, per_core
 from tallyward.sources.schema import NORMAL
 
 BINS, ROUNDS, DEPTH, RATE = 32, 12, 3, 0.45
@@ -161,7 +161,7 @@ def level_cuts(stored: DataFrame, booster: Booster, growing: list[Tree], level:
         cuts = best_cuts(sums.reshape(n_classes, n_nodes, bins, 2))
         return pa.table({"column": data.column("column").slice(0, 1), "cuts": pa.array([cuts.tobytes()], pa.binary())})
 
-    rows = stored.mapInArrow(add, "column int, sums binary").groupBy("column").applyInArrow(search, "column int, cuts binary").collect()  # a row a column
+    rows = per_core(stored).mapInArrow(add, "column int, sums binary").groupBy("column").applyInArrow(search, "column int, cuts binary").collect()  # a row a column
     shared.destroy()
     out = np.zeros((len(booster.columns), n_classes, n_nodes, 6))
     for r in rows:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyward.operators.features import NON_FEATURES
 from tallyward.operators.split import class_weights
-from tallyward.session import cut_lineage
+from tallyward.session import cut_lineage, per_core
 from tallyward.sources.schema import NORMAL
 
 MISSING = -1.0
@@ -49,7 +49,8 @@ def fit_detector(view: DataFrame, columns: Sequence[str], split: DataFrame, seed
     filled = view.select("user_id", *columns).fillna(MISSING)
     weights = class_weights(split).select("label_noisy", "weight")
     train = filled.join(split.filter(~F.col("is_test")), "user_id").join(F.broadcast(weights), "label_noisy")
-    train = cut_lineage(train, "train")  # tree learning passes over its input several times
+    # tree learning passes over its input several times, and every task sends histograms of all growing nodes
+    train = per_core(cut_lineage(train, "train"))
     # classes come from the clean label set in alphabetical order; training reads the noisy column
     indexer = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(split.select("label"))
     indexed = indexer.setInputCol("label_noisy").transform(train)
@@ -123,7 +124,7 @@ def fit_fusion(fit: DataFrame, signals: Sequence[str] = SIGNALS) -> PipelineMode
     sizes = fit.agg(F.struct(F.count("*").alias("n"), F.sum(y).alias("pos"))).scalar()
     n, pos = sizes["n"].cast("double"), sizes["pos"]
     weight = F.coalesce(F.try_divide(n, 2 * F.when(y == 1, pos).otherwise(n - pos)), F.lit(1.0))
-    rows = fit.withColumns({"_y": y, "_w": weight})
+    rows = per_core(fit.withColumns({"_y": y, "_w": weight}))  # every round of the solver sends one result a task
     stages = [
         VectorAssembler(inputCols=list(signals), outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
