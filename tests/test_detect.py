@@ -78,3 +78,22 @@ def test_fusion(spark, case):
     weights = detect.fusion_weights(fused, spark).collect()
     assert [r.rank for r in weights] == list(range(1, 9))
     assert all(abs(weights[i].weight) >= abs(weights[i + 1].weight) for i in range(7))
+
+
+def test_forest_passes_run_in_partitions_of_the_cluster(spark, monkeypatch):
+    """A task sends histograms of fixed size, so tasks are counted by the cores, not by the input."""
+    found = []
+
+    class Recorded:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, rows):
+            found.append((rows.rdd.getNumPartitions(), rows.count()))
+
+    monkeypatch.setattr(detect, "cut_lineage", lambda df, name: df.repartition(100))
+    monkeypatch.setattr(detect, "Pipeline", Recorded)
+    split = spark.range(300).selectExpr("id as user_id", "if(id % 2 = 0, 'normal', 'spam_bot') as label", "if(id % 2 = 0, 'normal', 'spam_bot') as label_noisy", "false as is_test")
+    detect.fit_detector(spark.range(300).selectExpr("id as user_id", "id * 1.0D as x"), ["x"], split)
+    parts, rows = found[0]
+    assert rows == 300 and parts <= 2 * spark.sparkContext.defaultParallelism < 100

@@ -175,3 +175,17 @@ def test_online_surprise_equals_batch(spark, halves):
     losses = [w.surprise for w in want if w.user_id == 1]
     assert all(g.rolling is None for g in mine[:15])
     assert all(abs(g.rolling - sum(losses[i - 15 : i + 1]) / 16) < 1e-9 for i, g in enumerate(mine) if i >= 15)
+
+
+def test_a_replayed_log_is_made_once(spark):
+    """Bounds and parts are read from a written copy, so costly columns are not made again for every part."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(400).withColumnRenamed("id", "ts").mapInArrow(counted, "ts long")
+    stream = replay(rows, 3, "ts")
+    assert stream.isStreaming and made.value == 400
