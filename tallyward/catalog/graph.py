@@ -13,7 +13,7 @@ from tallyward.sources import star
 
 
 def edges(spark, d):
-    return g.entity_edges(star.purchase_edges(spark, d), star.accounts(spark, d))
+    return g.entity_edges(star.purchase_edges(spark, d), star.people(spark, d))
 
 
 def edge_table(spark, d, *columns):
@@ -130,7 +130,7 @@ RING_CTES = f"{canon.EDGES}, {canon.LINKS}, {canon.COMPONENTS}, {canon.RINGS}"
     ),
 )
 def ring_flags(spark, d):
-    return g.ring_flags(star.accounts(spark, d), components(spark, d))
+    return g.ring_flags(star.people(spark, d), components(spark, d))
 
 
 @query(

@@ -103,15 +103,27 @@ def link_counts(entities: DataFrame) -> DataFrame:
     ).orderBy("etype")
 
 
-def account_components(edges: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
+def component_links(edges: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
+    """(src, dst): the accounts of every linking entity, each linked to the smallest one.
+
+    The two accounts of an entity that two share are known from the counting itself, so only the edges of entities
+    with more go to a join, and the table of those is written first: while it is small, the edges are not moved for it.
+    """
+    ends = edges.groupBy(*ENTITY).agg(F.count("*").alias("fanout"), F.min("user_id").alias("hub"), F.max("user_id").alias("_far"))
+    linking = cut_lineage(linking_entities(ends, caps), "linking")
+    wide = cut_lineage(linking.filter("fanout > 2").select(*ENTITY, "hub"), "wide")
+    two = linking.filter("fanout = 2 and _far != hub").select(F.col("_far").alias("src"), F.col("hub").alias("dst"))
+    return two.unionByName(star_links(edges, wide).select("src", "dst"))
+
+
+def account_components(edges: DataFrame, caps: dict[str, int] = CAPS, stored: bool = False) -> DataFrame:
     """(id, component_id) of accounts linked by shared entities.
 
-    The edge table serves fan-out and links, so the event log is read once and the pairs are written.
+    The edge table serves fan-out and links, so the event log is read once and the pairs are written, unless
+    ``edges`` are a ``stored`` table.
     """
-    edges = cut_lineage(edges.select("user_id", *ENTITY).withColumn("asn_type", F.lit(None).cast("string")), "pairs")
-    entities = linking_entities(entity_fanout(edges), caps)
-    links = star_links(edges, entities)
-    return connected_components(links, "src", "dst")
+    pairs = edges.select("user_id", *ENTITY)
+    return connected_components(component_links(pairs if stored else cut_lineage(pairs, "pairs"), caps), "src", "dst")
 
 
 def ring_flags(accounts: DataFrame, components: DataFrame, min_size: int = MIN_RING) -> DataFrame:

@@ -205,3 +205,33 @@ def test_propagation_with_single_entities_equals_brute_force(spark, mixed_links)
         for u in x:
             for name, want in new[u].items():
                 assert got[u][name] == (None if want is None else pytest.approx(want)), (u, name)
+
+
+def test_edges_of_entities_of_two_accounts_are_not_joined(spark, mixed_links, monkeypatch):
+    """Components by search over all linking entities, with and without the cap; only wider entities reach the join."""
+    links, edges = mixed_links
+    users = {}
+    for u, *e in links:
+        users.setdefault(tuple(e), set()).add(u)
+    joined, whole = [], g.star_links
+
+    def noted(pairs, entities):
+        joined.extend((r.etype, r.entity_id) for r in entities.collect())
+        return whole(pairs, entities)
+
+    monkeypatch.setattr(g, "star_links", noted)
+    for caps in ({}, {"device": 3}, {"ip": 1, "device": 2}):
+        joined.clear()
+        linking = {e: sorted(v) for e, v in users.items() if 2 <= len(v) <= caps.get(e[0], 99)}
+        want = by_search([(a, v[0]) for v in linking.values() for a in v[1:]])
+        for stored in (False, True):
+            assert labels(g.account_components(edges, caps, stored)) == want
+        assert set(joined) == {e for e, v in linking.items() if len(v) > 2} and any(len(v) == 2 for v in linking.values())
+
+
+def test_flags_do_not_read_the_orders(spark, sf):
+    from tallyward.sources import star
+
+    whole, without = star.accounts(spark, sf), star.people(spark, sf)
+    assert not any("orders" in f for f in without.inputFiles()) and any("orders" in f for f in whole.inputFiles())
+    assert sorted(map(repr, whole.drop("created_at").collect())) == sorted(map(repr, without.collect()))
