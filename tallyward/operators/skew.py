@@ -97,3 +97,12 @@ def join_unique(rows: DataFrame, dim: DataFrame, on: str, how: str = "inner") ->
     names = [c for c in dim.columns if c != on]
     nothing = {c: F.lit(None).cast(dim.schema[c].dataType) for c in names}
     return keyed.unionByName(rows.filter(F.col(on).isNull()).withColumns(nothing))
+
+
+def join_grown(rows: DataFrame, other: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two tables that both grow with the input: neither is collected on the driver for a broadcast.
+
+    The planner takes a stored table for its compressed size, and a few columns of it for their share of that, so
+    tables of millions of rows would still pass for small.
+    """
+    return rows.join(other.hint("merge"), on, how)

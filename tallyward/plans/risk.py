@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from tallyward.operators import boost, campaign, decide, detect, evaluate, features, graph
 from tallyward.operators import sequence as seq
 from tallyward.operators import split as sp
+from tallyward.operators.skew import join_grown
 from tallyward.session import cut_lineage
 from tallyward.sources.schema import ENDPOINTS, NORMAL
 from tallyward.sources.stages import StageStore
-from tallyward.sources.tables import load_model, metric_rows, save_model
+from tallyward.sources.tables import load_model, metric_columns, metric_rows, save_model
 
 TAKEN_OVER = "token_thief"
 
@@ -58,9 +59,14 @@ class RiskAnalysis:
         """Edges are read by the rings, the propagation and the degrees: the log is scanned once."""
         return self._table("edges", self.edges)
 
+    @cached_property
+    def account_table(self) -> DataFrame:
+        """Accounts are read by every join with labels: they are made from their tables once."""
+        return self._table("accounts", lambda: self.accounts)
+
     @cached_property
     def split(self) -> DataFrame:
-        return self._table("split", lambda: sp.test_halves(sp.split_assignment(self.accounts)))
+        return self._table("split", lambda: sp.test_halves(sp.split_assignment(self.account_table)))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -90,7 +96,8 @@ class RiskAnalysis:
 
     @cached_property
     def tabular(self) -> DataFrame:
-        return detect.score_detector(self.tabular_detector, self.features, self.split, "tab")
+        """Scores are stored, as each of their metrics and the fusion reads them: a forest is applied once."""
+        return self._table("tabular_scores", lambda: detect.score_detector(self.tabular_detector, self.features, self.split, "tab"))
 
     @cached_property
     def booster(self) -> boost.Booster:
@@ -104,6 +111,9 @@ class RiskAnalysis:
 
     @cached_property
     def sequence_scores(self) -> DataFrame:
+        return self._table("sequence_scores", self._sequence_scores)
+
+    def _sequence_scores(self) -> DataFrame:
         pooled = self._table("pooled", lambda: seq.pooled_sequence(self.encoded, list(self.endpoints)))
         columns = [c for c in pooled.columns if c != "user_id"]
         model = self._detector("sequence_model", pooled, columns)
@@ -111,11 +121,14 @@ class RiskAnalysis:
         spikes = self.spikes.select(
             "user_id", F.col("spike_score").alias("seq_anomaly"), F.col("spike_ts").alias("seq_anomaly_ts")
         )
-        out = scores.join(spikes, "user_id", "left")
+        out = join_grown(scores, spikes, "user_id", "left")
         return out.fillna(0, subset=["seq_anomaly", "seq_anomaly_ts"])
 
     @cached_property
     def graph_scores(self) -> DataFrame:
+        return self._table("graph_scores", self._graph_scores)
+
+    def _graph_scores(self) -> DataFrame:
         view = self._table("around", self._around)
         columns = [c for c in view.columns if c != "user_id"]
         return detect.score_detector(self._detector("graph_model", view, columns), view, self.split, "graph")
@@ -131,7 +144,7 @@ class RiskAnalysis:
 
     @cached_property
     def rings(self) -> DataFrame:
-        return self._table("rings", lambda: graph.ring_flags(self.accounts, graph.account_components(self.edge_table)))
+        return self._table("rings", lambda: graph.ring_flags(self.account_table, graph.account_components(self.edge_table, stored=True)))
 
     @cached_property
     def spray(self) -> DataFrame:
@@ -141,7 +154,7 @@ class RiskAnalysis:
         rows = self.clustered()
         active = rows.agg(F.count_distinct("user_id")).scalar()
         stats = campaign.cluster_stats(rows, active)
-        return campaign.campaign_accounts(rows, campaign.campaign_clusters(stats), self.accounts)
+        return campaign.campaign_accounts(rows, campaign.campaign_clusters(stats), self.account_table)
 
     @cached_property
     def signals(self) -> DataFrame:
@@ -149,10 +162,10 @@ class RiskAnalysis:
 
     def _signals(self) -> DataFrame:
         joined = detect.fusion_signals(
-            self.accounts, self.tabular, self.sequence_scores, self.graph_scores, self.rings, self.spray
+            self.account_table, self.tabular, self.sequence_scores, self.graph_scores, self.rings, self.spray
         )
         halves = self.split.select("user_id", "is_fit", "is_eval")
-        return joined.join(halves, "user_id")
+        return join_grown(joined, halves, "user_id")
 
     @cached_property
     def fusion_model(self):
@@ -174,23 +187,24 @@ class RiskAnalysis:
 
     def detector_metrics(self, stage: str, scores: DataFrame, prefix: str) -> list[DataFrame]:
         """Rows of one detector on the test accounts it has scored."""
-        test = scores.filter("is_test").join(self.accounts.select("user_id", "label", "evasion"), "user_id")
+        labels = self.account_table.select("user_id", "label", "evasion")
+        test = cut_lineage(join_grown(scores.filter("is_test"), labels, "user_id"), "test")
         bad, abuse = F.col("label") != NORMAL, f"{prefix}_abuse"
         skipped = {abuse, f"{prefix}_anomaly", f"{prefix}_anomaly_ts"}
         classes = {c.removeprefix(f"{prefix}_"): c for c in scores.columns if c.startswith(f"{prefix}_") and c not in skipped}
-        rates = evaluate.base_rate(test, bad)
         return [
             metric_rows(evaluate.average_precision(test, abuse, bad), stage, "abuse_pr_auc", None, "ap"),
             metric_rows(evaluate.per_class_ap(test, classes), stage, "class_pr_auc", "class", "ap"),
             metric_rows(evaluate.ap_by_slice(test, abuse, bad), stage, "pr_auc_by_evasion", "slice", "ap"),
             metric_rows(evaluate.precision_at_k(test, abuse, bad), stage, "precision_at_k", "k", "precision"),
-            *[metric_rows(rates, stage, c, None, c) for c in rates.columns],
+            metric_columns(evaluate.base_rate(test, bad), stage),
         ]
 
     def takeover_metrics(self) -> list[DataFrame]:
         """How well spikes of surprise tell taken-over accounts of the test side, and when."""
-        held_out = self.accounts.join(self.split.filter("is_test").select("user_id"), "user_id", "left_semi")
-        scored = self.spikes.filter(F.col("transitions") >= 2 * seq.SMOOTH).join(held_out.select("user_id", "label"), "user_id")
+        held_out = join_grown(self.account_table, self.split.filter("is_test").select("user_id"), "user_id", "left_semi")
+        long = self.spikes.filter(F.col("transitions") >= 2 * seq.SMOOTH)
+        scored = join_grown(long, held_out.select("user_id", "label"), "user_id")
         pair = scored.filter(F.col("label").isin(TAKEN_OVER, NORMAL))
         auc = evaluate.roc_auc(pair, "spike_score", F.col("label") == TAKEN_OVER)
         error = seq.localisation_error(held_out, self.spikes)
@@ -207,26 +221,27 @@ class RiskAnalysis:
         spray = evaluate.flag_quality(self.spray, "spray_flag", F.col("label").isin(campaign.TARGETS))
         recall = campaign.campaign_recall(self.spray)
         return [
-            *[metric_rows(rings, "rings", c, None, c) for c in rings.columns],
-            *[metric_rows(largest, "rings", c, None, c) for c in largest.columns],
-            *[metric_rows(spray, "campaigns", c, None, c) for c in spray.columns],
+            metric_columns(rings, "rings"),
+            metric_columns(largest, "rings"),
+            metric_columns(spray, "campaigns"),
             metric_rows(recall, "campaigns", "recall_by_label", "label", "recall"),
         ]
 
     def fusion_metrics(self) -> list[DataFrame]:
         """Fused risk, tiers and cost on the evaluation half."""
         ev = self.risk.filter("is_eval")
+        decided = cut_lineage(self.decisions.filter("is_eval"), "decided")
         bad = F.col("label") != NORMAL
         detectors = evaluate.detector_comparison(ev, ["risk", "tab_abuse", "seq_abuse", "graph_abuse"], bad)
         by_level = evaluate.ap_by_slice(ev, "risk", bad)
-        tiers = decide.tier_table(self.decisions.filter("is_eval"))
-        cost = decide.expected_cost(self.decisions.filter("is_eval"))
+        tiers = decide.tier_table(decided)
+        cost = decide.expected_cost(decided)
         return [
             metric_rows(detectors, "fusion", "abuse_pr_auc", "detector", "ap"),
             metric_rows(by_level, "fusion", "fused_by_evasion", "slice", "ap"),
             metric_rows(tiers, "fusion", "tier_accounts", "tier", "n"),
             metric_rows(tiers, "fusion", "tier_precision", "tier", "precision"),
-            *[metric_rows(cost, "fusion", c, None, c) for c in cost.columns],
+            metric_columns(cost, "fusion"),
         ]
 
     def metrics(self) -> DataFrame:

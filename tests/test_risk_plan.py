@@ -9,6 +9,7 @@ from tallyward.catalog import canon
 from tallyward.operators import decide, detect
 from tallyward.operators.features import NON_FEATURES
 from tallyward.plans.risk import side_by_side
+from tallyward.sources.tables import metric_columns
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +119,22 @@ def test_later_analyses_find_the_fitted_models(spark, sf, analysis, monkeypatch)
     other = again(spark, sf)
     assert sorted(r.risk for r in other.risk.collect()) == sorted(r.risk for r in analysis.risk.collect())
     assert list(other.fusion_model.stages[-1].coefficients) == list(analysis.fusion_model.stages[-1].coefficients)
+
+
+def test_metrics_read_stored_scores(spark, sf, analysis, metric_list, monkeypatch):
+    """A forest is applied once for all its metrics and the fusion, not once for each of them."""
+    from tallyward.catalog.detectors import analysis as again
+
+    def refuse(*_):
+        raise AssertionError("scored again")
+
+    monkeypatch.setattr(detect, "score_detector", refuse)
+    got = {(r.stage, r.metric, r.key): r.value for r in again(spark, sf).metrics().collect()}
+    assert got == pytest.approx({(r.stage, r.metric, r.key): r.value for r in metric_list}, nan_ok=True) and len(got) == len(metric_list)
+
+
+def test_a_row_of_metrics_is_computed_once(spark):
+    one = spark.range(5).selectExpr("count(*) as n", "avg(id) as mean", "cast(null as double) as none")
+    out = metric_columns(one, "s")
+    assert [tuple(r) for r in out.collect()] == [("s", "n", "", 5.0), ("s", "mean", "", 2.0), ("s", "none", "", None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1
