@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.operators.detect import MISSING, check_columns
+from tallyward.operators.skew import join_grown
 from tallyward.operators.split import class_weights
 from tallyward.session import cut_lineage, drop_table, per_core
 from tallyward.sources.schema import NORMAL
@@ -244,7 +245,7 @@ def score_boosted(booster: Booster, view: DataFrame, split: DataFrame, prefix: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in [sum(by_class), *by_class])], names=["user_id", *names])
 
     out = filled.mapInArrow(score, f"user_id {kind}, " + ", ".join(f"`{n}` double" for n in names))
-    return out.join(split.select("user_id", "is_test"), "user_id")
+    return join_grown(out, split.select("user_id", "is_test"), "user_id")
 
 
 def boosted_importance(booster: Booster, spark: SparkSession, rows: int = 15) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.operators.features import NON_FEATURES
+from tallyward.operators.skew import join_grown
 from tallyward.operators.split import class_weights
 from tallyward.session import cut_lineage, per_core
 from tallyward.sources.schema import NORMAL
@@ -69,7 +70,7 @@ def score_detector(detector: Detector, view: DataFrame, split: DataFrame, prefix
     p = {c: F.col("_p")[i] for i, c in enumerate(detector.classes)}
     abuse = (F.lit(1.0) - p[NORMAL]).alias(f"{prefix}_abuse")
     per_class = [p[c].alias(f"{prefix}_{c}") for c in detector.classes if c != NORMAL]
-    return out.select("user_id", abuse, *per_class).join(split.select("user_id", "is_test"), "user_id")
+    return join_grown(out.select("user_id", abuse, *per_class), split.select("user_id", "is_test"), "user_id")
 
 
 def feature_importance(detector: Detector, spark, rows: int = 15) -> DataFrame:
@@ -97,13 +98,12 @@ def fusion_signals(
     accounts: DataFrame, tabular: DataFrame, sequence: DataFrame, graph: DataFrame, rings: DataFrame, spray: DataFrame
 ) -> DataFrame:
     """One row per account with the eight stacked signals; accounts without events get defaults."""
+    joined = join_grown(accounts.select("user_id", "label", "label_noisy", "evasion"), tabular.select("user_id", "tab_abuse", "is_test"), "user_id")
+    joined = join_grown(joined, sequence.select("user_id", "seq_abuse", "seq_anomaly"), "user_id", "left")
+    joined = join_grown(joined, graph.select("user_id", "graph_abuse"), "user_id")
+    joined = join_grown(joined, rings.select("user_id", "ring_flag", "component_size"), "user_id")
     return (
-        accounts.select("user_id", "label", "label_noisy", "evasion")
-        .join(tabular.select("user_id", "tab_abuse", "is_test"), "user_id")
-        .join(sequence.select("user_id", "seq_abuse", "seq_anomaly"), "user_id", "left")
-        .join(graph.select("user_id", "graph_abuse"), "user_id")
-        .join(rings.select("user_id", "ring_flag", "component_size"), "user_id")
-        .join(spray.select("user_id", "spray_events"), "user_id")
+        join_grown(joined, spray.select("user_id", "spray_events"), "user_id")
         .withColumns(
             {
                 "seq_missing": F.col("seq_abuse").isNull().cast("double"),

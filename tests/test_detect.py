@@ -97,3 +97,16 @@ def test_forest_passes_run_in_partitions_of_the_cluster(spark, monkeypatch):
     detect.fit_detector(spark.range(300).selectExpr("id as user_id", "id * 1.0D as x"), ["x"], split)
     parts, rows = found[0]
     assert rows == 300 and parts <= 2 * spark.sparkContext.defaultParallelism < 100
+
+
+def test_signals_of_accounts_are_not_broadcast(spark, case):
+    """Accounts grow with the input, so none of their tables may go through the driver, however small it seems."""
+    people, view, split, model = case
+    scores = detect.score_detector(model, view, split, "tab")
+    seq = people.select("user_id", F.lit(0.5).alias("seq_abuse"), F.lit(0.0).alias("seq_anomaly"))
+    rings = people.select("user_id", F.lit(True).alias("ring_flag"), F.lit(3).alias("component_size"))
+    spray = people.select("user_id", F.lit(1).alias("spray_events"))
+    joined = detect.fusion_signals(people, scores, seq, scores.withColumnRenamed("tab_abuse", "graph_abuse"), rings, spray)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [user_id" not in plan and plan.count("SortMergeJoin [user_id") >= 6
+    assert joined.count() == people.count()
