@@ -115,6 +115,78 @@ def test_a_busy_account_is_taken_piece_by_piece(monkeypatch):
     assert len(p.events) <= 8 and len(p.edges.get()[1]) <= 9  # behind the horizon only the last event stays
 
 
+class CountedState(Kept):
+    """A map of state that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, k):
+        self.calls += 1
+        return dict.get(self, k)
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self[k] = v
+
+
+def group_of(n_batches, users, times, **settings):
+    """The rows of a group's processor after batches of pieces, its own state, and a frame of the last row of each event."""
+    p = deltas.GroupGaps(**settings)
+    p.few, p.edges, p.events = Kept(), CountedState(), CountedState()
+    frame = pd.DataFrame({"user_id": users, "ts": times, "event_id": range(len(times)), "ip": "a", "device_fp": "b", "country": None})
+    found = []
+    for b in range(n_batches):
+        rows = frame[b::n_batches]
+        found += p.handleInputRows((0,), iter([rows[k : k + 32] for k in range(0, len(rows), 32)]), None)
+    return p, pd.concat(found).sort_values("revision").groupby("event_id").last()
+
+
+def gaps(users, times):
+    before, out = {}, {}
+    for t, k in sorted((t, k) for k, t in enumerate(times)):
+        out[k] = t - before.get(users[k], t)
+        before[users[k]] = t
+    return out
+
+
+def test_small_accounts_of_a_group_share_one_value():
+    """Calls of the state store follow the groups, not the accounts and their slots."""
+    times = [k * 37 % 1009 for k in range(600)]
+    users = [str(k % 40) for k in range(600)]
+    p, last = group_of(3, users, times, slot=50, horizon=3000)
+    assert p.edges.calls == p.events.calls == 0 and list(p.few) == ["v"]
+    assert last.delta.to_dict() == gaps(users, times) and not last.late.any()
+
+
+@pytest.mark.parametrize("few, room", [(60, 10_000), (10_000, 150), (0, 0)])
+def test_busy_accounts_leave_the_value_of_their_group(monkeypatch, few, room):
+    monkeypatch.setattr(deltas, "FEW_ROWS", few)
+    monkeypatch.setattr(deltas, "GROUP_ROWS", room)
+    monkeypatch.setattr(deltas, "HELD_ROWS", 20)
+    times = [k * 37 % 1009 for k in range(600)]
+    users = ["hot" if k % 2 else str(k % 19) if k % 19 else None for k in range(600)]
+    p, last = group_of(3, users, times, slot=50, horizon=3000)
+    assert last.delta.to_dict() == gaps(users, times) and not last.late.any()
+    busy, names, _, sizes, *columns = p.few.get()
+    assert ("hot",) in p.edges and "hot" not in names and len(p.edges) == busy
+    assert sum(sizes) == len(columns[0]) <= room and all(n <= few for n in sizes)
+
+
+def test_small_accounts_forget_what_lies_behind_the_horizon():
+    times = [0, 60, 5000, 5010, 4, 4990]
+    p, last = group_of(2, ["u"] * 6, times, slot=50, horizon=300)  # batches: 0, 5000, 4 and 60, 5010, 4990
+    assert last.late.tolist() == [False, True, False, False, False, False] and last.delta.tolist() == [0, 0, 10, 10, 4, 4986]
+    assert p.few.get()[4] == [4, 4990, 5000, 5010]
+
+
+def test_replay_out_of_order_is_written_by_many_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    files = set()
+    step = lambda batch, number: files.update((number, r[0]) for r in batch.select(F.input_file_name()).distinct().collect())
+    run_available(replay(spark.range(10_000), 3), step, "copy")
+    assert len(files) == 3 * cores and {n for n, _ in files} == {0, 1, 2}
+
+
 def test_accounts_with_text_ids_and_an_empty_batch(spark):
     log = events(spark, event(1, 1, 0), event(2, 1, 50)).withColumn("user_id", F.lit("u"))
     got = result(spark, feed(spark, log, log.limit(0)))
