@@ -87,22 +87,26 @@ class Model:
 
     def forward(self, inputs: np.ndarray, first: np.ndarray) -> tuple:
         w = self.weights
-        x = w["id"][inputs] + w["class"][self.cls[inputs]] + w["place"]
+        x = w["id"][inputs]
+        x += w["class"][self.cls[inputs]]
+        x += w["place"]
         near = x[:, NEAR]
-        q, k, v = near @ (w["q"] * np.float32(DIM**-0.5)), x @ w["k"], x @ w["v"]
+        times = lambda values, table: (values.reshape(-1, values.shape[-1]) @ table).reshape(*values.shape[:-1], -1)
+        q, k, v = times(near, w["q"] * np.float32(DIM**-0.5)), times(x, w["k"]), times(x, w["v"])
         a = q @ k.transpose(0, 2, 1)
         a += MASK
-        early = first > 0
-        if early.any():
-            a[early] += np.where(np.arange(WINDOW)[None, None, :] < first[early, None, None], np.float32(-1e9), np.float32(0))
+        for row in np.flatnonzero(first):
+            a[row, :, : first[row]] -= np.float32(1e9)
         a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(2, keepdims=True)
         mixed = a @ v
-        joined = np.concatenate([near, mixed @ w["o"]], 2)
-        hidden = np.maximum(joined @ w["up"], 0)
-        top = near + hidden @ w["down"]
-        logits = top @ w["out"]
+        joined = np.concatenate([near, times(mixed, w["o"])], 2)
+        hidden = times(joined, w["up"])
+        np.maximum(hidden, 0, out=hidden)
+        top = times(hidden, w["down"])
+        top += near
+        logits = times(top, w["out"])
         logits += w["bias"]
         return x, near, q, k, v, a, mixed, joined, hidden, top, logits
 
@@ -198,7 +202,9 @@ class Steps:
         ids, starts, times = np.unique(flat[order], return_index=True, return_counts=True)
         g["id"] = np.add.reduceat(dx.reshape(-1, DIM)[order], starts, axis=0)
         g["class"] = np.zeros_like(self.model.weights["class"])
-        np.add.at(g["class"], self.model.cls[ids], g["id"])
+        by_class = np.argsort(self.model.cls[ids], kind="stable")
+        found, starts = np.unique(self.model.cls[ids[by_class]], return_index=True)
+        g["class"][found] = np.add.reduceat(g["id"][by_class], starts, axis=0)
         self.seen[ids] += times
         self.targets += int((targets >= 0).sum())
         self.step += 1
@@ -224,29 +230,33 @@ def _backward(model: Model, inputs: np.ndarray, targets: np.ndarray, first: np.n
     """Gradients of all weights but the tables of subwords and classes, and the gradient of their sum at each position."""
     w = model.weights
     x, near, q, k, v, a, mixed, joined, hidden, top, logits = model.forward(inputs, first)
-    real = targets >= 0
-    logits -= logits.max(2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(2, keepdims=True)
-    cls = model.cls[np.where(real, targets, 0)]
-    np.put_along_axis(p, cls[:, :, None], np.take_along_axis(p, cls[:, :, None], 2) - 1, 2)
-    dl = p * (real / max(1, real.sum()))[:, :, None].astype(np.float32)
-    dot = lambda left, right: np.tensordot(left, right, ((0, 1), (0, 1)))
-    g = {"out": dot(top, dl), "bias": dl.sum((0, 1))}
+    many, few = x.shape[:2], near.shape[:2]
+    rows = lambda values: values.reshape(-1, values.shape[-1])  # noqa: E731 - all positions in one product
+    x, near, mixed, joined, hidden, top, dl = map(rows, (x, near, mixed, joined, hidden, top, logits))
+    real = targets.ravel() >= 0
+    share = 1 / max(1, real.sum())
+    dl -= dl.max(1, keepdims=True)
+    np.exp(dl, out=dl)
+    dl *= (real * share / dl.sum(1)).astype(dl.dtype)[:, None]
+    dl[np.arange(len(dl)), model.cls[np.where(real, targets.ravel(), 0)]] -= (real * share).astype(dl.dtype)
+    g = {"out": top.T @ dl, "bias": dl.sum(0)}
     dtop = dl @ w["out"].T
-    dhidden = (dtop @ w["down"].T) * (hidden > 0)
-    g["down"], g["up"] = dot(hidden, dtop), dot(joined, dhidden)
+    dhidden = dtop @ w["down"].T
+    dhidden *= hidden > 0
+    g["down"], g["up"] = hidden.T @ dtop, joined.T @ dhidden
     djoined = dhidden @ w["up"].T
-    dnear, dmix = dtop + djoined[:, :, :DIM], djoined[:, :, DIM:]
-    g["o"] = dot(mixed, dmix)
-    dmixed = dmix @ w["o"].T
-    dv = a.transpose(0, 2, 1) @ dmixed
-    da = dmixed @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    dnear, dmix = dtop + djoined[:, :DIM], djoined[:, DIM:]
+    g["o"] = mixed.T @ dmix
+    dmixed = (dmix @ w["o"].T).reshape(*few, DIM)
+    dv = rows(a.transpose(0, 2, 1) @ dmixed)
+    ds = dmixed @ v.transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+    ds *= a
+    dq, dk = rows(ds @ k), rows(ds.transpose(0, 2, 1) @ q)
     scale = np.float32(DIM**-0.5)
-    g["q"], g["k"], g["v"] = dot(near, dq) * scale, dot(x, dk), dot(x, dv)
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, NEAR] += dnear + dq @ w["q"].T * scale
+    g["q"], g["k"], g["v"] = near.T @ dq * scale, x.T @ dk, x.T @ dv
+    dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(*many, DIM)
+    dnear += dq @ w["q"].T * scale
+    dx[:, WINDOW - STRIDE :] += dnear.reshape(*few, DIM)
     g["place"] = dx.sum(0)
     return g, dx

@@ -110,6 +110,15 @@ def test_gradients_agree_with_differences(small):
         assert math.isclose((up - down) / 2e-5, grads[name][at], rel_tol=0.02, abs_tol=1e-4), name
 
 
+def test_steps_take_the_gradients(small):
+    model, texts, _ = small
+    inputs, targets, first = (np.concatenate(p) for p in zip(*[attention.windows(t[: 40 + k], model.edge) for k, t in enumerate(texts[:9])]))
+    steps, want = attention.Steps(model, 0.001), attention.gradients(model, inputs, targets, first)
+    steps.take(inputs, targets, first)
+    assert set(want) == set(model.weights)
+    assert all(np.allclose(steps.first[name], 0.1 * g, rtol=1e-3, atol=1e-6) for name, g in want.items())
+
+
 def brute_base(rows):
     words = {k: [x.encode() for x in WORD.findall("".join(c.lower() if c < "\x80" else c for c in t or ""))] + [b"\xff"] for k, (_, t) in enumerate(rows)}
     counts, held = collections.Counter(), {}
