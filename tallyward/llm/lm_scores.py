@@ -8,7 +8,8 @@ is one range per block, so the size of a group does not grow with the corpus, an
 that it has words in, so their number is bounded by its words. Words are told apart by 64-bit hashes.
 
 The subword counts of the training documents (one number for each id of a fixed vocabulary) are summed over
-the corpus and give the classes of the attention model. The network is trained on all windows of all
+the corpus and give the classes of the attention model. Texts are cut into subwords once: the ids of each
+document are written, and the counts, the training and the scores read them. The network is trained on all windows of all
 training documents: it starts from weights found on the driver on at most ``TRAIN_WINDOWS`` windows of a
 sample, and ``ROUNDS`` passes, each over its own part of the documents, move them. In a round every task
 takes Adam steps over all its windows, and what the tasks changed is averaged in a tree of as many levels as it needs: by the number of
@@ -44,6 +45,7 @@ TRAIN_WINDOWS = 6000
 ROUNDS = 3
 RATES = (0.002, 0.001, 0.0005)  # of the rounds
 STEP_WINDOWS = 64
+COUNT_IDS = 1_000_000  # ids that are counted together
 POOL_WINDOWS = 4096  # windows of neighbouring documents that are shuffled together
 SLICE_ROWS = 2048  # rows of the table of subwords that are averaged in one group
 BRANCH = 32  # tasks, or groups of the level below, whose changes are added in one group
@@ -86,18 +88,38 @@ def unplanes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def blocks(df: DataFrame, id_col: str, text_col: str, ranks, pattern: str) -> DataFrame:
-    """(block, docs, hashes of texts, held_out, sizes, steps, times, words, counts, subwords), one row per block of documents."""
+def subword_ids(df: DataFrame, id_col: str, text_col: str, ranks, pattern: str) -> DataFrame:
+    """(doc, key, held_out, ids) of every document: the hash of its text and its packed subwords."""
+    key = df.select(id_col).schema.fields[0].dataType.simpleString()
+
+    def read(batches):
+        tool = encoding(ranks.value, pattern)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                held = pa.array([remainder(doc.as_py()) == 1 for doc in part.column(0)], pa.bool_())
+                ids = [pack(planes(np.array(tool.encode_ordinary(t.as_py() or ""), np.uint32))) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), held, pa.array(ids, pa.binary())], names=["doc", "key", "held_out", "ids"])
+
+    source = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return source.mapInArrow(read, f"doc {key}, key long, held_out boolean, ids binary")
+
+
+def unpacked(blob: pa.BinaryScalar) -> np.ndarray:
+    return unplanes(blob.as_py()).astype(np.int32)
+
+
+def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(block, docs, hashes of texts, held_out, sizes, steps, times, words, counts), one row per block of documents."""
     key = df.select(id_col).schema.fields[0].dataType.simpleString()
 
     def read(batches):
         from pyspark import TaskContext
 
-        cache, tool = WordHashes(), encoding(ranks.value, pattern)
-        n_ids = tool.n_vocab + 1
+        cache = WordHashes()
         base, number = TaskContext.get().partitionId() << 24, 0
         docs: list = []
-        keys, held, uniques, times, subwords, tokens = [], [], [], [], np.zeros(n_ids, np.int64), 0
+        keys, held, uniques, times, tokens = [], [], [], [], 0
 
         def close():
             flat = np.concatenate(uniques)
@@ -106,13 +128,11 @@ def blocks(df: DataFrame, id_col: str, text_col: str, ranks, pattern: str) -> Da
             words, place = np.unique(flat, return_inverse=True)
             counts = np.bincount(place, many * train, len(words)).astype(np.int64)
             steps = np.concatenate([np.diff(np.sort(p), prepend=0) for p in np.split(place, np.cumsum([len(u) for u in uniques])[:-1])])
-            used = np.flatnonzero(subwords)
             return pa.RecordBatch.from_pydict(
                 {
                     "block": [base + number], "docs": pa.array([docs], pa.list_(kind)), "keys": [keys], "held": [held],
                     "sizes": [[len(u) for u in uniques]], "steps": [pack(planes(steps))], "times": [pack(planes(many))],
                     "words": [pack(words)], "counts": [pack(counts)],
-                    "subwords": [pack(np.stack([used, subwords[used]]).astype(np.int64))],
                 }
             )
 
@@ -131,14 +151,10 @@ def blocks(df: DataFrame, id_col: str, text_col: str, ranks, pattern: str) -> Da
                 uniques.append(found)
                 times.append(n)
                 tokens += len(words)
-                if not out:
-                    ids = np.array(tool.encode_ordinary(text), np.int64)
-                    subwords += np.bincount(ids, minlength=n_ids)
-                    subwords[-1] += 1
                 if tokens >= BLOCK_TOKENS:
                     yield close()
                     number += 1
-                    docs, keys, held, uniques, times, subwords, tokens = [], [], [], [], [], np.zeros(n_ids, np.int64), 0
+                    docs, keys, held, uniques, times, tokens = [], [], [], [], [], 0
         if docs:
             yield close()
 
@@ -146,7 +162,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str, ranks, pattern: str) -> Da
     return source.mapInArrow(
         read,
         f"block long, docs array<{key}>, keys array<long>, held array<boolean>, sizes array<long>, steps binary, times binary, "
-        "words binary, counts binary, subwords binary",
+        "words binary, counts binary",
     )
 
 
@@ -229,15 +245,24 @@ def base_scores(stored: DataFrame, totals: DataFrame, n: int, v: int) -> DataFra
 
 
 def subword_counts(stored: DataFrame, n_ids: int) -> np.ndarray:
-    """Corpus counts of all ids: one row per id of the vocabulary comes to the driver."""
+    """Counts of all ids, and of ends, in the training documents: one row per id of the vocabulary comes to the driver."""
 
-    def spread(batches):
+    def count(batches):
+        total, some, held = np.zeros(n_ids, np.int64), [], 0
         for batch in batches:
             for blob in batch.column(0):
-                ids, counts = unpack(blob.as_py(), np.int64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], names=["id", "n"])
-
-    rows = stored.select("subwords").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+                some.append(unpacked(blob))
+                total[-1] += 1
+                held += len(some[-1])
+                if held >= COUNT_IDS:
+                    total += np.bincount(np.concatenate(some), minlength=n_ids)
+                    some, held = [], 0
+        if some:
+            total += np.bincount(np.concatenate(some), minlength=n_ids)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+
+    rows = stored.filter(~F.col("held_out")).select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(n_ids, np.int64)
     out[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -282,15 +307,15 @@ def averaged(changes: DataFrame) -> DataFrame:
     return level.groupBy("slice").applyInArrow(_added, changes.schema)
 
 
-def train_round(df: DataFrame, id_col: str, text_col: str, model: attention.Model, ranks, pattern: str, part: int, parts: int, rate: float) -> int:
+def train_round(stored: DataFrame, model: attention.Model, part: int, parts: int, rate: float) -> int:
     """Move the model by all windows of the training documents whose text hash falls into the part; the number of targets."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    shared = stored.sparkSession.sparkContext.broadcast(model)  # of fixed size
     schema = "slice int, task long, times binary, change binary"
 
     def learn(batches):
         from pyspark import TaskContext
 
-        tool, start, task = encoding(ranks.value, pattern), shared.value, TaskContext.get().partitionId()
+        start, task = shared.value, TaskContext.get().partitionId()
         steps, rng = attention.Steps(start, rate), np.random.default_rng(task)
         pool, held = [], 0
 
@@ -302,10 +327,8 @@ def train_round(df: DataFrame, id_col: str, text_col: str, model: attention.Mode
                 steps.take(inputs[pick], targets[pick], first[pick])
 
         for batch in batches:
-            for doc, value in zip(*batch.columns):
-                if remainder(doc.as_py()) == 1:
-                    continue
-                inputs, targets, first = attention.windows(np.array(tool.encode_ordinary(value.as_py() or ""), np.int32), tool.n_vocab)
+            for blob in batch.column(0):
+                inputs, targets, first = attention.windows(unpacked(blob), start.edge)
                 for k in range(0, len(inputs), POOL_WINDOWS):
                     cut = slice(k, k + POOL_WINDOWS)
                     pool.append((inputs[cut], targets[cut], first[cut]))
@@ -321,8 +344,8 @@ def train_round(df: DataFrame, id_col: str, text_col: str, model: attention.Mode
                     {"slice": pa.array([number], pa.int32()), "task": [task], "times": [pack(times)], "change": [pack(change)]}
                 )
 
-    mine = F.pmod(F.xxhash64(F.col(text_col)), F.lit(parts)) == part
-    changes = df.filter(mine).select(id_col, text_col).mapInArrow(learn, schema)
+    mine = ~F.col("held_out") & (F.pmod("key", F.lit(parts)) == part)
+    changes = stored.filter(mine).select("ids").mapInArrow(learn, schema)
     rows = averaged(changes).collect()  # one row a slice of the model
     shared.destroy()
     targets = 0
@@ -341,9 +364,13 @@ def train_round(df: DataFrame, id_col: str, text_col: str, model: attention.Mode
     return targets
 
 
-def train_on_all(df: DataFrame, id_col: str, text_col: str, model: attention.Model, ranks, pattern: str) -> int:
-    """Train the model on every window of every training document; the number of targets it was trained on."""
-    return sum(train_round(df, id_col, text_col, model, ranks, pattern, k, ROUNDS, RATES[k]) for k in range(ROUNDS))
+def train_on_all(df: DataFrame, id_col: str, text_col: str, model: attention.Model, ranks, pattern: str, stored: DataFrame | None = None) -> int:
+    """Train the model on every window of every training document; the number of targets it was trained on.
+
+    ``stored`` has the documents' :func:`subword_ids`, if they are written already.
+    """
+    ids = subword_ids(df, id_col, text_col, ranks, pattern) if stored is None else stored
+    return sum(train_round(ids, model, k, ROUNDS, RATES[k]) for k in range(ROUNDS))
 
 
 def train_windows(df: DataFrame, id_col: str, text_col: str, ranks, pattern: str, sample_docs: int, limit: int) -> tuple:
@@ -371,21 +398,20 @@ def train_windows(df: DataFrame, id_col: str, text_col: str, ranks, pattern: str
     return shape("inputs", attention.WINDOW), shape("targets", attention.STRIDE), np.array([r["first"] for r in found], np.int64)
 
 
-def model_scores(df: DataFrame, id_col: str, text_col: str, model: attention.Model, ranks, pattern: str) -> DataFrame:
+def model_scores(stored: DataFrame, model: attention.Model) -> DataFrame:
     """(doc, key, score) of every row."""
-    key = df.select(id_col).schema.fields[0].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: the vocabulary and the layers
+    shared = stored.sparkSession.sparkContext.broadcast(model)  # of fixed size: the vocabulary and the layers
 
     def read(batches):
-        tool, net = encoding(ranks.value, pattern), shared.value
+        net = shared.value
+        tables = net.tables()
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                texts = [np.array(tool.encode_ordinary(t.as_py() or ""), np.int32) for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(net.score(texts))], names=["doc", "key", "score"])
+                scores = net.score([unpacked(blob) for blob in part.column(2)], tables=tables)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores)], names=["doc", "key", "score"])
 
-    source = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return source.mapInArrow(read, f"doc {key}, key long, score double")
+    return stored.select("doc", "key", "ids").mapInArrow(read, f"doc {stored.schema['doc'].dataType.simpleString()}, key long, score double")
 
 
 def score_documents(
@@ -396,19 +422,20 @@ def score_documents(
     spark = df.sparkSession
     with open(ranks_file, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary file, under 1 MB
-    stored = written(blocks(df, id_col, text_col, ranks, pattern), "blocks")
+    stored = written(blocks(df, id_col, text_col), "blocks")
     n_blocks = stored.count()
     totals = written(word_totals(stored, max(1, n_blocks)), "totals")
     sums = totals.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
     base = written(base_scores(stored, totals, n, v), "base")
     n_ids = encoding(ranks.value, pattern).n_vocab + 1
-    model = attention.Model(*attention.classes_of(subword_counts(stored, n_ids)))
     drop(stored)
     drop(totals)
+    ids = written(subword_ids(df, id_col, text_col, ranks, pattern), "ids")
+    model = attention.Model(*attention.classes_of(subword_counts(ids, n_ids)))
     attention.train(model, *train_windows(df, id_col, text_col, ranks, pattern, sample_docs, train_limit))
-    train_on_all(df, id_col, text_col, model, ranks, pattern)
-    scored = model_scores(df, id_col, text_col, model, ranks, pattern)
+    train_on_all(df, id_col, text_col, model, ranks, pattern, ids)
+    scored = model_scores(ids, model)
     # rows with the same id and text have the same values, so one of them is enough on the joined side
     once = base.dropDuplicates(["doc", "key"]).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "held_out", "n_tokens", "n_known", "base_score")
     out = scored.join(once, scored["doc"].eqNullSafe(once["_doc"]) & (scored["key"] == once["_key"]))

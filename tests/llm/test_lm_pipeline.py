@@ -119,6 +119,40 @@ def test_steps_take_the_gradients(small):
     assert all(np.allclose(steps.first[name], 0.1 * g, rtol=1e-3, atol=1e-6) for name, g in want.items())
 
 
+def plain_logits(model, inputs, first):
+    """The network written out, window by window, in double precision."""
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    out = []
+    for ids, start in zip(inputs, first):
+        x = w["id"][ids] + w["class"][model.cls[ids]] + w["place"]
+        near = x[attention.NEAR]
+        a = near @ w["q"] @ (x @ w["k"]).T / math.sqrt(attention.DIM)
+        places = np.arange(attention.WINDOW)
+        a = np.where((places[None] > attention.NEAR[:, None]) | (places[None] < start), -np.inf, a)
+        a = np.exp(a - a.max(1, keepdims=True))
+        mixed = a / a.sum(1, keepdims=True) @ (x @ w["v"])
+        top = near + np.maximum(np.hstack([near, mixed @ w["o"]]) @ w["up"], 0) @ w["down"]
+        out.append(top @ w["out"] + w["bias"])
+    return np.array(out)
+
+
+@pytest.mark.parametrize("times", [1, 4, 30])
+def test_passes_equal_the_network_written_out(small, times):
+    # with large products of queries and keys, those of positions that are not seen may be the largest by far
+    model, texts, _ = small
+    large = {k: v * times if k in ("q", "k", "out") else v for k, v in model.weights.items()}
+    model = attention.Model(model.cls, model.inside, large)
+    inputs, targets, first = (np.concatenate(p) for p in zip(*[attention.windows(t[: 40 + k], model.edge) for k, t in enumerate(texts[:9])]))
+    logits = plain_logits(model, inputs, first)
+    size = np.abs(logits).max()
+    assert np.abs(model.forward(inputs, first)[-1] - logits).max() < 2e-3 * size
+    norm = np.log(np.exp(logits - logits.max(2, keepdims=True)).sum(2)) + logits.max(2)
+    ids = np.where(targets >= 0, targets, 0)
+    want = np.take_along_axis(logits, model.cls[ids][:, :, None], 2)[:, :, 0] - norm + model.inside[ids]
+    assert np.abs(model.log_probs(inputs, targets, first) - np.where(targets >= 0, want, 0)).max() < 2e-3 * max(1, size)
+    assert all(np.isfinite(g).all() for g in attention.gradients(model, inputs, targets, first).values())
+
+
 def brute_base(rows):
     words = {k: [x.encode() for x in WORD.findall("".join(c.lower() if c < "\x80" else c for c in t or ""))] + [b"\xff"] for k, (_, t) in enumerate(rows)}
     counts, held = collections.Counter(), {}
@@ -219,6 +253,33 @@ def test_model_learns_from_every_window(spark, monkeypatch):
     assert seen == [sum(len(x) + 1 for x in ids)]
 
 
+def test_subwords_are_cut_once(spark):
+    import public_tokenizers
+
+    path, pattern = tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(path, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    tool = lm_scores.encoding(ranks.value, pattern)
+    for df in (awkward(spark), clashing(awkward(spark)), empty(spark)):
+        rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
+        want = [(i, zlib.crc32(str("" if i is None else i).encode()) % 5 == 1, tool.encode_ordinary(t)) for i, t in rows]
+        stored = lm_scores.written(lm_scores.subword_ids(df, "doc_id", "text", ranks, pattern), "ids")
+        found = [(r["doc"], r["held_out"], lm_scores.unplanes(bytes(r["ids"])).tolist()) for r in stored.collect()]
+        key = lambda r: (r[0] is None, r[0] or 0, len(r[2]))
+        assert sorted(found, key=key) == sorted(want, key=key)
+        counts = np.zeros(tool.n_vocab + 1, np.int64)
+        for _, held, ids in want:
+            if not held:
+                counts += np.bincount([*ids, tool.n_vocab], minlength=len(counts))
+        assert lm_scores.subword_counts(stored, len(counts)).tolist() == counts.tolist()
+        # training and scores need nothing but these
+        model = attention.Model(*attention.classes_of(counts))
+        model.start()
+        assert lm_scores.train_on_all(None, "doc_id", "text", model, None, pattern, stored) == counts.sum()
+        scores = sorted(r["score"] for r in lm_scores.model_scores(stored, model).collect())
+        assert np.allclose(scores, sorted(model.score([np.array(ids, np.int32) for _, _, ids in want])), rtol=1e-5)
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     whole = {r["doc_id"]: r for r in docs.collect()}
