@@ -10,10 +10,11 @@ from tallyward.operators import evaluate
 from tallyward.operators import graph as g
 from tallyward.session import cut_lineage
 from tallyward.sources import star
+from tallyward.sources.schema import ASN_TYPES
 
 
 def edges(spark, d):
-    return g.entity_edges(star.purchase_edges(spark, d), star.people(spark, d))
+    return g.entity_edges(star.purchase_edges(spark, d), star.people(spark, d), ASN_TYPES)
 
 
 def edge_table(spark, d, *columns):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions import expr
@@ -22,33 +22,52 @@ COORDINATED = ["account_farmer", "spam_bot"]
 ENTITY = ["etype", "entity_id"]
 
 
-def entity_edges(events: DataFrame | None = None, accounts: DataFrame | None = None) -> DataFrame:
+def _rank(value: Column, names: Sequence[str]) -> Column:
+    """Place of a text in the order of ``names``: 2i + 1 for the i-th of them, an even number for a text between two.
+
+    The smallest place belongs to the smallest text, and an aggregate of numbers is hashed where one of texts is sorted.
+    """
+    out = F.lit(2 * len(names))
+    for i, n in reversed([*enumerate(sorted(names))]):
+        out = F.when(value < n, 2 * i).when(value == n, 2 * i + 1).otherwise(out)
+    return F.when(value.isNotNull(), out)
+
+
+def _ranked(rank: Column, names: Sequence[str]) -> Column:
+    """The name at a place of :func:`_rank`; NULL for a text between two names."""
+    found = [F.when(rank == 2 * i + 1, n) for i, n in enumerate(sorted(names))]
+    return F.coalesce(*found)
+
+
+def entity_edges(events: DataFrame | None = None, accounts: DataFrame | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """(user_id, etype, entity_id, weight, asn_type): exactly one row per account and entity.
 
     The log is read once for all its entity types, and requests are merged before the shuffle. IP
     edges carry the network type (smallest name when there are several); accounts without a payment
-    instrument have no payment edge.
+    instrument have no payment edge. ``names`` are those of all network types, where they are known: edges are then
+    merged by hashing, without it sorted. A type that is not among them is an error.
     """
     none = F.lit(None).cast("string")
     parts = []
     if events is not None:
         kinds = {"ip": "ip", "device": "device_fp"}
-        asn = {"ip": F.col("asn_type") if "asn_type" in events.columns else none}
+        asn, smallest = F.col("asn_type") if "asn_type" in events.columns else none, F.min("asn_type")
+        if names:
+            other = F.raise_error(F.concat(F.lit("unknown network type "), asn)).cast("int")
+            asn, none, smallest = F.when(asn.isNull() | asn.isin(*names), _rank(asn, names)).otherwise(other), F.lit(None).cast("int"), _ranked(F.min("asn_type"), names)
         used = [
-            F.struct(F.lit(t).alias("etype"), F.col(c).alias("entity_id"), asn.get(t, none).alias("asn_type"))
+            F.struct(F.lit(t).alias("etype"), F.col(c).alias("entity_id"), (asn if t == "ip" else none).alias("asn_type"))
             for t, c in kinds.items()
             if c in events.columns
         ]
         seen = events.select("user_id", F.inline(F.array(*used))).filter(F.col("entity_id").isNotNull())
-        parts.append(
-            seen.groupBy("user_id", *ENTITY).agg(F.count("*").alias("weight"), F.min("asn_type").alias("asn_type"))
-        )
+        parts.append(seen.groupBy("user_id", *ENTITY).agg(F.count("*").alias("weight"), smallest.alias("asn_type")))
     if accounts is not None:
         pay = accounts.filter(F.col("payment_hash").isNotNull())
         parts.append(
             pay.select("user_id", F.lit("payment").alias("etype"), F.col("payment_hash").alias("entity_id"))
             .groupBy("user_id", *ENTITY)
-            .agg(F.lit(1).cast("long").alias("weight"), none.alias("asn_type"))
+            .agg(F.lit(1).cast("long").alias("weight"), F.lit(None).cast("string").alias("asn_type"))
         )
     return union_all(parts)
 
@@ -256,14 +275,59 @@ def _with_fanout(edges: DataFrame, fanout: DataFrame, *columns: str) -> DataFram
 ETYPES = ("ip", "device", "payment")
 
 
+# Entities of one account, or of two that are both known from the counting.
+FEW = "coalesce(fanout = 1 or (fanout = 2 and hub != far), false)"
+
+
+def entity_ends(edges: DataFrame) -> DataFrame:
+    """(etype, entity_id, fanout, hub, far, kind, node): smallest and largest account of every entity, its network type and,
+    if several accounts share it, a number.
+
+    The one grouping of the edges by entity; it is to be written. Rings, neighbourhoods and degrees follow from it, and
+    only wider entities are joined with the edges, so only those keep their names. A network type that is not
+    one of ``ASN_TYPES`` is NULL.
+    """
+    ends = edges.groupBy(*ENTITY).agg(
+        F.count("*").alias("fanout"), F.min("user_id").alias("hub"), F.max("user_id").alias("far"), F.min(_rank(F.col("asn_type"), ASN_TYPES)).alias("_rank")
+    )
+    numbered = ends.withColumn("_node", F.monotonically_increasing_id())
+    return numbered.select(
+        "etype", F.when(~F.expr(FEW), F.col("entity_id")).alias("entity_id"), "fanout", "hub", "far",
+        _ranked(F.col("_rank"), ASN_TYPES).alias("kind"), F.when(F.col("fanout") > 1, F.col("_node")).alias("node"),
+    )
+
+
+def wide_edges(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """The edges of entities whose accounts the counting does not tell, as rows of :func:`incident_rows`.
+
+    Those entities are written first: while they are few, the edges are not moved for the join.
+    """
+    key = F.concat_ws("|", *ENTITY).alias("_e")
+    wide = cut_lineage(ends.filter(~F.expr(FEW)).select(key, "node", "fanout", "kind", "hub"), "wide")
+    return join_unique(edges.select("user_id", "etype", key), wide, "_e").select("user_id", "etype", "node", "fanout", "kind", "hub")
+
+
+def incident_rows(ends: DataFrame, wide: DataFrame) -> DataFrame:
+    """(user_id, etype, node, fanout, kind, hub) of every edge, from the written tables of ends and of wide edges."""
+    rest = ["etype", "node", "fanout", "kind", "hub"]
+    one = ends.filter("fanout = 1").select(F.col("hub").alias("user_id"), *rest)
+    two = ends.filter("fanout = 2").filter(FEW).select(F.explode(F.array("hub", "far")).alias("user_id"), *rest)
+    return union_all([one, two, wide])
+
+
 def incident_nodes(edges: DataFrame) -> DataFrame:
-    """(user_id, etype, node, fanout, kind): every edge with its entity's fan-out, network type and, if it is shared, number.
+    """(user_id, etype, node, fanout, kind, hub): every edge with its entity's fan-out, network type, smallest account and,
+    if it is shared, number.
 
-    The one join on text keys; it is written, and all that follows works on numbers. Only shared entities go to it.
+    ``edges`` are read twice and should be a table; all that follows works on numbers.
     """
-    nodes = entity_fanout(edges).filter("fanout > 1").select(*ENTITY, "fanout", "asn_type", F.monotonically_increasing_id().alias("node"))
-    joined = _with_fanout(edges, cut_lineage(nodes, "nodes"), "node")
-    return cut_lineage(joined.select("user_id", "etype", "node", "fanout", F.col("asn_type").alias("kind")), "incident")
+    ends = cut_lineage(entity_ends(edges), "ends")
+    return incident_rows(ends, cut_lineage(wide_edges(edges, ends), "wide_edges"))
+
+
+def incident_links(incident: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
+    """(src, dst): as :func:`component_links`, from edges that carry the smallest account of their entity."""
+    return linking_entities(incident, caps).filter("user_id != hub").select(F.col("user_id").alias("src"), F.col("hub").alias("dst"))
 
 
 def node_profile(incident: DataFrame, etypes: Sequence[str] = ETYPES) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallyward.operators import boost, campaign, decide, detect, evaluate, features, graph
 from tallyward.operators import sequence as seq
 from tallyward.operators import split as sp
+from tallyward.operators.components import connected_components
 from tallyward.operators.skew import join_grown
 from tallyward.session import cut_lineage
 from tallyward.sources.schema import ENDPOINTS, NORMAL
@@ -56,9 +57,15 @@ class RiskAnalysis:
 
     @cached_property
     def edge_table(self) -> DataFrame:
-        """Edges are read by the rings, the propagation and the degrees: the log is scanned once."""
+        """Edges are read to count entities and for those of many accounts: the log is scanned once."""
         return self._table("edges", self.edges)
 
+    @cached_property
+    def incident(self) -> DataFrame:
+        """Edges with what is known of their entities: these are counted once, for the rings and for the neighbourhoods."""
+        ends = self._table("entities", lambda: graph.entity_ends(self.edge_table))
+        return graph.incident_rows(ends, self._table("wide_edges", lambda: graph.wide_edges(self.edge_table, ends)))
+
     @cached_property
     def account_table(self) -> DataFrame:
         """Accounts are read by every join with labels: they are made from their tables once."""
@@ -136,15 +143,18 @@ class RiskAnalysis:
     def _around(self) -> DataFrame:
         """Own features, two rounds of pooled neighbourhoods and degrees."""
         own = self.features.select("user_id", *self.feature_columns).fillna(detect.MISSING)
-        incident = graph.incident_nodes(self.edge_table)
-        profile = graph.node_profile(incident)
-        around = graph.propagate_pooled(own, incident, profile, self.feature_columns, rounds=2)
+        profile = graph.node_profile(self.incident)
+        around = graph.propagate_pooled(own, self.incident, profile, self.feature_columns, rounds=2)
         degrees = profile.drop("alone", *[c for c in profile.columns if c.startswith("share_")])
         return around.join(degrees, "user_id", "left")
 
     @cached_property
     def rings(self) -> DataFrame:
-        return self._table("rings", lambda: graph.ring_flags(self.account_table, graph.account_components(self.edge_table, stored=True)))
+        return self._table("rings", self._rings)
+
+    def _rings(self) -> DataFrame:
+        components = connected_components(graph.incident_links(self.incident), "src", "dst")
+        return graph.ring_flags(self.account_table, components)
 
     @cached_property
     def spray(self) -> DataFrame:

@@ -235,3 +235,33 @@ def test_flags_do_not_read_the_orders(spark, sf):
     whole, without = star.accounts(spark, sf), star.people(spark, sf)
     assert not any("orders" in f for f in without.inputFiles()) and any("orders" in f for f in whole.inputFiles())
     assert sorted(map(repr, whole.drop("created_at").collect())) == sorted(map(repr, without.collect()))
+
+
+def test_edges_are_grouped_by_entity_once(spark, mixed_links):
+    """Every edge follows from the counts or from the join of wide entities, with accounts that are missing or come twice."""
+    _, edges = mixed_links
+    odd = [(None, "ip", "a", "mobile"), (1, "ip", "a", None), (None, "ip", "b", None), (2, "device", "c", "mobile"), (2, "device", "c", "mobile"), (3, "ip", "d", "unheard"), (4, "ip", "d", "corporate")]
+    edges = edges.unionByName(spark.createDataFrame(odd, edges.schema))
+    rows, users, kinds = edges.collect(), {}, {}
+    for r in rows:
+        users.setdefault((r.etype, r.entity_id), []).append(r.user_id)
+        kinds.setdefault((r.etype, r.entity_id), []).append(r.asn_type)
+    smallest = lambda v: min((x for x in v if x is not None), default=None)
+    wanted = [(r.user_id, r.etype, len(e := users[r.etype, r.entity_id]), smallest(e), smallest(kinds[r.etype, r.entity_id])) for r in rows]
+    incident = g.incident_nodes(edges)
+    got = [(r.user_id, r.etype, r.fanout, r.hub, r.kind) for r in incident.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted))
+    assert {r.entity_id is None for r in g.entity_ends(edges).filter(g.FEW).collect()} == {True}
+    for caps in ({}, {"ip": 2, "device": 4}):
+        assert labels(connected_components(g.incident_links(incident, caps))) == labels(g.account_components(edges, caps))
+
+
+def test_edges_are_merged_by_hashing(spark):
+    """With the names of the network types no text is an aggregate; the edges are the same, and other names are refused."""
+    log = events(spark, *[event(i, i % 3, i, ip=f"ip{i % 2}", asn_type=["mobile", "corporate", None][i % 5 % 3]) for i in range(30)])
+    plain, hashed = g.entity_edges(log), g.entity_edges(log, names=g.ASN_TYPES)
+    assert sorted(map(repr, hashed.collect())) == sorted(map(repr, plain.collect())) and plain.schema == hashed.schema
+    for df in (hashed, g.entity_ends(plain.select("user_id", *g.ENTITY, "asn_type").localCheckpoint())):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="unheard"):
+        g.entity_edges(events(spark, event(1, 1, 0, asn_type="unheard")), names=g.ASN_TYPES).collect()

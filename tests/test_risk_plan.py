@@ -1,12 +1,14 @@
 """The whole analysis on the smallest test tables."""
 
+from dataclasses import replace
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyward.catalog import canon
-from tallyward.operators import decide, detect
+from tallyward.operators import decide, detect, graph
 from tallyward.operators.features import NON_FEATURES
 from tallyward.plans.risk import side_by_side
 from tallyward.sources.tables import metric_columns
@@ -138,3 +140,17 @@ def test_a_row_of_metrics_is_computed_once(spark):
     out = metric_columns(one, "s")
     assert [tuple(r) for r in out.collect()] == [("s", "n", "", 5.0), ("s", "mean", "", 2.0), ("s", "none", "", None)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1
+
+
+def test_rings_follow_from_the_counts_of_the_neighbourhoods(spark, sf, monkeypatch):
+    """The edges are grouped by entity once, for rings and neighbourhoods, not once for each."""
+    from tallyward.catalog.detectors import analysis as again
+
+    def refuse(*_):
+        raise AssertionError("counted again")
+
+    want = sorted(entry.queries()["ring_flags"](spark, sf).collect())
+    monkeypatch.setattr(graph, "component_links", refuse)
+    monkeypatch.setattr(graph, "entity_fanout", refuse)
+    a = replace(again(spark, sf), store=None)
+    assert sorted(a.rings.collect()) == want and graph.node_profile(a.incident).count() > 0
